@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts
+from . import html_extract, packing, pii, quality_cnn, quality_rules, token_counts
+
+
+#: Whoever runs the replacement on real data passes a secret of their own.
+PII_KEY = "example key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +22,35 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=2048)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit_forests(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"), html_extract.train())
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_cnn.score(docs, quality_cnn.fit_network(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality_rules": op2_quality_rules,
+    "op4_pii_surrogates": op4_pii_surrogates,
+    "op5_html_extract": op5_html_extract,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_cnn": op8_quality_cnn,
 }
 
 ORACLE_SQL: dict[str, str] = {}
