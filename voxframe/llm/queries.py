@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, packing, pii, quality_cnn, quality_rules, token_counts
+from . import html_extract, near_dup, packing, pii, quality_cnn, quality_rules, token_counts
 
 
 #: Whoever runs the replacement on real data passes a secret of their own.
@@ -44,6 +44,10 @@ def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(docs, quality_cnn.fit_network(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_table(spark, sf_dir, "documents"), size=5, similarity=0.8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_extract": op5_html_extract,
     "op7_token_counts": op7_token_counts,
     "op8_quality_cnn": op8_quality_cnn,
+    "op10_near_dup": op10_near_dup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
