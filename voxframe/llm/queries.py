@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_index, html_extract, near_dup, packing, pii, quality_cnn, quality_rules, token_counts
+from . import benchmark_index, html_extract, near_dup, packing, pii, quality_cnn, quality_rules, recompression, token_counts
 
 
 #: Whoever runs the replacement on real data passes a secret of their own.
@@ -39,6 +39,10 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"), html_extract.train())
 
 
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(_table(spark, sf_dir, "documents"), size=13)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_index": op3_benchmark_index,
     "op4_pii_surrogates": op4_pii_surrogates,
     "op5_html_extract": op5_html_extract,
+    "op6_recompression": op6_recompression,
     "op7_token_counts": op7_token_counts,
     "op8_quality_cnn": op8_quality_cnn,
     "op10_near_dup": op10_near_dup,
@@ -82,4 +87,18 @@ it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(pos.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(it.items, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN it ON d.doc_id = it.doc_id""",
+    "op6_recompression": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + 13], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 12, 0))) AS s FROM d)),
+low AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS p FROM (SELECT win.doc_id, win.s FROM win JOIN low ON win.h = low.h WHERE win.doc_id > low.low)),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+kept AS (
+  SELECT word.doc_id, string_agg(word.word, ' ' ORDER BY word.p) AS t, count(*) AS n
+  FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
 }
