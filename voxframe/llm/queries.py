@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_index, html_extract, near_dup, packing, pii, quality_cnn, quality_rules, recompression, token_counts
+from . import benchmark_index, html_extract, near_dup, packing, phrase_parsing, pii, quality_cnn, quality_rules, recompression, token_counts
 
 
 #: Whoever runs the replacement on real data passes a secret of their own.
@@ -52,6 +52,10 @@ def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score(docs, quality_cnn.fit_network(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_phrase_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_parsing.remove_repeats(_table(spark, sf_dir, "documents"), size=200)
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(_table(spark, sf_dir, "documents"), size=5, similarity=0.8)
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_recompression": op6_recompression,
     "op7_token_counts": op7_token_counts,
     "op8_quality_cnn": op8_quality_cnn,
+    "op9_phrase_parsing": op9_phrase_parsing,
     "op10_near_dup": op10_near_dup,
 }
 
