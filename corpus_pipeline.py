@@ -1,18 +1,64 @@
-"""The corpus pipeline: stages that each take the documents that the one before it kept."""
+"""The corpus pipeline: each stage takes the documents that the one before it kept; the last one packs them.
+
+Stages return the columns of ``documents`` (n_chars follows the text), but for packing, which returns pieces of sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from voxframe.llm import benchmark_index, near_dup, packing, pii, quality_rules
+from voxframe.llm._shared import written
+from voxframe.llm.queries import PII_KEY
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the forests reject."""
+    return quality_rules.keep_good(docs, quality_rules.fit_forests(docs, _table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each class."""
+    return near_dup.one_of_each(docs).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return benchmark_index.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data and secrets."""
+    made = pii.replace(docs, PII_KEY).select(docs.columns)
+    return made.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else made
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048)
 
-from voxframe.llm import queries as q
 
-STAGES: list = []
-#: Tokenisation and the packing of sequences have no SQL form; tests hold run() against a brute-force version.
+STAGES = [
+    ("quality_rules", quality),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii_surrogates", private_data),
+    ("packing", packed),
+]
+#: SQL expresses neither the forests nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = q._table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
     return docs
