@@ -187,9 +187,9 @@ ODD = [0.0534975, -0.0912718, -0.1564465, 0.5912718, 1.2058980, 0.5912718, -0.15
 
 
 def _mirrored(k: Column, n: int) -> Column:
-    """An index reflected at both ends."""
-    left = F.abs(k)
-    return F.when(left > n - 1, 2 * (n - 1) - left).otherwise(left)
+    """An index reflected at both ends, as often as it takes."""
+    k = F.pmod(k, F.lit(2 * (n - 1)))
+    return F.least(k, 2 * (n - 1) - k)
 
 
 def dwt_axis(grid: DataFrame, axis: str, n: int, by: Sequence[str] = ()) -> DataFrame:

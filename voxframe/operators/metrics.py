@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from .grids import resample
 
-ERROR = F.col("predicted") - F.col("truth")
-
 
 def l1_l2(pairs: DataFrame, by: Sequence[str] = (), weight_l1: float = 1.0, weight_l2: float = 1.0) -> DataFrame:
     e = F.col("predicted") - F.col("truth")

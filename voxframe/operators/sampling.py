@@ -197,15 +197,20 @@ def curvature(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     for g in AXES:
         h = gradient(h, by=by, value=f"g{g}", names=[f"h{g}{a}" for a in AXES])
     size = F.greatest(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz")), F.lit(1e-7))
-    h = h.withColumn("size", size).withColumns({f"n{a}": -F.col(f"g{a}") / F.col("size") for a in AXES})
-    p = {(a, b): F.lit(1.0 if a == b else 0.0) - F.col(f"n{a}") * F.col(f"n{b}") for a in AXES for b in AXES}
-    h = h.withColumns({f"p{a}{b}": p[a, b] for a in AXES for b in AXES})
-    h = h.withColumns({f"s{a}{b}": (F.col(f"h{a}{b}") + F.col(f"h{b}{a}")) * 0.5 for a in AXES for b in AXES})
-    h = h.withColumns({f"q{a}{b}": sum((F.col(f"s{a}{c}") * F.col(f"p{c}{b}") for c in AXES), F.lit(0.0)) for a in AXES for b in AXES})
-    h = h.withColumns({f"w{a}{b}": -sum((F.col(f"p{a}{c}") * F.col(f"q{c}{b}") for c in AXES), F.lit(0.0)) / F.col("size") for a in AXES for b in AXES})
-    trace = F.col("wxx") + F.col("wyy") + F.col("wzz")
-    frobenius = sum((F.col(f"w{a}{b}") * F.col(f"w{a}{b}") for a in AXES for b in AXES), F.lit(0.0))
-    inner = 2 * frobenius - trace * trace
+    h = h.withColumns({f"s{a}{b}": (F.col(f"h{a}{b}") + F.col(f"h{b}{a}")) * 0.5 for a in AXES for b in AXES}).withColumn("size", size)
+    h = h.withColumns({f"n{a}": -F.col(f"g{a}") / F.col("size") for a in AXES})
+    h = h.withColumns({f"m{a}": sum((F.col(f"s{a}{b}") * F.col(f"n{b}") for b in AXES), F.lit(0.0)) for a in AXES})  # the Hessian times n
+    # trace and squared norm of -PHP / |g| with P = 1 - nn', without the products
+    along = F.col("nx") * F.col("mx") + F.col("ny") * F.col("my") + F.col("nz") * F.col("mz")
+    unit = F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")
+    whole = F.col("sxx") + F.col("syy") + F.col("szz")
+    square = sum((F.col(f"s{a}{b}") * F.col(f"s{a}{b}") for a in AXES for b in AXES), F.lit(0.0))
+    sent = F.col("mx") * F.col("mx") + F.col("my") * F.col("my") + F.col("mz") * F.col("mz")
+    h = h.withColumns({"along": along, "sent": sent, "flat": unit < 0.5})
+    trace = F.when(F.col("flat"), whole).otherwise(whole - F.col("along")) * -1 / F.col("size")
+    norm = F.when(F.col("flat"), square).otherwise(square - 2 * F.col("sent") + F.col("along") * F.col("along")) / (F.col("size") * F.col("size"))
+    h = h.withColumns({"trace": trace, "norm": norm})
+    inner = 2 * F.col("norm") - F.col("trace") * F.col("trace")
     root = F.when(inner >= 0, F.sqrt(inner))
-    out = h.withColumns({"k1": F.coalesce((trace + root) * 0.5, F.lit(0.0)), "k2": F.coalesce((trace - root) * 0.5, F.lit(0.0))})
+    out = h.withColumns({"k1": F.coalesce((F.col("trace") + root) * 0.5, F.lit(0.0)), "k2": F.coalesce((F.col("trace") - root) * 0.5, F.lit(0.0))})
     return out.select(*by, *AXES, "k1", "k2", ((F.col("k1") + F.col("k2")) * 0.5).alias("mean"), (F.col("k1") * F.col("k2")).alias("product"))
