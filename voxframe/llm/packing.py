@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._classes import byte_level_cuts
-from ._np import BYTE_CODE, blocks, char_starts, out_batch, prefix_hash, span_hash, text_column, within
+from ._np import BYTE_CODE, LARGE_BLOCK, blocks, char_starts, out_batch, prefix_hash, span_hash, text_column, within
 
 PIECE = [("doc_id", "long"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")]
 #: Distinct pieces whose ids a worker keeps.
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, open_windows:
             encoder = encoder or Encoder(tokenizer_path)
             data, at = text_column(batch)
             doc_ids = batch.column(0).to_pylist()
-            for a, b in blocks(at):
+            for a, b in blocks(at, LARGE_BLOCK):
                 ids, place = encoder.encode(data, at[a : b + 1])
                 for k in range(a, b):
                     own = np.append(ids[place[k - a] : place[k - a + 1]], np.uint32(end_id))

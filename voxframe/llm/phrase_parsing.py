@@ -36,7 +36,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._copies import not_among, sized
+from ._copies import not_among, sized, with_lists
 from ._np import BYTE_CODE, blocks, mix, out_batch, prefix_hash, span_hash, text_column, within
 from ._shared import written
 
@@ -48,8 +48,6 @@ CONTENT = 48
 #: Windows of a group at each level.
 LEVELS = [24, 4, 1]
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Listed places that are broadcast at most (16 bytes each).
-MOST_PLACES = 2_000_000
 RANGES = "array<struct<lo:int,hi:int,t:int,own:boolean>>"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -147,12 +145,6 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame, places: str) -> DataFrame:
-    """The documents that have a list, with it."""
-    short = (lists.select(F.sum(F.size(places))).first()[0] or 0) <= MOST_PLACES
-    return docs.join(F.broadcast(lists) if short else lists, "doc_id").select("doc_id", "text", places)
-
-
 def _lists(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
     """The flattened values of the list column, and the row of each."""
     column = batch.column(2)
@@ -177,7 +169,7 @@ def _contents(docs: DataFrame, size: int) -> DataFrame:
     long = lambda *names: pa.schema([(n, pa.int64()) for n in names])
     twice = _pass(docs, long("key", "n"), "key long, n long", counted).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     spread = _pass(docs, long("key", "doc_id"), "key long, doc_id long", placed)
-    return written(spread.join(written(twice), "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+    return written(spread.join(sized(written(twice)), "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
 
 
 def _whole_segments(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
@@ -194,7 +186,7 @@ def _whole_segments(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
         return {"doc_id": _ids(batch)[row], "lo": lo - base, "hi": hi - base, "t": np.where(t < 0, -1, t - base), "whole": whole.astype(np.int64)}
 
     schema = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("t", pa.int32()), ("whole", pa.int64())])
-    return written(_pass(_with_lists(docs, keys, "keys"), schema, "doc_id long, lo int, hi int, t int, whole long", of_block))
+    return written(_pass(with_lists(docs, keys, "keys"), schema, "doc_id long, lo int, hi int, t int, whole long", of_block))
 
 
 def _groups(docs: DataFrame, ranges: DataFrame, size: int, group: int) -> DataFrame:
@@ -220,13 +212,13 @@ def _groups(docs: DataFrame, ranges: DataFrame, size: int, group: int) -> DataFr
 
     schema = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("t", pa.int32()), ("own", pa.bool_()), ("core", pa.int64()), ("whole", pa.int64())])
     ddl = "doc_id long, lo int, hi int, t int, own boolean, core long, whole long"
-    return written(_pass(_with_lists(docs, ranges, "ranges"), schema, ddl, of_block))
+    return written(_pass(with_lists(docs, ranges, "ranges"), schema, ddl, of_block))
 
 
 def _classes(found: DataFrame) -> DataFrame:
     """``found`` with ``first``, for whole strings that occur twice: the smallest doc_id and place of the class; else null."""
     twice = found.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo")).alias("first")).where("n > 1").select("whole", "first")
-    return found.join(twice, "whole", "left")
+    return found.join(sized(written(twice)), "whole", "left")
 
 
 def _ranges(rest: DataFrame) -> DataFrame:
@@ -274,7 +266,7 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "key1", "key2", "n_bytes")])
     keys = written(_pass(docs, schema, "doc_id long, key1 long, key2 long, n_bytes long", whole).where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= size)))
     several = keys.groupBy("key1", "key2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    copies = written(keys.join(several, ["key1", "key2"]).select("doc_id", "n_bytes", "first"))
+    copies = written(keys.join(written(several), ["key1", "key2"]).select("doc_id", "n_bytes", "first"))
     one_each = not_among(docs.where("doc_id is not null"), sized(copies.where("doc_id > first").select("doc_id").distinct()))
     rest = not_among(docs, sized(copies.select("doc_id").distinct()))
     hits = written(repeated_windows(one_each, size).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._classes import SPACE, classes, word_cuts
-from ._np import blocks, char_starts, out_batch, text_column
+from ._np import LARGE_BLOCK, blocks, char_starts, out_batch, text_column
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Transitions are dropped and compiled anew beyond so many states, so that their table stays small.
@@ -245,7 +245,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
             _, at = text_column(batch)
             n_tokens = np.zeros(len(at) - 1, np.int64)
             column = batch.column(1)
-            for a, b in blocks(at):
+            for a, b in blocks(at, LARGE_BLOCK):
                 n_tokens[a:b] = count_block(machine, [t or "" for t in column.slice(a, b - a).to_pylist()])
             yield out_batch(
                 schema, {"doc_id": batch.column(0), "n_bytes": np.diff(at), "n_tokens": n_tokens, "over_limit": n_tokens > limit}
