@@ -324,10 +324,11 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, set[str]]]:
             inner = ""
             if rng.random() < 0.8:
                 inner += f"<h1>{text(2, 10)}</h1>"
-            for _ in range(rng.choice([0, 1, 2, 4, 8, 14, 30])):
+            for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 8, 14, 30])):
                 inner += rng.choices(
                     [
                         lambda: f"<p>{text(1, 80)}</p>",
+                        lambda: f"<p>{text(1, 5)}</p>",
                         lambda: f"<p>{text(5, 80)}",
                         lambda: f"<p><b>{text(1, 20)}<br><p>{text(2, 60)}</p>",
                         lambda: f"<h2>{text(1, 6)}</h2>",
@@ -338,13 +339,13 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, set[str]]]:
                         lambda: f"<p>{text(5, 20)} {link()} {words(6)}</p>",
                         lambda: f"<div>{text(8, 60)}</div>",
                     ],
-                    weights=[10, 3, 3, 1, 1, 1, 0.5, 0.5, 2, 1],
+                    weights=[8, 4, 3, 3, 1, 1, 1, 0.5, 0.5, 2, 1],
                 )[0]()
                 if rng.random() < 0.08:
                     inner += other(rng.choice(["ad", "side", "form", "notice"]))
             if rng.random() < 0.1:
                 inner += other("comments")
-            t = rng.choice(["article", "article", "article", "main", "div", "section"])
+            t = rng.choice(["article", "article", "main", "div", "div", "div", "section"])
             return f"<{t}{named(CONTENT_NAMES, 0.4 if t in ('article', 'main') else 1)}>{inner}</{t}>"
 
         above = "".join(other(k) for k in ("header", "nav", "notice", "ad", "form") if rng.random() < 0.5)
@@ -355,6 +356,8 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, set[str]]]:
         for _ in range(rng.randint(0, 2)):
             middle = f"<div{named(['wrapper', 'container', 'page', 'layout', 'row', 'site'])}>{middle}</div>"
         page = f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{}}</style></head><body>{above}<!-- ad -->{middle}{below}"
+        if rng.random() < 0.1:
+            page = page[page.index("<body>") + 6 :]
         out.append((page + rng.choice(["</body></html>", ""]), marks))
     return out
 
