@@ -65,14 +65,17 @@ def stratified_points(spark: SparkSession, res: Sequence[int], k: int, sampler:
     return each.withColumns({f"p{a}": (F.col(a) + j) / float(n) for a, n, j in zip(AXES, res, jitter)})
 
 
-def first_accepted(accepted: DataFrame, n: int, block: int = 4096) -> DataFrame:
-    """The n rows of the least id, without a sort of all: ids are counted by block, and the cut falls into one block."""
-    counts = accepted.groupBy(F.floor(F.col("id") / block).alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()
+def first_accepted(accepted: DataFrame, n: int, blocks: int = 4096) -> DataFrame:
+    """The n rows of the least id, without a sort of all: ids are counted in so many blocks, and the cut falls into one."""
+    last = accepted.agg(F.max("id")).first()[0]
+    if last is None:
+        return accepted
+    width = last // blocks + 1
     before = 0
-    for row in counts:
+    for row in accepted.groupBy(F.floor(F.col("id") / width).alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect():
         if before + row.n >= n:
-            last = accepted.where((F.col("id") >= row.b * block) & (F.col("id") < (row.b + 1) * block)).orderBy("id").limit(n - before).agg(F.max("id")).first()[0]
-            return accepted.where(F.col("id") <= last)
+            within = (F.col("id") >= row.b * width) & (F.col("id") < (row.b + 1) * width)
+            return accepted.where(F.col("id") <= accepted.where(within).orderBy("id").limit(n - before).agg(F.max("id")).first()[0])
         before += row.n
     return accepted
 
