@@ -25,5 +25,5 @@ def flagship(spark, sf_dir):
     truth = sampling.sample(to_object_space(at, (0, 0, 0), (1, 1, 1), RES), full, RES, ["px", "py", "pz"])
     seen = sampling.sample(to_object_space(at, (0, 0, 0), (1, 1, 1), small), coarse, small, ["px", "py", "pz"])
     errors = metrics.array_stats(sampling.pair_prediction(truth, seen, ["px", "py", "pz"]))
-    counts = grids.volume_histogram(full, 64)
+    counts = grids.volume_histogram(full, 64).withColumnRenamed("n", "voxels")
     return result(counts.crossJoin(F.broadcast(errors)))
