@@ -71,13 +71,16 @@ def candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """window_id, doc, start where all anchors of a window stand at their offsets."""
     rows = anchors.count()
     first = anchors.where("rank = 0").select("window_id", "word", "offset")
-    at = index.join(_sized(first, rows), "word").select("window_id", "doc", (F.col("position") - F.col("offset")).alias("start")).where("start >= 0").distinct()
+    at = index.join(_sized(first, rows), "word").select("window_id", "doc", (F.col("position") - F.col("offset")).alias("start")).where("start >= 0")
+    at = written(at.distinct())
+    held = written(at.select("doc").distinct())
     further = anchors.where("rank > 0").groupBy("window_id").agg(F.collect_list(F.struct("word", "offset")).alias("more"))
     need = at.join(_sized(further, rows), "window_id", "left")
     alone = need.where("more is null").select("window_id", "doc", "start")
     asked = need.where("more is not null").select("window_id", "doc", "start", F.size("more").alias("n"), F.explode("more").alias("t"))
     asked = asked.select("window_id", "doc", "start", "n", F.col("t.word").alias("word"), (F.col("start") + F.col("t.offset")).alias("position"))
-    met = asked.join(index, ["doc", "position", "word"], "left_semi").groupBy("window_id", "doc", "start").agg(F.count("*").alias("met"), F.any_value("n").alias("n"))
+    near = index.join(_sized(held, held.count()), "doc", "left_semi").join(_sized(further.select(F.explode("more.word").alias("word")).distinct(), rows), "word", "left_semi")
+    met = asked.join(near, ["doc", "position", "word"], "left_semi").groupBy("window_id", "doc", "start").agg(F.count("*").alias("met"), F.any_value("n").alias("n"))
     return alone.union(met.where("met = n").select("window_id", "doc", "start"))
 
 
