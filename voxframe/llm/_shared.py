@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,8 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: it is computed once, and no executor's loss undoes it."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+def written(df: DataFrame, free: bool = False) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: it is computed once, and no executor's loss undoes it.
+
+    ``free``: lets the driver collect its garbage, upon which Spark removes the shuffle files of steps that are over. Otherwise
+    they take disk until the driver happens to do so.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)

@@ -8,13 +8,14 @@ which it depends; a window contains a symbol only if it contains that span. So e
 
 1. Of each window, the highest symbol in it (the most words, then the least hash) stands for it; a text has a symbol for about
    every six windows. Spark counts in which documents each symbol occurs and keeps those that two documents share.
-2. Documents with shared symbols are read again; only their windows that such a symbol stands for are compared, by the
-   symbol's and the whole window's hashes (124 bits), with the smallest doc_id that has them.
+2. Documents with shared symbols are read again; only their windows that such a symbol stands for are compared, by hashes
+   of the whole window and the symbol (95 bits), with the smallest doc_id that has them.
 3. Words of windows that a smaller doc_id has are removed.
 
 Documents whose words are those of a smaller doc_id are known beforehand by the hash of all words; they are removed whole and
 take no part in 1 and 2. Counts are aggregated before each shuffle; joins on frequent symbols and windows are left to adaptive
-splitting. Lists of ids are broadcast only up to a counted size. Texts are shuffled only for documents that lose words.
+splitting. Lists are broadcast only up to a counted size. Texts are shuffled only for documents that lose words, and where lists
+of symbols are too long to broadcast.
 
 Edge cases: null and empty texts and those of fewer words than a window lose nothing; within one document nothing is removed;
 rows with a null doc_id lose nothing and take nothing from others; of repeated rows (equal doc_id and text) none is earlier;
@@ -32,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._copies import among, not_among, sized
+from ._copies import among, not_among, sized, with_lists
 from ._np import blocks, mix, out_batch, prefix_hash, span_hash, split_words, text_column, window_hashes, within, word_hashes
 from ._shared import written
 
@@ -62,7 +63,7 @@ def symbols(words: np.ndarray, at: np.ndarray, rounds: int = ROUNDS) -> list[tup
     for turn in range(1, rounds + 1):
         if len(name) < 2:
             break
-        right = (mix(name + np.uint64(turn) * _TURN) & np.uint64(1)).astype(bool)
+        right = (mix(name + np.uint64(turn * int(_TURN) % (1 << 64))) & np.uint64(1)).astype(bool)
         same = row[1:] == row[:-1]
         merged = np.zeros(len(name), bool)  # the left one of a pair
         merged[:-1] = ~right[:-1] & right[1:] & same
@@ -166,8 +167,8 @@ def shared_symbols(docs: DataFrame, size: int) -> DataFrame:
 
     schema = pa.schema([("name", pa.int64()), ("doc_id", pa.int64())])
     spread = _each(docs, schema, "name long, doc_id long", of_block)
-    shared = written(spread.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name"))
-    return spread.join(shared, "name", "left_semi").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    shared = written(spread.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name"), free=True)
+    return spread.join(sized(shared), "name", "left_semi").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
 
 
 def removable(docs: DataFrame, size: int) -> DataFrame:
@@ -183,15 +184,14 @@ def removable(docs: DataFrame, size: int) -> DataFrame:
         edge = np.append(0, np.cumsum(sizes))
         held = [np.isin(got[i:j].astype(np.int64), flat[p:q]) for i, j, p, q in zip(bounds, bounds[1:], edge, edge[1:])]
         some = np.flatnonzero(np.concatenate(held)) if held else np.zeros(0, np.int64)
-        return {"name": got[some].astype(np.int64), "window": h[some].astype(np.int64), "doc_id": _ids(batch)[row[some]], "start": (first - at[row])[some]}
+        more = (got[some] & np.uint64(0x7FFFFFFF)).astype(np.int32)  # of the symbol, so that windows are told apart by 95 bits
+        return {"window": h[some].astype(np.int64), "more": more, "doc_id": _ids(batch)[row[some]], "start": (first - at[row])[some]}
 
     names = written(shared_symbols(docs, size))
-    ids = sized(names.select("doc_id"))
-    own = among(docs, ids).join(names, "doc_id").select("doc_id", "text", "names")
-    schema = pa.schema([("name", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
-    spread = written(_each(own, schema, "name long, window long, doc_id long, start long", of_block))
-    earliest = spread.groupBy("name", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "window", "low")
-    late = spread.join(earliest, ["name", "window"]).where("doc_id > low")
+    schema = pa.schema([("window", pa.int64()), ("more", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32())])
+    spread = written(_each(with_lists(docs, names, "names"), schema, "window long, more int, doc_id long, start int", of_block), free=True)
+    earliest = spread.groupBy("window", "more").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "more", "low")
+    late = spread.join(written(earliest, free=True), ["window", "more"]).where("doc_id > low")
     return late.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
 
 
@@ -208,10 +208,10 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     docs = docs.select("doc_id", "text")
     keys = written(whole_keys(docs))
     first = keys.where("doc_id is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = written(keys.where(F.col("n_words") >= size).join(first, ["key1", "key2"]).where("doc_id > first").select("doc_id", "n_words"))
+    copies = written(keys.where(F.col("n_words") >= size).join(written(first), ["key1", "key2"]).where("doc_id > first").select("doc_id", "n_words"))
     copied = sized(copies.select("doc_id").distinct())
     rest = not_among(docs, copied)
-    hits = written(removable(rest.where("doc_id is not null"), size))
+    hits = written(removable(rest.where("doc_id is not null"), size), free=True)
     hit = sized(hits.select("doc_id"))
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
