@@ -60,8 +60,13 @@ PATTERNS = [
     ("name", rf"(?<!\p{{L}})(?:{'|'.join(n for own in GIVEN.values() for n in own)}) {_NAME}"),
 ]
 FINDER = "|".join(p for _, p in PATTERNS)
-#: A text without any of these has no entity; it is cheaper to look for.
-HINT = rf"[0-9]{{3}}|@|[=:]|(?:[0-9]{{1,3}}\.){{3}}|(?<!\p{{L}})(?:{_TITLE}|{'|'.join(n for own in GIVEN.values() for n in own)})[. ]"
+#: A text without any of these has no entity; it is cheaper to look for. Each pattern above has a part here that it can't match without.
+HINT = "|".join([
+    r"[0-9]{3}|@|[=:]|(?:[0-9]{1,3}\.){3}",
+    r"AKIA|ASIA|(?:ghp|gho|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16}|[0-9a-f]{32}",
+    r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|\+[0-9]",
+    rf"(?<!\p{{L}})(?:{_TITLE}|{'|'.join(n for own in GIVEN.values() for n in own)})[. ]",
+])
 MOST_LITERAL = 10_000
 
 
