@@ -193,3 +193,23 @@ def test_pages():
     assert model.main_text(page) == "T & U\nOne two three é.\nFour"
     for odd in ("plain", "<", "<p", "</p></div>", "<!-- open", "<script>never closed", "<p>" * 300):
         assert isinstance(model.main_text(odd), str)
+
+
+@pytest.mark.parametrize(
+    ("source", "seen"),
+    [
+        ("<p>a<p><object><p>fallback</p></object>b<p>c", ["a", "b", "c"]),
+        ("<ul><li>a<audio src=x><li>b</ul><p>c", ["a", "b", "c"]),
+        ("<table><tr><td>a<canvas><td>b</table><p>c", ["a", "b", "c"]),
+        ("<p>a<object data=x><p>b<p>c", ["a", "b", "c"]),
+        ("<p><object><p>x</p></object><p><svg><p>b<p>c", ["b", "c"]),
+        ("<head><title>t</title><body><article><p>a</article>", ["a"]),
+        ("<head><title>t</title><meta charset=x><style>p{}</style><p>a<p>b", ["a", "b"]),
+        ("<head><template><p>no</p></template><title>t</title><b>a</b> b", ["a b"]),
+        ("<head><title>t</title>\n a <p>b", ["a", "b"]),
+        ("<head><template><body><p>a", ["a"]),
+        ("<head><title>t</title></head><body><p>a<script>x</script></body>", ["a"]),
+    ],
+)
+def test_hidden_elements_end(source, seen):
+    assert [text for _, text in html_extract.Page(source).runs] == seen

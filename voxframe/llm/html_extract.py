@@ -37,8 +37,12 @@ ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Elements that may stand in a head; any other element and text ends it.
+HEAD = set("base basefont bgsound html link meta noframes noscript script style template title".split())
 #: Elements beyond which ENDS doesn't reach.
 SCOPE = set("ul ol dl table body html article section div nav aside".split())
+#: Hidden elements beyond which it doesn't reach if they are closed later.
+FENCES = set("object template select".split())
 #: Elements that say what all below them is.
 REGIONS = set("article main nav header footer aside form dialog".split())
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote figcaption".split())
@@ -61,13 +65,22 @@ class Page:
         stack: list[tuple[str, int]] = [("#page", 0)]
         hidden = links = 0
         at, end = 0, len(source)
+        last: dict[str, int] = {}
+
+        def closed(tag: str) -> bool:
+            if tag not in last:
+                last[tag] = max((x.start() for x in re.finditer(rf"</{tag}[\s>]", source, re.I)), default=-1)
+            return last[tag] >= at
+
         while at < end:
             m = _TAG.search(source, at)
+            between = source[at : m.start() if m else end]
+            if between:
+                if stack[-1][0] == "head" and not between.isspace():
+                    hidden, links = self._cut(stack, len(stack) - 1, hidden, links)
+                self._text(between, stack, hidden, links)
             if m is None:
-                self._text(source[at:], stack, hidden, links)
                 break
-            if m.start() > at:
-                self._text(source[at : m.start()], stack, hidden, links)
             at = m.end()
             if not m[2]:
                 continue
@@ -78,11 +91,13 @@ class Page:
                     continue
                 if tag not in INLINE:
                     self._border(stack)
-                for t, _ in stack[deep:]:
-                    hidden -= t in HIDDEN
-                    links -= t == "a"
-                del stack[deep:]
+                hidden, links = self._cut(stack, deep, hidden, links)
                 continue
+            head = len(stack) - 1
+            if tag == "body":
+                head = next((k for k in range(head, 0, -1) if stack[k][0] == "head"), head)
+            if stack[head][0] == "head" and tag not in HEAD:
+                hidden, links = self._cut(stack, head, hidden, links)
             if tag == "br":
                 self._own.append(" ")
             if tag in VOID:
@@ -99,10 +114,8 @@ class Page:
                 if ended:
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] in ended:
-                            for t, _ in stack[k:]:
-                                links -= t == "a"
-                            del stack[k:]
-                        elif stack[k][0] in SCOPE:
+                            hidden, links = self._cut(stack, k, hidden, links)
+                        elif stack[k][0] in SCOPE or (stack[k][0] in FENCES and closed(stack[k][0])):
                             break
                 names = " ".join(next(x for x in g if x) for g in _NAMES.findall(m[3]) if any(g)).lower() if m[3] else ""
                 self.tag.append(tag)
@@ -118,6 +131,15 @@ class Page:
             stack.append((tag, node))
         self._border(stack)
 
+    @staticmethod
+    def _cut(stack: list, deep: int, hidden: int, links: int) -> tuple[int, int]:
+        """Takes the elements from ``deep`` on off the stack; the counts of hidden elements and links that stay open."""
+        for t, _ in stack[deep:]:
+            hidden -= t in HIDDEN
+            links -= t == "a"
+        del stack[deep:]
+        return hidden, links
+
     def _text(self, raw: str, stack: list, hidden: int, links: int) -> None:
         if hidden <= 0:
             text = html.unescape(raw) if "&" in raw else raw
