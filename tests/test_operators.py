@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from voxframe.functions.values import to_object_space
 from voxframe.operators import compress, grids, metrics, points, rays, sampling
 from voxframe.operators.scoring import Model, score
+from voxframe.plans import queries_sources
+from voxframe.plans.bindings import runs
 from voxframe.sources import volumes
 
 
@@ -220,3 +222,15 @@ def test_raw_xyz_npz_files(spark, tmp_path):
 def test_every_equation_has_values(spark, name):
     out = volumes.synthetic_volume(spark, 5, name)
     assert out.count() == 125 and out.where("value is null or isnan(value)").isEmpty()
+
+
+def test_eval_files_hold_all_cases_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries_sources, "CASES", 100)
+    r = runs(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "cases")
+    queries_sources.write_cases(r, path)
+    got = volumes.read_eval_json(spark, path)
+    want = r.select("config", "variant", "seq", "metric")
+    back = got.select("config", "algorithm", "seq", "psnr_world")
+    assert back.count() == want.count() > 1000 and back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty()
+    assert got.groupBy("file").count().agg(F.max("count")).first()[0] <= 100
