@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from voxframe.functions.values import to_object_space
 from voxframe.operators import compress, grids, metrics, points, rays, sampling
 from voxframe.operators.scoring import Model, score
-from voxframe.plans import queries_sources
-from voxframe.plans.bindings import runs
+from voxframe.plans import queries_sources, registry
+from voxframe.plans.bindings import images, runs, series, table
 from voxframe.sources import volumes
 
 
@@ -234,3 +234,33 @@ def test_eval_files_hold_all_cases_in_bounded_files(spark, tmp_path, monkeypatch
     back = got.select("config", "algorithm", "seq", "psnr_world")
     assert back.count() == want.count() > 1000 and back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty()
     assert got.groupBy("file").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_rates_of_all_volumes(spark):
+    got = registry.QUERIES["g5_rate_by_brick"](spark, "/root/testdata/sf0.001")
+    ids = table(spark, "/root/testdata/sf0.001", "embeddings").select("vec_id").collect()
+    assert sorted((r.volume_id, float(r.step)) for r in got.collect()) == sorted((r.vec_id, s) for r in ids for s in (0.05, 0.1))
+
+
+def test_fractional_fill_of_all_images(spark):
+    got = registry.QUERIES["g7_fill_fractional"](spark, "/root/testdata/sf0.001")
+    names = sorted(r.image for r in images(spark, "/root/testdata/sf0.001").select("image").distinct().collect())
+    assert len(names) > 1 and sorted(r.image for r in got.collect()) == sorted(n for n in names for _ in range(720))
+    im = grids.cells(spark, (8, 6, 1)).select("x", "y", (F.col("x") + F.col("y") * 1.0).alias("value"), (((F.col("x") + F.col("y")) % 3) / 2).alias("mask"))
+    two = im.withColumn("image", F.lit("a")).union(im.selectExpr("x", "y", "9 - value", "1 - mask", "'b'"))
+    both = grids.fill_fractional(two, 8, 6, ["image"]).cache()
+    for name in "ab":
+        alone = {(r.x, r.y): (r.value, r.mask) for r in grids.fill_fractional(two.where(F.col("image") == name).drop("image"), 8, 6).collect()}
+        mine = {(r.x, r.y): (r.value, r.mask) for r in both.where(F.col("image") == name).collect()}
+        assert len(mine) == 48 and mine.keys() == alone.keys() and all(np.allclose(mine[k], alone[k]) for k in mine)
+
+
+def test_times_before_the_first_and_after_the_last_frame_are_held(spark):
+    """The months that j3_time_lerp and its SQL leave out."""
+    asked = series(spark, "/root/testdata/sf0.001").select("ensemble", "time").distinct().withColumn("t", (F.col("time") - 6) / 12)
+    frames = asked.select("ensemble").distinct().crossJoin(spark.range(6).selectExpr("cast(id as int) as idx", "cast(10 * id + id * id as double) as value"))
+    got = sampling.time_lerp(asked, frames, 6, ["ensemble", "time"], ["ensemble"]).collect()
+    assert len(got) == asked.count() and {r.time < 6 for r in got} == {True, False} and max(r.time for r in got) > 66
+    for r in got:
+        t = min(max((r.time - 6) / 12, 0), 5)
+        assert abs(r.value - np.interp(t, range(6), [10.0 * k + k * k for k in range(6)])) < 1e-9

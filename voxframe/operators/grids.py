@@ -198,23 +198,23 @@ def _all_cells(some: DataFrame, image: DataFrame, w: int, h: int, by: Sequence[s
     return every.join(some, [*by, "x", "y"], "left").select(*by, "x", "y", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("mask", F.lit(0.0)).alias("mask"))
 
 
-def fill_fractional(image: DataFrame, width: int, height: int) -> DataFrame:
+def fill_fractional(image: DataFrame, width: int, height: int, by: Sequence[str] = ()) -> DataFrame:
     """The same with a mask from 0 to 1: means are weighted by it, a cell's own value counts as much as its mask."""
     if width <= 1 and height <= 1:
         return image
     w, h = _halves(width), _halves(height)
     down = image.withColumn("x", F.explode(_outputs(F.col("x"), width, w))).withColumn("y", F.explode(_outputs(F.col("y"), height, h)))
-    small = down.groupBy("x", "y").agg(
+    small = down.groupBy(*by, "x", "y").agg(
         F.when(F.sum("mask") > 0, F.sum(F.col("mask") * F.col("value")) / F.sum("mask")).otherwise(0.0).alias("value"), F.max("mask").alias("mask")
     )
-    small = fill_fractional(small, w, h).select(F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("value").alias("low"), F.col("mask").alias("low_mask"))
+    small = fill_fractional(small, w, h, by).select(*by, F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("value").alias("low"), F.col("mask").alias("low_mask"))
     near = []
     for k in (0, 1):
         for m in (0, 1):
             near.append(F.struct((F.floor(F.col("x") / 2) + k * F.when(F.col("x") % 2 == 0, -1).otherwise(1)).cast("int").alias("lx"), (F.floor(F.col("y") / 2) + m * F.when(F.col("y") % 2 == 0, -1).otherwise(1)).cast("int").alias("ly"), F.lit([9, 3, 1][k + m] / 16).alias("w")))
-    asked = image.select("x", "y", F.inline(F.array(*near))).join(small, ["lx", "ly"])
+    asked = image.select(*by, "x", "y", F.inline(F.array(*near))).join(small, [*by, "lx", "ly"])
     share = F.col("w") * F.col("low_mask")
-    filled = asked.groupBy("x", "y").agg(F.sum(share * F.col("low")).alias("s"), F.sum(share).alias("n"), (F.sum(share) / F.sum("w")).alias("m"))
-    out = image.join(filled, ["x", "y"], "left")
+    filled = asked.groupBy(*by, "x", "y").agg(F.sum(share * F.col("low")).alias("s"), F.sum(share).alias("n"), (F.sum(share) / F.sum("w")).alias("m"))
+    out = image.join(filled, [*by, "x", "y"], "left")
     own = F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0)
-    return out.select("x", "y", (F.col("mask") * F.col("value") + (1 - F.col("mask")) * own).alias("value"), (F.col("mask") + (1 - F.col("mask")) * F.coalesce("m", F.lit(0.0))).alias("mask"))
+    return out.select(*by, "x", "y", (F.col("mask") * F.col("value") + (1 - F.col("mask")) * own).alias("value"), (F.col("mask") + (1 - F.col("mask")) * F.coalesce("m", F.lit(0.0))).alias("mask"))

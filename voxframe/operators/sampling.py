@@ -94,8 +94,9 @@ def sample_bricks(points: DataFrame, bricks: DataFrame, res: Sequence[int], bric
 
 def time_lerp(asked: DataFrame, frames: DataFrame, count: int, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Values between keyframes: ``asked`` has a fractional index t, ``frames`` has idx and value; held at both ends."""
-    low = clamp(F.floor("t"), 0, count - 1).cast("int")
-    at = asked.withColumn("low", low).withColumn("high", F.least(low + 1, F.lit(count - 1))).withColumn("f", F.col("t") - F.floor("t"))
+    t = clamp(F.col("t"), 0, count - 1)
+    low = F.floor(t).cast("int")
+    at = asked.withColumn("low", low).withColumn("high", F.least(low + 1, F.lit(count - 1))).withColumn("f", t - F.floor(t))
     first = frames.select(*by, F.col("idx").alias("low"), F.col("value").alias("a"))
     second = frames.select(*by, F.col("idx").alias("high"), F.col("value").alias("b"))
     return at.join(first, [*by, "low"]).join(second, [*by, "high"]).select(*key, ((1 - F.col("f")) * F.col("a") + F.col("f") * F.col("b")).alias("value"))

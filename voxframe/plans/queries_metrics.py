@@ -322,7 +322,7 @@ def w8r(spark, d):
 
 @query("g5_rate_by_brick")
 def g5(spark, d):
-    return result(cp.rate_by_brick(small_volumes(spark, d).where("label < 4").drop("label"), 4, 1, [0.05, 0.1], "volume_id"))
+    return result(cp.rate_by_brick(small_volumes(spark, d).drop("label"), 4, 1, [0.05, 0.1], "volume_id"))
 
 
 # --- scoring

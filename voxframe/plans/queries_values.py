@@ -362,5 +362,5 @@ def g6(spark, d):
 
 @query("g7_fill_fractional")
 def g7(spark, d):
-    one = images(spark, d).where("image = 'click'").withColumn("mask", F.when((F.col("x") * 7 + F.col("y") * 3) % 5 < 3, (F.col("x") % 4) / 8).otherwise(F.col("mask")))
-    return result(g.fill_fractional(one.drop("image"), 30, 24))
+    holes = images(spark, d).withColumn("mask", F.when((F.col("x") * 7 + F.col("y") * 3) % 5 < 3, (F.col("x") % 4) / 8).otherwise(F.col("mask")))
+    return result(g.fill_fractional(holes, 30, 24, ["image"]))
