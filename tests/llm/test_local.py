@@ -213,3 +213,37 @@ def test_pages():
 )
 def test_hidden_elements_end(source, seen):
     assert [text for _, text in html_extract.Page(source).runs] == seen
+
+
+def _swapped(a, b, n):
+    """Two sequences that differ in the order of a and b alone, by a pattern in which sums over powers agree."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return [b if x else a for x in bits], [a if x else b for x in bits]
+
+
+def test_hashes_tell_patterns_apart():
+    from voxframe.llm._np import span_hash, window_hashes
+
+    x, y = ("".join(t) for t in _swapped("a", "b", 1024))
+    data, at = packed([x, y])
+    for salt in (0, 1):
+        one, two = span_hash(data, at[:-1], at[1:], salt)
+        assert one != two
+    p, q = (np.array(t, np.uint64) for t in _swapped(3, 5, 1024))
+    for size in (2, 5, 13, 1024):
+        h, first = window_hashes(np.concatenate([p, q]), np.array([0, 1024, 2048]), size)
+        seen = {}
+        for k, f in zip(h.tolist(), first):
+            assert seen.setdefault(k, np.concatenate([p, q])[f : f + size].tobytes()) == np.concatenate([p, q])[f : f + size].tobytes()
+    texts = ["", "a", "aa", "a\x00", "\x00", "abcdefgh", "abcdefghi", "x" * 100] + ["".join(random.choice("ab") for _ in range(random.randint(0, 40))) for _ in range(500)]
+    data, at = packed(texts)
+    assert len(set(span_hash(data, at[:-1], at[1:]).tolist())) == len(set(texts))
+
+
+def test_patterned_words_and_lines(libraries):
+    x, y = ("".join(t) for t in _swapped("a", "b", 1024))
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, at = encoder.encode(*packed([x, y]))
+    for k, e in enumerate(libraries["byte_bpe_50k.json"].encode_batch([x, y], add_special_tokens=False)):
+        assert ids[at[k] : at[k + 1]].tolist() == e.ids
+    assert quality_rules.statistics(*packed([x + "\n" + y]))["n_dup_lines"][0] == 0

@@ -257,6 +257,19 @@ def test_phrase_parsing(docs, monkeypatch, most):
     assert phrase_parsing.remove_repeats(docs.where("false")).isEmpty()
 
 
+def test_patterned_texts_are_no_repeats(spark):
+    """Texts that differ in one word of 13 (one byte of 200) alone, by a pattern in which sums over powers agree."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    filler = [f"w{k}" for k in range(13 * 1024)]
+    texts = [" ".join("ab"[bits[k // 13] ^ turn] if k % 13 == 0 else w for k, w in enumerate(filler)) for turn in (0, 1)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.n_removed for r in recompression.remove_repeats(d).collect()} == {0}
+    filler = [rng.choice("cdefghijklmnop") for _ in range(200 * 256)]
+    texts = ["".join("ab"[bits[k // 200] ^ turn] if k % 200 == 0 else c for k, c in enumerate(filler)) for turn in (0, 1)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.n_removed for r in phrase_parsing.remove_repeats(d).collect()} == {0}
+
+
 def test_token_counts(docs):
     from tokenizers import Tokenizer
 

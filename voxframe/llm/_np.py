@@ -15,15 +15,13 @@ BLOCK_BYTES = 1 << 20
 #: For passes that take less memory for each byte and gain from seeing more words at once.
 LARGE_BLOCK = 4 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
-#: One random 64-bit number for each byte value, fixed by a seed.
-BYTE_CODE = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Chunks of spans that are hashed at once.
+MOST_CHUNKS = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_NEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,27 +35,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            _powers = np.concatenate([[np.uint64(1)], np.full(size, _BASE)]).cumprod(dtype=np.uint64)
-            _inverses = np.concatenate([[np.uint64(1)], np.full(size, _INVERSE)]).cumprod(dtype=np.uint64)
-
-
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any span of ``codes`` (64-bit numbers)."""
-    _grow(len(codes) + 1)
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * _powers[: len(codes)], out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span [start, stop): equal spans have equal hashes, wherever they stand."""
-    raw = (prefix[stop] - prefix[start]) * _inverses[start]
-    return mix(raw + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each byte, it and the seven behind it as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span [start, stop) of bytes: equal spans have equal hashes, wherever they stand.
+
+    Each eight bytes of a span are mixed with their number in it before they are added up, so neither an exchange nor a
+    pattern of parts leaves the sum as it is. Hashes of other ``salt`` are independent.
+    """
+    size = stops - starts
+    count = np.maximum((size + 7) >> 3, 1)
+    total = np.append(0, np.cumsum(count))
+    out = np.empty(len(starts), np.uint64)
+    source = eights(data)
+    begin = 0
+    while begin < len(starts):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + MOST_CHUNKS, side="right")) - 1)
+        own = count[begin:end]
+        number = within(own)
+        left = np.repeat(size[begin:end], own) - 8 * number
+        chunk = source[np.repeat(starts[begin:end], own) + 8 * number]
+        short = np.flatnonzero(left < 8)
+        chunk[short] &= (np.uint64(1) << (8 * np.maximum(left[short], 0)).astype(np.uint64)) - np.uint64(1)
+        chunk ^= mix(np.arange(int(own.max()), dtype=np.uint64) * _STEP + np.uint64(salt))[number]
+        out[begin:end] = np.add.reduceat(mix(chunk), total[begin:end] - total[begin])
+        begin = end
+    return mix(out + mix(size.astype(np.uint64) * _STEP + np.uint64(salt)))
 
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -93,15 +101,18 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(BYTE_CODE[data]), starts, stops)
-
+def window_hashes(words: np.ndarray, at: np.ndarray, size: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of ``size`` consecutive words of one row, and the word at which it starts.
 
-def window_hashes(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of ``size`` consecutive words of one row, and the word at which it starts."""
+    Windows of 1, 2, 4, ... words are mixed from two halves; the last step joins two of them that cover the window.
+    """
     count = np.maximum(np.diff(at) - size + 1, 0)
     first = np.repeat(at[:-1], count) + within(count)
-    return span_hash(prefix_hash(words), first, first + size), first
+    half, width = mix(words + np.uint64(salt)), 1
+    while 2 * width <= size:
+        half = mix(half[: max(len(half) - width, 0)] * _NEXT + half[width:])
+        width *= 2
+    return mix(half[first] * _NEXT + half[first + size - width] + np.uint64(size)), first
 
 
 def within(count: np.ndarray) -> np.ndarray:

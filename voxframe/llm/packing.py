@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._classes import byte_level_cuts
-from ._np import BYTE_CODE, LARGE_BLOCK, blocks, char_starts, out_batch, prefix_hash, span_hash, text_column, within
+from ._np import LARGE_BLOCK, blocks, char_starts, out_batch, span_hash, text_column, within
 
 PIECE = [("doc_id", "long"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")]
 #: Distinct pieces whose ids a worker keeps.
@@ -48,19 +48,19 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, new: list[tuple[int, bytes]]) -> None:
-        encoded = self.library.encode_batch_fast([piece.decode() for _, piece in new], add_special_tokens=False)
+    def _learn(self, new: list[bytes]) -> None:
+        encoded = self.library.encode_batch_fast([piece.decode() for piece in new], add_special_tokens=False)
         ids = [x.ids for x in encoded]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
-        for h, _ in new:
-            self.place[h] = len(self.place)
+        for piece in new:
+            self.place[piece] = len(self.place)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after another, and each row's offsets in them."""
@@ -77,13 +77,12 @@ class Encoder:
         start = byte_level_cuts(cp, np.searchsorted(lead, offsets))
         begin = lead[start]
         end = np.append(begin[1:], len(data))[: len(begin)]
-        h = span_hash(prefix_hash(BYTE_CODE[data]), begin, end)
-        distinct, one, which = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        new = [k for k, x in enumerate(keys) if x not in self.place]
+        _, one, which = np.unique(span_hash(data, begin, end), return_index=True, return_inverse=True)
+        pieces = [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist())]
+        new = [p for p in pieces if p not in self.place]
         if new:
-            self._learn([(keys[k], raw[begin[one[k]] : end[one[k]]]) for k in new])
-        place = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[which]
+            self._learn(new)
+        place = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))[which]
         size = self.size[place]
         ids = self.ids[np.repeat(self.begin[place], size) + within(size)]
         return ids, np.append(0, np.cumsum(size))[np.searchsorted(begin, offsets)]

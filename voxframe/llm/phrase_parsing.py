@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._copies import not_among, sized, with_lists
-from ._np import BYTE_CODE, blocks, mix, out_batch, prefix_hash, span_hash, text_column, within
+from ._np import blocks, eights, mix, out_batch, span_hash, text_column, within
 from ._shared import written
 
 TRIGGER = 8
@@ -52,7 +52,7 @@ RANGES = "array<struct<lo:int,hi:int,t:int,own:boolean>>"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _standing(data: np.ndarray, at: np.ndarray, prefix: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _standing(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First window, last window, trigger and row of each segment; the trigger is -1 where windows have none."""
     n = len(data)
     count = np.maximum(np.diff(at) - size + 1, 0)
@@ -60,8 +60,7 @@ def _standing(data: np.ndarray, at: np.ndarray, prefix: np.ndarray, size: int) -
     if not len(first):
         return (np.zeros(0, np.int64),) * 4
     row = np.repeat(np.arange(len(at) - 1), count)
-    place = np.arange(TRIGGER, n + 1)
-    value = span_hash(prefix, place - TRIGGER, place)
+    value = mix(eights(data)[: max(n - TRIGGER + 1, 0)])
     value[value % np.uint64(ONE_IN) != 0] = NONE
     width = size - TRIGGER + 1
     padded = np.append(value, np.full(-len(value) % width, NONE)).reshape(-1, width)
@@ -107,27 +106,26 @@ def _next(places: np.ndarray, begin: np.ndarray, end: np.ndarray, least: np.ndar
     return begin
 
 
-def _halves(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _halves(part: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Parts of segments by which content they surely contain: first and last window, trigger, key, and the segment's number."""
     edge = t + CONTENT - TRIGGER - size  # from this window on, the right content is inside
     number = np.arange(len(lo))
     some_right, some_left = hi >= edge, lo < edge
     a, b, c, n = np.maximum(lo, edge)[some_right], hi[some_right], t[some_right], number[some_right]
-    key = span_hash(prefix, c - TRIGGER, c - TRIGGER + CONTENT)
+    key = span_hash(part, c - TRIGGER, c - TRIGGER + CONTENT)
     d, e, f, m = lo[some_left], np.minimum(hi, edge - 1)[some_left], t[some_left], number[some_left]
-    left = mix(span_hash(prefix, f - CONTENT, f) + np.uint64(1))
+    left = mix(span_hash(part, f - CONTENT, f) + np.uint64(1))
     return np.append(a, d), np.append(b, e), np.append(c, f), np.append(key, left), np.append(n, m)
 
 
 def _parsed(part: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """First and last window, trigger, row, key of all half segments; windows without a trigger stand alone."""
-    prefix = prefix_hash(BYTE_CODE[part])
-    lo, hi, t, row = _standing(part, at, prefix, size)
+    lo, hi, t, row = _standing(part, at, size)
     has = t >= 0
-    a, b, c, key, number = _halves(prefix, lo[has], hi[has], t[has], size)
+    a, b, c, key, number = _halves(part, lo[has], hi[has], t[has], size)
     count = (hi - lo + 1)[~has]
     single = np.repeat(lo[~has], count) + within(count)
-    own = mix(span_hash(prefix, single, single + size) + np.uint64(2))
+    own = mix(span_hash(part, single, single + size) + np.uint64(2))
     return np.append(a, single), np.append(b, single), np.append(c, np.full(len(single), -1)), np.append(row[has][number], np.repeat(row[~has], count)), np.append(key, own)
 
 
@@ -181,7 +179,7 @@ def _whole_segments(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
         held = mix(np.asarray(flat).astype(np.uint64) + mix(list_row.astype(np.uint64)))
         some = np.flatnonzero(np.isin(mix(key + mix(row.astype(np.uint64))), held))
         lo, hi, t, row = lo[some], hi[some], t[some], row[some]
-        whole = span_hash(prefix_hash(BYTE_CODE[part]), lo, hi + size)
+        whole = span_hash(part, lo, hi + size)
         base = at[row]
         return {"doc_id": _ids(batch)[row], "lo": lo - base, "hi": hi - base, "t": np.where(t < 0, -1, t - base), "whole": whole.astype(np.int64)}
 
@@ -205,9 +203,8 @@ def _groups(docs: DataFrame, ranges: DataFrame, size: int, group: int) -> DataFr
         base = at[row[which]]
         top = t[which] - TRIGGER - group * j  # the last window of the whole group
         a, b = np.maximum(lo[which], top - group + 1), np.minimum(hi[which], top)
-        prefix = prefix_hash(BYTE_CODE[part])
-        core = mix(span_hash(prefix, base + top, base + top - group + 1 + size) + np.uint64(3))
-        whole = span_hash(prefix, base + a, base + b + size)
+        core = mix(span_hash(part, base + top, base + top - group + 1 + size) + np.uint64(3))
+        whole = span_hash(part, base + a, base + b + size)
         return {"doc_id": _ids(batch)[row[which]], "lo": a, "hi": b, "t": t[which], "own": own[which], "core": core.astype(np.int64), "whole": whole.astype(np.int64)}
 
     schema = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("t", pa.int32()), ("own", pa.bool_()), ("core", pa.int64()), ("whole", pa.int64())])
@@ -259,9 +256,7 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
     docs = docs.select("doc_id", "text")
 
     def whole(batch: pa.RecordBatch, part: np.ndarray, at: np.ndarray) -> dict:
-        prefix = prefix_hash(BYTE_CODE[part])
-        other = prefix_hash(mix(BYTE_CODE[part]))
-        return {"doc_id": batch.column(0), "key1": span_hash(prefix, at[:-1], at[1:]).astype(np.int64), "key2": span_hash(other, at[:-1], at[1:]).astype(np.int64), "n_bytes": np.diff(at)}
+        return {"doc_id": batch.column(0), "key1": span_hash(part, at[:-1], at[1:], 1).astype(np.int64), "key2": span_hash(part, at[:-1], at[1:], 2).astype(np.int64), "n_bytes": np.diff(at)}
 
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "key1", "key2", "n_bytes")])
     keys = written(_pass(docs, schema, "doc_id long, key1 long, key2 long, n_bytes long", whole).where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= size)))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._copies import among, not_among, sized, with_lists
-from ._np import blocks, mix, out_batch, prefix_hash, span_hash, split_words, text_column, window_hashes, within, word_hashes
+from ._np import blocks, mix, out_batch, span_hash, split_words, text_column, window_hashes, within
 from ._shared import written
 
 ROUNDS = 3
@@ -132,7 +132,7 @@ def _each(docs: DataFrame, schema: pa.Schema, ddl: str, of_block: Callable[...,
             for a, b in blocks(at):
                 part = data[at[a] : at[b]]
                 starts, stops, word_at = split_words(part, at[a : b + 1] - at[a])
-                yield out_batch(schema, of_block(batch.slice(a, b - a), word_hashes(part, starts, stops), word_at))
+                yield out_batch(schema, of_block(batch.slice(a, b - a), span_hash(part, starts, stops), word_at))
 
     return docs.mapInArrow(run, ddl)
 
@@ -152,7 +152,7 @@ def whole_keys(docs: DataFrame) -> DataFrame:
 
 
 def _whole(words: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
-    return span_hash(prefix_hash(mix(words + np.uint64(salt))), at[:-1], at[1:]).astype(np.int64)
+    return span_hash(words.astype('<u8').view(np.uint8), 8 * at[:-1], 8 * at[1:], salt).astype(np.int64)
 
 
 def shared_symbols(docs: DataFrame, size: int) -> DataFrame:
