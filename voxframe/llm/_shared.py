@@ -18,6 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets this session hand rows to Python in batches of at most ``most`` bytes (or of one row that is longer)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def written(df: DataFrame, free: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: it is computed once, and no executor's loss undoes it.
 
@@ -31,4 +36,14 @@ def written(df: DataFrame, free: bool = False) -> DataFrame:
     if free:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` returned and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
