@@ -3,13 +3,15 @@
 Each block element is a node that is content or not. Potentials of a node come from its tag, its class and id words, its text
 and links; potentials of an edge say how labels of parent and child go together. Sum-product messages pass up to the root and
 down again, which gives each node's exact marginal; text of nodes with a marginal of one half or more is kept. The weights are
-trained on the driver by the gradient of the likelihood (expected counts by the same messages) over labelled pages. As no
-table holds labels of pages, these are made by ``labelled_pages``: pages of many layouts whose blocks' labels are known.
+trained on the driver by the gradient of the likelihood (expected counts by the same messages) over labelled pages: a bounded
+sample of the table's own pages whose main text an ``article`` element marks (``sample_articles``), and generated pages of many
+other layouts whose blocks' labels are known (``labelled_pages``), as most pages elsewhere have no such element.
 
 Scoring is one pass over the table without a shuffle; the weights (some 100 kB) travel with the tasks.
 
 Edge cases: a null or empty page gives an empty text; a page without mark-up is one block and kept or not like any other;
-unclosed, wrongly nested and cut-off mark-up is read as far as it goes; repeated rows get equal texts; pages of any length are
+unclosed, wrongly nested and cut-off mark-up is read as far as it goes, and a hidden element that is never closed ends where
+the next block starts; repeated rows get equal texts; pages of any length are
 read whole; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,8 +26,10 @@ from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._np import out_batch
+from ._shared import small_batches
 
 #: Elements without text of the page, elements that stand in a line of text, elements without an end tag.
 HIDDEN = set("script style noscript template head title svg math iframe object canvas audio video select datalist".split())
@@ -110,6 +114,10 @@ class Page:
                 continue
             if tag not in INLINE:
                 self._border(stack)
+                if hidden and (tag in CLOSES_P or tag in LEAVES):
+                    open_ = next((k for k in range(1, len(stack)) if stack[k][0] in HIDDEN - {"head"} and not closed(stack[k][0])), 0)
+                    if open_:
+                        hidden, links = self._cut(stack, open_, hidden, links)
                 ended = ENDS.get(tag) or ({"p"} if tag in CLOSES_P else None)
                 if ended:
                     for k in range(len(stack) - 1, 0, -1):
@@ -178,7 +186,7 @@ def features(page: Page) -> list[list[int]]:
         tag = page.tag[k]
         region[k] = tag if tag in REGIONS else region[page.parent[k]] if k else ""
         share = int(4 * deep_links[k] / max(deep_chars[k], 1))
-        names = ["bias", f"tag {tag}", f"own {_bucket(page.chars[k] / 8)}", f"links {share}", f"{tag} links {share}", f"deep {_bucket(deep_chars[k] / 64)}", f"stops {min(stops[k], 2)}", f"children {min(children[k], 3)}", f"in {page.tag[page.parent[k]]}", f"under {region[k]}"]
+        names = ["bias", f"tag {tag}", f"own {_bucket(page.chars[k] / 8)}", f"links {share}", f"{tag} links {share}", f"deep {_bucket(deep_chars[k] / 64)}", f"stops {min(stops[k], 2)}", f"children {min(children[k], 3)}", f"in {page.tag[page.parent[k]]}", f"{tag} in {page.tag[page.parent[k]]}", f"under {region[k]}"]
         names += [f"name {w}" for w in dict.fromkeys(_WORD.findall(page.names[k]))]
         out.append([crc32(x.encode()) % SLOTS for x in names])
     return out
@@ -226,15 +234,16 @@ class TreeModel:
             marginal[k] = joint[k][1] + joint[k][3]
         return marginal, joint
 
-    def fit(self, pages: list[tuple[str, set[str]]], rounds: int = 8, rate: float = 1.0) -> TreeModel:
-        """``pages``: the source and the marks in its main text's blocks; ascends the likelihood by AdaGrad and takes the
-        mean of the weights after the later rounds."""
+    def fit(self, pages: list[tuple[str, set[str] | None]], rounds: int = 8, rate: float = 1.0) -> TreeModel:
+        """``pages``: the source and the marks in its main text's blocks, or None where an article element marks it; ascends
+        the likelihood by AdaGrad and takes the mean of the weights after the later rounds."""
         known = []
         for source, marks in pages:
             page = Page(source)
             own = [0] * len(page.tag)
+            inside = in_article(page) if marks is None else own
             for node, text in page.runs:
-                if marks & set(text.split()):
+                if inside[node] or (marks and marks & set(text.split())):
                     own[node] = 1
             chars = [c * o for c, o in zip(page.chars, own)]
             every = page.chars[:]
@@ -367,7 +376,7 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, set[str]]]:
                     inner += other(rng.choice(["ad", "side", "form", "notice"]))
             if rng.random() < 0.1:
                 inner += other("comments")
-            t = rng.choice(["article", "article", "main", "div", "div", "div", "section"])
+            t = rng.choice(["article", "article", "main", "main", "div", "div", "div", "section"])
             return f"<{t}{named(CONTENT_NAMES, 0.4 if t in ('article', 'main') else 1)}>{inner}</{t}>"
 
         above = "".join(other(k) for k in ("header", "nav", "notice", "ad", "form") if rng.random() < 0.5)
@@ -384,12 +393,30 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, set[str]]]:
     return out
 
 
-def train(pages: int = 1000, rounds: int = 8) -> TreeModel:
-    return TreeModel().fit(labelled_pages(pages), rounds)
+def in_article(page: Page) -> list[int]:
+    """1 for the nodes in an article element, but for other regions in it."""
+    out = [0] * len(page.tag)
+    for k in range(1, len(out)):
+        out[k] = int(page.tag[k] == "article" or (out[page.parent[k]] == 1 and page.tag[k] not in REGIONS))
+    return out
+
+
+def sample_articles(pages: DataFrame, most: int = 300, longest: int = 200_000) -> list[str]:
+    """The sources of at most ``most`` pages with one article element, chosen by a hash of their id, of ``longest`` characters
+    at most each, so that the driver takes a bounded part."""
+    source = F.col("html")
+    one = pages.where((F.length(source) <= longest) & (F.size(F.regexp_extract_all(source, F.lit(r"(?i)<article[\s>]"), 0)) == 1))
+    chosen = one.orderBy(F.xxhash64("page_id"), "page_id", "url").limit(most).select("html")
+    return [r.html for r in chosen.collect()]
+
+
+def train(articles: list[str] = (), pages: int = 800, rounds: int = 8) -> TreeModel:
+    return TreeModel().fit([*labelled_pages(pages), *((source, None) for source in articles)], rounds)
 
 
 def extract(pages: DataFrame, model: TreeModel) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

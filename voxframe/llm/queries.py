@@ -36,7 +36,8 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(_table(spark, sf_dir, "pages"), html_extract.train())
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(html_extract.sample_articles(pages)))
 
 
 def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
