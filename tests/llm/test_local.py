@@ -195,6 +195,26 @@ def test_pages():
         assert isinstance(model.main_text(odd), str)
 
 
+#: Pages of other layouts, written by hand, without an article element: source and the main text's blocks.
+LAYOUTS = [
+    ("<html><body><div id='top'><a href='/'>Home</a> <a href='/n'>News</a></div><table><tr><td width=120><ul><li><a href='/a'>First</a><li><a href='/b'>Second</a></ul><td class='content'><h1>The old mill</h1><p>The mill by the river has stood for three hundred years, and it still turns.<p>Visitors may see it on Sundays from ten to four.</table><div class='footer'>Copyright 2020 by the town.</div></body></html>", ["The old mill", "The mill by the river has stood for three hundred years, and it still turns.", "Visitors may see it on Sundays from ten to four."]),
+    ("<body><header><h1>Daily</h1><nav><a href=1>One</a><a href=2>Two</a></nav></header><main><h2>How bread rises</h2><p>Yeast eats sugar and gives off gas, which the dough holds.</p><p>Warm rooms make it faster, cold ones slower, and both have their use.</p><aside class='related'><p>More about <a href=3>flour</a></p></aside></main><section id='comments'><h3>Comments</h3><p>I tried it and it worked well for me.</p></section><footer><p>All rights reserved.</p></footer>", ["How bread rises", "Yeast eats sugar and gives off gas, which the dough holds.", "Warm rooms make it faster, cold ones slower, and both have their use."]),
+    ("<div class='wrapper'><div class='cookie-notice'><p>We use cookies to make this site better.</p><button>Accept</button></div><div class='post'><h1>Counting birds</h1><div class='entry-content'><p>Every winter some thousand people count the birds in their gardens.</p><blockquote><p>It takes one hour, and a cup of tea.</p></blockquote><p>The results show which kinds grow rare.</p></div></div><div class='sidebar'><ul><li><a href='/1'>Archive</a></li><li><a href='/2'>About</a></li></ul></div></div>", ["Counting birds", "Every winter some thousand people count the birds in their gardens.", "It takes one hour, and a cup of tea.", "The results show which kinds grow rare."]),
+]
+
+
+def test_pages_of_other_layouts():
+    model = html_extract.train()
+    for source, blocks in LAYOUTS:
+        assert model.main_text(source).split("\n") == blocks
+
+
+def test_articles_mark_their_text():
+    page = html_extract.Page("<p>a<article><h1>b</h1><p>c<aside><p>d</aside></article><p>e")
+    inside = html_extract.in_article(page)
+    assert [text for node, text in page.runs if inside[node]] == ["b", "c"]
+
+
 @pytest.mark.parametrize(
     ("source", "seen"),
     [
@@ -202,6 +222,10 @@ def test_pages():
         ("<ul><li>a<audio src=x><li>b</ul><p>c", ["a", "b", "c"]),
         ("<table><tr><td>a<canvas><td>b</table><p>c", ["a", "b", "c"]),
         ("<p>a<object data=x><p>b<p>c", ["a", "b", "c"]),
+        ("<ul><li><svg>x<li>one two</ul><p>A long paragraph", ["one two", "A long paragraph"]),
+        ("<select><option>x<option>y<p>a<p>b", ["a", "b"]),
+        ("<div><svg><g>x<div>a</div><p>b", ["a", "b"]),
+        ("<div><svg><g>x<p>y</svg><p>b", ["b"]),
         ("<p><object><p>x</p></object><p><svg><p>b<p>c", ["b", "c"]),
         ("<head><title>t</title><body><article><p>a</article>", ["a"]),
         ("<head><title>t</title><meta charset=x><style>p{}</style><p>a<p>b", ["a", "b"]),

@@ -328,6 +328,29 @@ def test_patterned_texts_are_no_repeats(spark):
     assert {r.n_removed for r in phrase_parsing.remove_repeats(d).collect()} == {0}
 
 
+def test_other_texts_of_a_repeated_id(spark):
+    a, b, c = words(80), words(90), words(70)
+    d = spark.createDataFrame([(3, a), (7, a), (7, b), (7, b), (9, c), (9, c + " " + b), (None, a)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in recompression.remove_repeats(d).collect())
+    assert got == Counter({(3, 80, 0): 1, (7, 80, 80): 1, (7, 90, 0): 2, (9, 70, 0): 1, (9, 160, 90): 1, (None, 80, 0): 1})
+    n = lambda t: len(t.encode())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in phrase_parsing.remove_repeats(d).collect())
+    both = n(c) + n(b) + (0 if (c + " " + b).count(" ") else 1)
+    assert got == Counter({(3, n(a), n(a)): 1, (7, n(a), n(a)): 1, (7, n(b), n(b)): 2, (9, n(c), n(c)): 1, (9, both + 1, both): 1, (None, n(a), 0): 1})
+
+
+def test_articles_of_pages_are_learned(spark):
+    from voxframe.llm import html_extract
+
+    pages = [(k, None, p) for k, (p, _) in enumerate(html_extract.labelled_pages(40, seed=3))] + [(None, None, None), (None, None, "")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    own = html_extract.sample_articles(table, most=5)
+    assert 0 < len(own) <= 5 and all(p.lower().count("<article") == 1 for p in own)
+    model = html_extract.train(own, pages=50, rounds=2)
+    got = html_extract.extract(table, model).collect()
+    assert len(got) == 42 and sum(r.text == "" for r in got if r.page_id is None) == 2 and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_token_counts(docs):
     from tokenizers import Tokenizer
 

@@ -21,8 +21,8 @@ groups in a task. Strings are compared by 64-bit hashes. Texts are shuffled only
 long to broadcast.
 
 Edge cases: null and empty texts and those shorter than a window lose nothing; strings that overlap themselves count; rows with
-a null doc_id lose nothing and don't count for others; repeated rows are copies of each other; texts of any length are read
-whole; an empty table gives an empty result; other columns are ignored.
+a null doc_id lose nothing and don't count for others; repeated rows are copies of each other, and rows of one doc_id with other
+texts are texts like others; texts of any length are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ._copies import not_among, sized, with_lists
 from ._np import blocks, eights, mix, out_batch, span_hash, text_column, within
-from ._shared import written
+from ._shared import small_batches, written
 
 TRIGGER = 8
 #: One of so many places is a trigger, on average.
@@ -251,20 +251,32 @@ def _cut(data: bytes, lo: np.ndarray, hi: np.ndarray, size: int) -> tuple[int, i
     return int(gone.sum()), spans, sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``name``: the doc_id, but a hash of id and text where one doc_id has several texts."""
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
+    several = written(ids.where("low <> high").select("doc_id", F.lit(True).alias("several")))
+    if several.isEmpty():
+        return docs.withColumn("name", F.col("doc_id"))
+    return docs.join(sized(several), "doc_id", "left").withColumn("name", F.when(F.col("several"), F.xxhash64("doc_id", "text_hash")).otherwise(F.col("doc_id")))
+
+
 def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
+    docs = _told_apart(docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))).select("doc_id", "text", "name")
 
     def whole(batch: pa.RecordBatch, part: np.ndarray, at: np.ndarray) -> dict:
-        return {"doc_id": batch.column(0), "key1": span_hash(part, at[:-1], at[1:], 1).astype(np.int64), "key2": span_hash(part, at[:-1], at[1:], 2).astype(np.int64), "n_bytes": np.diff(at)}
-
-    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "key1", "key2", "n_bytes")])
-    keys = written(_pass(docs, schema, "doc_id long, key1 long, key2 long, n_bytes long", whole).where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= size)))
-    several = keys.groupBy("key1", "key2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    copies = written(keys.join(written(several), ["key1", "key2"]).select("doc_id", "n_bytes", "first"))
-    one_each = not_among(docs.where("doc_id is not null"), sized(copies.where("doc_id > first").select("doc_id").distinct()))
-    rest = not_among(docs, sized(copies.select("doc_id").distinct()))
-    hits = written(repeated_windows(one_each, size).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+        return {"doc_id": batch.column(0), "name": batch.column(2), "key1": span_hash(part, at[:-1], at[1:], 1).astype(np.int64), "key2": span_hash(part, at[:-1], at[1:], 2).astype(np.int64), "n_bytes": np.diff(at)}
+
+    names = ["doc_id", "name", "key1", "key2", "n_bytes"]
+    schema = pa.schema([(n, pa.int64()) for n in names])
+    keys = written(_pass(docs, schema, ", ".join(f"{n} long" for n in names), whole).where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= size)))
+    several = keys.groupBy("key1", "key2").agg(F.count("*").alias("n"), F.min("name").alias("first")).where("n > 1")
+    copies = written(keys.join(written(several), ["key1", "key2"]).select("doc_id", "name", "n_bytes", "first"))
+    named = docs.where("doc_id is not null").select(F.col("name").alias("doc_id"), "text")
+    one_each = not_among(named, sized(copies.where("name > first").select(F.col("name").alias("doc_id")).distinct()))
+    rest = docs.join(sized(copies.select("name").distinct()), "name", "left_anti")
+    hits = written(repeated_windows(one_each, size).groupBy(F.col("doc_id").alias("name")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,6 +294,6 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
 
     out_schema = pa.schema([*((n, pa.int64()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string())])
     all_gone = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(sha256(b"").hexdigest()).alias("kept_sha256"))
-    hit = sized(hits.select("doc_id"))
-    cut = rest.join(hit, "doc_id", "left_semi").join(hits, "doc_id").select("doc_id", "text", "spans").mapInArrow(result, SCHEMA)
-    return all_gone.union(cut).union(not_among(rest, hit).mapInArrow(result, SCHEMA))
+    hit = sized(hits.select("name"))
+    cut = rest.join(hit, "name", "left_semi").join(hits, "name").select("doc_id", "text", "spans").mapInArrow(result, SCHEMA)
+    return all_gone.union(cut).union(rest.join(hit, "name", "left_anti").select("doc_id", "text").mapInArrow(result, SCHEMA))

@@ -18,7 +18,8 @@ splitting. Lists are broadcast only up to a counted size. Texts are shuffled onl
 of symbols are too long to broadcast.
 
 Edge cases: null and empty texts and those of fewer words than a window lose nothing; within one document nothing is removed;
-rows with a null doc_id lose nothing and take nothing from others; of repeated rows (equal doc_id and text) none is earlier;
+rows with a null doc_id lose nothing and take nothing from others; rows of one doc_id are one document, of which none is earlier
+than the other, and each of them is judged by its own words;
 texts of any length are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._copies import among, not_among, sized, with_lists
 from ._np import blocks, mix, out_batch, span_hash, split_words, text_column, window_hashes, within
-from ._shared import written
+from ._shared import small_batches, written
 
 ROUNDS = 3
 _RUN, _LEFT, _TURN = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1342543DE82EF95))
@@ -142,13 +143,13 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def whole_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, two hashes of all words, n_words."""
+    """doc_id, text_hash, two hashes of all words, n_words."""
 
     def of_block(batch: pa.RecordBatch, words: np.ndarray, at: np.ndarray) -> dict:
-        return {"doc_id": batch.column(0), "key1": _whole(words, at, 1), "key2": _whole(words, at, 2), "n_words": np.diff(at)}
+        return {"doc_id": batch.column(0), "text_hash": batch.column(2), "key1": _whole(words, at, 1), "key2": _whole(words, at, 2), "n_words": np.diff(at)}
 
-    schema = pa.schema([("doc_id", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("n_words", pa.int64())])
-    return _each(docs, schema, "doc_id long, key1 long, key2 long, n_words long", of_block)
+    names = ["doc_id", "text_hash", "key1", "key2", "n_words"]
+    return _each(docs.withColumn("text_hash", F.xxhash64("text")), pa.schema([(n, pa.int64()) for n in names]), ", ".join(f"{n} long" for n in names), of_block)
 
 
 def _whole(words: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
@@ -172,7 +173,7 @@ def shared_symbols(docs: DataFrame, size: int) -> DataFrame:
 
 
 def removable(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, starts: the first words of windows that a document of smaller doc_id has."""
+    """doc_id, gone: the first words (start) and hashes (window) of windows that a document of smaller doc_id has."""
 
     def of_block(batch: pa.RecordBatch, words: np.ndarray, at: np.ndarray) -> dict:
         first, got = standing(words, at, size)
@@ -192,7 +193,7 @@ def removable(docs: DataFrame, size: int) -> DataFrame:
     spread = written(_each(with_lists(docs, names, "names"), schema, "window long, more int, doc_id long, start int", of_block), free=True)
     earliest = spread.groupBy("window", "more").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "more", "low")
     late = spread.join(written(earliest, free=True), ["window", "more"]).where("doc_id > low")
-    return late.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    return late.groupBy("doc_id").agg(F.collect_set(F.struct("start", "window")).alias("gone"))
 
 
 def _kept(words: list[bytes], starts: np.ndarray, size: int) -> tuple[int, str]:
@@ -203,32 +204,45 @@ def _kept(words: list[bytes], starts: np.ndarray, size: int) -> tuple[int, str]:
     return int(len(words) - kept.sum()), sha256(b" ".join([w for w, k in zip(words, kept) if k])).hexdigest()
 
 
+def _own(data: np.ndarray, start: np.ndarray, window: np.ndarray, size: int) -> np.ndarray:
+    """Of the windows found in the rows of a doc_id, the starts of those that are this text's."""
+    at = np.array([0, len(data)])
+    starts, stops, word_at = split_words(data, at)
+    h, _ = window_hashes(span_hash(data, starts, stops), word_at, size)
+    inside = start < len(h)
+    start, window = start[inside], window[inside]
+    return start[h[start].view(np.int64) == window]
+
+
 def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     keys = written(whole_keys(docs))
     first = keys.where("doc_id is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = written(keys.where(F.col("n_words") >= size).join(written(first), ["key1", "key2"]).where("doc_id > first").select("doc_id", "n_words"))
-    copied = sized(copies.select("doc_id").distinct())
-    rest = not_among(docs, copied)
+    copies = written(keys.where(F.col("n_words") >= size).join(written(first), ["key1", "key2"]).where("doc_id > first").select("doc_id", "text_hash", "n_words"))
+    copied = sized(copies.select("doc_id", "text_hash").distinct())
+    rest = docs.withColumn("text_hash", F.xxhash64("text")).join(copied, ["doc_id", "text_hash"], "left_anti").select("doc_id", "text")
     hits = written(removable(rest.where("doc_id is not null"), size), free=True)
     hit = sized(hits.select("doc_id"))
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            with_starts = batch.num_columns > 2
-            texts = batch.column(1).cast(pa.binary())
+            texts, gone = batch.column(1).cast(pa.binary()), batch.column(2) if batch.num_columns > 2 else None
             n, removed, digest = [], [], []
             for k in range(batch.num_rows):
-                words = (texts[k].as_py() or b"").split()
-                starts = np.array(batch.column(2)[k].values, np.int64) if with_starts else np.zeros(0, np.int64)
-                gone, sha = _kept(words, starts, size) if with_starts else (0, sha256(b" ".join(words)).hexdigest())
+                data = texts[k].as_py() or b""
+                words = data.split()
+                count, sha = 0, None
+                if gone is not None:
+                    own = gone[k].values
+                    count, sha = _kept(words, _own(np.frombuffer(data, np.uint8), np.asarray(own.field(0)).astype(np.int64), np.asarray(own.field(1)), size), size)
                 n.append(len(words))
-                removed.append(gone)
-                digest.append(sha)
+                removed.append(count)
+                digest.append(sha or sha256(b" ".join(words)).hexdigest())
             yield out_batch(out_schema, {"doc_id": batch.column(0), "n_words": n, "n_removed": removed, "kept_sha256": digest})
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
     whole = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(sha256(b"").hexdigest()).alias("kept_sha256"))
-    cut = among(rest, hit).join(hits, "doc_id").select("doc_id", "text", "starts").mapInArrow(result, SCHEMA)
+    cut = among(rest, hit).join(hits, "doc_id").select("doc_id", "text", "gone").mapInArrow(result, SCHEMA)
     return whole.union(cut).union(not_among(rest, hit).mapInArrow(result, SCHEMA))
