@@ -35,7 +35,7 @@ def test_brick_samples_equal_voxel_samples(spark, block):
     res = (8, 6, 4)
     p = to_object_space(points.random_points(spark, 200, 3, 5).toDF("id", "px", "py", "pz"), (0, 0, 0), (1, 1, 1), res)
     a = sampling.sample(p, grid, res, ["id"])
-    b = sampling.sample_bricks(p, grids.to_bricks(grid, 3, 1), res, 3, ["id"])
+    b = sampling.sample_bricks(p, grids.array_bricks(grid, res, 3), res, 3, ["id"])
     pairs = sampling.pair_prediction(a, b, ["id"])
     assert pairs.count() == 200 and pairs.where("abs(truth - predicted) > 1e-9").isEmpty()
 

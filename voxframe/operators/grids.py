@@ -130,6 +130,29 @@ def to_bricks(grid: DataFrame, brick: int, halo: int = 0, by: Sequence[str] = ()
     return grouped.agg(F.array_sort(F.collect_list(F.struct("z", "y", "x", "value"))).alias("values"))
 
 
+def brick_extent(axis: str, n: int, brick: int, low: int, high: int) -> tuple[Column, Column]:
+    """First cell and number of cells of a brick along an axis, with its halo, cut at the grid's border."""
+    b = F.col(f"b{axis}")
+    first = F.greatest(F.lit(0), b * brick - low)
+    return first, F.least(F.lit(n), (b + 1) * brick + high) - first
+
+
+def array_bricks(grid: DataFrame, res: Sequence[int], brick: int = 16, low: int = 0, high: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """Bricks of ``brick`` cells an axis with ``low`` cells before and ``high`` behind them: bx, by, bz and ``cells``, their values
+    by z, then y, then x, so that a cell is found by its place. The grid must be dense: a brick that lacks a cell is an error.
+    """
+    out = grid.select(*by, *AXES, "value")
+    for a, n in zip(AXES, res):
+        first, last = F.floor((F.col(a) - high) / brick), F.floor((F.col(a) + low) / brick)
+        out = out.withColumn(f"b{a}", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit((n - 1) // brick)).cast("int"))))
+    whole = F.lit(1)
+    for a, n in zip(AXES, res):
+        whole = whole * brick_extent(a, n, brick, low, high)[1]
+    made = out.groupBy(*by, "bx", "by", "bz").agg(F.array_sort(F.collect_list(F.struct("z", "y", "x", "value"))).alias("sorted"))
+    cells = F.when(F.size("sorted") == whole, F.col("sorted.value")).otherwise(F.raise_error(F.lit("a brick lacks cells, or has some twice: the grid isn't dense")))
+    return made.select(*by, "bx", "by", "bz", cells.alias("cells"))
+
+
 def from_bricks(bricks: DataFrame, brick: int, by: Sequence[str] = ()) -> DataFrame:
     """The cells of all bricks without their halos."""
     cell = bricks.select(*by, "bx", "by", "bz", F.explode("values").alias("v")).select(*by, "bx", "by", "bz", "v.x", "v.y", "v.z", "v.value")

@@ -1,95 +1,103 @@
 """Array sampling as joins: points look up voxels of a grid.
 
-Two forms: ``sample`` joins on voxel keys (a point meets its corners' rows; for grids in long form), ``sample_bricks`` joins on
-brick keys (one row of a halo brick answers all corners of a point; for many points). Spark chooses broadcast or shuffle.
+Linear and cubic samples and gradients join each point with one row, the brick that holds its cell and a halo as an array, and
+read the cells they need by place: one row a point, no aggregate. Nearest samples join with the voxel's own row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import clamp
-from .grids import AXES
+from .grids import AXES, array_bricks, brick_extent
 
+#: Cells an axis of the bricks that ``sample`` makes.
+BRICK = 16
+#: Cells before and behind a point's own that a mode reads.
+REACH = {"linear": (0, 1), "cubic": (2, 3)}
+Taps = list[tuple[Column, Column]]
 
-def _corner(axis: str, n: int) -> tuple[Column, Column]:
-    """Lower corner (towards zero) and fraction of a coordinate o<axis>."""
-    low = F.col(f"o{axis}").cast("int")
-    return low, F.col(f"o{axis}") - low
 
+def linear_taps(o: Column) -> Taps:
+    """Cell and weight of the two cells around an object coordinate; the lower one lies towards zero."""
+    low = o.cast("int")
+    f = o - low
+    return [(low, 1 - f), (low + 1, f)]
 
-def corners(points: DataFrame, res: Sequence[int]) -> DataFrame:
-    """A row for each of the 8 clamped corners of the points' object coordinates: vx, vy, vz, w."""
-    part = []
-    parts = {a: _corner(a, n) for a, n in zip(AXES, res)}
-    for steps in product((0, 1), repeat=3):
-        w = F.lit(1.0)
-        place = []
-        for a, n, s in zip(AXES, res, steps):
-            low, f = parts[a]
-            place.append(clamp(low + s, 0, n - 1).cast("int").alias(f"v{a}"))
-            w = w * (f if s else 1 - f)
-        part.append(F.struct(*place, w.alias("w")))
-    return points.select("*", F.inline(F.array(*part)))
 
+def cubic_taps(o: Column) -> Taps:
+    """The same for the cubic B-spline: two weighted linear samples at shifted places."""
+    shifted = o - 0.5
+    i = F.floor(shifted)
+    f = shifted - i
+    g = 1 - f
+    w0, w1, w2, w3 = g * g * g / 6, 2.0 / 3 - 0.5 * f * f * (2 - f), 2.0 / 3 - 0.5 * g * g * (2 - g), f * f * f / 6
+    before, behind = linear_taps(w1 / (w0 + w1) - 0.5 + i), linear_taps(w3 / (w2 + w3) + 1.5 + i)
+    return [(c, w * (w0 + w1)) for c, w in before] + [(c, w * (w2 + w3)) for c, w in behind]
 
-def sample(points: DataFrame, grid: DataFrame, res: Sequence[int], key: Sequence[str], mode: str = "linear", by: Sequence[str] = ()) -> DataFrame:
-    """key and value of each point with object coordinates ox, oy, oz; ``by``: further columns that points and grid share."""
-    if mode == "nearest":
-        near = points
-        for a, n in zip(AXES, res):
-            near = near.withColumn(f"v{a}", clamp(F.floor(F.col(f"o{a}") + 0.5), 0, n - 1).cast("int"))
-        asked = near.withColumn("w", F.lit(1.0))
-    elif mode == "linear":
-        asked = corners(points, res)
-    elif mode == "cubic":
-        return _cubic(points, grid, res, key, by)
-    else:
-        raise ValueError(f"unknown mode {mode}")
-    voxels = grid.select(*by, *(F.col(a).alias(f"v{a}") for a in AXES), "value")
-    met = asked.join(voxels, [*by, "vx", "vy", "vz"])
-    return met.groupBy(*key, *by).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
-
-def _cubic(points: DataFrame, grid: DataFrame, res: Sequence[int], key: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Tri-cubic B-spline: eight weighted linear samples at shifted places."""
-    made = points
+def _weights(points: DataFrame, taps: dict[str, Taps], res: Sequence[int], brick: int, low: int, high: int) -> tuple[DataFrame, dict[str, Taps]]:
+    """Columns for the places in the brick's array and the weights of each set of taps (named by axis, then freely)."""
+    size = dict(zip(AXES, res))
+    first, extent = {}, {}
     for a in AXES:
-        shifted = F.col(f"o{a}") - 0.5
-        i = F.floor(shifted)
-        f = shifted - i
-        o = 1 - f
-        w0, w1, w2, w3 = o * o * o / 6, 2.0 / 3 - 0.5 * f * f * (2 - f), 2.0 / 3 - 0.5 * o * o * (2 - o), f * f * f / 6
-        made = made.withColumns({f"g{a}0": w0 + w1, f"g{a}1": w2 + w3, f"h{a}0": w1 / (w0 + w1) - 0.5 + i, f"h{a}1": w3 / (w2 + w3) + 1.5 + i})
-    part = []
-    for steps in product((0, 1), repeat=3):
-        weight = F.col(f"gx{steps[0]}") * F.col(f"gy{steps[1]}") * F.col(f"gz{steps[2]}")
-        part.append(F.struct(*(F.col(f"h{a}{s}").alias(f"o{a}") for a, s in zip(AXES, steps)), weight.alias("tap")))
-    taps = corners(made.select(*key, *by, F.inline(F.array(*part))), res).withColumn("w", F.col("w") * F.col("tap"))
-    voxels = grid.select(*by, *(F.col(a).alias(f"v{a}") for a in AXES), "value")
-    return taps.join(voxels, [*by, "vx", "vy", "vz"]).groupBy(*key, *by).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+        first[a], extent[a] = brick_extent(a, size[a], brick, low, high)
+    stride = {"x": F.lit(1), "y": extent["x"], "z": extent["x"] * extent["y"]}
+    new, out = {}, {}
+    for name, own in taps.items():
+        a = name[0]
+        out[name] = []
+        for k, (cell, weight) in enumerate(own):
+            new[f"__i{name}{k}"] = ((clamp(cell, 0, size[a] - 1) - first[a]) * stride[a]).cast("int")
+            new[f"__w{name}{k}"] = weight
+            out[name].append((F.col(f"__i{name}{k}"), F.col(f"__w{name}{k}")))
+    return points.withColumns(new), out
+
+
+def _read(cells: Column, x: Taps, y: Taps, z: Taps) -> Column:
+    """The weighted sum of the cells at all combinations of the taps."""
+    rows = []
+    for (j, wy), (k, wz) in product(y, z):
+        rows.append(reduce(Column.__add__, [w * F.get(cells, i + j + k) for i, w in x]) * (wy * wz))
+    return reduce(Column.__add__, rows)
+
+
+def _met(points: DataFrame, bricks: DataFrame, res: Sequence[int], brick: int, by: Sequence[str]) -> DataFrame:
+    """Each point with the brick of its own cell."""
+    for a, n in zip(AXES, res):
+        points = points.withColumn(f"b{a}", F.floor(clamp(F.col(f"o{a}").cast("int"), 0, n - 1) / brick).cast("int"))
+    return points.join(bricks, [*by, "bx", "by", "bz"])
 
 
-def sample_bricks(points: DataFrame, bricks: DataFrame, res: Sequence[int], brick: int, key: Sequence[str]) -> DataFrame:
-    """Linear samples by one join on the brick of a point's lower corner; bricks carry a halo of one cell."""
-    asked, weights = points, []
-    for a in AXES:
-        asked = asked.withColumn(f"b{a}", F.floor(F.col(f"o{a}").cast("int") / brick).cast("int"))
-    met = asked.join(bricks.withColumn("cell", F.map_from_entries(F.transform("values", lambda v: F.struct(v["x"] + res[0] * (v["y"] + res[1] * v["z"]), v["value"])))).drop("values"), ["bx", "by", "bz"])
-    total = F.lit(0.0)
-    parts = {a: _corner(a, n) for a, n in zip(AXES, res)}
-    for steps in product((0, 1), repeat=3):
-        w, place = F.lit(1.0), []
-        for a, n, s in zip(AXES, res, steps):
-            low, f = parts[a]
-            place.append(clamp(low + s, 0, n - 1).cast("int"))
-            w = w * (f if s else 1 - f)
-        total = total + w * F.element_at("cell", place[0] + res[0] * (place[1] + res[1] * place[2]))
-    return met.select(*key, total.alias("value"))
+def sample_bricks(points: DataFrame, bricks: DataFrame, res: Sequence[int], brick: int, key: Sequence[str], mode: str = "linear", by: Sequence[str] = (), halo: tuple[int, int] | None = None) -> DataFrame:
+    """key and value of each point with object coordinates ox, oy, oz, from ``array_bricks`` with the halo that the mode reads."""
+    low, high = halo or REACH[mode]
+    taps = {a: (cubic_taps if mode == "cubic" else linear_taps)(F.col(f"o{a}")) for a in AXES}
+    met, seen = _weights(_met(points, bricks, res, brick, by), taps, res, brick, low, high)
+    return met.select(*key, *(c for c in by if c not in key), _read(F.col("cells"), *(seen[a] for a in AXES)).alias("value"))
+
+
+def sample(points: DataFrame, grid: DataFrame, res: Sequence[int], key: Sequence[str], mode: str = "linear", by: Sequence[str] = ()) -> DataFrame:
+    """key and value of each point with object coordinates ox, oy, oz; ``by``: further columns that points and grid share.
+
+    For "linear" and "cubic" the grid must be dense. For "nearest" points whose voxel is missing have no row.
+    """
+    if mode in REACH:
+        low, high = REACH[mode]
+        return sample_bricks(points, array_bricks(grid, res, BRICK, low, high, by), res, BRICK, key, mode, by)
+    if mode != "nearest":
+        raise ValueError(f"unknown mode {mode}")
+    near = points
+    for a, n in zip(AXES, res):
+        near = near.withColumn(f"v{a}", clamp(F.floor(F.col(f"o{a}") + 0.5), 0, n - 1).cast("int"))
+    voxels = grid.select(*by, *(F.col(a).alias(f"v{a}") for a in AXES), "value")
+    return near.join(voxels, [*by, "vx", "vy", "vz"]).select(*key, *(c for c in by if c not in key), "value")
 
 
 def time_lerp(asked: DataFrame, frames: DataFrame, count: int, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -103,21 +111,23 @@ def time_lerp(asked: DataFrame, frames: DataFrame, count: int, key: Sequence[str
 
 
 def latent_features(points: DataFrame, grids: DataFrame, res: Sequence[int], key: Sequence[str]) -> DataFrame:
-    """Channels at points in the unit cube, cell-centred and held at the border: key, channel, value."""
+    """Channels at points in the unit cube, cell-centred and held at the border: key, channel, value.
+
+    ``grids``: dense, with the same channels in every cell. A brick has the channels of a cell as one array.
+    """
+    channels = F.array_sort(F.collect_list(F.struct("channel", "value")))
+    bricks = array_bricks(grids.groupBy(*AXES).agg(channels.alias("value")), res, BRICK, 1, 1)
     o = points.withColumns({f"o{a}": F.col(f"p{a}") * float(n) - 0.5 for a, n in zip(AXES, res)})
-    asked = None
-    part = []
-    for steps in product((0, 1), repeat=3):
-        w, place = F.lit(1.0), []
-        for a, n, s in zip(AXES, res, steps):
-            i = F.floor(F.col(f"o{a}"))
-            f = F.col(f"o{a}") - i
-            place.append(clamp(i + s, 0, n - 1).cast("int").alias(f"v{a}"))
-            w = w * (f if s else 1 - f)
-        part.append(F.struct(*place, w.alias("w")))
-    asked = o.select(*key, F.inline(F.array(*part)))
-    voxels = grids.select("channel", *(F.col(a).alias(f"v{a}") for a in AXES), "value")
-    return asked.join(voxels, ["vx", "vy", "vz"]).groupBy(*key, "channel").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    taps = {}
+    for a in AXES:
+        low = F.floor(F.col(f"o{a}"))
+        f = F.col(f"o{a}") - low
+        taps[a] = [(low, 1 - f), (low + 1, f)]
+    met, seen = _weights(_met(o, bricks, res, BRICK, ()), taps, res, BRICK, 1, 1)
+    corners = [(F.get("cells", i + j + k), wx * wy * wz) for (i, wx), (j, wy), (k, wz) in product(*(seen[a] for a in AXES))]
+    read = met.select(*key, *(c.alias(f"__c{n}") for n, (c, _) in enumerate(corners)), *(w.alias(f"__w{n}") for n, (_, w) in enumerate(corners)))
+    one = lambda first, k: F.struct(first["channel"].alias("channel"), reduce(Column.__add__, [F.col(f"__w{n}") * F.get(F.col(f"__c{n}.value"), k) for n in range(8)]).alias("value"))
+    return read.select(*key, F.inline(F.transform(F.col("__c0"), one)))
 
 
 def interp_vectors(asked: DataFrame, vectors: DataFrame, count: int, key: Sequence[str], variant: str = "clamped") -> DataFrame:
@@ -146,8 +156,14 @@ def warp(image: DataFrame, flow: DataFrame, width: int, height: int, by: Sequenc
     return asked.join(seen, [*by, "vx", "vy"], "left").groupBy(*by, "x", "y").agg(F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
+#: Boxes that are sent to all rays at most.
+MOST_BOXES = 100_000
+
+
 def ray_clip(rays: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Entry and exit of each ray in each box (few boxes: they are sent to the rays); only those that meet."""
+    """Entry and exit of each ray in each box; only those that meet. Every ray asks every box, so boxes are counted and must be few."""
+    if boxes.limit(MOST_BOXES + 1).count() > MOST_BOXES:
+        raise ValueError(f"more than {MOST_BOXES} boxes: divide space into cells and clip rays against the boxes of their cells")
     met = rays.crossJoin(F.broadcast(boxes))
     near, far = [], []
     for a in AXES:
@@ -177,18 +193,23 @@ def gradient(grid: DataFrame, spacing: Sequence[float] = (1.0, 1.0, 1.0), by: Se
     return grid.withColumns(new)
 
 
-def gradient_at(points: DataFrame, grid: DataFrame, res: Sequence[int], key: Sequence[str], step: float = 1.0, mode: str = "linear") -> DataFrame:
-    """Central differences of samples at arbitrary points (object coordinates): key, gx, gy, gz."""
-    part = []
-    for k, a in enumerate(AXES):
-        for sign in (-1, 1):
-            part.append(F.struct(*((F.col(f"o{b}") + (sign * step if b == a else 0.0)).alias(f"o{b}") for b in AXES), F.lit(k).alias("axis"), F.lit(float(sign)).alias("sign")))
-    moved = points.select(*key, F.inline(F.array(*part)))
+def gradient_at(points: DataFrame, grid: DataFrame, res: Sequence[int], key: Sequence[str], step: float = 1.0) -> DataFrame:
+    """Central differences of linear samples at arbitrary points (object coordinates), held at the border: key, gx, gy, gz.
+
+    All six samples are read from the one brick of a point, whose halo reaches one step further.
+    """
+    reach = 1 + math.ceil(step)
+    bricks = array_bricks(grid, res, BRICK, reach, reach + 1)
+    taps = {}
     for a, n in zip(AXES, res):
-        moved = moved.withColumn(f"o{a}", clamp(F.col(f"o{a}"), 0.0, float(n - 1)))
-    seen = sample(moved, grid, res, [*key, "axis", "sign"], mode)
-    difference = lambda k: F.sum(F.when(F.col("axis") == k, F.col("sign") * F.col("value") * (0.5 / step)).otherwise(0.0))
-    return seen.groupBy(*key).agg(*(difference(k).alias(f"g{a}") for k, a in enumerate(AXES)))
+        for name, move in (("", 0.0), ("m", -step), ("p", step)):
+            taps[a + name] = linear_taps(clamp(F.col(f"o{a}") + move, 0.0, float(n - 1)))
+    met, seen = _weights(_met(points, bricks, res, BRICK, ()), taps, res, BRICK, reach, reach + 1)
+    out = []
+    for a in AXES:
+        ends = [_read(F.col("cells"), *(seen[b + (side if b == a else "")] for b in AXES)) for side in ("p", "m")]
+        out.append(((ends[0] - ends[1]) * (0.5 / step)).alias(f"g{a}"))
+    return met.select(*key, *out)
 
 
 def curvature(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -45,7 +45,7 @@ def j2(spark, d):
 
 @query("j2_sample_bricks", LINEAR)
 def j2b(spark, d):
-    return result(sa.sample_bricks(at_points(spark, d), g.to_bricks(dense(spark, d), 16, 1), RES, 16, KEY3), KEY3)
+    return result(sa.sample_bricks(at_points(spark, d), g.array_bricks(dense(spark, d), RES, 8), RES, 8, KEY3), KEY3)
 
 
 @query("j3_time_lerp", f"""WITH {SERIES}, f AS (SELECT ensemble, ((time - 6) // 12)::INT AS idx, CAST(sum(round(value * 1e6)) AS DOUBLE) / count(*) / 1e6 AS value FROM s WHERE (time - 6) % 12 = 0 AND time >= 6 GROUP BY 1, 2),
