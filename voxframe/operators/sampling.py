@@ -19,6 +19,10 @@ from .grids import AXES, array_bricks, brick_extent
 
 #: Cells an axis of the bricks that ``sample`` makes.
 BRICK = 16
+#: Cells in bricks (with halos) that are broadcast at most: 32 MB of values. Larger grids are joined by sorting both sides.
+MOST_CELLS = 4_000_000
+#: Channels of latent grids for which that is reckoned.
+MOST_CHANNELS = 64
 #: Cells before and behind a point's own that a mode reads.
 REACH = {"linear": (0, 1), "cubic": (2, 3)}
 Taps = list[tuple[Column, Column]]
@@ -68,8 +72,10 @@ def _read(cells: Column, x: Taps, y: Taps, z: Taps) -> Column:
     return reduce(Column.__add__, rows)
 
 
-def _met(points: DataFrame, bricks: DataFrame, res: Sequence[int], brick: int, by: Sequence[str]) -> DataFrame:
-    """Each point with the brick of its own cell."""
+def _met(points: DataFrame, bricks: DataFrame, res: Sequence[int], brick: int, halo: tuple[int, int], by: Sequence[str] = (), channels: int = 1) -> DataFrame:
+    """Each point with the brick of its own cell. A grid's cells are known by its size, but not how many grids ``by`` tells apart."""
+    cells = channels * math.prod(-(-n // brick) * (min(brick, n) + sum(halo)) for n in res)
+    bricks = bricks.hint("broadcast" if cells <= MOST_CELLS and not by else "merge")
     for a, n in zip(AXES, res):
         points = points.withColumn(f"b{a}", F.floor(clamp(F.col(f"o{a}").cast("int"), 0, n - 1) / brick).cast("int"))
     return points.join(bricks, [*by, "bx", "by", "bz"])
@@ -79,7 +85,7 @@ def sample_bricks(points: DataFrame, bricks: DataFrame, res: Sequence[int], bric
     """key and value of each point with object coordinates ox, oy, oz, from ``array_bricks`` with the halo that the mode reads."""
     low, high = halo or REACH[mode]
     taps = {a: (cubic_taps if mode == "cubic" else linear_taps)(F.col(f"o{a}")) for a in AXES}
-    met, seen = _weights(_met(points, bricks, res, brick, by), taps, res, brick, low, high)
+    met, seen = _weights(_met(points, bricks, res, brick, (low, high), by), taps, res, brick, low, high)
     return met.select(*key, *(c for c in by if c not in key), _read(F.col("cells"), *(seen[a] for a in AXES)).alias("value"))
 
 
@@ -123,7 +129,7 @@ def latent_features(points: DataFrame, grids: DataFrame, res: Sequence[int], key
         low = F.floor(F.col(f"o{a}"))
         f = F.col(f"o{a}") - low
         taps[a] = [(low, 1 - f), (low + 1, f)]
-    met, seen = _weights(_met(o, bricks, res, BRICK, ()), taps, res, BRICK, 1, 1)
+    met, seen = _weights(_met(o, bricks, res, BRICK, (1, 1), channels=MOST_CHANNELS), taps, res, BRICK, 1, 1)
     corners = [(F.get("cells", i + j + k), wx * wy * wz) for (i, wx), (j, wy), (k, wz) in product(*(seen[a] for a in AXES))]
     read = met.select(*key, *(c.alias(f"__c{n}") for n, (c, _) in enumerate(corners)), *(w.alias(f"__w{n}") for n, (_, w) in enumerate(corners)))
     one = lambda first, k: F.struct(first["channel"].alias("channel"), reduce(Column.__add__, [F.col(f"__w{n}") * F.get(F.col(f"__c{n}.value"), k) for n in range(8)]).alias("value"))
@@ -204,7 +210,7 @@ def gradient_at(points: DataFrame, grid: DataFrame, res: Sequence[int], key: Seq
     for a, n in zip(AXES, res):
         for name, move in (("", 0.0), ("m", -step), ("p", step)):
             taps[a + name] = linear_taps(clamp(F.col(f"o{a}") + move, 0.0, float(n - 1)))
-    met, seen = _weights(_met(points, bricks, res, BRICK, ()), taps, res, BRICK, reach, reach + 1)
+    met, seen = _weights(_met(points, bricks, res, BRICK, (reach, reach + 1)), taps, res, BRICK, reach, reach + 1)
     out = []
     for a in AXES:
         ends = [_read(F.col("cells"), *(seen[b + (side if b == a else "")] for b in AXES)) for side in ("p", "m")]
