@@ -32,7 +32,7 @@ def volume_histogram(grid: DataFrame, bins: int = 512, variant: str = "exact") -
         ends = ends.select(F.col("low").cast("long").cast("double").alias("low"), F.col("high").cast("long").cast("double").alias("high"))
     b = ((bins - 1) * (F.col("value") - F.col("low")) / F.greatest(F.lit(1e-6), F.col("high") - F.col("low"))).cast("int")
     counts = grid.crossJoin(F.broadcast(ends)).groupBy(F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.max("n").alias("largest"))))
+    return counts.withColumn("largest", F.max("n").over(Window.partitionBy(F.lit(0))))  # a row for each bin at most
 
 
 def value_range(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -194,30 +194,48 @@ def _halves(n: int) -> int:
 def fill_missing(image: DataFrame, width: int, height: int, by: Sequence[str] = ()) -> DataFrame:
     """Fills cells without data from a pyramid: means of the data below, then weights 9/16, 3/16, 3/16, 1/16 of the cells near.
 
-    ``image``: all cells, with value and mask. The rounds are log2 of the size and known beforehand.
+    ``image``: all cells, with value and mask. The rounds are log2 of the size and known beforehand; a level is made from the
+    one below it alone, by one aggregate that Spark computes once for all that read it.
     """
-    if width <= 1 and height <= 1:
-        return image
-    w, h = _halves(width), _halves(height)
-    down = image.where("mask >= 0.5").withColumn("x", F.explode(_outputs(F.col("x"), width, w))).withColumn("y", F.explode(_outputs(F.col("y"), height, h)))
-    small = down.groupBy(*by, "x", "y").agg(F.avg("value").alias("value"), F.lit(1.0).alias("mask"))
-    small = fill_missing(_all_cells(small, image, w, h, by), w, h, by)
-    low = small.where("mask >= 0.5").select(*by, F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("value").alias("low"))
+    levels, sizes = [image], [(width, height)]
+    keys = image.select(*by).distinct() if by else None
+    while sizes[-1] != (1, 1):
+        (w, h), (w2, h2) = sizes[-1], tuple(map(_halves, sizes[-1]))
+        down = levels[-1].where("mask >= 0.5").withColumn("x", F.explode(_outputs(F.col("x"), w, w2))).withColumn("y", F.explode(_outputs(F.col("y"), h, h2)))
+        means = down.groupBy(*by, "x", "y").agg(F.avg("value").alias("value"), F.lit(1.0).alias("mask"))
+        levels.append(_all_cells(image.sparkSession, keys, means, w2, h2, by))
+        sizes.append((w2, h2))
+    full = levels[-1]
+    for level in reversed(levels[:-1]):
+        full = _filled(level, full, by)
+    return full
+
+
+def _near() -> Column:
+    """Structs (lx, ly, w) of the four cells of the smaller level that are nearest to x, y."""
     near = []
     for k in (0, 1):
         for m in (0, 1):
             near.append(F.struct((F.floor(F.col("x") / 2) + k * F.when(F.col("x") % 2 == 0, -1).otherwise(1)).cast("int").alias("lx"), (F.floor(F.col("y") / 2) + m * F.when(F.col("y") % 2 == 0, -1).otherwise(1)).cast("int").alias("ly"), F.lit([9, 3, 1][k + m] / 16).alias("w")))
-    empty = image.where("mask < 0.5")
-    asked = empty.select(*by, "x", "y", F.inline(F.array(*near)))
-    filled = asked.join(low, [*by, "lx", "ly"]).groupBy(*by, "x", "y").agg((F.sum(F.col("w") * F.col("low")) / F.sum("w")).alias("filled"))
-    up = empty.join(filled, [*by, "x", "y"], "left").select(*by, "x", "y", F.coalesce("filled", F.lit(0.0)).alias("value"), F.when(F.col("filled").isNotNull(), 1.0).otherwise(0.0).alias("mask"))
-    return image.where("mask >= 0.5").select(*by, "x", "y", "value", F.lit(1.0).alias("mask")).union(up)
+    return F.inline(F.array(*near))
 
 
-def _all_cells(some: DataFrame, image: DataFrame, w: int, h: int, by: Sequence[str]) -> DataFrame:
-    every = image.sparkSession.range(w * h).select((F.col("id") % w).cast("int").alias("x"), F.floor(F.col("id") / w).cast("int").alias("y"))
-    if by:
-        every = image.select(*by).distinct().join(F.broadcast(every))
+def _filled(level: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A level whose cells without data are filled from the smaller one."""
+    low = small.where("mask >= 0.5").select(*by, F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("value").alias("low"))
+    empty = level.where("mask < 0.5")
+    asked = empty.select(*by, "x", "y", _near())
+    filled = asked.join(low, [*by, "lx", "ly"], "left").groupBy(*by, "x", "y").agg((F.sum(F.col("w") * F.col("low")) / F.sum(F.when(F.col("low").isNotNull(), F.col("w")))).alias("filled"))
+    up = filled.select(*by, "x", "y", F.coalesce("filled", F.lit(0.0)).alias("value"), F.when(F.col("filled").isNotNull(), 1.0).otherwise(0.0).alias("mask"))
+    return level.where("mask >= 0.5").select(*by, "x", "y", "value", F.lit(1.0).alias("mask")).union(up)
+
+
+def _all_cells(spark: SparkSession, keys: DataFrame | None, some: DataFrame, w: int, h: int, by: Sequence[str]) -> DataFrame:
+    if keys is None:
+        every = spark.range(w * h).withColumnRenamed("id", "k")
+    else:
+        every = keys.select(*by, F.explode(F.sequence(F.lit(0), F.lit(w * h - 1))).alias("k"))
+    every = every.select(*by, (F.col("k") % w).cast("int").alias("x"), F.floor(F.col("k") / w).cast("int").alias("y"))
     return every.join(some, [*by, "x", "y"], "left").select(*by, "x", "y", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("mask", F.lit(0.0)).alias("mask"))
 
 
@@ -231,11 +249,7 @@ def fill_fractional(image: DataFrame, width: int, height: int, by: Sequence[str]
         F.when(F.sum("mask") > 0, F.sum(F.col("mask") * F.col("value")) / F.sum("mask")).otherwise(0.0).alias("value"), F.max("mask").alias("mask")
     )
     small = fill_fractional(small, w, h, by).select(*by, F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("value").alias("low"), F.col("mask").alias("low_mask"))
-    near = []
-    for k in (0, 1):
-        for m in (0, 1):
-            near.append(F.struct((F.floor(F.col("x") / 2) + k * F.when(F.col("x") % 2 == 0, -1).otherwise(1)).cast("int").alias("lx"), (F.floor(F.col("y") / 2) + m * F.when(F.col("y") % 2 == 0, -1).otherwise(1)).cast("int").alias("ly"), F.lit([9, 3, 1][k + m] / 16).alias("w")))
-    asked = image.select(*by, "x", "y", F.inline(F.array(*near))).join(small, [*by, "lx", "ly"])
+    asked = image.select(*by, "x", "y", _near()).join(small, [*by, "lx", "ly"])
     share = F.col("w") * F.col("low_mask")
     filled = asked.groupBy(*by, "x", "y").agg(F.sum(share * F.col("low")).alias("s"), F.sum(share).alias("n"), (F.sum(share) / F.sum("w")).alias("m"))
     out = image.join(filled, [*by, "x", "y"], "left")

@@ -8,8 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import clamp
-from .grids import AXES, cells, radical_inverse
+from ..functions.values import clamp, masked
+from .grids import AXES, cells, densify, radical_inverse
 
 
 def plastic_steps(d: int) -> list[float]:
@@ -127,3 +127,33 @@ def config_grid(spark: SparkSession, **axes: Sequence) -> DataFrame:
     for name, values in axes.items():
         out = out.crossJoin(spark.createDataFrame([(v,) for v in values], [name]))
     return out.withColumn("name", F.concat_ws("-", *(F.concat(F.lit(n), F.col(n).cast("string")) for n in axes)))
+
+
+def world_samples(members: DataFrame, per_member: int, batch: int, value_at: Callable[[DataFrame], DataFrame], number: Column, dim: int = 3) -> DataFrame:
+    """Points for every member (a row of ``members``), with what ``value_at`` adds to them.
+
+    ``per_member`` is rounded up to whole batches. The sampler starts at ``number`` (the member's own) times that, so no two
+    members have the same points: i, px, py, pz.
+    """
+    n = next_multiple(per_member, batch)
+    rows = members.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("i", number * n + F.col("i"))
+    return value_at(rows.withColumns({f"p{a}": p for a, p in zip(AXES, plastic(F.col("i"), dim))}))
+
+
+def screen_samples(pixels: DataFrame, number: Column, least: float) -> DataFrame:
+    """Pixels with colour and alpha, of which empty ones are thinned: kept with the probability alpha, ``least`` at least."""
+    return pixels.where(masked(F.col("alpha"), plastic(number, 1)[0], least))
+
+
+def resample_by_loss(errors: DataFrame, res: Sequence[int], candidates: DataFrame, value_at: Callable[[DataFrame, DataFrame], DataFrame], n: int, least: float, batch: int, share: float) -> DataFrame:
+    """A new data set where a predictor errs: ``errors`` (px, py, pz, error) become a density of points, of which ``n`` are
+    accepted, cut into chunks and split.
+
+    ``value_at`` takes candidates and a dense grid and adds value, as ``sampling.sample`` does.
+    """
+    losses = loss_grid(errors, res).persist()  # read for the largest loss and for each pass over the candidates
+    most = losses.agg(F.max("loss")).first()[0] or 1.0
+    field = densify(losses.select(*AXES, F.col("loss").alias("value")), res)
+    valued = value_at(candidates, field).persist()  # counted, cut and split in separate jobs
+    picked = importance_points(valued, lambda c: c, n, least, most)
+    return split_train_val(chunk(picked, batch), share)

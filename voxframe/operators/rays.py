@@ -12,6 +12,8 @@ from .grids import AXES
 from .sampling import sample
 
 RAY = ["view", "px", "py"]
+#: Entries an axis of tables that are broadcast at most (a million entries of 40 bytes).
+MOST_ENTRIES = 1024
 
 
 def view_rays(frames: DataFrame, width: int, height: int, tan_x: float, tan_y: float) -> DataFrame:
@@ -30,20 +32,20 @@ def max_steps(clipped: DataFrame, step: float) -> DataFrame:
     return clipped.groupBy("view").agg((F.max(F.col("tmax") - F.col("tmin")) / step).cast("int").alias("steps"))
 
 
-def step_rays(clipped: DataFrame, step: float) -> DataFrame:
+def step_rays(clipped: DataFrame, step: float, by: Sequence[str] = ()) -> DataFrame:
     """Positions at tmin + k * step up to tmax: k, t, px_, py_, pz_ (in world space)."""
     k = F.explode(F.sequence(F.lit(0), F.floor((F.col("tmax") - F.col("tmin")) / step).cast("int")))
-    out = clipped.select(*RAY, "tmin", "tmax", *(f"e{a}" for a in AXES), *(f"d{a}" for a in AXES), k.alias("k")).withColumn("t", F.col("tmin") + F.col("k") * step)
+    out = clipped.select(*by, *RAY, "tmin", "tmax", *(f"e{a}" for a in AXES), *(f"d{a}" for a in AXES), k.alias("k")).withColumn("t", F.col("tmin") + F.col("k") * step)
     return out.withColumns({f"w{a}": F.col(f"e{a}") + F.col("t") * F.col(f"d{a}") for a in AXES})
 
 
-def ray_samples(stepped: DataFrame, grid: DataFrame, res: Sequence[int], box_min: Sequence[float], box_size: Sequence[float], tf: Callable[[Column, Column], Column], mode: str = "linear") -> DataFrame:
+def ray_samples(stepped: DataFrame, grid: DataFrame, res: Sequence[int], box_min: Sequence[float], box_size: Sequence[float], tf: Callable[[Column, Column], Column], mode: str = "linear", by: Sequence[str] = ()) -> DataFrame:
     """view, px, py, k, t, value, rgba: grid values along the rays and their colours; ``tf`` takes value and previous value."""
     for a, low, size, n in zip(AXES, box_min, box_size, res):
         o = (F.col(f"w{a}") - low) / size * float(n - 1)
         stepped = stepped.withColumn(f"o{a}", F.least(F.greatest(o, F.lit(0.0)), F.lit(float(n - 1))))
-    seen = sample(stepped, grid, res, [*RAY, "k", "t"], mode)
-    before = F.lag("value").over(Window.partitionBy(*RAY).orderBy("k"))
+    seen = sample(stepped, grid, res, [*by, *RAY, "k", "t"], mode, by)
+    before = F.lag("value").over(Window.partitionBy(*by, *RAY).orderBy("k"))
     return seen.withColumn("previous", F.coalesce(before, F.lit(-1.0))).withColumn("rgba", tf(F.col("value"), F.col("previous"))).drop("previous")
 
 
@@ -61,6 +63,16 @@ def composite(samples: DataFrame, blend: str = "beer", early_out: float = 1.0, k
     return seen.groupBy(*key).agg(*(F.sum(weight * F.col(c)).alias(c) for c in ("r", "g", "b")), F.sum(weight).alias("alpha"), F.sum(weight * F.col("t")).alias("depth"))
 
 
+def line_integrals(clipped: DataFrame, grid: DataFrame, res: Sequence[int], box_min: Sequence[float], box_size: Sequence[float], step: float, tf: Callable[[Column, Column], Column], early_out: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+    """Images of all clipped rays as one job: r, g, b, alpha, depth of each ray, and of each ``by`` (as ensemble and time).
+
+    Rays and grid share the columns ``by``. Samples are joined with bricks, then dealt once by ray: previous values, the light
+    that is left and the sums share that dealing.
+    """
+    seen = ray_samples(step_rays(clipped, step, by), grid, res, box_min, box_size, tf, by=by)
+    return composite(seen.select(*by, *RAY, "k", "t", "rgba.*"), early_out=early_out, key=[*by, *RAY])
+
+
 def image_from_samples(rays: DataFrame, samples: int, key: Sequence[str] = RAY) -> DataFrame:
     """Means over the sub-pixel samples; depth is weighted by alpha."""
     total = F.sum("alpha")
@@ -113,3 +125,34 @@ def preintegrate_2d(ends: DataFrame, colour: Callable[[Column], Column], step: f
     each = each.withColumn("so_far", F.sum(F.col("c.a") * (step / n)).over(pair))
     weight = F.col("c.a") * (step / n) * F.exp(-F.col("so_far"))
     return each.groupBy("i", "j").agg(*(F.sum(F.col(f"c.{c}") * weight).alias(c) for c in ("r", "g", "b")), (1 - F.exp(-F.sum(F.col("c.a") * (step / n)))).alias("a"))
+
+
+def preintegrated_2d(samples: DataFrame, pairs: DataFrame, n: int, key: Sequence[str], mode: str = "nearest") -> DataFrame:
+    """Colours of samples (before, value) from a table of ``preintegrate_2d`` with n x n centred entries: key, r, g, b, a.
+
+    A sample without one before it (negative) stands for itself. ``mode="linear"`` mixes the four entries around. Colours are
+    freed of their absorption. The table is broadcast: n is at most ``MOST_ENTRIES``.
+    """
+    if n > MOST_ENTRIES:
+        raise ValueError(f"a table of {n} x {n} entries is too large to send to all tasks")
+    start = F.when(F.col("before") < 0, F.col("value")).otherwise(F.col("before"))
+    if mode == "nearest":
+        cell = lambda c: F.least(F.greatest(F.floor(c * n), F.lit(0)), F.lit(n - 1)).cast("int")
+        asked = samples.select(*key, cell(start).alias("i"), cell(F.col("value")).alias("j"), F.lit(1.0).alias("w"))
+    else:
+        p = {"i": F.least(F.greatest(start * n - 0.5, F.lit(0.0)), F.lit(n - 1.0)), "j": F.least(F.greatest(F.col("value") * n - 0.5, F.lit(0.0)), F.lit(n - 1.0))}
+        part = []
+        for s, t in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            place, w = [], F.lit(1.0)
+            for c, more in (("i", s), ("j", t)):
+                f = p[c] - F.floor(p[c])
+                w = w * (f if more else 1 - f)
+                place.append(F.least(F.floor(p[c]) + more, F.lit(n - 1)).cast("int").alias(c))
+            part.append(F.struct(*place, w.alias("w")))
+        asked = samples.select(*key, F.inline(F.array(*part)))
+    met = asked.join(F.broadcast(pairs), ["i", "j"])
+    if mode == "nearest":
+        mixed = met.select(*key, "r", "g", "b", "a")
+    else:
+        mixed = met.groupBy(*key).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in "rgba"))
+    return mixed.select(*key, *(F.when(F.col("a") > 1e-5, F.col(c) / F.col("a")).otherwise(F.col(c)).alias(c) for c in "rgb"), "a")

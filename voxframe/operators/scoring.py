@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import fourier_features
+from .grids import AXES
 from .metrics import array_stats, l1_l2, psnr
+from .sampling import interp_vectors, latent_features
 
 ACTIVATIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "ReLU": lambda x: np.maximum(x, 0),
@@ -60,18 +63,47 @@ class Model:
 
 
 def score(points: DataFrame, model: Model, inputs: Sequence[str], key: Sequence[str], outputs: Sequence[str] = ("value",)) -> DataFrame:
-    """key and outputs of the model at each point; the model travels with the tasks."""
+    """key and outputs of the model at each point; the model travels with the tasks. Inputs are numbers or arrays of numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = model(batch[list(inputs)].to_numpy(float))
+            if not len(batch):
+                continue
+            parts = [np.stack(batch[c].to_numpy()).astype(float) if c in wide else batch[c].to_numpy(float)[:, None] for c in inputs]
+            got = model(np.concatenate(parts, axis=1))
             yield pd.concat([batch[list(key)].reset_index(drop=True), pd.DataFrame(got, columns=list(outputs))], axis=1)
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    wide = {c for c in inputs if kinds[c].startswith("array")}
     ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), *(f"`{o}` double" for o in outputs)])
     return points.select(*key, *(c for c in inputs if c not in key)).mapInPandas(run, ddl)
 
 
+def latent_inputs(points: DataFrame, key: Sequence[str], latent: DataFrame | None = None, res: Sequence[int] = (), vectors: DataFrame | None = None, count: int = 0, bands: int = 0, time_bands: int = 0, prefix: str = "f") -> tuple[DataFrame, list[str]]:
+    """``points`` (key, px, py, pz, and t, a fractional index, where it is used) with a network's inputs, and their names.
+
+    In order: the position; ``bands`` Fourier bands of it and ``time_bands`` of t; the channels of a ``latent`` grid of size
+    ``res`` at the position (channel, x, y, z, value); the entries of ``vectors`` (idx, channel, value), one for each of
+    ``count`` times or members, mixed at t. Channels are joined as arrays, one row a point.
+    """
+    place = [f"p{a}" for a in AXES]
+    out, names = points, list(place)
+    for own, n, stem in ((place, bands, prefix), (["t"], time_bands, f"{prefix}_t")):
+        if n:
+            before = set(out.columns)
+            out = fourier_features(out, own, n, stem)
+            names += [c for c in out.columns if c not in before]
+    for stem, got in (
+        ("l", latent_features(points, latent, res, key) if latent is not None else None),
+        ("v", interp_vectors(points, vectors, count, key) if vectors is not None else None),
+    ):
+        if got is not None:
+            listed = got.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("channel", "value"))).alias("c"))
+            out = out.join(listed.select(*key, F.col("c.value").alias(f"{prefix}_{stem}")), list(key))
+            names.append(f"{prefix}_{stem}")
+    return out, names
+
+
 def evaluate_model(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """l1, l2, psnr, rmse, ncc of predictions by group, e.g. time, ensemble, model."""
     a = l1_l2(pairs, by).drop("total")

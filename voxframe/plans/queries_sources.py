@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import struct
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import grids as g
 from ..sources import volumes as vo
-from .bindings import GRID, R6, RUNS, SERIES, grid, result, runs, series, table
+from .bindings import GRID, R6, RES, RUNS, SERIES, grid, result, runs, series, table
 from .queries_values import query
 
 
@@ -56,11 +60,11 @@ def s8(spark, d):
     return result(out)
 
 
-@query("s9_write_volumes", f"WITH {SERIES} SELECT ensemble::BIGINT AS ensemble, time::BIGINT AS time, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, {R6('value')} AS value FROM s WHERE time = 12")
+@query("s9_write_volumes", f"WITH {SERIES} SELECT ensemble::BIGINT AS ensemble, time::BIGINT AS time, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, {R6('value')} AS value FROM s")
 def s9(spark, d):
     path = scratch(spark)
     vo.write_volumes(series(spark, d), path)
-    return result(spark.read.parquet(path).where("time = 12").select("ensemble", "time", "x", "y", "z", "value"))
+    return result(spark.read.parquet(path).select("ensemble", "time", "x", "y", "z", "value"))
 
 
 #: Cases of all configurations for each number of files a configuration has.
@@ -75,11 +79,11 @@ def write_cases(r, path: str) -> None:
     dealt.write.option("maxRecordsPerFile", 1).partitionBy("config").json(path)
 
 
-@query("s10_read_eval_json", f"WITH {RUNS} SELECT config, variant AS algorithm, seq, {R6('metric')} AS psnr_world FROM ru WHERE seq % 10 = 0")
+@query("s10_read_eval_json", f"WITH {RUNS} SELECT config, variant AS algorithm, seq, {R6('metric')} AS psnr_world FROM ru")
 def s10(spark, d):
     path = scratch(spark)
-    write_cases(runs(spark, d), path)  # all cases are written and read; the SQL asks for a tenth of them
-    return result(vo.read_eval_json(spark, path).where("seq % 10 = 0").select("config", "algorithm", "seq", "psnr_world"))
+    write_cases(runs(spark, d), path)
+    return result(vo.read_eval_json(spark, path).select("config", "algorithm", "seq", "psnr_world"))
 
 
 @query("s11_export_runs", f"WITH {RUNS} SELECT config, variant, epoch::BIGINT AS epoch, {R6('avg(metric)')} AS metric FROM ru GROUP BY 1, 2, 3")
@@ -89,7 +93,7 @@ def s11(spark, d):
     return result(spark.read.csv(path, sep="\t", header=True, schema="config string, variant string, epoch int, metric double"))
 
 
-@query("s13_persist_views", f"WITH {SERIES} SELECT ensemble::BIGINT AS ensemble, time::BIGINT AS time, count(*) AS n FROM s WHERE time < 24 GROUP BY 1, 2")
+@query("s13_persist_views", f"WITH {SERIES} SELECT ensemble::BIGINT AS ensemble, time::BIGINT AS time, count(*) AS n FROM s GROUP BY 1, 2")
 def s13(spark, d):
     """Asked twice: the second time only what is absent is computed."""
     path, key = scratch(spark), ["ensemble", "time"]
@@ -97,4 +101,100 @@ def s13(spark, d):
     compute = lambda asked: all_.join(asked, key, "left_semi").groupBy(*key).agg(F.count("*").alias("n"))
     keys = all_.select(*key).distinct()
     vo.persist_views(keys.where("time < 12"), compute, path, key)
-    return result(vo.persist_views(keys.where("time < 24"), compute, path, key).select("ensemble", "time", "n"))
+    return result(vo.persist_views(keys, compute, path, key).select("ensemble", "time", "n"))
+
+
+# --- volume files: each member's grid is written by a task in one of the formats, and read again
+
+
+DENSE_MEMBERS = f"{SERIES}, me AS (SELECT ensemble, x, y, z, CAST(sum(round(value * 1e6)) AS DOUBLE) / count(*) / 1e6 AS value FROM s GROUP BY 1, 2, 3, 4), ce AS (SELECT ensemble, CAST(a.range AS INT) AS x, CAST(b.range AS INT) AS y, CAST(c.range AS INT) AS z FROM (SELECT DISTINCT ensemble FROM me), range(50) a, range(11) b, range(9) c), dm AS (SELECT ce.*, CAST(coalesce(value, 0) AS FLOAT) AS value FROM ce LEFT JOIN me USING (ensemble, x, y, z))"
+VOXELS_SQL = f"WITH {DENSE_MEMBERS} SELECT ensemble::BIGINT AS ensemble, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, {R6('CAST(value AS DOUBLE)')} AS value FROM dm"
+
+
+def write_files(spark, d, kind: str):
+    """The manifest (path, ensemble, time; or density, velocity) of one file for each ensemble; a grid has 4950 cells."""
+    folder = scratch(spark).removeprefix("file://").replace("file:/", "/", 1)
+    mean = F.sum(F.round(F.col("value") * 1e6)) / F.count("*") / 1e6
+    members = series(spark, d).groupBy("ensemble", "x", "y", "z").agg(mean.alias("value"))
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        os.makedirs(folder, exist_ok=True)
+        values = np.zeros(RES[::-1], np.float32)
+        values[group.z, group.y, group.x] = group.value
+        ensemble = int(group.ensemble.iloc[0])
+        path = f"{folder}/{ensemble:03d}.{kind}"
+        WRITERS[kind](path, values, ensemble)
+        return pd.DataFrame({"path": [path], "ensemble": [ensemble], "time": [0]})
+
+    made = members.groupBy("ensemble").applyInPandas(write, "path string, ensemble int, time int")
+    made.write.parquet(folder + "-manifest")
+    return spark.read.parquet(folder + "-manifest")
+
+
+def _write_cvol(path: str, values: np.ndarray, ensemble: int) -> None:
+    nz, ny, nx = values.shape
+    with open(path, "wb") as f:
+        f.write(struct.pack("<4si3fii4x", vo.MAGIC, vo.VERSION, 1.0, 1.0, 1.0, 1, 0))
+        f.write(struct.pack("<i", 7) + b"density" + struct.pack("<3Qii", nx, ny, nz, 1, 2))
+        values.tofile(f)
+
+
+def _write_legacy(path: str, values: np.ndarray, ensemble: int) -> None:
+    nz, ny, nx = values.shape
+    with open(path, "wb") as f:
+        f.write(b"cvol" + struct.pack("<3Q3dI?7x", nx, ny, nz, 0.1, 0.1, 0.1, 2, False))
+        values.tofile(f)
+
+
+def _write_raw(path: str, values: np.ndarray, ensemble: int) -> None:
+    """A text descriptor, and its data behind ten bytes of header."""
+    nz, ny, nx = values.shape
+    with open(f"{path}-{ensemble}.bin", "wb") as f:
+        f.write(b"ten bytes.")
+        values.tofile(f)
+    with open(path, "w") as f:
+        f.write(f"ObjectFileName: {os.path.basename(path)}-%d.bin\nResolution: {nx} {ny} {nz}\nSliceThickness: 1 1 1\nFormat: FLOAT\n")
+
+
+def _write_xyz(path: str, values: np.ndarray, ensemble: int) -> None:
+    nz, ny, nx = values.shape
+    with open(path, "wb") as f:
+        f.write(struct.pack("<3I3d", nx, ny, nz, 1.0, 1.0, 1.0))
+        np.ascontiguousarray(values.transpose(2, 1, 0)).tofile(f)
+
+
+def _write_npz(path: str, values: np.ndarray, ensemble: int) -> None:
+    """Densities up to 6, of which those above 5 are cut, and velocities."""
+    density = values[..., None] * np.float32(6)
+    np.savez_compressed(path, density)
+    np.savez_compressed(path + "-velocity", np.concatenate([density, density + 1, density + 2], axis=3))
+
+
+WRITERS = {"cvol": _write_cvol, "legacy": _write_legacy, "dat": _write_raw, "xyz": _write_xyz, "npz": _write_npz}
+
+
+@query("s3_read_volumes", VOXELS_SQL)
+def s3(spark, d):
+    return result(vo.read_volumes(write_files(spark, d, "cvol")).select("ensemble", "x", "y", "z", "value"))
+
+
+@query("s4_read_legacy_volumes", VOXELS_SQL)
+def s4(spark, d):
+    return result(vo.read_volumes(write_files(spark, d, "legacy")).select("ensemble", "x", "y", "z", "value"))
+
+
+@query("s5_read_raw_volumes", VOXELS_SQL)
+def s5(spark, d):
+    return result(vo.read_raw_volumes(write_files(spark, d, "dat")).select("ensemble", "x", "y", "z", "value"))
+
+
+@query("s6_read_xyz_volumes", VOXELS_SQL)
+def s6(spark, d):
+    return result(vo.read_xyz_volumes(write_files(spark, d, "xyz")).select("ensemble", "x", "y", "z", "value"))
+
+
+@query("s7_convert_npz_series", f"WITH {DENSE_MEMBERS}, cu AS (SELECT ensemble, CAST(a.range AS INT) AS x, CAST(b.range AS INT) AS y, CAST(c.range AS INT) AS z, k.range AS channel FROM (SELECT DISTINCT ensemble FROM dm), range(50) a, range(50) b, range(50) c, range(4) k) "
+       f"SELECT cu.ensemble::BIGINT AS ensemble, cu.x::BIGINT AS x, cu.y::BIGINT AS y, cu.z::BIGINT AS z, channel, {R6('coalesce(CASE channel WHEN 0 THEN least(CAST(value AS DOUBLE) * 6, 5) / 5 ELSE CAST(value AS DOUBLE) * 6 + channel - 1 END, 0)')} AS value FROM cu LEFT JOIN dm ON dm.ensemble = cu.ensemble AND dm.x = cu.x AND dm.y = cu.y - 19 AND dm.z = cu.z - 20")
+def s7(spark, d):
+    pairs = write_files(spark, d, "npz").select(F.col("path").alias("density"), F.concat("path", F.lit("-velocity.npz")).alias("velocity"), "ensemble", "time")
+    return result(vo.convert_npz_series(pairs).select("ensemble", "x", "y", "z", "channel", "value"))

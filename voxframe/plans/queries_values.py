@@ -150,12 +150,9 @@ SELECT x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, {R6("CASE WHEN a > 1e-5 T
 FROM t JOIN tab ON tab.i = least(greatest(floor(p * 16), 0), 15) AND tab.j = least(greatest(floor(d * 16), 0), 15)""")
 def p9(spark, d):
     """The nearest entry of a table of (previous, current) densities."""
-    tab = F.broadcast(_pairs_table(spark))
-    asked = _with_before(spark, d).withColumn("p", F.when(F.col("before") < 0, F.col("value")).otherwise(F.col("before")))
-    asked = asked.select("x", "y", "z", *(v.clamp(F.floor(F.col(c) * 16), 0, 15).cast("int").alias(n) for c, n in (("p", "i"), ("value", "j"))))
-    met = asked.join(tab, ["i", "j"])
-    free = [F.when(F.col("a") > 1e-5, F.col(c) / F.col("a")).otherwise(F.col(c)).alias(c) for c in "rgb"]
-    return result(met.select("x", "y", "z", *free, "a"))
+    from ..operators.rays import preintegrated_2d
+
+    return result(preintegrated_2d(_with_before(spark, d), _pairs_table(spark), 16, ["x", "y", "z"]))
 
 
 def _pairs_table(spark):

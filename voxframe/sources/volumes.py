@@ -1,13 +1,17 @@
-"""Reading and writing volumes. Files are cut into slabs (a manifest of byte ranges), so that no file is read by one task as a
-whole; slabs are read with Spark's Hadoop file system where that is reachable, else from paths that all executors see."""
+"""Reading and writing volumes. Files are first cut into slabs (rows with byte ranges) of at most ``SLAB_VOXELS`` voxels, which
+Spark deals out, so that no task reads a whole file; zipped arrays alone are streamed by one task a file, slab by slab. Paths
+must be seen by all executors, as files are read by Python's calls; a path may begin with file:."""
 
 from __future__ import annotations
 
+import os
 import struct
-from collections.abc import Iterator, Sequence
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,8 @@ VOXELS = "volume_id string, ensemble int, time int, feature string, x int, y int
 #: First bytes of a volume file, its version, the headers' lengths, and the type codes.
 MAGIC, VERSION, HEADER, LEGACY_HEADER = b"CVOL", 1, 32, 64
 TYPES = {0: ("uchar", np.uint8, 255), 1: ("ushort", np.uint16, 65535), 2: ("float", np.float32, 1)}
-SLAB_BYTES = 32 << 20
+#: Voxels (times channels) that a task has at once.
+SLAB_VOXELS = 1 << 20
 
 
 def ensemble_manifest(spark: SparkSession, fmt: str, ensembles: tuple[int, int, int], times: tuple[int, int, int]) -> DataFrame:
@@ -47,7 +52,7 @@ def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 def read_header(path: str) -> dict:
     """World size and features (name, dtype, channels, sizes, offset of the data) of a volume file."""
-    with open(path, "rb") as f:
+    with open(_local(path), "rb") as f:
         magic, version, wx, wy, wz, features, flags = struct.unpack("<4si3fii4x", f.read(HEADER))
         if magic != MAGIC:
             f.seek(4)
@@ -80,7 +85,7 @@ def _slabs(manifest: DataFrame) -> DataFrame:
             for r in batch.itertuples():
                 for name, kind, channels, sx, sy, sz, at in read_header(r.path)["features"]:
                     each = sx * sy * channels * TYPES[kind][1]().nbytes
-                    step = max(1, SLAB_BYTES // max(each, 1))
+                    step = max(1, SLAB_VOXELS // max(sx * sy * channels, 1))
                     rows += [(r.path, r.ensemble, r.time, name, kind, channels, sx, sy, z, min(step, sz - z), at + z * each) for z in range(0, sz, step)]
             yield pd.DataFrame(rows, columns=["path", "ensemble", "time", "feature", "kind", "channels", "sx", "sy", "z0", "nz", "at"])
 
@@ -88,48 +93,77 @@ def _slabs(manifest: DataFrame) -> DataFrame:
     return manifest.select("path", "ensemble", "time").mapInPandas(cut, ddl)
 
 
-def _long(values: np.ndarray, z0: int, head: dict) -> pd.DataFrame:
-    """Rows of an array (z, y, x, channel)."""
-    z, y, x, c = np.indices(values.shape).reshape(4, -1)
-    return pd.DataFrame({**head, "x": x.astype(np.int32), "y": y.astype(np.int32), "z": (z + z0).astype(np.int32), "channel": c.astype(np.int32), "value": values.ravel().astype(np.float32)})
+def _long(values: np.ndarray, z0: int, r, feature: str, volume: str, x0: int = 0) -> pa.RecordBatch:
+    """Rows of an array (z, y, x, channel) of a member's file."""
+    nz, ny, nx, nc = values.shape
+    n = values.size
+    whole = lambda value, kind: pa.repeat(pa.scalar(None if pd.isna(value) else value, kind), n)
+    x = np.tile(np.repeat(np.arange(x0, x0 + nx, dtype=np.int32), nc), nz * ny)
+    y = np.tile(np.repeat(np.arange(ny, dtype=np.int32), nx * nc), nz)
+    z = np.repeat(np.arange(z0, z0 + nz, dtype=np.int32), ny * nx * nc)
+    columns = [whole(volume, pa.string()), whole(r.ensemble, pa.int32()), whole(r.time, pa.int32()), whole(feature, pa.string()), x, y, z, np.tile(np.arange(nc, dtype=np.int32), nz * ny * nx), values.ravel().astype(np.float32)]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[c.split()[0] for c in VOXELS.split(", ")])
 
 
-def read_volumes(manifest: DataFrame) -> DataFrame:
-    """Voxels (values scaled to 1) of many volume files, version 1 and legacy: slabs are dealt out before they are read."""
+def _voxels(slabs: DataFrame, load: Callable[[object], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Voxels of slabs; ``load`` takes one row. Slabs are dealt by their own place, so a large file is read by many tasks."""
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples():
-                _, dtype, most = TYPES[r.kind]
-                raw = np.fromfile(r.path, dtype, int(r.nz * r.sy * r.sx * r.channels), offset=int(r.at))
-                data = raw.astype(np.float32).reshape(int(r.nz), int(r.sy), int(r.sx), int(r.channels)) / np.float32(most)
-                yield _long(data, int(r.z0), {"volume_id": r.path, "ensemble": r.ensemble, "time": r.time, "feature": r.feature})
+            for r in batch.to_pandas().itertuples():
+                yield from load(r)
+
+    return slabs.repartition(*slabs.columns).mapInArrow(run, VOXELS)
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://").replace("file:/", "/", 1) if path.startswith("file:") else path
+
+
+def read_volumes(manifest: DataFrame) -> DataFrame:
+    """Voxels (values scaled to 1) of many volume files, version 1 and legacy."""
+
+    def load(r) -> Iterator[pa.RecordBatch]:
+        _, dtype, most = TYPES[r.kind]
+        raw = np.fromfile(_local(r.path), dtype, int(r.nz * r.sy * r.sx * r.channels), offset=int(r.at))
+        data = raw.astype(np.float32).reshape(int(r.nz), int(r.sy), int(r.sx), int(r.channels)) / np.float32(most)
+        yield _long(data, int(r.z0), r, r.feature, r.path)
+
+    return _voxels(_slabs(manifest), load)
+
+
+def _descriptor(path: str, ensemble: int) -> tuple[str, list[int], str]:
+    """The raw file, resolution and format that a text descriptor names."""
+    fields = dict(line.split(":", 1) for line in open(_local(path)).read().splitlines() if ":" in line)
+    fields = {k.strip(): v.strip() for k, v in fields.items()}
+    name = fields["ObjectFileName"]
+    return f"{_local(path).rpartition('/')[0]}/{name % ensemble if '%' in name else name}", [int(n) for n in fields["Resolution"].split()], fields["Format"].upper()
 
-    return _slabs(manifest).repartition("path", "feature", "z0").mapInPandas(load, VOXELS)
+
+RAW_TYPES = {"UCHAR": (np.uint8, 255), "USHORT": (np.uint16, 65535), "FLOAT": (np.float32, 1)}
 
 
 def read_raw_volumes(manifest: DataFrame) -> DataFrame:
     """Voxels of text descriptors (ObjectFileName, Resolution, SliceThickness, Format) with raw files beside them."""
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for r in batch.itertuples():
-                fields = dict(line.split(":", 1) for line in open(r.path).read().splitlines() if ":" in line)
-                fields = {k.strip(): v.strip() for k, v in fields.items()}
-                nx, ny, nz = map(int, fields["Resolution"].split())
-                dtype, most = {"UCHAR": (np.uint8, 255), "USHORT": (np.uint16, 65535), "FLOAT": (np.float32, 1)}[fields["Format"].upper()]
-                name = fields["ObjectFileName"]
-                name = name % r.ensemble if "%" in name else name
-                file = f"{r.path.rpartition('/')[0]}/{name}"
-                size = np.memmap(file, np.uint8, "r").size
-                head = size - nx * ny * nz * dtype().nbytes
-                each = nx * ny * dtype().nbytes
-                for z in range(0, nz, max(1, SLAB_BYTES // each)):
-                    n = min(max(1, SLAB_BYTES // each), nz - z)
-                    data = np.fromfile(file, dtype, nx * ny * n, offset=head + z * each).astype(np.float32) / most
-                    yield _long(data.reshape(n, ny, nx, 1), z, {"volume_id": r.path, "ensemble": r.ensemble, "time": r.time, "feature": "density"})
-
-    return manifest.select("path", "ensemble", "time").repartition("path").mapInPandas(load, VOXELS)
+                file, (nx, ny, nz), kind = _descriptor(r.path, r.ensemble)
+                width = RAW_TYPES[kind][0]().nbytes
+                head = os.path.getsize(file) - nx * ny * nz * width  # what is before the payload is a header
+                step = max(1, SLAB_VOXELS // (nx * ny))
+                rows += [(r.path, r.ensemble, r.time, file, kind, nx, ny, z, min(step, nz - z), head + z * nx * ny * width) for z in range(0, nz, step)]
+            yield pd.DataFrame(rows, columns=["path", "ensemble", "time", "file", "kind", "nx", "ny", "z0", "n", "at"])
+
+    def load(r) -> Iterator[pa.RecordBatch]:
+        dtype, most = RAW_TYPES[r.kind]
+        data = np.fromfile(r.file, dtype, int(r.nx * r.ny * r.n), offset=int(r.at)).astype(np.float32) / np.float32(most)
+        yield _long(data.reshape(int(r.n), int(r.ny), int(r.nx), 1), int(r.z0), r, "density", r.path)
+
+    ddl = "path string, ensemble int, time int, file string, kind string, nx long, ny long, z0 long, n long, at long"
+    return _voxels(manifest.select("path", "ensemble", "time").mapInPandas(cut, ddl), load)
 
 
 def world_size(resolution: Sequence[int], thickness: Sequence[float]) -> tuple[float, ...]:
@@ -141,34 +175,55 @@ def world_size(resolution: Sequence[int], thickness: Sequence[float]) -> tuple[f
 def read_xyz_volumes(manifest: DataFrame) -> DataFrame:
     """Voxels of files with 3 sizes, 3 doubles and floats whose fastest axis is z."""
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for r in batch.itertuples():
-                nx, ny, nz = (int(n) for n in np.fromfile(r.path, np.uint32, 3))
-                step = max(1, SLAB_BYTES // (4 * ny * nz))
-                for x in range(0, nx, step):
-                    n = min(step, nx - x)
-                    data = np.fromfile(r.path, np.float32, n * ny * nz, offset=36 + 4 * x * ny * nz).reshape(n, ny, nz)
-                    out = _long(data.transpose(2, 1, 0)[..., None], 0, {"volume_id": r.path, "ensemble": r.ensemble, "time": r.time, "feature": "density"})
-                    out["x"] += np.int32(x)
-                    yield out
+                nx, ny, nz = (int(n) for n in np.fromfile(_local(r.path), np.uint32, 3))
+                step = max(1, SLAB_VOXELS // (ny * nz))
+                rows += [(r.path, r.ensemble, r.time, ny, nz, x, min(step, nx - x)) for x in range(0, nx, step)]
+            yield pd.DataFrame(rows, columns=["path", "ensemble", "time", "ny", "nz", "x0", "n"])
 
-    return manifest.select("path", "ensemble", "time").repartition("path").mapInPandas(load, VOXELS)
+    def load(r) -> Iterator[pa.RecordBatch]:
+        n, ny, nz = int(r.n), int(r.ny), int(r.nz)
+        data = np.fromfile(_local(r.path), np.float32, n * ny * nz, offset=36 + 4 * int(r.x0) * ny * nz).reshape(n, ny, nz)
+        yield _long(np.ascontiguousarray(data.transpose(2, 1, 0))[..., None], 0, r, "density", r.path, int(r.x0))
 
+    ddl = "path string, ensemble int, time int, ny long, nz long, x0 long, n long"
+    return _voxels(manifest.select("path", "ensemble", "time").mapInPandas(cut, ddl), load)
 
-def convert_npz_series(manifest: DataFrame) -> DataFrame:
-    """Four channels (density cut to [0, 5] and scaled, velocity) of pairs of arrays (z, y, x, c); paths: density, velocity."""
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                density = np.clip(np.load(r.density)["arr_0"], 0, 5) / 5
-                data = np.concatenate([density, np.load(r.velocity)["arr_0"]], axis=3).astype(np.float32)
-                side = max(data.shape[:3])
-                pad = [((side - n) // 2, side - n - (side - n) // 2) for n in data.shape[:3]]
-                yield _long(np.pad(data, [*pad, (0, 0)]), 0, {"volume_id": r.density, "ensemble": r.ensemble, "time": r.time, "feature": "flow"})
+def _zipped_slices(path: str) -> tuple[tuple[int, ...], Iterator[np.ndarray]]:
+    """Shape (z, y, x, c) and the z slices of a zipped array, one at a time."""
+    archive = zipfile.ZipFile(_local(path))
+    f = archive.open("arr_0.npy")
+    version = np.lib.format.read_magic(f)
+    shape, by_column, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+    if by_column:
+        raise ValueError(f"{path}: arrays whose first axis is the fastest aren't supported")
+    size = int(np.prod(shape[1:])) * dtype.itemsize
+    return shape, (np.frombuffer(f.read(size), dtype).reshape(shape[1:]) for _ in range(shape[0]))
+
 
-    return manifest.select("density", "velocity", "ensemble", "time").repartition("density").mapInPandas(load, VOXELS)
+def convert_npz_series(manifest: DataFrame) -> DataFrame:
+    """Four channels (density cut to [0, 5] and scaled, velocity) of pairs of arrays (z, y, x, c), padded to cubes with zeros.
+
+    A zipped array can't be entered in its middle, so one task streams a pair of files, z slice by z slice.
+    """
+
+    def load(r) -> Iterator[pa.RecordBatch]:
+        (nz, ny, nx, _), density = _zipped_slices(r.density)
+        _, velocity = _zipped_slices(r.velocity)
+        side = max(nz, ny, nx)
+        before = [(side - n) // 2 for n in (nz, ny, nx)]
+        for z in range(side):
+            plane = np.zeros((1, side, side, 4), np.float32)
+            if before[0] <= z < before[0] + nz:
+                both = np.concatenate([np.clip(next(density), 0, 5) / 5, next(velocity)], axis=2)
+                plane[0, before[1] : before[1] + ny, before[2] : before[2] + nx] = both
+            yield _long(plane, z, r, "flow", r.density)
+
+    return _voxels(manifest.select("density", "velocity", "ensemble", "time"), load)
 
 
 def write_volumes(voxels: DataFrame, path: str) -> None:
