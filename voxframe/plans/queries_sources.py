@@ -164,10 +164,10 @@ def _write_xyz(path: str, values: np.ndarray, ensemble: int) -> None:
 
 
 def _write_npz(path: str, values: np.ndarray, ensemble: int) -> None:
-    """Densities up to 6, of which those above 5 are cut, and velocities."""
-    density = values[..., None] * np.float32(6)
+    """Densities up to 8, of which those above 5 are cut, and velocities; all are exact multiples."""
+    density = values[..., None] * np.float32(8)
     np.savez_compressed(path, density)
-    np.savez_compressed(path + "-velocity", np.concatenate([density, density + 1, density + 2], axis=3))
+    np.savez_compressed(path + "-velocity", np.concatenate([density, density / 2, density / 4], axis=3))
 
 
 WRITERS = {"cvol": _write_cvol, "legacy": _write_legacy, "dat": _write_raw, "xyz": _write_xyz, "npz": _write_npz}
@@ -194,7 +194,10 @@ def s6(spark, d):
 
 
 @query("s7_convert_npz_series", f"WITH {DENSE_MEMBERS}, cu AS (SELECT ensemble, CAST(a.range AS INT) AS x, CAST(b.range AS INT) AS y, CAST(c.range AS INT) AS z, k.range AS channel FROM (SELECT DISTINCT ensemble FROM dm), range(50) a, range(50) b, range(50) c, range(4) k) "
-       f"SELECT cu.ensemble::BIGINT AS ensemble, cu.x::BIGINT AS x, cu.y::BIGINT AS y, cu.z::BIGINT AS z, channel, {R6('coalesce(CASE channel WHEN 0 THEN least(CAST(value AS DOUBLE) * 6, 5) / 5 ELSE CAST(value AS DOUBLE) * 6 + channel - 1 END, 0)')} AS value FROM cu LEFT JOIN dm ON dm.ensemble = cu.ensemble AND dm.x = cu.x AND dm.y = cu.y - 19 AND dm.z = cu.z - 20")
+       ", va AS (SELECT cu.*, CAST(CASE WHEN value IS NULL THEN 0 WHEN channel = 0 THEN least(CAST(value AS DOUBLE) * 8, 5) / 5 ELSE CAST(value AS DOUBLE) * 16 / power(2, channel) END AS FLOAT) AS value FROM cu LEFT JOIN dm ON dm.ensemble = cu.ensemble AND dm.x = cu.x AND dm.y = cu.y - 19 AND dm.z = cu.z - 20) "
+       f"SELECT ensemble::BIGINT AS ensemble, channel, y::BIGINT AS y, z::BIGINT AS z, count(*) AS n, count(*) FILTER (value > 0) AS filled, {R6('CAST(max(value) AS DOUBLE)')} AS largest, CAST(sum(round(CAST(value AS DOUBLE) * 1e6) * (x + 1)) AS BIGINT) AS placed FROM va GROUP BY 1, 2, 3, 4")
 def s7(spark, d):
     pairs = write_files(spark, d, "npz").select(F.col("path").alias("density"), F.concat("path", F.lit("-velocity.npz")).alias("velocity"), "ensemble", "time")
-    return result(vo.convert_npz_series(pairs).select("ensemble", "x", "y", "z", "channel", "value"))
+    cells = vo.convert_npz_series(pairs).withColumn("value", F.col("value").cast("double"))
+    placed = F.sum((F.round(F.col("value") * 1e6) * (F.col("x") + 1)).cast("long")).alias("placed")
+    return result(cells.groupBy("ensemble", "channel", "y", "z").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 0).alias("filled"), F.max("value").alias("largest"), placed))
