@@ -12,9 +12,9 @@ from ..operators import compress as cp
 from ..operators import grids as g
 from ..operators import metrics as mt
 from ..operators import sampling as sa
-from ..operators.scoring import Model, evaluate_model, score
+from ..operators.scoring import Model, evaluate_model, latent_inputs, score
 from .bindings import DENSE, GRID, IMAGES, PAIRS, POINTS, R6, RES, RUNS, SERIES, SMALL, dense, grid, images, pairs, points, result, runs, series, small_volumes, table
-from .queries_sampling import GRAD, J2SQL, at_points
+from .queries_sampling import CELL, GRAD, J2SQL, LATENT, at_points, latent_grids
 from .queries_values import KEY3, query
 
 E2 = "(predicted - truth)"
@@ -344,6 +344,27 @@ def m1(spark, d):
     return result(score(points(spark, d), tiny(), KEY3, KEY3), KEY3)
 
 
+def wide() -> Model:
+    """One layer over the position, one Fourier band of it and ten latent channels."""
+    rng = np.random.default_rng(9)
+    return Model([(rng.standard_normal((19, 1)).round(2), rng.standard_normal(1).round(2))])
+
+
+def wide_sql() -> str:
+    w = [float(x) for x in wide().layers[0][0][:, 0]]
+    place = [f"{p} * {w[k]!r}" for k, p in enumerate(KEY3)]
+    bands = [f"{f}({p} * {2 * math.pi!r}::DOUBLE) * {w[3 + 2 * k + m]!r}" for k, p in enumerate(KEY3) for m, f in enumerate(("cos", "sin"))]
+    channels = " ".join(f"WHEN {c} THEN {w[9 + c]!r}" for c in range(10))
+    mixed = f"lf AS (SELECT px, py, pz, sum(w * value * CASE channel {channels} END) AS s FROM q JOIN lat ON x = xx AND y = xy AND z = xz GROUP BY 1, 2, 3)"
+    return f"WITH {SMALL}, {LATENT}, {POINTS}, {CELL}, {mixed} SELECT px, py, pz, {R6('1 / (1 + exp(-(' + ' + '.join(place + bands) + f' + s + ({float(wide().layers[0][1][0])!r}))))')} AS value FROM lf"
+
+
+@query("m1_score_latent", wide_sql())
+def m1l(spark, d):
+    rows, inputs = latent_inputs(points(spark, d), KEY3, latent_grids(spark, d), (4, 4, 4), bands=1)
+    return result(score(rows, wide(), inputs, KEY3), KEY3)
+
+
 @query("m3_evaluate_model", f"WITH {J2SQL}, pr AS (SELECT value AS truth, {tiny_sql()} AS predicted FROM j2) SELECT {R6(f'avg(abs{E2})')} AS l1, {R6(f'avg({E2} * {E2})')} AS l2, count(*) AS n, {R6(f'sqrt(avg({E2} * {E2}))')} AS rmse, {R6('(sum(truth * predicted) - count(*) * avg(truth) * avg(predicted)) / (count(*) - 1) / sqrt((avg(truth * truth) - avg(truth) * avg(truth)) * (avg(predicted * predicted) - avg(predicted) * avg(predicted)))')} AS ncc, {R6(f'10 * log10(1 / avg({E2} * {E2}))')} AS psnr FROM pr")
 def m3(spark, d):
     truth = sa.sample(at_points(spark, d), dense(spark, d), RES, KEY3)
