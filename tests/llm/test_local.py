@@ -89,6 +89,23 @@ def test_forests_reject_what_no_good_row_has():
     assert (f.excess(good[1::2]) <= 0).mean() > 0.97 and (f.excess(bad[1::2]) > 0).all()
 
 
+def test_path_lengths_are_those_of_a_walk():
+    """Scores against a row-by-row walk down each tree."""
+    rng = np.random.default_rng(3)
+    rows = rng.random((300, len(quality_rules.FEATURES)))
+    f = quality_rules.IsolationForest([1, 4], trees=7, part=64).fit(rows[:200], rows.min(axis=0), rows.max(axis=0))
+    for row, score in zip(rows[200:], f.score(rows[200:])):
+        total = 0.0
+        for feature, split, child, length in f.grown:
+            node = 0
+            while feature[node] >= 0:
+                node = child[node][1 if row[feature[node]] >= split[node] else 0]
+            total += length[node]
+        assert abs(score - 2 ** (-total / 7 / f.deepest)) < 1e-12
+    for feature, split, child, length in f.grown:  # each part of the sample ends in a leaf of its own size
+        assert set(feature[feature >= 0]) <= {1, 4} and (length[feature >= 0] == 0).all()
+
+
 def test_network_learns_and_reads_whole_texts():
     rng = random.Random(3)
     plain = lambda n: " ".join(rng.choice(["the", "on", "and", "er", "ti"]) for _ in range(n))
