@@ -6,6 +6,8 @@ bounded by ``BLOCK_BYTES`` (or by the one text that is longer than that).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,7 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 20
 #: For passes that take less memory for each byte and gain from seeing more words at once.
 LARGE_BLOCK = 4 << 20
+MIDDLE_BLOCK = 2 << 20
 
 #: Chunks of spans that are hashed at once.
 MOST_CHUNKS = 1 << 19
@@ -24,6 +27,13 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
+def trim() -> None:
+    """Hands what a task has freed back to the system: a Python worker outlives its tasks, and others share the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: spreads each 64-bit value over all bits."""
     x = x.astype(np.uint64, copy=True)
