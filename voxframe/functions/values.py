@@ -7,7 +7,6 @@ import math
 from collections.abc import Sequence
 from itertools import product
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,24 +78,38 @@ def tf_gaussian(density: Column, points: Sequence[Sequence[float]], step: float
     return _rgba(*total[:3], total[3] * step)
 
 
+#: A rational exponent for the complementary error function (error below 1.2e-7 of its value).
+ERF = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+#: Places and weights of the five-point Gauss rule on [-1, 1].
+GAUSS = [(0.0, 0.5688888888888889), (0.5384693101056831, 0.4786286704993665), (-0.5384693101056831, 0.4786286704993665), (0.9061798459386640, 0.2369268850561891), (-0.9061798459386640, 0.2369268850561891)]
+
+
+def erf(x: Column) -> Column:
+    t = 1 / (1 + F.abs(x) * 0.5)
+    exponent = F.lit(ERF[-1])
+    for c in reversed(ERF[:-1]):
+        exponent = exponent * t + c
+    return F.signum(x) * (1 - t * F.exp(exponent - x * x))
+
+
 def tf_gaussian_analytic(density: Column, previous: Column, points: Sequence[Sequence[float]], step: float = 1.0) -> Column:
-    """The bells' mean over the segment from the previous density; a previous one below 0 means none."""
-
-    @F.pandas_udf("r double, g double, b double, a double")
-    def integrated(now: pd.Series, before: pd.Series) -> pd.DataFrame:
-        rows = []
-        for d, p in zip(now, before):
-            total = [0.0] * 4
-            for *colour, mean, width in points:
-                if p < 0 or p == d:
-                    bell = math.exp(-(((d - mean) / width) ** 2))
-                else:
-                    bell = math.sqrt(math.pi) / 2 / (p - d) * width * (math.erf((p - mean) / width) + math.erf((mean - d) / width))
-                total = [t + bell * c for t, c in zip(total, colour)]
-            rows.append((*total[:3], total[3] * step))
-        return pd.DataFrame(rows, columns=["r", "g", "b", "a"])
-
-    return integrated(density, previous)
+    """The bells' mean over the segment from the previous density; a previous one below 0 means none.
+
+    By the error function, but over segments of less than half a bell's width, where a difference of two such values would
+    lose digits, by five points.
+    """
+    before = F.when(previous < 0, density).otherwise(previous)
+    middle, half = (density + before) * 0.5, (density - before) * 0.5
+    total = [F.lit(0.0)] * 4
+    for *colour, mean, width in points:
+        near = F.lit(0.0)
+        for place, weight in GAUSS:
+            away = (middle + half * place - mean) / width
+            near = near + F.exp(-away * away) * (weight / 2)
+        far = (erf((density - mean) / width) - erf((before - mean) / width)) * (math.sqrt(math.pi) / 4 * width) / half
+        bell = F.when(F.abs(half) < width / 4, near).otherwise(far)
+        total = [t + bell * float(c) for t, c in zip(total, colour)]
+    return _rgba(*total[:3], total[3] * step)
 
 
 def tf_piecewise(density: Column, points: Sequence[Sequence[float]], step: float = 1.0) -> Column:

@@ -80,7 +80,25 @@ def p4(spark, d):
     return result(rgba(grid(spark, d).withColumn("c", v.tf_gaussian(F.col("value"), BELLS)).drop("value")))
 
 
-@query("p4_tf_gaussian_analytic")
+def erf_sql(x: str) -> str:
+    t = f"(1 / (1 + abs({x}) * 0.5e0))"
+    exponent = f"{v.ERF[-1]!r}::DOUBLE"
+    for c in reversed(v.ERF[:-1]):
+        exponent = f"({exponent} * {t} + ({c!r}::DOUBLE))"
+    return f"(sign({x}) * (1 - {t} * exp({exponent} - {x} * {x})))"
+
+
+def segments_sql(c: int) -> str:
+    out = []
+    for b in BELLS:
+        mean, width = f"{b[4]!r}::DOUBLE", f"{b[5]!r}::DOUBLE"
+        near = " + ".join(f"exp(-power((m + h * ({p!r}::DOUBLE) - {mean}) / {width}, 2)) * {w / 2!r}::DOUBLE" for p, w in v.GAUSS)
+        far = f"({erf_sql(f'((d - {mean}) / {width})')} - {erf_sql(f'((p - {mean}) / {width})')}) * {math.sqrt(math.pi) / 4 * b[5]!r}::DOUBLE / h"
+        out.append(f"{b[c]!r}::DOUBLE * (CASE WHEN abs(h) < {width} / 4 THEN {near} ELSE {far} END)")
+    return " + ".join(out)
+
+
+@query("p4_tf_gaussian_analytic", f"WITH {DENSE}, t AS (SELECT x, y, z, value AS d, coalesce(lag(value) OVER (PARTITION BY y, z ORDER BY x), value) AS p FROM dg), k AS (SELECT *, (d + p) * 0.5e0 AS m, (d - p) * 0.5e0 AS h FROM t) SELECT x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, " + ", ".join(f"{R6(segments_sql(c))} AS {p}" for c, p in enumerate(PARTS)) + " FROM k")
 def p4a(spark, d):
     """Densities along x: the bells' means over each segment."""
     from pyspark.sql import Window
@@ -357,7 +375,21 @@ def g6(spark, d):
     return result(g.fill_missing(holes, 30, 24, ["image"]))
 
 
-@query("g7_fill_fractional")
+def _fractional_sql(levels) -> str:
+    """The pyramid with masks between 0 and 1 in SQL."""
+    parts = []
+    for k, ((w, h), (w2, h2)) in enumerate(zip(levels, levels[1:])):
+        parts.append(f"d{k + 1} AS (SELECT image, a.range AS x, b.range AS y, CASE WHEN sum(mask) > 0 THEN sum(mask * value) / sum(mask) ELSE 0 END AS value, max(mask) AS mask FROM d{k} JOIN range({w2}) a ON d{k}.x >= (a.range * {w}) // {w2} AND d{k}.x < ((a.range + 1) * {w} + {w2} - 1) // {w2} JOIN range({h2}) b ON d{k}.y >= (b.range * {h}) // {h2} AND d{k}.y < ((b.range + 1) * {h} + {h2} - 1) // {h2} GROUP BY 1, 2, 3)")
+    last = len(levels) - 1
+    parts.append(f"u{last} AS (SELECT * FROM d{last})")
+    for k in range(last - 1, -1, -1):
+        near = " UNION ALL ".join(f"SELECT image, x, y, x // 2 + {a} * CASE WHEN x % 2 = 0 THEN -1 ELSE 1 END AS lx, y // 2 + {b} * CASE WHEN y % 2 = 0 THEN -1 ELSE 1 END AS ly, {[0.5625, 0.1875, 0.0625][a + b]}e0 AS w FROM d{k}" for a in (0, 1) for b in (0, 1))
+        parts.append(f"n{k} AS (SELECT n.image, n.x, n.y, sum(w * u.mask * u.value) AS s, sum(w * u.mask) AS n, sum(w * u.mask) / sum(w) AS m FROM ({near}) n JOIN u{k + 1} u ON u.image = n.image AND u.x = lx AND u.y = ly GROUP BY 1, 2, 3)")
+        parts.append(f"u{k} AS (SELECT d.image, d.x, d.y, d.mask * d.value + (1 - d.mask) * CASE WHEN n > 0 THEN s / n ELSE 0 END AS value, d.mask + (1 - d.mask) * coalesce(m, 0) AS mask FROM d{k} d LEFT JOIN n{k} n ON n.image = d.image AND n.x = d.x AND n.y = d.y)")
+    return ", ".join(parts)
+
+
+@query("g7_fill_fractional", f"WITH {IMAGES}, d0 AS (SELECT image, x, y, value, CASE WHEN (x * 7 + y * 3) % 5 < 3 THEN (x % 4) / 8e0 ELSE mask END AS mask FROM im), {_fractional_sql([(30, 24), (15, 12), (7, 6), (3, 3), (1, 1)])} SELECT image, x::BIGINT AS x, y::BIGINT AS y, {R6('value')} AS value, {R6('mask')} AS mask FROM u0")
 def g7(spark, d):
     holes = images(spark, d).withColumn("mask", F.when((F.col("x") * 7 + F.col("y") * 3) % 5 < 3, (F.col("x") % 4) / 8).otherwise(F.col("mask")))
     return result(g.fill_fractional(holes, 30, 24, ["image"]))
