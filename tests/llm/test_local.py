@@ -124,6 +124,19 @@ def test_network_learns_and_reads_whole_texts():
     assert 0 <= n.score(np.zeros(0, np.uint8), np.array([0, 0]))[0] <= 1
 
 
+def test_scores_are_those_of_whole_texts():
+    """Chunk by chunk, against all windows of a text at once."""
+    n, texts = quality_cnn.Network(), [bytes(random.choice(b"abc def") for _ in range(k)) for k in (0, 5, 511, 512, 513, 70_000, 1024)]
+    at = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+    got = n.score(np.frombuffer(b"".join(texts), np.uint8), at)
+    for t, p in zip(texts, got):
+        pieces = [t[k : k + quality_cnn.CHUNK + quality_cnn.WIDTH] for k in range(0, max(len(t), 1), quality_cnn.CHUNK)]
+        rows = np.array([[*x, *[quality_cnn.PAD] * (quality_cnn.CHUNK + quality_cnn.WIDTH - len(x))] for x in pieces], np.int16)
+        best = n.answers(rows)[0]
+        z = n.joined(best.max(axis=0)[None], best.mean(axis=0)[None], np.array([len(t)])) @ n.dense + n.level
+        assert abs(1 / (1 + np.exp(-float(z[0]))) - p) < 1e-5
+
+
 def test_network_slopes_are_those_of_the_loss():
     n = quality_cnn.Network()
     n.training = True
@@ -131,7 +144,8 @@ def test_network_slopes_are_those_of_the_loss():
     texts = [bytes(random.choice(b"abcdef") for _ in range(k)) for k in (700, 3, 1200)]
     at = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
     label, size = np.array([1.0, 0.0, 1.0]), np.diff(at)
-    cut, place = quality_cnn.chunks(np.frombuffer(b"".join(texts), np.uint8), at)
+    row, begin, place = quality_cnn.places(at)
+    cut = quality_cnn.chunks(np.frombuffer(b"".join(texts), np.uint8), begin, at[row + 1])
 
     def loss():
         z = n.pooled(n.answers(cut)[0], place, size) @ n.dense + n.level

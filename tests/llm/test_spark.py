@@ -132,6 +132,14 @@ def test_decontamination(docs, spark, monkeypatch, most):
     assert benchmark_index.contamination(docs.where("false"), bench).isEmpty()
 
 
+def test_clashing_names_in_decontamination(spark):
+    rows = [(1, ITEM + " " + words(20), "a", "b"), (2, words(40), "c", "d"), (None, words(40), "e", "f")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, own_doc string, own_found string")
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    clean = benchmark_index.clean(d, bench)
+    assert clean.columns == d.columns and sorted(map(tuple, clean.collect()), key=str) == sorted(rows[1:], key=str)
+
+
 def test_near_matches(spark):
     w = [f"w{k}" for k in range(40)]
     moved = w[:3] + ["x", "y"] + w[3:12]

@@ -21,12 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import free_name, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what stands between words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MOST_BROADCAST = 200_000
+FOUND = "own_found"
 #: Stands for a null doc_id in the index.
 NO_ID = -(1 << 63)
 
@@ -105,10 +106,12 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, anchors: int) ->
 
 
 def _split(docs: DataFrame, listed: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
-    """The rows with candidates, joined with them, and the others."""
-    keyed = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(NO_ID)))
-    ids = _sized(listed.select(F.col("doc").alias("__doc")), number)
-    return keyed.join(ids, "__doc", "left_semi").join(listed.select(F.col("doc").alias("__doc"), F.col("found").alias("__found")), "__doc").drop("__doc"), keyed.join(ids, "__doc", "left_anti").drop("__doc")
+    """The rows with candidates, joined with them (in the column FOUND, or a longer name where ``docs`` has that), and the others."""
+    key = free_name(docs, "own_doc")
+    keyed = docs.withColumn(key, F.coalesce("doc_id", F.lit(NO_ID)))
+    ids = _sized(listed.select(F.col("doc").alias(key)), number)
+    found = listed.select(F.col("doc").alias(key), F.col("found").alias(free_name(docs, FOUND)))
+    return keyed.join(ids, key, "left_semi").join(found, key).drop(key), keyed.join(ids, key, "left_anti").drop(key)
 
 
 def _hits(w: Column, found: Column) -> Column:
@@ -131,7 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, ancho
     docs = docs.select("doc_id", "text")
     _, listed, number = _found(docs, benchmark, window, anchors)
     some, none = _split(docs, listed, number)
-    held = some.select("doc_id", words(F.col("text")).alias("w"), "__found").select("doc_id", F.size("w").alias("n_words"), _hits(F.col("w"), F.col("__found")).alias("h"))
+    held = some.select("doc_id", words(F.col("text")).alias("w"), FOUND).select("doc_id", F.size("w").alias("n_words"), _hits(F.col("w"), F.col(FOUND)).alias("h"))
     covered = F.array_distinct(F.flatten(F.transform("h", lambda c: F.sequence(c["start"], c["start"] + F.size(c["words"]) - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("h", lambda c: c["item_ids"]))))
     hit = held.select("doc_id", "n_words", F.size(covered).alias("n_hit"), items.alias("items"))
@@ -145,5 +148,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, anchors: int
     """The rows of ``docs`` without any window of the benchmark, with all their columns."""
     _, listed, number = _found(docs.select("doc_id", "text"), benchmark, window, anchors)
     some, none = _split(docs, listed, number)
-    free = some.where(F.size(_hits(words(F.col("text")), F.col("__found"))) == 0).drop("__found")
+    free = some.where(F.size(_hits(words(F.col("text")), F.col(free_name(docs, FOUND)))) == 0)
     return free.select(docs.columns).union(none.select(docs.columns))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._copies import MOST_IDS
-from ._shared import drop, written
+from ._shared import drop, free_name, written
 
 #: Titles by gender.
 TITLES = {
@@ -292,14 +292,6 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
         number = next_number
 
 
-def _free(docs: DataFrame, stem: str) -> str:
-    """A column name that ``docs`` doesn't have."""
-    taken = {c.lower() for c in docs.columns}
-    while stem in taken:
-        stem += "_"
-    return stem
-
-
 def replace(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in ``text``, and two columns more: n_entities and entity_kinds (sorted, comma-joined).
 
@@ -311,7 +303,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     exceptions = written(attempts(named, key).where((F.col("attempt") > 0) | told))
     entry = F.concat_ws("\x1f", "kind", "canonical")
     own = found.join(exceptions, ["kind", "canonical"]).groupBy("text_hash").agg(F.collect_set(F.struct(entry.alias("k"), F.struct("attempt", "gender").alias("v"))).alias("own"))
-    hashed, taken, at = (_free(docs, stem) for stem in ("own_hash", "own_exceptions", "own_entities"))
+    hashed, taken, at = (free_name(docs, stem) for stem in ("own_hash", "own_exceptions", "own_entities"))
     lists = written(own.select(F.col("text_hash").alias(hashed), F.map_from_entries("own").alias(taken)))
     few = (lists.select(F.sum(F.size(taken))).first()[0] or 0) * 8 <= MOST_IDS
     rows = docs.withColumn(hashed, F.xxhash64("text")).join(F.broadcast(lists) if few else lists, hashed, "left")

@@ -6,8 +6,8 @@ length, give one probability. Training takes a bounded sample of labelled rows (
 scoring is one pass over the table without a shuffle, in which the weights (some 10 kB) travel with the tasks.
 
 Edge cases: a null or empty text is one chunk of padding and gets a score like any other; without labels of both kinds every
-score is the share of label 1 (0.5 without labels); repeated rows get equal scores; texts of any length are read whole, in
-blocks of chunks; an empty table gives an empty result; other columns are ignored.
+score is the share of label 1 (0.5 without labels); repeated rows get equal scores; texts of any length are read whole, some
+chunks at a time, so a long text takes no more memory than its own bytes; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._np import blocks, out_batch, text_column, within
+from ._shared import small_batches
 
 CHUNK, STEP, WIDTH, VECTOR, FILTERS = 512, 4, 8, 8, 24
 PAD = 256
@@ -28,17 +29,19 @@ AT_ONCE = 128
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of each chunk (WIDTH more than CHUNK, so that no window is lost between two), and the rows' offsets."""
-    size = np.diff(at)
-    count = np.maximum(1, -(-size // CHUNK))
-    begin = np.repeat(at[:-1], count) + CHUNK * within(count)
+def places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and first byte of each chunk, and the rows' offsets in chunks."""
+    count = np.maximum(1, -(-np.diff(at) // CHUNK))
+    return np.repeat(np.arange(len(count)), count), np.repeat(at[:-1], count) + CHUNK * within(count), np.append(0, np.cumsum(count))
+
+
+def chunks(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The bytes of each chunk (WIDTH more than CHUNK, so that no window is lost between two), padded behind its row's end."""
     index = begin[:, None] + np.arange(CHUNK + WIDTH)
-    inside = index < np.repeat(at[1:], count)[:, None]
-    padded = np.append(data, np.uint8(0)).astype(np.int16)
-    out = padded[np.minimum(index, len(data))]
-    out[~inside] = PAD
-    return out, np.append(0, np.cumsum(count))
+    padded = np.append(data, np.uint8(0))
+    out = padded[np.minimum(index, len(data))].astype(np.int16)
+    out[index >= stop[:, None]] = PAD
+    return out
 
 
 class Network:
@@ -76,13 +79,25 @@ class Network:
     def pooled(self, best: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         most = np.maximum.reduceat(best, at[:-1], axis=0)
         mean = np.add.reduceat(best, at[:-1], axis=0) / np.diff(at)[:, None]
+        return self.joined(most, mean, size)
+
+    def joined(self, most: np.ndarray, mean: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.concatenate([most, mean, np.log1p(size)[:, None] / 10], axis=1).astype(np.float32)
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(at) - 1, self.constant)
-        cut, place = chunks(data, at)
-        z = self.pooled(self.answers(cut)[0], place, np.diff(at)) @ self.dense + self.level
+        row, begin, place = places(at)
+        most, total = (np.zeros((len(at) - 1, FILTERS), np.float32) for _ in range(2))
+        padded = np.append(data, np.uint8(0))
+        for k in range(0, len(row), AT_ONCE):
+            own = slice(k, k + AT_ONCE)
+            first = int(begin[own][0])
+            near = padded[first : int(begin[own][-1]) + CHUNK + WIDTH]
+            best = self.answers(chunks(near, begin[own] - first, at[row[own] + 1] - first))[0]
+            np.maximum.at(most, row[own], best)
+            np.add.at(total, row[own], best)
+        z = self.joined(most, total / np.diff(place)[:, None], np.diff(at)) @ self.dense + self.level
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
     def slopes(self, cut: np.ndarray, at: np.ndarray, size: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
@@ -129,7 +144,8 @@ class Network:
             for k in range(0, len(order), 32):
                 own = order[k : k + 32]
                 at = np.append(0, np.cumsum(size[own]))
-                cut, place = chunks(np.frombuffer(b"".join(texts[i] for i in own), np.uint8), at)
+                row, begin, place = places(at)
+                cut = chunks(np.frombuffer(b"".join(texts[i] for i in own), np.uint8), begin, at[row + 1])
                 step += 1
                 for p, g, m, v in zip(self.parts(), self.slopes(cut, place, size[own], labels[own]), first, second):
                     m += 0.1 * (g - m)
@@ -139,8 +155,10 @@ class Network:
         return self
 
 
-def fit_network(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, rounds: int = 6) -> Network:
-    """A network trained on at most ``train_rows`` labelled rows that are not held out, chosen by a hash of their id."""
+def fit_network(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, rounds: int = 6, longest: int = 200_000) -> Network:
+    """A network trained on at most ``train_rows`` labelled rows that are not held out, chosen by a hash of their id, but for
+    texts of more than ``longest`` characters: so the driver takes a bounded part."""
+    small_batches(docs.sparkSession)
     sample = (
         labels.where(F.col("quality").isin(0, 1) & ~held_out("doc_id"))
         .groupBy("doc_id")
@@ -148,7 +166,7 @@ def fit_network(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, roun
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(train_rows)
     )
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("quality", "text").toPandas()
+    got = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("quality", "text").toPandas()
     return Network().fit([(t or "").encode() for t in got.text], got.quality.to_numpy(np.float32), rounds)
 
 
