@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -94,12 +95,18 @@ def a17(spark, d):
     return result(c.groupBy("volume_id").agg(F.avg(F.abs(F.col("decoded") - F.col("value"))).alias("error"), F.sum("code").alias("codes")))
 
 
-@query("a18_byte_gaussian")
+NORMAL = f"""ga AS (SELECT volume_id, avg(value) AS mean, stddev_samp(value) AS sigma FROM v GROUP BY 1),
+gc AS (SELECT v.volume_id, x, y, z, value, mean, sigma, len(list_filter([{', '.join(repr(NormalDist().inv_cdf((k + 0.5) / 255)) for k in range(255))}]::DOUBLE[], lambda l: l < (value - mean) / sigma)) AS code FROM v JOIN ga USING (volume_id)),
+gd AS (SELECT *, mean + sigma * list_extract([{', '.join(repr(NormalDist().inv_cdf(0.5 + (2 - 1e-4) * (k / 255 - 0.5) / 2)) for k in range(256))}]::DOUBLE[], code + 1) AS decoded FROM gc)"""
+
+
+@query("a18_byte_gaussian", f"WITH {SMALL}, {NORMAL} SELECT volume_id, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, {R6('value')} AS value, code::BIGINT AS code, {R6('decoded')} AS decoded FROM gd")
 def a18(spark, d):
     return result(cp.byte_gaussian(small_volumes(spark, d), ["volume_id"]).drop("label"))
 
 
-@query("a19_encoding_report")
+@query("a19_encoding_report", f"WITH {SMALL}, {NORMAL}, m AS (SELECT volume_id, min(value) AS lo, max(value) - min(value) AS ra FROM v GROUP BY 1), c AS (SELECT value, lo + least(greatest(floor(255 * (value - lo) / greatest(1e-5, ra) + 0.5e0), 0), 255) / 255e0 * ra AS decoded FROM v JOIN m USING (volume_id)), n AS (SELECT count(*) AS n, count(DISTINCT volume_id) AS groups FROM v) "
+       f"SELECT 'float' AS encoding, {R6('avg(abs(CAST(CAST(value AS FLOAT) AS DOUBLE) - value))')} AS error, (SELECT n * 4 FROM n)::BIGINT AS bytes FROM v UNION ALL SELECT 'linear', {R6('avg(abs(decoded - value))')}, (SELECT n + groups * 8 FROM n)::BIGINT FROM c UNION ALL SELECT 'gaussian', {R6('avg(abs(decoded - value))')}, (SELECT n + groups * 8 FROM n)::BIGINT FROM gd")
 def a19(spark, d):
     return result(cp.encoding_report(small_volumes(spark, d), ["volume_id"]))
 
@@ -138,6 +145,11 @@ def a23c(spark, d):
     return result(cp.tucker(small_volumes(spark, d).drop("label"), "volume_id"))
 
 
+@query("a24_bitplanes_of_values", f"WITH {SMALL}, t AS (SELECT volume_id, floor(log2(max(abs(value)))) AS top FROM v GROUP BY 1), q AS (SELECT v.volume_id, value, top, floor(abs(value) * power(2, 15 - top)) AS q, p.range AS plane FROM v JOIN t USING (volume_id), range(16) p), e AS (SELECT volume_id, plane, floor(q / power(2, 15 - plane)) AS seen, abs(value) - floor(q / power(2, 15 - plane)) * power(2, 15 - plane) / power(2, 15 - top) AS e FROM q) SELECT volume_id, plane::BIGINT AS plane, sum(CAST(seen AS BIGINT) % 2)::BIGINT AS ones, sum(CASE WHEN seen = 1 THEN 1 ELSE 0 END)::BIGINT AS new, {R6('sum(e * e)')} AS sse FROM e GROUP BY 1, 2")
+def a24v(spark, d):
+    return result(cp.bitplane_profile(small_volumes(spark, d).drop("label"), 16, ["volume_id"]))
+
+
 @query("a24_bitplane_profile")
 def a24(spark, d):
     return result(cp.bitplane_profile(cp.tucker(small_volumes(spark, d).drop("label"), "volume_id"), 16, ["volume_id"]))

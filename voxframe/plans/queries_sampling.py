@@ -193,7 +193,11 @@ def w3(spark, d):
 # --- points
 
 
-@query("d1_random_points")
+def hashed_sql(*parts) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(',', {', '.join(map(str, parts))})), 1, 10) AS BIGINT) / {1 << 40}e0"
+
+
+@query("d1_random_points", "WITH n AS (SELECT count(*) AS n FROM lineitem), i AS (SELECT unnest(range(n)) AS id FROM n) SELECT id, " + ", ".join(f"{R6(hashed_sql(7, 'id', k))} AS p{k}" for k in range(3)) + " FROM i")
 def d1(spark, d):
     """As many points as the table has rows, from a hash of their number."""
     n = table(spark, d, "lineitem").count()
@@ -297,7 +301,7 @@ def d9(spark, d):
     return result(w.select("i", "ensemble", "time", *KEY3, "idx", "value", F.col("c.a").alias("a")))
 
 
-@query("d11_split_train_val")
+@query("d11_split_train_val", f"WITH o AS (SELECT o_orderkey AS id, o_orderkey // 128 AS chunk_id FROM orders), c AS (SELECT DISTINCT chunk_id FROM o), r AS (SELECT chunk_id, row_number() OVER (ORDER BY {hashed_sql(0, 'chunk_id')}, chunk_id) AS place, count(*) OVER () AS n FROM c) SELECT id, chunk_id, place <= trunc(n * 0.2e0) AS validation FROM o JOIN r USING (chunk_id)")
 def d11(spark, d):
     """Orders in chunks, a fifth of which go to validation as wholes."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
@@ -321,7 +325,7 @@ def d15(spark, d):
     return result(pt.config_grid(spark, **axes, channels=[16, 32]))
 
 
-@query("d14_resample_by_loss")
+@query("d14_resample_by_loss", f"WITH {DENSE}, {STRAT}, ps AS (SELECT " + ", ".join(f"(st.{a} + {plastic_sql(chr(105), j)}) / {n}e0 AS p{a}" for j, (a, n) in enumerate(zip("xyz", RES))) + ", abs(g.value - 0.5e0) AS error FROM st JOIN g USING (x, y, z)), lo AS (SELECT " + ", ".join(f"CAST({cl(f'floor(p{a} * {n})', n)} AS INT) AS {a}" for a, n in zip("xyz", RES)) + f", sum(error) AS loss FROM ps GROUP BY 1, 2, 3), mo AS (SELECT max(loss) AS most FROM lo), dl AS (SELECT x, y, z, coalesce(loss, 0) AS value FROM c LEFT JOIN lo USING (x, y, z)), {ACCEPT.replace('JOIN dg USING', 'JOIN dl USING')}, pk AS (SELECT id, px, py, pz, value FROM sm, mo WHERE greatest(value / most, 0.05) > u ORDER BY id LIMIT (SELECT count(*) // 5 FROM orders)), ck AS (SELECT *, id // 64 AS chunk_id FROM pk), ch AS (SELECT chunk_id, row_number() OVER (ORDER BY {hashed_sql(0, 'chunk_id')}, chunk_id) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT chunk_id FROM ck)) SELECT id, {R6('px')} AS px, {R6('py')} AS py, {R6('pz')} AS pz, {R6('value')} AS value, chunk_id, place <= trunc(n * 0.2e0) AS validation FROM ck JOIN ch USING (chunk_id)")
 def d14(spark, d):
     """Points where a predictor errs: its error grid becomes the density of new points."""
     s = pt.stratified_points(spark, RES, 2).join(grid(spark, d), ["x", "y", "z"])
