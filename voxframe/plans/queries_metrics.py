@@ -227,7 +227,26 @@ def a34(spark, d):
     return result(mt.ssim(image_pairs(spark, d), 30, 24, ["image"]))
 
 
-@query("a35_ms_ssim")
+def _scales_sql() -> str:
+    parts = ["o AS (SELECT CAST(o_custkey % 64 AS INT) AS x, CAST(o_orderkey % 64 AS INT) AS y, avg(o_totalprice) / 500000 AS value FROM orders GROUP BY 1, 2)",
+             "i0 AS (SELECT 'o' AS image, x, y, coalesce(value, 0) AS a, trunc(coalesce(value, 0) / 0.125e0 + 0.5e0) * 0.125e0 AS b FROM (SELECT CAST(p.range AS INT) AS x, CAST(q.range AS INT) AS y FROM range(64) p, range(64) q) LEFT JOIN o USING (x, y))"]
+    names = ("mx", "my", "xx", "yy", "xy")
+    for k in range(5):
+        window = mt.gaussian_window(min(11, 64 >> k))
+        line = lambda c, axis, other: "(" + " + ".join(f"lead({c}, {j}) OVER (PARTITION BY image, {other} ORDER BY {axis}) * {w!r}" for j, w in enumerate(window)) + f") AS {c}"  # noqa: B023, E731
+        parts += [
+            f"t{k} AS (SELECT image, x, y, a AS mx, b AS my, a * a AS xx, b * b AS yy, a * b AS xy FROM i{k})",
+            f"u{k} AS (SELECT * FROM (SELECT image, x, y, {', '.join(line(c, 'x', 'y') for c in names)} FROM t{k}) WHERE mx IS NOT NULL)",
+            f"v{k} AS (SELECT * FROM (SELECT image, x, y, {', '.join(line(c, 'y', 'x') for c in names)} FROM u{k}) WHERE mx IS NOT NULL)",
+            f"w{k} AS (SELECT *, (2 * (xy - mx * my) + 9e-4) / (xx - mx * mx + yy - my * my + 9e-4) AS c FROM v{k})",
+            f"s{k} AS (SELECT image, avg(c) AS c, avg(c * (2 * mx * my + 1e-4) / (mx * mx + my * my + 1e-4)) AS s FROM w{k} GROUP BY 1)",
+            f"i{k + 1} AS (SELECT image, x // 2 AS x, y // 2 AS y, avg(a) AS a, avg(b) AS b FROM i{k} GROUP BY 1, 2, 3)",
+        ]
+    product = " * ".join([f"power(greatest(s{k}.c, 0), {mt.SCALES[k]})" for k in range(4)] + [f"power(greatest(s4.s, 0), {mt.SCALES[4]})"])
+    return f"WITH {', '.join(parts)} SELECT s0.image, {R6(product)} AS ms_ssim FROM s0, s1, s2, s3, s4"
+
+
+@query("a35_ms_ssim", _scales_sql())
 def a35(spark, d):
     """Images of orders by customer and part of the price, large enough for five scales."""
     o = table(spark, d, "orders").groupBy((F.col("o_custkey") % 64).cast("int").alias("x"), (F.col("o_orderkey") % 64).cast("int").alias("y")).agg((F.avg("o_totalprice") / 500000).alias("value"))
