@@ -264,3 +264,90 @@ def test_times_before_the_first_and_after_the_last_frame_are_held(spark):
     for r in got:
         t = min(max((r.time - 6) / 12, 0), 5)
         assert abs(r.value - np.interp(t, range(6), [10.0 * k + k * k for k in range(6)])) < 1e-9
+
+
+def test_bricks_that_lack_cells_are_an_error(spark, block):
+    _, grid = block
+    res = (8, 6, 4)
+    p = to_object_space(points.random_points(spark, 50, 3, 5).toDF("id", "px", "py", "pz"), (0, 0, 0), (1, 1, 1), res)
+    with pytest.raises(Exception, match="dense"):
+        sampling.sample(p, grid.where("x <> 3"), res, ["id"]).collect()
+    assert sampling.sample(p, grid.where("x <> 3"), res, ["id"], "nearest").count() < 50
+
+
+def test_samples_of_every_brick_size_agree(spark, block):
+    """Cubic samples and gradients from small bricks, whose halos matter, against one brick that holds the grid."""
+    _, grid = block
+    res = (8, 6, 4)
+    p = to_object_space(points.random_points(spark, 100, 3, 9).toDF("id", "px", "py", "pz"), (0, 0, 0), (1, 1, 1), res)
+    small = sampling.sample_bricks(p, grids.array_bricks(grid, res, 2, 2, 3), res, 2, ["id"], "cubic")
+    whole = sampling.sample(p, grid, res, ["id"], "cubic")
+    pairs = sampling.pair_prediction(small, whole, ["id"])
+    assert pairs.count() == 100 and pairs.where("abs(truth - predicted) > 1e-9").isEmpty()
+
+
+def test_too_many_boxes_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "MOST_BOXES", 1)
+    names = [f"{e}_{a}" for e in ("low", "high") for a in "xyz"]
+    boxes = spark.createDataFrame([(0.0,) * 3 + (1.0,) * 3] * 2, names)
+    rays = spark.createDataFrame([(0.5, 0.5, -1.0, 0.1, 0.1, 1.0)], ["ex", "ey", "ez", "dx", "dy", "dz"])
+    with pytest.raises(ValueError):
+        sampling.ray_clip(rays, boxes)
+    assert sampling.ray_clip(rays, boxes.limit(1)).count() == 1
+
+
+def test_preintegrated_lookup_mixes_entries(spark):
+    """In a table that is linear in both places, mixed entries are the plane's values."""
+    from voxframe.operators import rays
+
+    table = spark.range(64).selectExpr("cast(id % 8 as int) i", "cast(floor(id / 8) as int) j").selectExpr("i", "j", *(f"(i + 2 * j) * 0.01 as {c}" for c in "rgb"), "1D as a")
+    asked = spark.createDataFrame([(k, 0.1 + 0.08 * k, 0.9 - 0.07 * k) for k in range(9)] + [(9, -1.0, 0.5)], "k int, before double, value double")
+    for r in rays.preintegrated_2d(asked, table, 8, ["k"], "linear").collect():
+        before, value = (0.5, 0.5) if r.k == 9 else (0.1 + 0.08 * r.k, 0.9 - 0.07 * r.k)
+        i, j = (min(max(x * 8 - 0.5, 0), 7) for x in (before, value))
+        assert abs(r.r - (i + 2 * j) * 0.01) < 1e-9 and abs(r.a - 1) < 1e-9
+    near = {r.k: r.g for r in rays.preintegrated_2d(asked, table, 8, ["k"]).collect()}
+    assert abs(near[9] - (4 + 2 * 4) * 0.01) < 1e-9 and len(near) == 10
+    with pytest.raises(ValueError):
+        rays.preintegrated_2d(asked, table, 5000, ["k"])
+
+
+def test_inputs_of_a_network(spark):
+    from voxframe.operators import scoring
+
+    p = spark.createDataFrame([(0, 0.25, 0.5, 0.75, 0.0), (1, 0.5, 0.5, 0.5, 1.0)], "id int, px double, py double, pz double, t double")
+    vectors = spark.createDataFrame([(k, c, float(10 * k + c)) for k in range(2) for c in range(3)], "idx int, channel int, value double")
+    latent = spark.createDataFrame([(c, x, y, z, float(c + 1)) for c in range(2) for x in range(2) for y in range(2) for z in range(2)], "channel int, x int, y int, z int, value double")
+    rows, names = scoring.latent_inputs(p, ["id"], latent, (2, 2, 2), vectors, 2, bands=1, time_bands=2)
+    got = {r.id: r for r in rows.collect()}
+    assert len(names) == 3 + 6 + 4 + 2 and got[0][names[-1]] == [0.0, 1.0, 2.0] and got[1][names[-1]] == [10.0, 11.0, 12.0]
+    assert np.allclose(got[0][names[-2]], [1, 2])
+    width = 3 + 6 + 4 + 2 + 3
+    model = scoring.Model([(np.eye(width, 1), np.zeros(1))], output="density:direct")
+    assert {r.id: r.value for r in scoring.score(rows, model, names, ["id"]).collect()} == {0: 0.25, 1: 0.5}
+
+
+def test_large_files_are_cut_into_slabs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(volumes, "SLAB_VOXELS", 50)
+    values = np.arange(7 * 6 * 5, dtype=np.float32).reshape(7, 6, 5)
+    import struct
+
+    with open(tmp_path / "a.xyz", "wb") as f:
+        f.write(struct.pack("<3I3d", 5, 6, 7, 1.0, 1.0, 1.0))
+        np.ascontiguousarray(values.transpose(2, 1, 0)).tofile(f)
+    with open(tmp_path / "raw.bin", "wb") as f:
+        f.write(b"header")
+        values.tofile(f)
+    (tmp_path / "a.dat").write_text("ObjectFileName: raw.bin\nResolution: 5 6 7\nSliceThickness: 1 1 1\nFormat: FLOAT\n")
+    for name, read in (("a.xyz", volumes.read_xyz_volumes), ("a.dat", volumes.read_raw_volumes)):
+        manifest = spark.createDataFrame([(f"file://{tmp_path}/{name}", 0, 0)], "path string, ensemble int, time int")
+        got = read(manifest).collect()
+        assert len(got) == values.size and all(values[r.z, r.y, r.x] == r.value for r in got)
+    pad = np.pad(values[..., None], [(0, 0), (0, 1), (1, 1), (0, 0)])
+    np.savez_compressed(tmp_path / "d.npz", values[..., None])
+    np.savez(tmp_path / "v.npz", np.repeat(values[..., None], 3, axis=3))
+    manifest = spark.createDataFrame([(f"{tmp_path}/d.npz", f"{tmp_path}/v.npz", 0, 0)], "density string, velocity string, ensemble int, time int")
+    got = volumes.convert_npz_series(manifest).collect()
+    assert len(got) == 7**3 * 4 and pad.shape == (7, 7, 7, 1)
+    for r in got:
+        assert abs(r.value - (min(pad[r.z, r.y, r.x, 0], 5) / 5 if r.channel == 0 else pad[r.z, r.y, r.x, 0])) < 1e-6
