@@ -17,7 +17,7 @@ take its place, level by level:
 
 Texts that are equal as wholes are found first by their hashes; one of each takes part, and all are removed whole. Counts are
 aggregated before each shuffle, and frequent strings are keys of aggregates and of joins that adaptive execution splits, never
-groups in a task. Strings are compared by 64-bit hashes. Texts are shuffled only where the lists of places to look at are too
+groups in a task. Strings that are removed are compared by two 64-bit hashes. Texts are shuffled only where the lists of places to look at are too
 long to broadcast.
 
 Edge cases: null and empty texts and those shorter than a window lose nothing; strings that overlap themselves count; rows with
@@ -171,7 +171,7 @@ def _contents(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _whole_segments(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """doc_id, lo, hi, t, whole: the half segments and single windows of shared keys, with the hash of what they cover."""
+    """doc_id, lo, hi, t, whole, more: the half segments and single windows of shared keys, with two hashes of what they cover."""
 
     def of_block(batch: pa.RecordBatch, part: np.ndarray, at: np.ndarray) -> dict:
         lo, hi, t, row, key = _parsed(part, at, size)
@@ -179,16 +179,16 @@ def _whole_segments(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
         held = mix(np.asarray(flat).astype(np.uint64) + mix(list_row.astype(np.uint64)))
         some = np.flatnonzero(np.isin(mix(key + mix(row.astype(np.uint64))), held))
         lo, hi, t, row = lo[some], hi[some], t[some], row[some]
-        whole = span_hash(part, lo, hi + size)
+        whole, more = (span_hash(part, lo, hi + size, salt).view(np.int64) for salt in (0, 1))
         base = at[row]
-        return {"doc_id": _ids(batch)[row], "lo": lo - base, "hi": hi - base, "t": np.where(t < 0, -1, t - base), "whole": whole.astype(np.int64)}
+        return {"doc_id": _ids(batch)[row], "lo": lo - base, "hi": hi - base, "t": np.where(t < 0, -1, t - base), "whole": whole, "more": more}
 
-    schema = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("t", pa.int32()), ("whole", pa.int64())])
-    return written(_pass(with_lists(docs, keys, "keys"), schema, "doc_id long, lo int, hi int, t int, whole long", of_block))
+    schema = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("t", pa.int32()), ("whole", pa.int64()), ("more", pa.int64())])
+    return written(_pass(with_lists(docs, keys, "keys"), schema, "doc_id long, lo int, hi int, t int, whole long, more long", of_block))
 
 
 def _groups(docs: DataFrame, ranges: DataFrame, size: int, group: int) -> DataFrame:
-    """doc_id, lo, hi, t, own, core, whole: the groups of windows in the ranges, with hashes of their common part and of all."""
+    """doc_id, lo, hi, t, own, core, whole, more: the groups of windows in the ranges, with a hash of their common part and two of all."""
 
     def of_block(batch: pa.RecordBatch, part: np.ndarray, at: np.ndarray) -> dict:
         flat, row = _lists(batch)
@@ -204,18 +204,18 @@ def _groups(docs: DataFrame, ranges: DataFrame, size: int, group: int) -> DataFr
         top = t[which] - TRIGGER - group * j  # the last window of the whole group
         a, b = np.maximum(lo[which], top - group + 1), np.minimum(hi[which], top)
         core = mix(span_hash(part, base + top, base + top - group + 1 + size) + np.uint64(3))
-        whole = span_hash(part, base + a, base + b + size)
-        return {"doc_id": _ids(batch)[row[which]], "lo": a, "hi": b, "t": t[which], "own": own[which], "core": core.astype(np.int64), "whole": whole.astype(np.int64)}
+        whole, more = (span_hash(part, base + a, base + b + size, salt).view(np.int64) for salt in (0, 1))
+        return {"doc_id": _ids(batch)[row[which]], "lo": a, "hi": b, "t": t[which], "own": own[which], "core": core.astype(np.int64), "whole": whole, "more": more}
 
-    schema = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("t", pa.int32()), ("own", pa.bool_()), ("core", pa.int64()), ("whole", pa.int64())])
-    ddl = "doc_id long, lo int, hi int, t int, own boolean, core long, whole long"
+    schema = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("t", pa.int32()), ("own", pa.bool_()), ("core", pa.int64()), ("whole", pa.int64()), ("more", pa.int64())])
+    ddl = "doc_id long, lo int, hi int, t int, own boolean, core long, whole long, more long"
     return written(_pass(with_lists(docs, ranges, "ranges"), schema, ddl, of_block))
 
 
 def _classes(found: DataFrame) -> DataFrame:
     """``found`` with ``first``, for whole strings that occur twice: the smallest doc_id and place of the class; else null."""
-    twice = found.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo")).alias("first")).where("n > 1").select("whole", "first")
-    return found.join(sized(written(twice)), "whole", "left")
+    twice = found.groupBy("whole", "more").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo")).alias("first")).where("n > 1").select("whole", "more", "first")
+    return found.join(sized(written(twice)), ["whole", "more"], "left")
 
 
 def _ranges(rest: DataFrame) -> DataFrame:
