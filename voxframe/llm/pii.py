@@ -69,8 +69,8 @@ PATTERNS = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("key", r"(?<![A-Za-z0-9])(?:ghp|gho|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16,}"),
-    ("secret", r"(?<=(?:password|passwd|pwd|secret|token|api_key)[=:])[^\s\"',;]{6,}"),
-    ("secret", r"(?<=(?i:password|passwd|pwd|secret|token|api_key)\s{0,2}[=:]\s{0,2})(?=\S*[0-9])[^\s\"',;]{6,}"),
+    ("secret", r"(?<=[=:])(?<=(?:password|passwd|pwd|secret|token|api_key)[=:])[^\s\"',;]{6,}"),
+    ("secret", r"(?<=[=:\s])(?<=[=:]\s{0,2})(?<=(?i:password|passwd|pwd|secret|token|api_key)\s{0,2}[=:]\s{0,2})(?=\S*[0-9])[^\s\"',;]{6,}"),
     ("key", r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("mac", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])"),
@@ -87,14 +87,19 @@ PATTERNS = [
     ("name", rf"[{CHINESE}]\p{{IsHan}}{{1,2}}(?=先生|女士|小姐)"),
 ]
 FINDER = "|".join(p for _, p in PATTERNS)
-#: A text without any of these has no entity; it is cheaper to look for. Each pattern above has a part here that it can't match without.
-HINT = "|".join([
-    r"[0-9]{3}|@|[=:]|(?:[0-9]{1,3}\.){3}",
-    r"AKIA|ASIA|(?:ghp|gho|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16}|[0-9a-f]{32}",
-    r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}|\+[0-9]",
-    rf"(?<!\p{{L}})(?:{_TITLE}|{'|'.join(n for own in GIVEN.values() for n in own)})[. ]",
-    "先生|女士|小姐",
+#: A text without any of these has no entity; they are cheaper to look for. Each pattern above has a part here that it can't
+#: match without: first what needs no digit or sign, then signs of which a text has one, then what is around them.
+PLAIN_HINT = "|".join([
+    rf"(?=[\p{{Lu}}ا{CHINESE}])(?:(?<!\p{{L}})(?:{_TITLE}|{'|'.join(n for own in GIVEN.values() for n in own)})[. ]|AKIA|ASIA|[{CHINESE}]\p{{IsHan}}{{1,2}}(?:先生|女士|小姐))",
+    "(?=[gspx])(?:ghp|gho|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16}|[a-f]{32}",
 ])
+SIGN_HINT = "[0-9@=:+]"
+CLOSE_HINT = r"[0-9]{3}|@|[=:]|\+[0-9]|(?:[0-9]{1,3}\.){3}|[0-9a-f]{32}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"
+
+
+def hinted(text: Column) -> Column:
+    """Whether a text may have entities."""
+    return text.rlike(PLAIN_HINT) | (text.rlike(SIGN_HINT) & text.rlike(CLOSE_HINT))
 
 
 def _kind(entity: Column) -> Column:
@@ -256,7 +261,7 @@ def _digits_only(text: Column, stream: Column) -> Column:
 
 def mentions(docs: DataFrame) -> DataFrame:
     """text_hash, kind, text, canonical, told: the parts of the distinct entities of each text, but for titles."""
-    found = docs.where(F.col("text").rlike(HINT)).select(F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(FINDER), 0))).alias("entity"))
+    found = docs.where(hinted(F.col("text"))).select(F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(FINDER), 0))).alias("entity"))
     split = found.select("text_hash", F.explode(parts(F.col("entity"), _kind(F.col("entity")))).alias("p"))
     return split.select("text_hash", "p.*").where("kind <> ''")
 
@@ -307,7 +312,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     lists = written(own.select(F.col("text_hash").alias(hashed), F.map_from_entries("own").alias(taken)))
     few = (lists.select(F.sum(F.size(taken))).first()[0] or 0) * 8 <= MOST_IDS
     rows = docs.withColumn(hashed, F.xxhash64("text")).join(F.broadcast(lists) if few else lists, hashed, "left")
-    entity = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(FINDER), 0)).otherwise(F.array().cast("array<string>"))
+    entity = F.when(hinted(F.col("text")), F.regexp_extract_all("text", F.lit(FINDER), 0)).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn(at, F.transform(entity, lambda e: F.struct(e.alias("entity"), _kind(e).alias("kind"))))
 
     def prepare(part: Column) -> Column:
