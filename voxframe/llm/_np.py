@@ -16,7 +16,8 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 20
 #: For passes that take less memory for each byte and gain from seeing more words at once.
 LARGE_BLOCK = 4 << 20
-MIDDLE_BLOCK = 2 << 20
+#: For passes that take some hundred bytes for each byte of text.
+SMALL_BLOCK = 1 << 19
 
 #: Chunks of spans that are hashed at once.
 MOST_CHUNKS = 1 << 19

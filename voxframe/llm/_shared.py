@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Lets this session hand rows to Python in batches of at most ``most`` bytes (or of one row that is longer)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._classes import byte_level_cuts
-from ._np import MIDDLE_BLOCK, blocks, char_starts, out_batch, span_hash, text_column, trim, within
+from ._np import blocks, char_starts, out_batch, span_hash, text_column, trim, within
 from ._shared import small_batches
 
 PIECE = [("doc_id", "long"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")]
 #: Distinct pieces whose ids a worker keeps.
-MOST_PIECES = 300_000
+MOST_PIECES = 200_000
 
 
 class Encoder:
@@ -171,7 +171,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, open_windows:
             encoder = encoder or Encoder(tokenizer_path)
             data, at = text_column(batch)
             doc_ids = batch.column(0).to_pylist()
-            for a, b in blocks(at, MIDDLE_BLOCK):
+            for a, b in blocks(at):
                 ids, place = encoder.encode(data, at[a : b + 1])
                 for k in range(a, b):
                     own = np.append(ids[place[k - a] : place[k - a + 1]], np.uint32(end_id))
