@@ -423,7 +423,22 @@ def r7(spark, d):
     return result(ry.first_crossing(seen(spark, d), 0.45).withColumn("before", F.coalesce("before", F.lit(-1.0))))
 
 
-@query("r7_refined_crossing")
+def _refined_sql(rounds: int) -> str:
+    parts = ["b AS (SELECT *, lag(t) OVER (PARTITION BY view, px, py ORDER BY k) AS before FROM se)",
+             "h0 AS (SELECT view, px, py, coalesce(arg_min(coalesce(before, t), k), min(t)) AS low, arg_min(t, k) AS high FROM b WHERE value > 0.45 GROUP BY 1, 2, 3)"]
+    for k in range(rounds):
+        place = ", ".join(f"least(greatest((e{a} + (low + high) * 0.5e0 * d{a}) * {n - 1}e0, 0), {n - 1}) AS o{a}" for a, n in zip("xyz", RES))
+        corners = CORNERS.replace("k AS (", f"k{k} AS (").replace("FROM o,", f"FROM o{k},").replace("SELECT px, py, pz,", "SELECT view, px, py, low, high, t,")
+        parts += [
+            f"o{k} AS (SELECT view, px, py, low, high, (low + high) * 0.5e0 AS t, {place} FROM h{k} JOIN ra USING (view, px, py))",
+            corners,
+            f"s{k} AS (SELECT view, px, py, low, high, t, sum(w * value) AS value FROM k{k} JOIN dg USING (x, y, z) GROUP BY 1, 2, 3, 4, 5, 6)",
+            f"h{k + 1} AS (SELECT view, px, py, CASE WHEN value > 0.45 THEN low ELSE t END AS low, CASE WHEN value > 0.45 THEN t ELSE high END AS high FROM s{k})",
+        ]
+    return f"WITH {SEEN}, {', '.join(parts)} SELECT view::BIGINT AS view, px::BIGINT AS px, py::BIGINT AS py, {R6('high')} AS t FROM h{rounds}"
+
+
+@query("r7_refined_crossing", _refined_sql(3))
 def r7r(spark, d):
     rays = view(spark, d)[0]
     field = dense(spark, d)
