@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import benchmark_index, html_extract, near_dup, packing, phrase_parsing, pii, quality_cnn, quality_rules, recompression, source_audit, token_counts
+from . import benchmark_index, html_extract, near_dup, ngram_join, packing, phrase_parsing, pii, prefix_trie, quality_cnn, quality_rules, recompression, source_audit, token_counts
 
 
 #: Whoever runs the replacement on real data passes a secret of their own.
@@ -65,6 +65,14 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.said(_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -77,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_phrase_parsing": op9_phrase_parsing,
     "op10_near_dup": op10_near_dup,
     "op11_source_audit": op11_source_audit,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -144,4 +154,52 @@ made AS (
   FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p > q),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM made)
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
+    "op12_ngram_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s + 1 : s + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 2, 1))) AS s FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+few AS (SELECT g FROM sh GROUP BY g HAVING count(*) > 1),
+s2 AS (SELECT sh.doc_id, sh.g FROM sh JOIN few ON sh.g = few.g),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s2 AS a JOIN s2 AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT a, b FROM met JOIN sizes AS x ON x.doc_id = met.a JOIN sizes AS y ON y.doc_id = met.b WHERE 100 * met.n >= 90 * (x.n + y.n - met.n)),
+reach AS (
+  SELECT doc_id AS node, doc_id AS other FROM sizes
+  UNION
+  SELECT reach.node, link.b AS other FROM reach JOIN link ON link.a = reach.other),
+low AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, coalesce(low.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN low ON low.node = d.doc_id""",
+    "op13_prefix_trie": r"""
+WITH ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295) % 6 AS h FROM ids),
+t AS (
+  SELECT conv_id, coalesce(text, '') AS text, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+r AS (
+  SELECT heads.conv_id, 0 AS part, t.k, t.text, t.digest FROM heads JOIN t ON t.conv_id = heads.conv_id - heads.conv_id % 100 WHERE t.k <= heads.h
+  UNION ALL
+  SELECT heads.conv_id, 1 AS part, t.k, t.text, t.digest FROM heads JOIN t ON t.conv_id = heads.conv_id WHERE t.k > heads.h),
+placed AS (SELECT conv_id, text, digest, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS d FROM r),
+prefixes AS (
+  SELECT conv_id, d, length(text) AS chars, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d) AS prefix FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+last AS (SELECT conv_id, max(d) AS m FROM prefixes GROUP BY conv_id),
+node AS (SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n, max(chars) AS chars FROM prefixes GROUP BY d, prefix),
+ends AS (
+  SELECT p.prefix, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids FROM prefixes AS p JOIN last ON last.conv_id = p.conv_id AND last.m = p.d GROUP BY p.prefix),
+kids AS (SELECT left(prefix, 32 * (d - 1)) AS prefix, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+up AS (
+  SELECT p.prefix, sum((node.n - 1) * node.chars) AS saved, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM node LEFT JOIN kids ON kids.prefix = node.prefix JOIN prefixes AS p ON p.conv_id = node.conv_id AND p.d <= node.d GROUP BY p.prefix)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, CAST(node.n AS BIGINT) AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+       CAST(up.leaves AS BIGINT) AS n_leaves, CAST(up.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM node JOIN up ON up.prefix = node.prefix LEFT JOIN kids ON kids.prefix = node.prefix LEFT JOIN ends ON ends.prefix = node.prefix
+LEFT JOIN node AS parent ON node.d > 0 AND parent.prefix = left(node.prefix, 32 * (node.d - 1))""",
 }
