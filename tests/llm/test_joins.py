@@ -219,3 +219,32 @@ def test_trie(spark, monkeypatch, turns, piece):
 def test_trie_of_nothing(spark):
     table = spark.createDataFrame([(None, 1, "user", "x")], "conv_id long, turn long, role string, text string")
     assert prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.said(table))).collect() == []
+
+
+# --- long runs without blanks, and mark-up that never ends
+
+
+def test_surrogates_of_long_runs(spark):
+    """Half a million characters of each form, in time that is far below a quadratic scan's."""
+    import time
+
+    from voxframe.llm import pii
+
+    runs = ["x", "1", ".", "a.", "@", "a@", "a@b.", "PASSWORD=", "Mr ", "Mr X", "王", "ab:", "0" * 32, "sk-", "+1 ", "a1", "DE44 ", "''", "token=\""]
+    texts = [run * (500_000 // len(run)) + " password=abcdef1 " for run in runs]
+    began = time.time()
+    got = pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), "k").collect()
+    assert len(got) == len(runs) and all("abcdef1" not in r.text for r in got)
+    assert time.time() - began < 240
+
+
+def test_pages_that_never_end():
+    import time
+
+    from voxframe.llm import html_extract
+
+    model = html_extract.train(pages=60, rounds=2)
+    for form in ["<a ", '<a "', "<a '\"", "<!--", "<", "<! ", "</", "<div>", "<span>", "</x>", "<p><object><span>", "<svg>", "<li>", "<b><p></p>", "&", 'id="']:
+        began = time.time()
+        assert isinstance(model.main_text("<article><p>" + form * (1_000_000 // len(form))), str)
+        assert time.time() - began < 60, form

@@ -21,7 +21,8 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import pyarrow as pa
@@ -51,13 +52,76 @@ FENCES = set("object template select".split())
 REGIONS = set("article main nav header footer aside form dialog".split())
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote figcaption".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z])|<[!?/]")
+_BREAK, _NAME_END, _CLOSE = re.compile(r"""[>"']"""), re.compile(r"[\s/>]"), re.compile(">")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 SCHEMA = "page_id long, url string, text string, n_chars long"
 SLOTS = 4096
 
 
+class Tags:
+    """The tags of a page, in one pass: a tag ends with the first > that no quotes hold; a < without one is text.
+
+    Where a scan from one place has ended, or that none ends, is remembered, so unclosed tags don't read on to the end again.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self._seen: dict[re.Pattern, tuple[int, int]] = {}
+        self._ends: dict[int, int] = {}
+
+    def _next(self, what: re.Pattern, at: int) -> int:
+        """Where ``what`` is found from ``at`` on, or -1."""
+        low, found = self._seen.get(what, (1, 0))
+        if not low <= at <= (found if found >= 0 else len(self.source)):
+            m = what.search(self.source, at)
+            found = m.start() if m else -1
+            self._seen[what] = (at, found)
+        return found
+
+    def _end(self, at: int) -> int:
+        """The place of the > that ends a tag whose rest begins at ``at``, or -1."""
+        way = []
+        while True:
+            place = self._next(_BREAK, at)
+            if place < 0 or self.source[place] == ">":
+                break
+            if place in self._ends:
+                place = self._ends[place]
+                break
+            way.append(place)
+            at = self.source.find(self.source[place], place + 1) + 1
+            if not at:
+                place = -1
+                break
+        for quote in way:
+            self._ends[quote] = place
+        return place
+
+    def find(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start, end, slash, name (empty for comments and declarations) and attributes of the next tag."""
+        source = self.source
+        while True:
+            m = _OPEN.search(source, at)
+            if m is None:
+                return None
+            start = m.start()
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(source), "", "", ""
+            if m[2]:
+                name_end = self._next(_NAME_END, m.start(2) + 1)
+                end = self._end(name_end) if name_end >= 0 else -1
+                if end >= 0:
+                    return start, end + 1, m[1], source[m.start(2) : name_end], source[name_end:end]
+            if source[start + 1] in "!?/":
+                end = self._next(_CLOSE, start + 2)
+                if end >= 0:
+                    return start, end + 1, "", "", ""
+            at = start + 1
+
+
 class Page:
     """Nodes of block elements in page order (parents first) and the runs of text between their borders."""
 
@@ -67,41 +131,53 @@ class Page:
         self.runs: list[tuple[int, str]] = []
         self._own: list[str] = []
         stack: list[tuple[str, int]] = [("#page", 0)]
+        open_at = defaultdict(list, {"#page": [0]})  # the places of each tag's elements on the stack
         hidden = links = 0
         at, end = 0, len(source)
         last: dict[str, int] = {}
+        tags = Tags(source)
 
         def closed(tag: str) -> bool:
             if tag not in last:
                 last[tag] = max((x.start() for x in re.finditer(rf"</{tag}[\s>]", source, re.I)), default=-1)
             return last[tag] >= at
 
+        def cut(deep: int) -> None:
+            """Takes the elements from ``deep`` on off the stack, and off the counts of hidden elements and links."""
+            nonlocal hidden, links
+            for t, _ in stack[deep:]:
+                open_at[t].pop()
+                hidden -= t in HIDDEN
+                links -= t == "a"
+            del stack[deep:]
+
+        def innermost(some: Iterable[str]) -> int:
+            return max((open_at[t][-1] for t in some if open_at[t]), default=0)
+
         while at < end:
-            m = _TAG.search(source, at)
-            between = source[at : m.start() if m else end]
+            m = tags.find(at)
+            between = source[at : m[0] if m else end]
             if between:
                 if stack[-1][0] == "head" and not between.isspace():
-                    hidden, links = self._cut(stack, len(stack) - 1, hidden, links)
+                    cut(len(stack) - 1)
                 self._text(between, stack, hidden, links)
             if m is None:
                 break
-            at = m.end()
-            if not m[2]:
+            _, at, slash, name, attributes = m
+            if not name:
                 continue
-            tag = m[2].lower()
-            if m[1]:
-                deep = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+            tag = name.lower()
+            if slash:
+                deep = innermost([tag])
                 if not deep:
                     continue
                 if tag not in INLINE:
                     self._border(stack)
-                hidden, links = self._cut(stack, deep, hidden, links)
+                cut(deep)
                 continue
-            head = len(stack) - 1
-            if tag == "body":
-                head = next((k for k in range(head, 0, -1) if stack[k][0] == "head"), head)
+            head = (innermost(["head"]) if tag == "body" else 0) or len(stack) - 1
             if stack[head][0] == "head" and tag not in HEAD:
-                hidden, links = self._cut(stack, head, hidden, links)
+                cut(head)
             if tag == "br":
                 self._own.append(" ")
             if tag in VOID:
@@ -115,17 +191,15 @@ class Page:
             if tag not in INLINE:
                 self._border(stack)
                 if hidden and (tag in CLOSES_P or tag in LEAVES):
-                    open_ = next((k for k in range(1, len(stack)) if stack[k][0] in HIDDEN - {"head"} and not closed(stack[k][0])), 0)
+                    open_ = min((open_at[t][0] for t in HIDDEN - {"head"} if open_at[t] and not closed(t)), default=0)
                     if open_:
-                        hidden, links = self._cut(stack, open_, hidden, links)
-                ended = ENDS.get(tag) or ({"p"} if tag in CLOSES_P else None)
-                if ended:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in ended:
-                            hidden, links = self._cut(stack, k, hidden, links)
-                        elif stack[k][0] in SCOPE or (stack[k][0] in FENCES and closed(stack[k][0])):
-                            break
-                names = " ".join(next(x for x in g if x) for g in _NAMES.findall(m[3]) if any(g)).lower() if m[3] else ""
+                        cut(open_)
+                ended = ENDS.get(tag) or ({"p"} if tag in CLOSES_P else ())
+                while deep := innermost(ended):
+                    if deep < innermost(SCOPE - ended) or deep < innermost(t for t in FENCES if open_at[t] and closed(t)):
+                        break
+                    cut(deep)
+                names = " ".join(next(x for x in g if x) for g in _NAMES.findall(attributes) if any(g)).lower() if attributes else ""
                 self.tag.append(tag)
                 self.names.append(names)
                 self.parent.append(stack[-1][1])
@@ -136,18 +210,10 @@ class Page:
                 node = stack[-1][1]
             hidden += tag in HIDDEN
             links += tag == "a"
+            open_at[tag].append(len(stack))
             stack.append((tag, node))
         self._border(stack)
 
-    @staticmethod
-    def _cut(stack: list, deep: int, hidden: int, links: int) -> tuple[int, int]:
-        """Takes the elements from ``deep`` on off the stack; the counts of hidden elements and links that stay open."""
-        for t, _ in stack[deep:]:
-            hidden -= t in HIDDEN
-            links -= t == "a"
-        del stack[deep:]
-        return hidden, links
-
     def _text(self, raw: str, stack: list, hidden: int, links: int) -> None:
         if hidden <= 0:
             text = html.unescape(raw) if "&" in raw else raw

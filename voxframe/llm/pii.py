@@ -14,6 +14,8 @@ attempt, other kinds by a digit from the ninth on, so that there is always room.
 are joined to the texts by a hash of the text: a list that is meant for another text of that hash does no harm, as a surrogate
 holds for the whole table. Texts are shuffled only in that join, where the lists are too many to broadcast.
 
+Patterns are of bounded length or begin where a run of their signs begins, so a text of one long run takes no longer than any other.
+
 Edge cases: a null text stays null and an empty one empty, with no entities; a null doc_id plays no part; repeated rows get equal
 texts; texts of any length are read whole; an empty table gives an empty result; other columns, whatever their names, are kept.
 """
@@ -66,14 +68,17 @@ _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "|".join(t for own in TITLES.values() for t in own)
 #: Kind and pattern; of two that begin at one place the first counts.
 PATTERNS = [
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[\p{L}0-9-]{1,63}\.){1,16}[A-Za-z]{2,63}"),
     ("key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("key", r"(?<![A-Za-z0-9])(?:ghp|gho|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16,}"),
     ("secret", r"(?<=[=:])(?<=(?:password|passwd|pwd|secret|token|api_key)[=:])[^\s\"',;]{6,}"),
-    ("secret", r"(?<=[=:\s])(?<=[=:]\s{0,2})(?<=(?i:password|passwd|pwd|secret|token|api_key)\s{0,2}[=:]\s{0,2})(?=\S*[0-9])[^\s\"',;]{6,}"),
+    ("secret", r"(?<=[=:\s])(?<=[=:]\s{0,2})(?<=(?i:password|passwd|pwd|secret|token|api_key)\s{0,2}[=:]\s{0,2})(?=\S{0,255}[0-9])[^\s\"',;]{6,}"),
+    ("secret", r"(?<=[\"'])(?<=(?i:password|passwd|pwd|secret|token|api_key)[\"']?\s{0,2}[=:]\s{0,2}[\"'])[^\s\"']{6,}(?=[\"'])"),
+    ("secret", r"(?<=Bearer )[A-Za-z0-9._~+/=-]{16,}"),
     ("key", r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("mac", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])"),
+    ("ip6", r"(?<![\w:])(?=[0-9A-Fa-f:]{6,39}(?![\w:]))(?=[A-Fa-f:]{0,38}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"),
     ("phone", r"(?<![\w+])\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"),
     ("phone", r"(?<![\w+])\+(?=(?:[ .-]?[0-9]){7,15}(?![0-9]))[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){2,7}(?![0-9])"),
     ("phone", r"(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
@@ -90,7 +95,7 @@ FINDER = "|".join(p for _, p in PATTERNS)
 #: A text without any of these has no entity; they are cheaper to look for. Each pattern above has a part here that it can't
 #: match without: first what needs no digit or sign, then signs of which a text has one, then what is around them.
 PLAIN_HINT = "|".join([
-    rf"(?=[\p{{Lu}}ا{CHINESE}])(?:(?<!\p{{L}})(?:{_TITLE}|{'|'.join(n for own in GIVEN.values() for n in own)})[. ]|AKIA|ASIA|[{CHINESE}]\p{{IsHan}}{{1,2}}(?:先生|女士|小姐))",
+    rf"(?=[\p{{Lu}}ا{CHINESE}])(?:(?<!\p{{L}})(?:{_TITLE}|{'|'.join(n for own in GIVEN.values() for n in own)})[. ]|AKIA|ASIA|Bearer |[{CHINESE}]\p{{IsHan}}{{1,2}}(?:先生|女士|小姐))",
     "(?=[gspx])(?:ghp|gho|sk|pk|xox[abp])[_-][A-Za-z0-9_-]{16}|[a-f]{32}",
 ])
 SIGN_HINT = "[0-9@=:+]"
@@ -220,7 +225,7 @@ def canonical(kind: Column, entity: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
-        .when(kind.isin("email", "mac", "surname", "given"), F.lower(entity))
+        .when(kind.isin("email", "mac", "ip6", "surname", "given"), F.lower(entity))
         .otherwise(entity)
     )
 
@@ -240,7 +245,7 @@ def surrogate(key: str, p: Column) -> Column:
         .when(kind.isin("phone", "ssn"), _digits_only(text, stream))
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", _card(text, stream))
-        .when((kind == "mac") | ((kind == "key") & text.rlike("^[0-9a-f]+$")), _hex(text, stream))
+        .when(kind.isin("mac", "ip6") | ((kind == "key") & text.rlike("^[0-9a-f]+$")), _hex(text, stream))
         .when(kind == "secret", _shaped(text, stream, signs=True))
         .otherwise(_shaped(text, stream, keep=F.when(kind == "iban", 2).otherwise(4)))
     )
