@@ -7,9 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import cross, length
-from .grids import AXES
-from .sampling import sample
+from ..functions.values import clamp, cross, length
+from ._tables import kept
+from .grids import AXES, array_bricks
+from .sampling import BRICK, REACH, gradient_bricks, gradient_reach, sample, sample_bricks
 
 RAY = ["view", "px", "py"]
 #: Entries an axis of tables that are broadcast at most (a million entries of 40 bytes).
@@ -73,6 +74,108 @@ def line_integrals(clipped: DataFrame, grid: DataFrame, res: Sequence[int], box_
     return composite(seen.select(*by, *RAY, "k", "t", "rgba.*"), early_out=early_out, key=[*by, *RAY])
 
 
+def _in_grid(at: Column, axis: str, res: Sequence[int], box_min: Sequence[float], box_size: Sequence[float]) -> Column:
+    """The object coordinate of a world coordinate, held at the border."""
+    k = AXES.index(axis)
+    return clamp((at - box_min[k]) / box_size[k] * float(res[k] - 1), 0.0, float(res[k] - 1))
+
+
+def brick_runs(clipped: DataFrame, res: Sequence[int], box_min: Sequence[float], box_size: Sequence[float], step: float, brick: int = BRICK, by: Sequence[str] = ()) -> DataFrame:
+    """The steps of each ray cut where it passes from brick to brick: run (0, 1, ...), bx, by, bz, k0 .. k1.
+
+    One row a ray and brick, from the ray's own row: no step has a row, and nothing is shuffled.
+    """
+    last = F.floor((F.col("tmax") - F.col("tmin")) / step).cast("int")
+    count = [-(-n // brick) for n in res]
+
+    def name(k: Column) -> Column:
+        place = []
+        for a, n in zip(AXES, res):
+            o = _in_grid(F.col(f"e{a}") + (F.col("tmin") + k * step) * F.col(f"d{a}"), a, res, box_min, box_size)
+            place.append(F.floor(clamp(o.cast("int"), 0, n - 1) / brick).cast("long"))
+        return place[0] + count[0] * (place[1] + count[1] * place[2])
+
+    named = clipped.withColumn("__last", last).withColumn("__names", F.transform(F.sequence(F.lit(0), F.col("__last")), name))
+    borders = F.filter(F.sequence(F.lit(0), F.col("__last")), lambda k: (k == 0) | (F.get("__names", k) != F.get("__names", k - 1)))
+    cut = named.withColumn("__borders", borders)
+    runs = F.transform("__borders", lambda k, i: F.struct(i.alias("run"), F.get("__names", k).alias("name"), k.alias("k0"), (F.coalesce(F.get("__borders", i + 1), F.col("__last") + 1) - 1).alias("k1")))
+    out = cut.select(*by, *RAY, "tmin", *(f"e{a}" for a in AXES), *(f"d{a}" for a in AXES), F.inline(runs))
+    places = (F.col("name") % count[0], F.floor(F.col("name") / count[0]) % count[1], F.floor(F.col("name") / (count[0] * count[1])))
+    return out.withColumns({f"b{a}": p.cast("int") for a, p in zip(AXES, places)}).drop("name")
+
+
+def march(clipped: DataFrame, grid: DataFrame, res: Sequence[int], box_min: Sequence[float], box_size: Sequence[float], step: float, tf: Callable[[Column, Column], Column], early_out: float = 1.0, dmin: float | None = None, normals: bool = False, by: Sequence[str] = (), brick: int = BRICK) -> DataFrame:
+    """Images of all clipped rays: r, g, b, alpha, depth (and nx, ny, nz) of each ray, and samples, the number of values read for it.
+
+    The same as ``line_integrals`` with ``early_out``, but steps become rows only where they count. Bricks know the range of their
+    values, and those below ``dmin``, where nothing absorbs, are left out. The other runs of steps are taken from front to back in rounds of
+    1, 2, 4, ... bricks a ray; rays of which no more than 1 - ``early_out`` of the light is left take no part in the next one. So the rows
+    fall with opacity and empty space, and the number of rounds is the logarithm of the bricks on a ray.
+
+    ``normals``: blends unit gradients with the weights of the colours; they are read only where a value reaches ``dmin``. Values
+    below ``dmin`` are -1 as previous values.
+    """
+    key, halo = [*by, *RAY], gradient_reach() if normals else REACH["linear"]
+    bricks = kept(array_bricks(grid, res, brick, *halo, by))
+    runs = brick_runs(clipped, res, box_min, box_size, step, brick, by)
+    if dmin is not None:
+        full = bricks.where(F.array_max("cells") >= dmin).select(*by, "bx", "by", "bz")
+        runs = runs.join(full, [*by, "bx", "by", "bz"], "left_semi")
+    runs = kept(runs)
+    last = runs.agg(F.max("run")).first()[0]
+    sums = ["r", "g", "b", "alpha", "depth", *(f"n{a}" for a in AXES if normals)]
+    nothing = {c: F.lit(0.0) for c in [*sums, "absorbed"]} | {"samples": F.lit(0).cast("long"), "last_k": F.lit(None).cast("int"), "last_value": F.lit(None).cast("double")}
+    live, done = clipped.select(*key).withColumns(nothing), []
+    first, count = 0, 1
+    while last is not None and first <= last:
+        now = runs.where((F.col("run") >= first) & (F.col("run") < first + count)).join(live.select(*key, "absorbed", "last_k", "last_value"), key)
+        seen = _march_samples(now, bricks, res, box_min, box_size, step, halo, dmin, normals, key, by, brick)
+        part = _march_sums(seen, tf, early_out, dmin, sums, key)
+        met = live.join(part, key, "left")
+        new = {c: F.col(c) + F.coalesce(f"{c}_", F.lit(0)) for c in [*sums, "absorbed", "samples"]} | {c: F.coalesce(f"{c}_", c) for c in ("last_k", "last_value")}
+        live = kept(met.select(*key, *(v.alias(c) for c, v in new.items())))
+        if early_out < 1:
+            over = F.exp(-F.col("absorbed")) <= 1 - early_out
+            done.append(live.where(over))
+            live = live.where(~over)
+        first, count = first + count, 2 * count
+    for more in done:
+        live = live.union(more)
+    return live.select(*key, *sums, "samples")
+
+
+def _march_samples(runs: DataFrame, bricks: DataFrame, res: Sequence[int], box_min: Sequence[float], box_size: Sequence[float], step: float, halo: tuple[int, int], dmin: float | None, normals: bool, key: Sequence[str], by: Sequence[str], brick: int) -> DataFrame:
+    """k, t, value (and gx, gy, gz in world space) at all steps of some runs."""
+    steps = runs.withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumn("t", F.col("tmin") + F.col("k") * step)
+    steps = steps.withColumns({f"o{a}": _in_grid(F.col(f"e{a}") + F.col("t") * F.col(f"d{a}"), a, res, box_min, box_size) for a in AXES}).drop("bx", "by", "bz")
+    own = [*key, "absorbed", "last_k", "last_value", "k", "t"]
+    if not normals:
+        return sample_bricks(steps, bricks, res, brick, own, "linear", by, halo)
+    seen = gradient_bricks(steps, bricks, res, brick, own, 1.0, by, value=True)
+    return seen.withColumns({f"g{a}": F.col(f"g{a}") * ((n - 1) / size) for a, n, size in zip(AXES, res, box_size)})
+
+
+def _march_sums(seen: DataFrame, tf: Callable[[Column, Column], Column], early_out: float, dmin: float | None, sums: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """What the steps of a round add to each ray's sums (named with _), and the last of them."""
+    line = Window.partitionBy(*key).orderBy("k")
+    before = F.struct("k", "value")
+    lag = F.coalesce(F.lag(before).over(line), F.when(F.col("last_k").isNotNull(), F.struct(F.col("last_k").alias("k"), F.col("last_value").alias("value"))))
+    previous = F.when(F.col("before.k") == F.col("k") - 1, F.col("before.value")).otherwise(-1.0)
+    if dmin is not None:
+        previous = F.when(previous >= dmin, previous).otherwise(-1.0)
+    steps = seen.withColumn("before", lag).withColumn("rgba", tf(F.col("value"), previous))
+    steps = steps.withColumn("a", F.col("rgba.a") if dmin is None else F.when(F.col("value") >= dmin, F.col("rgba.a")).otherwise(0.0))
+    so_far = F.coalesce(F.sum("a").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    steps = steps.withColumn("left", F.exp(-(F.col("absorbed") + so_far)))
+    weight = F.when(F.col("left") > 1 - early_out, F.col("left") * (1 - F.exp(-F.col("a")))).otherwise(0.0) if early_out < 1 else F.col("left") * (1 - F.exp(-F.col("a")))
+    of = {"r": F.col("rgba.r"), "g": F.col("rgba.g"), "b": F.col("rgba.b"), "alpha": F.lit(1.0), "depth": F.col("t")}
+    if "nx" in sums:
+        size = F.greatest(length([F.col(f"g{a}") for a in AXES]), F.lit(1e-30))
+        of |= {f"n{a}": F.col(f"g{a}") / size for a in AXES}
+    added = [F.sum(weight * of[c]).alias(f"{c}_") for c in sums]
+    return steps.groupBy(*key).agg(*added, F.sum("a").alias("absorbed_"), F.count("*").alias("samples_"), F.max("k").alias("last_k_"), F.max_by("value", "k").alias("last_value_"))
+
+
 def image_from_samples(rays: DataFrame, samples: int, key: Sequence[str] = RAY) -> DataFrame:
     """Means over the sub-pixel samples; depth is weighted by alpha."""
     total = F.sum("alpha")

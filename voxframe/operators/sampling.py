@@ -204,18 +204,30 @@ def gradient_at(points: DataFrame, grid: DataFrame, res: Sequence[int], key: Seq
 
     All six samples are read from the one brick of a point, whose halo reaches one step further.
     """
-    reach = 1 + math.ceil(step)
-    bricks = array_bricks(grid, res, BRICK, reach, reach + 1)
+    low, high = gradient_reach(step)
+    return gradient_bricks(points, array_bricks(grid, res, BRICK, low, high), res, BRICK, key, step)
+
+
+def gradient_reach(step: float = 1.0) -> tuple[int, int]:
+    """The halo, before and behind, of bricks from which gradients are read."""
+    return 1 + math.ceil(step), 2 + math.ceil(step)
+
+
+def gradient_bricks(points: DataFrame, bricks: DataFrame, res: Sequence[int], brick: int, key: Sequence[str], step: float = 1.0, by: Sequence[str] = (), value: bool = False) -> DataFrame:
+    """key, gx, gy, gz and, if asked for, the linear sample itself as value, from bricks with the halo of ``gradient_reach``."""
+    low, high = gradient_reach(step)
     taps = {}
     for a, n in zip(AXES, res):
         for name, move in (("", 0.0), ("m", -step), ("p", step)):
             taps[a + name] = linear_taps(clamp(F.col(f"o{a}") + move, 0.0, float(n - 1)))
-    met, seen = _weights(_met(points, bricks, res, BRICK, (reach, reach + 1)), taps, res, BRICK, reach, reach + 1)
+    met, seen = _weights(_met(points, bricks, res, brick, (low, high), by), taps, res, brick, low, high)
     out = []
     for a in AXES:
         ends = [_read(F.col("cells"), *(seen[b + (side if b == a else "")] for b in AXES)) for side in ("p", "m")]
         out.append(((ends[0] - ends[1]) * (0.5 / step)).alias(f"g{a}"))
-    return met.select(*key, *out)
+    if value:
+        out.append(_read(F.col("cells"), *(seen[b] for b in AXES)).alias("value"))
+    return met.select(*key, *(c for c in by if c not in key), *out)
 
 
 def curvature(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:

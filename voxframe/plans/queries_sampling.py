@@ -455,6 +455,38 @@ def r9(spark, d):
     return result(ry.line_integrals(view(spark, d)[1], dense(spark, d), RES, (0, 0, 0), (1, 1, 1), 0.0517, lambda c, p: v.tf_piecewise(c, PIECES, 0.0517)))
 
 
+# values below 0.45 are empty: steps there neither absorb nor have a colour
+DMIN = 0.45
+MARCHED = f"{SEEN}, co AS (SELECT view, px, py, k, t, {', '.join(f'{pieces_sql(chr(118) + chr(97) + chr(108) + chr(117) + chr(101), c)} AS {n}' for c, n in enumerate('rgb'))}, CASE WHEN value >= {DMIN}e0 THEN ({pieces_sql('value', 3)}) * 0.0517e0 * 40 ELSE 0 END AS a FROM se), cw AS (SELECT *, exp(-coalesce(sum(a) OVER (PARTITION BY view, px, py ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lft FROM co)"
+
+
+def marched(spark, d, **how):
+    return ry.march(view(spark, d)[1], dense(spark, d), RES, (0, 0, 0), (1, 1, 1), 0.0517, lambda c, p: v.tf_piecewise(c, PIECES, 0.0517 * 40), brick=4, **how)
+
+
+def marched_sql(early: str) -> str:
+    w = f"CASE WHEN lft > 1 - {early} THEN lft * (1 - exp(-a)) ELSE 0 END"
+    return f"WITH {MARCHED} SELECT view::BIGINT AS view, px::BIGINT AS px, py::BIGINT AS py, " + ", ".join(f"{R6(f'sum({w} * {c})')} AS {n}" for n, c in (("r", "r"), ("g", "g"), ("b", "b"), ("alpha", "1"), ("depth", "t"))) + " FROM cw GROUP BY 1, 2, 3"
+
+
+@query("r9_march_bricks", marched_sql("0.7e0"))
+def r9m(spark, d):
+    return result(marched(spark, d, early_out=0.7, dmin=DMIN).drop("samples"))
+
+
+_MOVED = {f"{a}{s}": ", ".join(f"o{b}" if b != a else f"least(greatest(o{a} {'+' if s == 'p' else '-'} 1, 0), {n - 1}) AS o{a}" for b, n in zip("xyz", RES)) for a in "xyz" for s in "pm"}
+NORMALS = MARCHED + "".join(
+    f", o{side} AS (SELECT view, px, py, kk, t, {moved} FROM o), " + RC.replace("k AS (", f"k{side} AS (").replace("FROM o,", f"FROM o{side},") + f", s{side} AS (SELECT view, px, py, kk AS k, sum(w * value) AS v{side} FROM k{side} JOIN dg USING (x, y, z) GROUP BY 1, 2, 3, 4)"
+    for side, moved in _MOVED.items()
+) + ", gn AS (SELECT view, px, py, k, " + ", ".join(f"(v{a}p - v{a}m) * {0.5 * (n - 1)}e0 AS g{a}" for a, n in zip("xyz", RES)) + " FROM " + " JOIN ".join(f"s{side}" + (" USING (view, px, py, k)" if k else "") for k, side in enumerate(_MOVED)) + "), nn AS (SELECT view, px, py, k, " + ", ".join(f"g{a} / greatest(sqrt(gx * gx + gy * gy + gz * gz), 1e-30) AS n{a}" for a in "xyz") + " FROM gn)"
+
+
+@query("r4_r5_normals", f"WITH {NORMALS} SELECT view::BIGINT AS view, px::BIGINT AS px, py::BIGINT AS py, {R6('sum(lft * (1 - exp(-a)))')} AS alpha, " + ", ".join(f"{R6(f'sum(lft * (1 - exp(-a)) * n{a})')} AS n{a}" for a in "xyz") + " FROM cw JOIN nn USING (view, px, py, k) GROUP BY 1, 2, 3")
+def r5n(spark, d):
+    """Normals along rays, blended with the weights of the colours."""
+    return result(marched(spark, d, dmin=DMIN, normals=True).select(*ry.RAY, "alpha", "nx", "ny", "nz"))
+
+
 @query("d10_screen_samples", f"WITH {COMP}, im AS (SELECT view, px, py, sum(lft * (1 - exp(-a)) * r) AS r, sum(lft * (1 - exp(-a))) AS alpha FROM cw GROUP BY 1, 2, 3) SELECT view::BIGINT AS view, px::BIGINT AS px, py::BIGINT AS py, {R6('r')} AS r, {R6('alpha')} AS alpha FROM im WHERE alpha * 0.9e0 + 0.1e0 >= {plastic_sql('(view * 144 + py * 12 + px)', 0, 1)}")
 def d10(spark, d):
     kept = pt.screen_samples(image(spark, d), F.col("view") * 144 + F.col("py") * 12 + F.col("px"), 0.1)
