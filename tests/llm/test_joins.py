@@ -124,9 +124,10 @@ def brute_components(rows):
     return {d: find(d) for d in low}
 
 
-@pytest.mark.parametrize("part", [256, 3])
-def test_ngram_join(spark, monkeypatch, part):
+@pytest.mark.parametrize(("part", "block"), [(256, 512), (3, 2)])
+def test_ngram_join(spark, monkeypatch, part, block):
     monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = list(enumerate(join_texts()))
     rng.shuffle(rows)
     rows = [(1000 - d if d % 2 else d, t) for d, t in rows]  # the smallest id isn't always the original
@@ -163,6 +164,21 @@ def test_no_similar_pair_fails_to_meet():
         assert set(names[where == 0]) & set(names[where == 1]) or len(x) == len(y) == len(h)
 
 
+def test_sketches_never_differ_more_than_their_sets():
+    import numpy as np
+
+    from voxframe.llm._np import mix
+
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        h = np.unique(mix(r.integers(0, 1 << 62, int(r.integers(1, 900))).astype(np.uint64)))
+        x, y = (np.sort(r.choice(h, max(1, int(len(h) * r.uniform(0.5, 1))), replace=False)) for _ in range(2))
+        one, two = (np.frombuffer(ngram_join.sketches(np.zeros(len(z), np.int64), z, np.array([len(z)]), 90)[0], np.uint64)[None, :] for z in (x, y))
+        width = min(one.shape[1], two.shape[1])
+        differ = int(np.bitwise_count(ngram_join._folded(one, width) ^ ngram_join._folded(two, width)).sum())
+        assert differ <= len(np.setxor1d(x, y))
+
+
 # --- prefix trie
 
 

@@ -8,10 +8,13 @@ n-grams say little and are left out of texts that have at most m of them; texts
 other orders, and only those that stay poor after that use them. This loses no pair.
 
 Where texts meet, the n-grams that both have are counted in each of ``FRAGMENTS`` fragments separately, in tasks of their own,
-and summed for each pair; the sums decide exactly. Not all texts that meet are compared: at first each text with the one centre
-that meets the most others; then, as long as texts of different components meet in a bucket, with eight times as many centres of the
-bucket in every round, until all have been compared or are connected. So the rows of a round don't grow with the square of a group
-unless its texts meet and are nevertheless not connected. The result is exact up to equal 64-bit hashes of n-grams.
+and summed for each pair; the sums decide exactly. Not all texts that meet are counted: at first each text with the one centre
+that meets the most others. Then, where texts of several components meet in a bucket, those outside its largest component are
+held against all others of the bucket by their sketches: bits that each n-gram flips. Two sketches differ in no more bits than
+their sets do in n-grams, so what differs in more than H is no pair; only the rest is counted. While that finds links, and
+``TURNS`` times at most, ``CENTRES`` of a bucket are taken at a time; at last all are, so that every two texts that meet have been compared or are connected.
+Sketches of a bucket are compared in blocks of ``BLOCK`` by ``BLOCK``, inside tasks; no step makes a row for each pair of a group.
+The result is exact up to equal 64-bit hashes of n-grams.
 
 Edge cases: a text with fewer words than an n-gram is one n-gram; null texts and texts without words have the empty set and are
 linked with nothing; rows with a null doc_id have a null component; repeated rows are in one component; rows of one doc_id with
@@ -42,8 +45,14 @@ CUTS = 3
 FRAGMENTS = 8
 #: Members that meet a centre's fragment in one part.
 PART = 256
-#: Growth of the number of centres a round.
-GROWTH = 8
+#: Texts of a bucket that the others are held against at a time, while that finds links.
+CENTRES = 8
+#: Times that this is done at most before all are taken.
+TURNS = 2
+#: Sketches on each side of a comparison.
+BLOCK = 512
+#: Bits of a sketch for each n-gram by which two similar sets may differ.
+SPREAD = 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _LEVEL, _PLACE, _CUT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -110,8 +119,18 @@ def _lower_shingles(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.nda
     return row, h
 
 
+def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -> list[bytes]:
+    """A bit string of each row's set, of which each n-gram flips one; its length is a power of two."""
+    least = SPREAD * 2 * size * (100 - percent) // (100 + percent)
+    bits = 1 << np.clip(np.ceil(np.log2(np.maximum(least, 1))).astype(np.int64), 6, 13)
+    base = np.append(0, np.cumsum(bits))
+    flips = np.bincount(base[row] + (h & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=base[-1]) & 1
+    raw = np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a // 8 : b // 8] for a, b in zip(base, base[1:])]
+
+
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (n-grams), two keys of the set, places (where it meets others)."""
+    """doc_id, n (n-grams), two keys of the set, sketch, places (where it meets others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,11 +145,86 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     keys.append((running[bounds[1:]] - running[bounds[:-1]]).view(np.int64))
                 where, names = meeting_places(row, h, b - a, percent)
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(where, np.arange(b - a + 1)), pa.int32()), pa.array(names.view(np.int64)))
-                yield out_batch(schema, {"doc_id": batch.column(0).slice(a, b - a), "n": n, "key1": keys[0], "key2": keys[1], "places": lists})
+                yield out_batch(schema, {"doc_id": batch.column(0).slice(a, b - a), "n": n, "key1": keys[0], "key2": keys[1], "sketch": sketches(row, h, n, percent), "places": lists})
+        trim()
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("sketch", pa.binary()), ("places", pa.list_(pa.int64()))])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key1 long, key2 long, sketch binary, places array<long>")
+
+
+def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, rep) in the order of buckets, those whose bucket has another row."""
+    held, shared = None, False  # the last row so far, and whether the one before is of its bucket
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        bucket = np.asarray(batch.column(0))
+        same = bucket[1:] == bucket[:-1]
+        begins = held is not None and held.column(0)[0].as_py() == int(bucket[0])
+        if held is not None and (shared or begins):
+            yield held
+        keep = np.append(begins, same) | np.append(same, False)
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+        held, shared = batch.slice(batch.num_rows - 1), bool(keep[-1])
+    if held is not None and shared:
+        yield held
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    while bits.shape[1] > width:
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
+def _by_width(rows: list[tuple]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows (rep, component, n, sketch), for each length of the sketch its words and the rows' reps, components and sizes."""
+    out = []
+    for width in {len(r[3]) for r in rows}:
+        own = [r for r in rows if len(r[3]) == width]
+        words = np.frombuffer(b"".join(r[3] for r in own), np.uint64).reshape(len(own), -1)
+        out.append((width // 8, words, *(np.array([r[k] for r in own], np.int64) for k in range(3))))
+    return out
+
+
+def near_sketches(met: DataFrame, percent: int) -> DataFrame:
+    """member, centre: of rows (bucket, a, b, side, rep, component, n, sketch) the pairs of sides 0 and 1 in a bucket's block (a, b) that
+    are of different components and may be similar by their sketches and sizes. Side 1 streams past."""
+
+    def compare(left: list, right: list) -> Iterator[tuple[int, int]]:
+        for w, x, rep, comp, n in left:
+            for v, y, rep2, comp2, n2 in right:
+                xs, ys = _folded(x, min(w, v)), _folded(y, min(w, v))
+                step = max(1, (1 << 20) // xs.size)
+                for k in range(0, len(ys), step):
+                    part = slice(k, k + step)
+                    differ = np.bitwise_count(xs[:, None, :] ^ ys[None, part, :]).sum(axis=2, dtype=np.int64)
+                    low, high = np.minimum(n[:, None], n2[None, part]), np.maximum(n[:, None], n2[None, part])
+                    ok = (differ * (100 + percent) <= (low + high) * (100 - percent)) & (100 * low >= percent * high) & (comp[:, None] != comp2[None, part])
+                    i, j = np.nonzero(ok)
+                    yield from zip(rep[i].tolist(), rep2[k + j].tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, left = None, [], []
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(c)) for c in range(4)])
+            starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if batch.num_rows else []
+            values = list(zip(*(batch.column(c).to_pylist() for c in range(4, 8))))
+            found = set()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                key, side = tuple(keys[:3, a].tolist()), keys[3, a]
+                if key != now:
+                    now, rows, left = key, [], []
+                if side == 0:
+                    rows += values[a:b]
+                    left = []
+                else:
+                    left = left or _by_width(rows)
+                    found.update((min(p), max(p)) for p in compare(left, _by_width(values[a:b])))
+            yield out_batch(schema, {"member": [p[0] for p in found], "centre": [p[1] for p in found]})
         trim()
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("places", pa.list_(pa.int64()))])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key1 long, key2 long, places array<long>")
+    schema = pa.schema([("member", pa.int64()), ("centre", pa.int64())])
+    return met.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "side").mapInArrow(run, "member long, centre long").distinct()
 
 
 def fragments(docs: DataFrame, size: int) -> DataFrame:
@@ -221,46 +315,63 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     named = own.where("doc_id is not null and n > 0")
     keys = written(named.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")))
     reps = named.join(keys.select(F.col("rep").alias("doc_id"), "key1", "key2"), ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id", "key1", "key2"])
-    buckets = reps.select(F.col("doc_id").alias("rep"), F.explode("places").alias("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(buckets.join(sizes, "bucket").select("bucket", "rep", "n"), free=True)
-    weight = met.groupBy("rep").agg(F.sum("n").alias("weight"))  # most for a text that many others meet
-    shared = written(met.join(weight, "rep").select("bucket", "rep", "n", "weight"))
-    drop(met)
-    nodes = shared.select(F.col("rep").alias("doc_id")).distinct()
+    buckets = reps.select(F.explode("places").alias("bucket"), F.col("doc_id").alias("rep")).repartition("bucket").sortWithinPartitions("bucket")
+    shared = written(buckets.mapInArrow(_met_twice, "bucket long, rep long"), free=True)
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("n"))
+    weight = written(shared.join(sizes, "bucket").groupBy("rep").agg(F.sum("n").alias("weight")))  # most for a text that many others meet
+    nodes = weight.select(F.col("rep").alias("doc_id"))
+    sketch = written(reps.join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "sketch"))
     held = written(fragments(docs.join(nodes, "doc_id", "left_semi"), size).dropDuplicates(["doc_id", "variant", "frag"]), free=True)
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = overlaps(held, pairs).where(F.col("shared") * 100 >= percent * (F.col("mn") + F.col("cn") - F.col("shared")))
-        return written(near.select(F.col("member").alias("a"), F.col("centre").alias("b")).distinct())
+        return written(near.select(F.col("member").alias("a"), F.col("centre").alias("b")).distinct(), free=True)
+
+    def asked(component: DataFrame, turn: int | None) -> DataFrame:
+        """The pairs of different components that meet and may be similar: of ``CENTRES`` texts a bucket outside its largest
+        component (drawn anew each turn), or of all of those."""
+        label = shared.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+        count = label.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        spans = count.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("several")).where("several > 1")
+        rest = written(label.join(spans.select("bucket", "n", F.col("main.n").alias("most"), F.col("main.component").alias("main")), "bucket"))
+        out = rest.where("component <> main")
+        if turn is not None:
+            slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(CENTRES))
+            best = out.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn)).alias("h"), "rep", "component", "n", "most")).alias("c"))
+            out = best.select("bucket", "c.rep", "c.component", "c.n", "c.most")
+        across = F.ceil(F.col("n") / BLOCK)
+        down = F.lit(1).cast("long") if turn is not None else F.ceil((F.col("n") - F.col("most")) / BLOCK)
+        one = out.select("bucket", F.explode(F.sequence(F.lit(0), across - 1)).alias("a"), F.pmod(F.xxhash64("rep", F.lit(1)), down).alias("b"), F.lit(0).cast("long").alias("side"), "rep", "component")
+        other = rest.select("bucket", F.pmod(F.xxhash64("rep", F.lit(2)), across).alias("a"), F.explode(F.sequence(F.lit(0), down - 1)).alias("b"), F.lit(1).cast("long").alias("side"), "rep", "component")
+        met = one.union(other).join(sketch, "rep").select("bucket", "a", "b", "side", "rep", "component", "n", "sketch")
+        near = written(near_sketches(met, percent), free=True)
+        drop(rest)
+        return near
 
-    turn = F.struct((-F.col("weight")).alias("turn"), "rep")
-    centres = shared.groupBy("bucket").agg(F.min(turn).alias("c"))
+    ranked = shared.join(weight, "rep").select("bucket", F.struct((-F.col("weight")).alias("turn"), "rep").alias("c"))
+    centres = ranked.groupBy("bucket").agg(F.min("c").alias("c"))
     first = shared.join(centres, "bucket").where("rep <> c.rep").groupBy("rep").agg(F.min("c").alias("c"))
     pairs = written(first.select(F.col("rep").alias("member"), F.col("c.rep").alias("centre")))
     # rows of one doc_id with different texts are one document
     several = named.groupBy("doc_id").agg(F.min("key1").alias("low"), F.max("key1").alias("high")).where("low <> high").select("doc_id")
     same = written(named.join(several, "doc_id", "left_semi").join(keys, ["key1", "key2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct())
-    found, compared, each = [same, linked(pairs)], [pairs], 1
+    found = [same, linked(pairs)]
+    compared = [pairs.select(F.least("member", "centre").alias("member"), F.greatest("member", "centre").alias("centre"))]
+    component = components(reduce(DataFrame.union, found))
+    turn: int | None = 0
     while True:
-        component = components(reduce(DataFrame.union, found))
-        labelled = shared.where(F.col("n") > each).join(component.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "weight", F.coalesce("component", "rep").alias("component"))
-        spans = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        rest = written(labelled.join(spans, "bucket", "left_semi"))
-        if rest.isEmpty():
-            break
-        each *= GROWTH
-        slot = F.when(F.col("n") <= each, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep", F.lit(each)), F.lit(each)))
-        chosen = rest.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct((-F.col("weight")).alias("turn"), "rep", "component")).alias("c"))
-        chosen = chosen.select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("other"))
-        asked = rest.join(chosen, "bucket").where("component <> other").select(F.least("rep", "centre").alias("member"), F.greatest("rep", "centre").alias("centre")).distinct()
-        done = reduce(DataFrame.union, compared)
-        done = done.select(F.least("member", "centre").alias("member"), F.greatest("member", "centre").alias("centre"))
-        pairs = written(asked.join(done, ["member", "centre"], "left_anti"))
-        drop(rest)
+        near = asked(component, turn)
+        pairs = written(near.join(reduce(DataFrame.union, compared), ["member", "centre"], "left_anti"))
+        drop(near)
+        links = linked(pairs)
         compared.append(pairs)
-        found.append(linked(pairs))
-    drop(shared, held, rest, *compared)
+        found.append(links)
+        some = not links.isEmpty()
+        component = components(reduce(DataFrame.union, found)) if some else component
+        if turn is None:
+            break
+        turn = turn + 1 if some and turn + 1 < TURNS else None
+    drop(shared, held, sketch, weight)
     member = own.select("doc_id", F.col("n").alias("n_shingles"), "key1", "key2").join(keys, ["key1", "key2"], "left")
     out = member.join(component.withColumnRenamed("node", "rep"), "rep", "left")
     full = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
