@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import clamp, quantize_uniform, symbolize
+from ..functions.values import clamp
 from .grids import AXES
+from .stencils import Stack, along, axis_of, filtered, inner, lifted, on_bricks
 
 
 def byte_linear(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -67,17 +68,20 @@ def entropy_bits(histogram: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def code_lengths(counts: Sequence[int]) -> list[int]:
     """Lengths of an optimal prefix code; one symbol alone takes one bit."""
-    heap = [(n, k, [k]) for k, n in enumerate(counts)]
+    n = len(counts)
+    if n < 2:
+        return [1] * n
+    heap = [(c, k) for k, c in enumerate(counts)]
     heapq.heapify(heap)
-    out = [1 if len(counts) == 1 else 0] * len(counts)
-    serial = len(counts)
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        for k in a[2] + b[2]:
-            out[k] += 1
-        heapq.heappush(heap, (a[0] + b[0], serial, a[2] + b[2]))
-        serial += 1
-    return out
+    parent = [0] * (2 * n - 1)
+    for node in range(n, 2 * n - 1):
+        (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[i] = parent[j] = node
+        heapq.heappush(heap, (a + b, node))
+    depth = [0] * (2 * n - 1)
+    for node in range(2 * n - 3, -1, -1):
+        depth[node] = depth[parent[node]] + 1
+    return depth[:n]
 
 
 def huffman_bits(histogram: DataFrame, band: str) -> DataFrame:
@@ -186,112 +190,198 @@ EVEN = [0.0, 0.0337282, -0.0575435, -0.5337281, 1.1150871, -0.5337281, -0.057543
 ODD = [0.0534975, -0.0912718, -0.1564465, 0.5912718, 1.2058980, 0.5912718, -0.1564465, -0.0912718, 0.0534975]
 
 
-def _mirrored(k: Column, n: int) -> Column:
-    """An index reflected at both ends, as often as it takes."""
-    k = F.pmod(k, F.lit(2 * (n - 1)))
-    return F.least(k, 2 * (n - 1) - k)
+def _halved(axis: str, n: int) -> Column:
+    """Where a cell goes: even ones to the low half, odd ones to the high half."""
+    return (F.floor(F.col(axis) / 2) + (F.col(axis) % 2) * (n // 2)).cast("int")
+
+
+def _woven(axis: str, n: int) -> Column:
+    """Where it comes from."""
+    return F.when(F.col(axis) < n // 2, 2 * F.col(axis)).otherwise(2 * (F.col(axis) - n // 2) + 1).cast("int")
+
+
+def _filtered(grid: DataFrame, axes: Sequence[str], even: Sequence[float], odd: Sequence[float], by: Sequence[str]) -> DataFrame:
+    def work(stack: Stack) -> dict[str, np.ndarray]:
+        array = stack.arrays[0]
+        for a in axes:
+            array = filtered(array, a, even, odd)
+        return {"value": array}
+
+    return on_bricks(grid.withColumn("value", F.col("value").cast("double")), work, {"value": "double"}, (4, 4), axes, by, pad="reflect")
+
+
+def dwt_axes(grid: DataFrame, axes: Sequence[str], n: int, by: Sequence[str] = ()) -> DataFrame:
+    """One level along axes of even size n, in one exchange: the low half, then the high half; mirrored at both ends."""
+    return _filtered(grid, axes, LOW, HIGH, by).withColumns({a: _halved(a, n) for a in axes})
+
+
+def idwt_axes(grid: DataFrame, axes: Sequence[str], n: int, by: Sequence[str] = ()) -> DataFrame:
+    """The inverse of dwt_axes (the taps are rounded: errors of about 1e-6)."""
+    return _filtered(grid.withColumns({a: _woven(a, n) for a in axes}), axes, EVEN, ODD, by)
 
 
 def dwt_axis(grid: DataFrame, axis: str, n: int, by: Sequence[str] = ()) -> DataFrame:
-    """One level along an axis of even size n: the low half, then the high half. Each cell is sent to its outputs' sums."""
-    others = [*by, *(a for a in AXES if a != axis)]
-    taps = F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("d")
-    place = grid.sparkSession.range(n).select(F.col("id").cast("int").alias("at"), taps)
-    weight = F.element_at(F.when(F.col("at") % 2 == 0, F.array(*map(F.lit, LOW))).otherwise(F.array(*map(F.lit, HIGH))), F.col("d") + 5)
-    plan = place.select("at", _mirrored(F.col("at") + F.col("d"), n).cast("int").alias(axis), weight.alias("w"))
-    met = grid.join(F.broadcast(plan), axis)
-    target = (F.floor(F.col("at") / 2) + (F.col("at") % 2) * (n // 2)).cast("int")
-    return met.groupBy(*others, target.alias(axis)).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return dwt_axes(grid, [axis], n, by)
 
 
 def idwt_axis(grid: DataFrame, axis: str, n: int, by: Sequence[str] = ()) -> DataFrame:
-    """The inverse of dwt_axis (the taps are rounded: errors of about 1e-6)."""
-    others = [*by, *(a for a in AXES if a != axis)]
-    woven = F.when(F.col(axis) < n // 2, 2 * F.col(axis)).otherwise(2 * (F.col(axis) - n // 2) + 1).cast("int")
-    taps = F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("d")
-    place = grid.sparkSession.range(n).select(F.col("id").cast("int").alias("at"), taps)
-    weight = F.element_at(F.when(F.col("at") % 2 == 0, F.array(*map(F.lit, EVEN))).otherwise(F.array(*map(F.lit, ODD))), F.col("d") + 5)
-    plan = place.select("at", _mirrored(F.col("at") + F.col("d"), n).cast("int").alias("from"), weight.alias("w"))
-    met = grid.withColumn("from", woven).drop(axis).join(F.broadcast(plan), "from")
-    return met.groupBy(*others, F.col("at").alias(axis)).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    return idwt_axes(grid, [axis], n, by)
 
 
-def dwt_forward(grid: DataFrame, n: int, levels: int, by: Sequence[str] = ()) -> DataFrame:
-    """All axes, each level on the low octant of the one before."""
+def _by_level(grid: DataFrame, n: int, levels: Sequence[int], one: Callable[[DataFrame, int], DataFrame], by: Sequence[str]) -> DataFrame:
     out = grid
-    for level in range(levels):
+    for level in levels:
         m = n >> level
-        inner = (F.col("x") < m) & (F.col("y") < m) & (F.col("z") < m)
-        low = out.where(inner)
-        for a in AXES:
-            low = dwt_axis(low, a, m, by)
-        out = low.select(*by, *AXES, "value").unionByName(out.where(~inner).select(*by, *AXES, "value"))
+        inside = (F.col("x") < m) & (F.col("y") < m) & (F.col("z") < m)
+        low = one(out.where(inside), m).select(*by, *AXES, "value")
+        out = low if m == n else low.unionByName(out.where(~inside).select(*by, *AXES, "value"))
     return out
 
 
+def dwt_forward(grid: DataFrame, n: int, levels: int, by: Sequence[str] = ()) -> DataFrame:
+    """All axes, each level on the low octant of the one before; one exchange a level."""
+    return _by_level(grid, n, range(levels), lambda low, m: dwt_axes(low, AXES, m, by), by)
+
+
 def dwt_inverse(grid: DataFrame, n: int, levels: int, by: Sequence[str] = ()) -> DataFrame:
-    out = grid
-    for level in reversed(range(levels)):
-        m = n >> level
-        inner = (F.col("x") < m) & (F.col("y") < m) & (F.col("z") < m)
-        low = out.where(inner)
-        for a in reversed(AXES):
-            low = idwt_axis(low, a, m, by)
-        out = low.select(*by, *AXES, "value").unionByName(out.where(~inner).select(*by, *AXES, "value"))
-    return out
+    return _by_level(grid, n, range(levels)[::-1], lambda low, m: idwt_axes(low, AXES[::-1], m, by), by)
 
 
-def _rounded(v: Column, by: int) -> Column:
-    """Division that rounds halves away from zero."""
-    return (F.signum(v) * F.floor((F.abs(v) + by // 2) / by)).cast("long")
+def dwt_int_axes(grid: DataFrame, axes: Sequence[str], n: int, by: Sequence[str] = ()) -> DataFrame:
+    """Integer lifting along axes of even size, in one exchange: odd cells lose their neighbours' mean, even ones gain a quarter of the odd ones."""
 
+    def work(stack: Stack) -> dict[str, np.ndarray]:
+        array = stack.arrays[0].astype(np.int64)
+        for a in axes:
+            lifted(array, a, 1, 2, -1)
+            lifted(array, a, 2, 4, 1)
+            array = inner(array, [a], 2, 2)
+        return {"value": array}
 
-def dwt_int_axis(grid: DataFrame, axis: str, n: int, by: Sequence[str] = ()) -> DataFrame:
-    """Integer lifting along an axis of even size: odd cells lose their neighbours' mean, even ones gain a quarter of the odd ones."""
-    line = Window.partitionBy(*by, *(a for a in AXES if a != axis)).orderBy(axis)
-    odd = F.col(axis) % 2 == 1
+    whole = grid.withColumn("value", F.col("value").cast("long"))
+    return on_bricks(whole, work, {"value": "long"}, (2, 2), axes, by, pad="reflect").withColumns({a: _halved(a, n) for a in axes})
+
+
+def idwt_int_axes(grid: DataFrame, axes: Sequence[str], n: int, by: Sequence[str] = ()) -> DataFrame:
+    """The inverse of dwt_int_axes, for the same axes in reverse order; it loses nothing."""
 
-    def near(c: str) -> Column:
-        before, after = F.lag(c).over(line), F.lead(c).over(line)
-        return F.coalesce(before, after) + F.coalesce(after, before)
+    def work(stack: Stack) -> dict[str, np.ndarray]:
+        array = stack.arrays[0].astype(np.int64)
+        for a in axes:
+            lifted(array, a, 2, 4, -1)
+            lifted(array, a, 3, 2, 1)
+            array = inner(array, [a], 2, 2)
+        return {"value": array}
 
-    first = grid.withColumn("value", F.when(odd, F.col("value") - _rounded(near("value"), 2)).otherwise(F.col("value")))
-    second = first.withColumn("value", F.when(~odd, F.col("value") + _rounded(near("value"), 4)).otherwise(F.col("value")))
-    return second.withColumn(axis, (F.floor(F.col(axis) / 2) + (F.col(axis) % 2) * (n // 2)).cast("int"))
+    woven = grid.withColumn("value", F.col("value").cast("long")).withColumns({a: _woven(a, n) for a in axes})
+    return on_bricks(woven, work, {"value": "long"}, (2, 2), axes, by, pad="reflect")
+
+
+def dwt_int_axis(grid: DataFrame, axis: str, n: int, by: Sequence[str] = ()) -> DataFrame:
+    return dwt_int_axes(grid, [axis], n, by)
 
 
 def idwt_int_axis(grid: DataFrame, axis: str, n: int, by: Sequence[str] = ()) -> DataFrame:
-    woven = grid.withColumn(axis, F.when(F.col(axis) < n // 2, 2 * F.col(axis)).otherwise(2 * (F.col(axis) - n // 2) + 1).cast("int"))
-    line = Window.partitionBy(*by, *(a for a in AXES if a != axis)).orderBy(axis)
-    odd = F.col(axis) % 2 == 1
+    return idwt_int_axes(grid, [axis], n, by)
+
+
+def _padded(array: np.ndarray, axes: Sequence[str], width: int) -> np.ndarray:
+    return np.pad(array, [(0, 0), *((width, width) if a in axes else (0, 0) for a in reversed(AXES))], mode="reflect")
+
+
+def _transformed(array: np.ndarray, levels: int) -> np.ndarray:
+    """All levels of whole blocks (block, z, y, x) of even sizes."""
+    out = array.copy()
+    for level in range(levels):
+        low = tuple(slice(0, n >> level) for n in array.shape[1:])
+        part = out[(slice(None), *low)]
+        for a in AXES:
+            part = filtered(_padded(part, [a], 4), a, LOW, HIGH)
+            part = np.concatenate([along(part, a, 0, None, 2), along(part, a, 1, None, 2)], axis=axis_of(a))
+        out[(slice(None), *low)] = part
+    return out
+
+
+def _restored(array: np.ndarray, levels: int) -> np.ndarray:
+    out = array.copy()
+    for level in reversed(range(levels)):
+        low = tuple(slice(0, n >> level) for n in array.shape[1:])
+        part = out[(slice(None), *low)]
+        for a in reversed(AXES):
+            woven = np.empty_like(part)
+            half = part.shape[axis_of(a)] // 2
+            along(woven, a, 0, None, 2)[...] = along(part, a, 0, half)
+            along(woven, a, 1, None, 2)[...] = along(part, a, half, None)
+            part = filtered(_padded(woven, [a], 4), a, EVEN, ODD)
+        out[(slice(None), *low)] = part
+    return out
 
-    def near(c: str) -> Column:
-        before, after = F.lag(c).over(line), F.lead(c).over(line)
-        return F.coalesce(before, after) + F.coalesce(after, before)
 
-    first = woven.withColumn("value", F.when(~odd, F.col("value") - _rounded(near("value"), 4)).otherwise(F.col("value")))
-    return first.withColumn("value", F.when(odd, F.col("value") + _rounded(near("value"), 2)).otherwise(F.col("value")))
+def _code_bits(group: np.ndarray, symbol: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of an optimal prefix code and the entropy in bits of each group's symbols."""
+    width = int(symbol.max(initial=0)) + 1
+    key, n = np.unique(group * width + symbol, return_counts=True)
+    of = key // width
+    total = np.bincount(of, n, minlength=groups)
+    entropy = np.bincount(of, -n * np.log2(n / total[of]), minlength=groups)
+    ends = np.searchsorted(of, np.arange(groups + 1))
+    bits = np.array([sum(c * k for c, k in zip(own, code_lengths(own))) for own in (n[a:b].tolist() for a, b in zip(ends, ends[1:]))])
+    return bits, entropy
 
 
-def rate_by_brick(grid: DataFrame, n: int, levels: int, steps: Sequence[float], by: str) -> DataFrame:
-    """by, step: entropy and prefix-code bits, rate against 32-bit floats, rmse of quantised wavelet coefficients.
+def rate_by_brick(grid: DataFrame, n: int, levels: int, steps: Sequence[float], by: str, brick: int | None = None, most: int = 255) -> DataFrame:
+    """by, brick (its number: x, then y, then z), step, cells: prefix-code bits and entropy of quantised wavelet coefficients, run_bits (prefix codes of
+    the non-zero symbols and of the runs of zeros before them, in the order of x, y, z and split at ``most``), rate of ``bits``
+    against 32-bit floats, rmse and psnr.
 
-    The step of a level's band is halved with each level, as errors of coarse bands spread further.
+    Each brick of ``brick`` cells an axis is coded on its own, as a chunk; by default a brick is the whole volume of n cells an axis.
+    The step of a level's band is halved with each level, as errors of coarse bands spread further. One exchange deals cells to
+    their bricks; no coefficient has a row.
     """
-    from .metrics import array_stats
-
-    coefficients = dwt_forward(grid, n, levels, [by])
-    largest = F.greatest(*AXES)
-    level = F.lit(levels - 1)
-    for k in range(levels - 1):
-        level = F.when((largest >= n >> (k + 1)) & (largest < n >> k), k).otherwise(level)
-    each = coefficients.withColumn("step", F.explode(F.array(*map(F.lit, steps)))).withColumn("own", F.col("step") / F.pow(F.lit(2.0), level))
-    q = each.withColumn("q", quantize_uniform(F.col("value"), F.col("own")))
-    named = q.withColumn("band", F.concat_ws("|", F.col(by).cast("string"), F.col("step").cast("string"))).withColumn("symbol", symbolize(F.col("q")))
-    histogram = symbol_histogram(named, ["band"])
-    bits = huffman_bits(histogram, "band").join(entropy_bits(histogram, ["band"]).withColumnRenamed("bits", "entropy"), "band")
-    back = dwt_inverse(q.withColumn("value", F.col("q") * F.col("own")).select(by, "step", *AXES, "value"), n, levels, [by, "step"])
-    pairs = back.select(by, "step", *AXES, F.col("value").alias("predicted")).join(grid.select(by, *AXES, F.col("value").alias("truth")), [by, *AXES])
-    error = array_stats(pairs, [by, "step"]).select(by, "step", "n", "rmse", "psnr")
-    keys = error.withColumn("band", F.concat_ws("|", F.col(by).cast("string"), F.col("step").cast("string")))
-    return keys.join(bits, "band").select(by, "step", "bits", "entropy", (32.0 * F.col("n") / F.col("bits")).alias("rate"), "rmse", "psnr")
+    size = brick or n
+    if n % size or size % (1 << levels):
+        raise ValueError("bricks have to divide the volume, and to be divisible by two for each level")
+    made = {"step": "double", "cells": "long", "bits": "long", "entropy": "double", "run_bits": "long", "rmse": "double", "range": "double", "brick": "long"}
+
+    def work(stack: Stack) -> dict[str, np.ndarray]:
+        array, count = stack.arrays[0], len(stack.rows)
+        coefficients = _transformed(array, levels)
+        places = np.meshgrid(*(np.arange(size) for _ in AXES), indexing="ij")
+        largest = np.maximum.reduce(places)
+        level = np.full(largest.shape, levels - 1)
+        for k in range(levels - 1):
+            level[(largest >= size >> (k + 1)) & (largest < size >> k)] = k
+        cells = size**3
+        reach = array.reshape(count, -1).max(axis=1) - array.reshape(count, -1).min(axis=1)
+        number = sum((stack.first[a] // size) * (n // size) ** k for k, a in enumerate(AXES))
+        out = {c: [] for c in ["rows", *made]}
+        for step in steps:
+            own = step / 2.0**level
+            q = np.trunc(coefficients / own + np.sign(coefficients) * 0.5).astype(np.int64)
+            symbol = (2 * np.abs(q) - (q < 0)).reshape(count, cells)
+            bits, entropy = _code_bits(np.repeat(np.arange(count), cells), symbol.ravel(), count)
+            block, at = np.nonzero(symbol)
+            zeros = np.diff(at, prepend=-1) - 1
+            begins = np.flatnonzero(np.diff(block, prepend=-1))
+            zeros[begins] = at[begins]
+            runs, extra = zeros % (most + 1), zeros // (most + 1)  # a long run is so many full ones and a rest
+            owner, length = np.append(block, np.repeat(block, extra)), np.append(runs, np.full(int(extra.sum()), most))
+            run_bits = _code_bits(block, symbol[block, at], count)[0] + _code_bits(owner, length, count)[0]
+            error = _restored(q * own, levels) - array
+            new = (np.arange(count), np.full(count, step), np.full(count, cells), bits, entropy, run_bits, np.sqrt((error * error).reshape(count, -1).mean(axis=1)), reach, number)
+            for c, v in zip(out, new):
+                out[c].append(v)
+        return {c: np.concatenate(v) for c, v in out.items()}
+
+    each = on_bricks(grid.withColumn("value", F.col("value").cast("double")), work, made, (0, 0), AXES, [by], brick=size, cells=False)
+    rate = 32.0 * F.col("cells") / F.col("bits")
+    return each.select(by, "brick", "step", "cells", "bits", "entropy", "run_bits", rate.alias("rate"), "rmse", (20 * F.log10(F.col("range") / F.col("rmse"))).alias("psnr"))
+
+
+def bricked_or_whole(grid: DataFrame, n: int, levels: int, steps: Sequence[float], by: str, brick: int) -> DataFrame:
+    """by, step: bits and rmse of each volume coded in bricks and as a whole, and the bits that bricks cost more."""
+    parts = rate_by_brick(grid, n, levels, steps, by, brick)
+    square = F.sum(F.col("rmse") * F.col("rmse") * F.col("cells")) / F.sum("cells")
+    cut = parts.groupBy(by, "step").agg(F.sum("bits").alias("brick_bits"), F.sum("entropy").alias("brick_entropy"), F.sqrt(square).alias("brick_rmse"))
+    whole = rate_by_brick(grid, n, levels, steps, by).select(by, "step", F.col("bits").alias("whole_bits"), F.col("entropy").alias("whole_entropy"), F.col("rmse").alias("whole_rmse"))
+    return cut.join(whole, [by, "step"]).withColumn("more", F.col("brick_bits") - F.col("whole_bits"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grids import resample
+from .stencils import Stack, on_bricks, weighted_ahead, whole_windows
 
 
 def l1_l2(pairs: DataFrame, by: Sequence[str] = (), weight_l1: float = 1.0, weight_l2: float = 1.0) -> DataFrame:
@@ -122,20 +124,31 @@ def gaussian_window(size: int, sigma: float = 1.5) -> list[float]:
 
 
 def gaussian_blur(image: DataFrame, axis: str, other: str, size: int, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Weighted sums over ``size`` neighbours along an axis of a dense image, where all of them exist. One window a line."""
-    line = Window.partitionBy(*by, other).orderBy(axis)
+    """Weighted sums over ``size`` neighbours along an axis of a dense image, where all of them exist."""
+    return blur(image, [axis], size, values, by).select(*by, axis, other, *values)
+
+
+def blur(image: DataFrame, axes: Sequence[str], size: int, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The same along several axes at once (by, x, y, values), in one exchange."""
     w = gaussian_window(size)
-    ahead = {v: sum((F.lead(v, k).over(line) * x for k, x in enumerate(w)), F.lit(0.0)) for v in values}
-    out = image.select(*by, axis, other, *(c.alias(v) for v, c in ahead.items()))
-    return out.where(F.col(values[0]).isNotNull())
+
+    def work(stack: Stack) -> dict[str, np.ndarray]:
+        out = {}
+        for v, array in zip(values, stack.arrays):
+            for a in axes:
+                array = weighted_ahead(array, a, w)
+            out[v] = array
+        return out | {"keep": whole_windows(stack, axes)}
+
+    flat = image.select(*by, "x", "y", F.lit(0).alias("z"), *(F.col(v).cast("double").alias(v) for v in values))
+    return on_bricks(flat, work, dict.fromkeys(values, "double"), (0, size - 1), axes, by, values).drop("z")
 
 
 def _ssim_maps(pairs: DataFrame, width: int, height: int, by: Sequence[str]) -> DataFrame:
     size = min(11, width, height)
     x, y = F.col("truth"), F.col("predicted")
     terms = pairs.select(*by, "x", "y", x.alias("mx"), y.alias("my"), (x * x).alias("xx"), (y * y).alias("yy"), (x * y).alias("xy"))
-    names = ["mx", "my", "xx", "yy", "xy"]
-    return gaussian_blur(gaussian_blur(terms, "x", "y", size, names, by), "y", "x", size, names, by)
+    return blur(terms, ["x", "y"], size, ["mx", "my", "xx", "yy", "xy"], by)
 
 
 def ssim(pairs: DataFrame, width: int, height: int, by: Sequence[str] = (), value_range: float = 1.0) -> DataFrame:

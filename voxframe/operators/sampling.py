@@ -11,11 +11,12 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import clamp
 from .grids import AXES, array_bricks, brick_extent
+from .stencils import curvature, gradient  # noqa: F401
 
 #: Cells an axis of the bricks that ``sample`` makes.
 BRICK = 16
@@ -186,17 +187,7 @@ def pair_prediction(truth: DataFrame, predicted: DataFrame, key: Sequence[str])
     return truth.select(*key, F.col("value").alias("truth")).join(predicted.select(*key, F.col("value").alias("predicted")), list(key))
 
 
-# --- stencils
-
-
-def gradient(grid: DataFrame, spacing: Sequence[float] = (1.0, 1.0, 1.0), by: Sequence[str] = (), value: str = "value", names: Sequence[str] = ("gx", "gy", "gz")) -> DataFrame:
-    """Central differences with held borders, of a dense grid; every window is one grid line."""
-    new = {}
-    for a, h, name in zip(AXES, spacing, names):
-        line = Window.partitionBy(*by, *(b for b in AXES if b != a)).orderBy(a)
-        after, before = F.coalesce(F.lead(value).over(line), F.col(value)), F.coalesce(F.lag(value).over(line), F.col(value))
-        new[name] = (after - before) * (0.5 / h)
-    return grid.withColumns(new)
+# --- gradients at points; those of grids are in stencils
 
 
 def gradient_at(points: DataFrame, grid: DataFrame, res: Sequence[int], key: Sequence[str], step: float = 1.0) -> DataFrame:
@@ -228,29 +219,3 @@ def gradient_bricks(points: DataFrame, bricks: DataFrame, res: Sequence[int], br
     if value:
         out.append(_read(F.col("cells"), *(seen[b] for b in AXES)).alias("value"))
     return met.select(*key, *(c for c in by if c not in key), *out)
-
-
-def curvature(grid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Principal curvatures k1 >= k2, their mean and product, from two rounds of central differences of a dense grid."""
-    first = gradient(grid, by=by)
-    h = first
-    for g in AXES:
-        h = gradient(h, by=by, value=f"g{g}", names=[f"h{g}{a}" for a in AXES])
-    size = F.greatest(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz")), F.lit(1e-7))
-    h = h.withColumns({f"s{a}{b}": (F.col(f"h{a}{b}") + F.col(f"h{b}{a}")) * 0.5 for a in AXES for b in AXES}).withColumn("size", size)
-    h = h.withColumns({f"n{a}": -F.col(f"g{a}") / F.col("size") for a in AXES})
-    h = h.withColumns({f"m{a}": sum((F.col(f"s{a}{b}") * F.col(f"n{b}") for b in AXES), F.lit(0.0)) for a in AXES})  # the Hessian times n
-    # trace and squared norm of -PHP / |g| with P = 1 - nn', without the products
-    along = F.col("nx") * F.col("mx") + F.col("ny") * F.col("my") + F.col("nz") * F.col("mz")
-    unit = F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")
-    whole = F.col("sxx") + F.col("syy") + F.col("szz")
-    square = sum((F.col(f"s{a}{b}") * F.col(f"s{a}{b}") for a in AXES for b in AXES), F.lit(0.0))
-    sent = F.col("mx") * F.col("mx") + F.col("my") * F.col("my") + F.col("mz") * F.col("mz")
-    h = h.withColumns({"along": along, "sent": sent, "flat": unit < 0.5})
-    trace = F.when(F.col("flat"), whole).otherwise(whole - F.col("along")) * -1 / F.col("size")
-    norm = F.when(F.col("flat"), square).otherwise(square - 2 * F.col("sent") + F.col("along") * F.col("along")) / (F.col("size") * F.col("size"))
-    h = h.withColumns({"trace": trace, "norm": norm})
-    inner = 2 * F.col("norm") - F.col("trace") * F.col("trace")
-    root = F.when(inner >= 0, F.sqrt(inner))
-    out = h.withColumns({"k1": F.coalesce((F.col("trace") + root) * 0.5, F.lit(0.0)), "k2": F.coalesce((F.col("trace") - root) * 0.5, F.lit(0.0))})
-    return out.select(*by, *AXES, "k1", "k2", ((F.col("k1") + F.col("k2")) * 0.5).alias("mean"), (F.col("k1") * F.col("k2")).alias("product"))

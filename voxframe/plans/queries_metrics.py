@@ -219,7 +219,7 @@ SSIM_T = f"{IMAGES}, ip AS (SELECT image, x, y, value AS mx, trunc(value / 0.125
 @query("w6_gaussian_blur", f"WITH {SSIM_T} SELECT image, x::BIGINT AS x, y::BIGINT AS y, {R6('mx')} AS value FROM t3")
 def w6(spark, d):
     im = images(spark, d).select("image", "x", "y", "value")
-    return result(mt.gaussian_blur(mt.gaussian_blur(im, "x", "y", 11, ["value"], ["image"]), "y", "x", 11, ["value"], ["image"]))
+    return result(mt.blur(im, ["x", "y"], 11, ["value"], ["image"]))
 
 
 @query("a34_ssim", f"WITH {SSIM_T}, c AS (SELECT image, (2 * (xy - mx * my) + 0.0009e0) / (xx - mx * mx + yy - my * my + 0.0009e0) AS c, (2 * mx * my + 0.0001e0) / (mx * mx + my * my + 0.0001e0) AS l FROM t3) SELECT image, {R6('avg(c * l)')} AS ssim, {R6('avg(c)')} AS contrast, {R6('(1 - avg(c * l)) / 2')} AS dssim FROM c GROUP BY 1")
@@ -343,17 +343,57 @@ def w8(spark, d):
 
 @query("w8_dwt_int_round_trip", f"WITH {SMALL} SELECT volume_id, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, trunc(value / 0.005e0 + sign(value) * 0.5e0)::BIGINT AS value FROM v")
 def w8r(spark, d):
-    out = whole(spark, d)
-    for a in "xyz":
-        out = cp.dwt_int_axis(out, a, 4, ["volume_id"])
-    for a in "zyx":
-        out = cp.idwt_int_axis(out, a, 4, ["volume_id"])
-    return result(out)
+    return result(cp.idwt_int_axes(cp.dwt_int_axes(whole(spark, d), "xyz", 4, ["volume_id"]), "zyx", 4, ["volume_id"]))
+
+
+def _each_axis(name: str, source: str, taps: str, axis: str) -> str:
+    """A CTE that filters one axis of 4 cells by a table of taps (at, from, weight)."""
+    others = [a for a in "xyz" if a != axis]
+    keys = "volume_id, step, " if "step" in taps else "volume_id, "
+    return f"{name} AS (SELECT {keys}{', '.join(others)}, o AS {axis}, sum(w * value) AS value FROM {source} JOIN {taps.split()[0]} ON s = {axis} GROUP BY ALL)"
+
+
+def _back_taps() -> str:
+    rows = []
+    for at in range(4):
+        for k in range(9):
+            src = (at + k - 4) % 6
+            src = min(src, 6 - src)
+            place = src // 2 + (src % 2) * 2
+            w = (cp.ODD if at % 2 else cp.EVEN)[k]
+            rows.append(f"({at}, {place}, {w!r}::DOUBLE)")
+    return f"bp(o, s, w) AS (VALUES {', '.join(rows)})"
+
+
+G5_SQL = f"""WITH {SMALL}, {_tap_sql()}, {_back_taps()},
+{_each_axis("f1", "v", "tp", "x")}, {_each_axis("f2", "f1", "tp", "y")}, {_each_axis("f3", "f2", "tp", "z")},
+q AS (SELECT volume_id, step, x, y, z, trunc(value / step + sign(value) * 0.5e0) AS q FROM f3, (VALUES (0.05e0), (0.1e0)) s(step)),
+h AS (SELECT volume_id, step, 2 * abs(q) - CASE WHEN q < 0 THEN 1 ELSE 0 END AS symbol, count(*) AS n FROM q GROUP BY ALL),
+e AS (SELECT volume_id, step, sum(-n * log2(n / 64e0)) AS entropy FROM h GROUP BY ALL),
+b0 AS (SELECT volume_id, step, x, y, z, q * step AS value FROM q),
+{_each_axis("b1", "b0", "bp step", "z")}, {_each_axis("b2", "b1", "bp step", "y")}, {_each_axis("b3", "b2", "bp step", "x")},
+r AS (SELECT b3.volume_id, b3.step, sqrt(avg((b3.value - v.value) * (b3.value - v.value))) AS rmse FROM b3 JOIN v USING (volume_id, x, y, z) GROUP BY ALL)
+SELECT e.volume_id, {R6("e.step")} AS step, 64::BIGINT AS cells, {R6("entropy")} AS entropy, {R6("rmse")} AS rmse FROM e JOIN r ON e.volume_id = r.volume_id AND e.step = r.step"""
+
+
+def rates(spark, d):
+    return cp.rate_by_brick(small_volumes(spark, d).drop("label"), 4, 1, [0.05, 0.1], "volume_id")
+
+
+@query("g5_rate_entropy", G5_SQL)
+def g5e(spark, d):
+    """Cells, entropy and error of the rates, which SQL can express."""
+    return result(rates(spark, d).select("volume_id", "step", "cells", "entropy", "rmse"))
 
 
 @query("g5_rate_by_brick")
 def g5(spark, d):
-    return result(cp.rate_by_brick(small_volumes(spark, d).drop("label"), 4, 1, [0.05, 0.1], "volume_id"))
+    return result(rates(spark, d).drop("brick", "cells"))
+
+
+@query("g5_bricked_or_whole")
+def g5b(spark, d):
+    return result(cp.bricked_or_whole(small_volumes(spark, d).drop("label"), 4, 1, [0.05, 0.1], "volume_id", 2))
 
 
 # --- scoring
