@@ -54,6 +54,7 @@ def brute_audit(rows, min_docs, top):
 def test_audit(spark, monkeypatch, entries, cells):
     monkeypatch.setattr(source_audit, "MOST_ENTRIES", entries)
     monkeypatch.setattr(source_audit, "MOST_CELLS", cells)
+    monkeypatch.setattr(source_audit, "BUCKET_CELLS", cells)
     rows = audit_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).withColumn("term", F.lit(1)).withColumn("grp", F.lit("x"))
     got = source_audit.audit(docs, min_docs=5, top=4)

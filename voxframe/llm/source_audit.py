@@ -3,7 +3,7 @@
 A partition folds whole documents into a hash table of stripes: for each term of a language, the documents and occurrences in
 each source. A table that has grown to ``MOST_ENTRIES`` is spilled to the shuffle and begun anew. Stripes of one term are merged by
 key, entry by entry, so a term that every partition has sends a row for each partition and source at most. Terms in at least
-``min_docs`` documents of their language stay. Their merged stripes are dealt evenly into buckets of ``MOST_CELLS`` counts, each
+``min_docs`` documents of their language stay. Their merged stripes are dealt evenly into buckets of ``BUCKET_CELLS`` counts, each
 met by its language's list of sources, and emit divergences directly: sums for each pair of sources, and the best terms of each
 source. Where a language has so many sources that their pairs exceed ``MOST_CELLS``, the sources are cut into blocks as well.
 
@@ -31,7 +31,7 @@ from ._shared import small_batches, written
 #: Entries of a partition's stripes that are held at most before they are handed on.
 MOST_ENTRIES = 1 << 18
 #: Counts (terms by sources) of a bucket, and pairs of sources of a block.
-MOST_CELLS = 1 << 20
+BUCKET_CELLS, MOST_CELLS = 1 << 16, 1 << 20
 #: 10^9, by which shares are scaled, is taken in steps of this.
 _STEP, _STEPS = 1000, 3
 
@@ -192,7 +192,7 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10) -> DataFrame:
     number = kept.groupBy("lang").agg(F.count("*").alias("terms"))
     several = F.size("groups").cast("long")
     plan = listed.join(number, "lang", "left").withColumn("terms", F.coalesce("terms", F.lit(0)))
-    plan = written(plan.withColumns({"buckets": F.ceil(F.greatest(F.col("terms") * several, F.lit(1)) / MOST_CELLS), "blocks": F.least(several, F.ceil(several * several / MOST_CELLS))}))
+    plan = written(plan.withColumns({"buckets": F.ceil(F.greatest(F.col("terms") * several, F.lit(1)) / BUCKET_CELLS), "blocks": F.least(several, F.ceil(several * several / MOST_CELLS))}))
     header = plan.select("*", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     dealt = kept.join(plan.select("lang", "buckets", "blocks"), "lang").withColumn("bucket", F.pmod(F.xxhash64("term"), "buckets")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     key = ["lang", "bucket", "block"]
