@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import clamp
+from ._tables import kept
 from .grids import AXES
 from .stencils import Stack, along, axis_of, filtered, inner, lifted, on_bricks
 
@@ -107,12 +109,63 @@ def error_target(df: DataFrame, kind: str, value: float, by: Sequence[str] = (),
     return s.withColumn("sse", allowed).withColumn("epsilon", F.sqrt("sse") / F.col("norm"))
 
 
+#: Cells on each of the two other axes of the slabs in which a volume's products are made.
+SLAB = 64
+#: Cells an axis of volumes whose decomposition is made in one task, many of them together.
+SMALL = 32
+
+
+def _unfolded(array: np.ndarray, axis: str) -> np.ndarray:
+    """(block, place on the axis, all others) of blocks (block, z, y, x)."""
+    return np.moveaxis(array, axis_of(axis), 1).reshape(len(array), array.shape[axis_of(axis)], -1)
+
+
 def tucker_gram(grid: DataFrame, axis: str, by: Sequence[str] = ()) -> DataFrame:
-    """i, j, value: products of slices along an axis, summed; a self-join of each grid line, as long as the axis."""
-    others = [*by, *(a for a in AXES if a != axis)]
-    a = grid.select(*others, F.col(axis).alias("i"), F.col("value").alias("a"))
-    b = grid.select(*others, F.col(axis).alias("j"), F.col("value").alias("b"))
-    return a.join(b, others).groupBy(*by, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("value"))
+    """i, j, value: products of slices along an axis, summed.
+
+    A slab is as long as the axis, so its part of the matrix is one matrix product; a task adds up its slabs of one volume before
+    it hands on n x n rows. The grid must be dense.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in grid.schema}
+
+    def work(stack: Stack) -> dict:
+        a = _unfolded(stack.arrays[0], axis)
+        return {"rows": np.arange(len(a)), "part": [x.tobytes() for x in a @ a.transpose(0, 2, 1)]}
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, kind = None, None, None
+
+        def rows() -> pa.RecordBatch:
+            n = int(np.sqrt(len(total)))
+            i, j = np.divmod(np.arange(n * n), n)
+            names = [pa.array([v] * (n * n), t) for v, t in zip(now, kind)]
+            return pa.RecordBatch.from_arrays([*names, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total)], names=[*by, "i", "j", "value"])
+
+        for batch in batches:
+            kind = [batch.schema.field(c).type for c in by]
+            for *own, part in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(part)
+                if own == now:
+                    total = total + part
+                    continue
+                if now is not None:
+                    yield rows()
+                now, total = own, part
+        if now is not None:
+            yield rows()
+
+    slab = {a: 1 << 30 if a == axis else SLAB for a in AXES}
+    returns = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "i int, j int, value double"])
+    parts = on_bricks(grid.withColumn("value", F.col("value").cast("double")), work, {"part": "binary"}, (0, 0), AXES, by, brick=slab, cells=False, after=added, returns=returns)
+    return parts.groupBy(*by, "i", "j").agg(F.sum("value").alias("value"))
+
+
+def _falling(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and eigenvectors of symmetric matrices by falling eigenvalue; the largest entry of a vector is positive."""
+    values, vectors = np.linalg.eigh(gram)
+    values, vectors = values[..., ::-1], vectors[..., ::-1]
+    top = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=-2, keepdims=True), axis=-2)
+    return values, vectors * np.where(top < 0, -1.0, 1.0)
 
 
 def tucker_factors(gram: DataFrame, key: str) -> DataFrame:
@@ -122,9 +175,7 @@ def tucker_factors(gram: DataFrame, key: str) -> DataFrame:
         n = int(own["i"].max()) + 1
         matrix = np.zeros((n, n))
         matrix[own["i"], own["j"]] = own["value"]
-        values, vectors = np.linalg.eigh(matrix)
-        values, vectors = values[::-1], vectors[:, ::-1]
-        vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(n)] < 0, -1.0, 1.0)
+        values, vectors = _falling(matrix)
         i, r = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
         return pd.DataFrame({key: own[key].iloc[0], "i": i.ravel(), "rank": r.ravel(), "weight": vectors.ravel(), "eigenvalue": values[r.ravel()]})
 
@@ -133,17 +184,56 @@ def tucker_factors(gram: DataFrame, key: str) -> DataFrame:
 
 
 def project(grid: DataFrame, factors: DataFrame, axis: str, key: str) -> DataFrame:
-    """Replaces an axis by the ranks of its factors."""
-    met = grid.join(factors.select(key, F.col("i").alias(axis), "rank", "weight"), [key, axis])
-    others = [a for a in AXES if a != axis]
-    return met.groupBy(key, *others, "rank").agg(F.sum(F.col("weight") * F.col("value")).alias("value")).withColumnRenamed("rank", axis)
-
+    """Replaces an axis by the ranks of its factors: one matrix product for each slab that is as long as the axis.
 
-def tucker(grid: DataFrame, key: str) -> DataFrame:
-    """The core: the grid projected on the factors of all axes."""
+    A key's factors travel to its slabs as one packed matrix, so no cell meets n rows of factors.
+    """
+    others = [a for a in AXES if a != axis]
+    kind = grid.schema[key].dataType.simpleString()
+    slab = [F.floor(F.col(a) / SLAB).cast("int").alias(f"s{a}") for a in others]
+    weights = F.array_sort(F.collect_list(F.struct("i", "rank", "weight")))
+    packed = factors.groupBy(key).agg(F.transform(weights, lambda w: w["weight"]).alias("weights"))
+    left = grid.select(key, *slab, *AXES, F.col("value").cast("double").alias("value"))
+    names = [key, *(f"s{a}" for a in others)]
+    right = left.select(*names).distinct().join(packed, key).toDF(*(f"own_{c}" for c in names), "weights")
+
+    def multiply(cells: pa.Table, matrix: pa.Table) -> pa.Table:
+        w = matrix["weights"].combine_chunks().flatten().to_numpy()
+        n = int(np.sqrt(len(w)))
+        at = [cells[a].to_numpy() for a in others]
+        column, where = np.unique(at[0].astype(np.int64) << 32 | at[1], return_inverse=True)
+        values = np.zeros((n, len(column)))
+        values[cells[axis].to_numpy(), where] = cells["value"].to_numpy()
+        made = w.reshape(n, n).T @ values
+        rank, place = np.divmod(np.arange(made.size), len(column))
+        out = {key: cells[key].take(pa.array(np.zeros(made.size, np.int64))), axis: pa.array(rank, pa.int32()), others[0]: pa.array((column >> 32)[place], pa.int32()), others[1]: pa.array((column & 0xFFFFFFFF)[place], pa.int32()), "value": pa.array(made.ravel())}
+        return pa.table([out[c] for c in (key, *AXES, "value")], names=[key, *AXES, "value"])
+
+    return left.groupBy(*names).cogroup(right.groupBy(*(f"own_{c}" for c in names))).applyInArrow(multiply, f"`{key}` {kind}, x int, y int, z int, value double")
+
+
+def tucker(grid: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """The core: the grid projected on the factors of all axes.
+
+    Volumes of at most ``n`` cells an axis, if that is ``SMALL`` or less, are decomposed in one exchange, those of one shape together;
+    larger ones by products of slabs.
+    """
+    if n is not None and n <= SMALL:
+
+        def work(stack: Stack) -> dict[str, np.ndarray]:
+            core = stack.arrays[0]
+            for axis in AXES:
+                a = _unfolded(core, axis)
+                vectors = _falling(a @ a.transpose(0, 2, 1))[1]
+                rest = [core.shape[k] for k in range(1, 4) if k != axis_of(axis)]
+                core = np.moveaxis((vectors.transpose(0, 2, 1) @ a).reshape(len(a), a.shape[1], *rest), 1, axis_of(axis))
+            return {"value": core}
+
+        return on_bricks(grid.withColumn("value", F.col("value").cast("double")), work, {"value": "double"}, by=[key], brick=SMALL)
     out = grid
-    for axis in AXES:
-        out = project(out, tucker_factors(tucker_gram(grid, axis, [key]), key), axis, key)
+    for axis in AXES:  # each is read for its products, for its slabs and for their projection
+        out = kept(out)
+        out = project(out, tucker_factors(tucker_gram(out, axis, [key]), key), axis, key)
     return out
 
 
@@ -173,12 +263,24 @@ def slice_norms(core: DataFrame, axis: str, by: Sequence[str] = ()) -> DataFrame
     return core.groupBy(*by, F.col(axis).alias("index")).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
 
 
-def zero_runs(symbols: DataFrame, stream: Sequence[str], position: str, most: int) -> DataFrame:
-    """Runs of zeros before each non-zero symbol: position, zeros, extra (full runs of most + 1) and rest."""
-    line = Window.partitionBy(*stream).orderBy(position)
-    before = F.coalesce(F.lag(position).over(line), F.lit(-1))
-    zeros = F.col(position) - before - 1
-    return symbols.where("symbol <> 0").withColumn("zeros", zeros).withColumn("extra", F.floor(F.col("zeros") / (most + 1))).withColumn("rest", F.col("zeros") % (most + 1))
+#: Places of a stream that one task looks at together.
+STRETCH = 1 << 16
+
+
+def zero_runs(symbols: DataFrame, stream: Sequence[str], position: str, most: int, stretch: int = STRETCH) -> DataFrame:
+    """Runs of zeros before each non-zero symbol: position, zeros, extra (full runs of most + 1) and rest.
+
+    A stream is cut into stretches of places. First each stretch's last non-zero place is carried into those behind it (a row for each
+    stretch), then every stretch is worked on by itself, so one stream may be as long as the table.
+    """
+    own = symbols.where("symbol <> 0").withColumn("__stretch", F.floor(F.col(position) / stretch))
+    last = own.groupBy(*stream, "__stretch").agg(F.max(position).alias("__last"))
+    carried = last.select(*stream, "__stretch", F.lag("__last").over(Window.partitionBy(*stream).orderBy("__stretch")).alias("__before"))
+    line = Window.partitionBy(*stream, "__stretch").orderBy(position)
+    met = own.join(carried, [*stream, "__stretch"])
+    before = F.coalesce(F.lag(position).over(line), F.col("__before"), F.lit(-1))
+    out = met.withColumn("zeros", F.col(position) - before - 1).drop("__stretch", "__before").select(*symbols.columns, "zeros")
+    return out.withColumn("extra", F.floor(F.col("zeros") / (most + 1))).withColumn("rest", F.col("zeros") % (most + 1))
 
 
 # --- wavelets

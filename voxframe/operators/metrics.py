@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._tables import kept
 from .grids import resample
 from .stencils import Stack, on_bricks, weighted_ahead, whole_windows
 
@@ -78,13 +79,56 @@ def cosine_by_threshold(errors: DataFrame, thresholds: Sequence[float] = (0.0, 0
     return errors.select(passed, "cosine").groupBy("threshold").agg(F.count("*").alias("n"), F.avg("cosine").alias("mean"), F.min("cosine").alias("low"), F.max("cosine").alias("high"))
 
 
+#: Bins into which the range of a quantile is cut a round, and values that are few enough to be sorted as one list.
+BINS, FEW = 4096, 4096
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (), bins: int = BINS, few: int = FEW) -> DataFrame:
+    """by and the exact quantiles (between two neighbours, linear) of a group's values, named by ``shares``; nulls are left out.
+
+    Selection by counts: the range that holds a wanted place is cut into bins, counted, and narrowed to the bin that the place falls into,
+    until it holds one value or few. A round is an aggregate of a few thousand rows a group, so neither a group's values nor
+    its distinct values ever meet in one task.
+    """
+    v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    ends = v.groupBy(*by).agg(F.count("*").alias("count"), F.min("__v").alias("low"), F.max("__v").alias("high")).where("count > 0")
+    asked = F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("count") - 1)).alias("place")) for name, q in shares.items()))
+    wanted = kept(ends.select(*by, "count", F.inline(asked)))
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(F.lit(float(q)) * (F.col("count") - 1)), F.ceil(F.lit(float(q)) * (F.col("count") - 1))) for q in shares.values()))))
+    state = kept(ends.select(*by, F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("below"), "count", "low", "high"))
+    span = [*by, "low", "high"]
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        """Values with the ranges that hold them; of a group there are at most two ranges for each share."""
+        met = v.join(ranges, list(by)) if by else v.crossJoin(F.broadcast(ranges))
+        return met.where((F.col("__v") >= F.col("low")) & (F.col("__v") <= F.col("high")))
+
+    open_ = (F.col("low") < F.col("high")) & (F.col("count") > few)
+    while not (todo := state.where(open_)).isEmpty():
+        share = (F.col("__v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        at = F.least(F.floor(share * bins), F.lit(bins - 1)).alias("bin")
+        counts = inside(todo.select(*span).distinct()).groupBy(*span, at).agg(F.count("*").alias("n"), F.min("__v").alias("new_low"), F.max("__v").alias("new_high"))
+        line = Window.partitionBy(*span).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(line), F.lit(0)))
+        met = todo.join(counts, span)
+        begin = F.col("below") + F.col("before")
+        found = met.where((F.col("rank") >= begin) & (F.col("rank") < begin + F.col("n"))).select(*by, "rank", begin.alias("below"), F.col("n").alias("count"), F.col("new_low").alias("low"), F.col("new_high").alias("high"))
+        state = kept(found.unionByName(state.where(~open_)))
+    lists = inside(state.where("low < high").select(*span).distinct()).groupBy(*span).agg(F.array_sort(F.collect_list("__v")).alias("values"))
+    several = state.where("low < high").join(lists, span).select(*by, "rank", F.get("values", (F.col("rank") - F.col("below")).cast("int")).alias("v"))
+    values = kept(several.unionByName(state.where("low = high").select(*by, "rank", F.col("low").alias("v"))))
+    low = wanted.withColumn("rank", F.floor("place")).join(values, [*by, "rank"]).withColumnRenamed("v", "a").drop("rank")
+    both = low.withColumn("rank", F.ceil("place")).join(values, [*by, "rank"]).withColumn("f", F.col("place") - F.floor("place"))
+    mixed = both.withColumn("q", F.when(F.col("f") == 0, F.col("a")).otherwise((1 - F.col("f")) * F.col("a") + F.col("f") * F.col("v")))
+    return mixed.groupBy(*by).agg(*(F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in shares))
+
+
 def summary(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
     """min, max, mean, std (weighted where a weight is given), quartiles and whiskers of a box plot, in one row."""
     v, w = F.col(value), F.col(weight) if weight else F.lit(1.0)
-    s = df.agg(
-        F.min(v).alias("low"), F.max(v).alias("high"), (F.sum(v * w) / F.sum(w)).alias("mean"), (F.sum(v * v * w) / F.sum(w)).alias("square"),
-        *(F.percentile(v, q).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))),
-    ).withColumn("std", F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)))).drop("square")
+    s = df.agg(F.min(v).alias("low"), F.max(v).alias("high"), (F.sum(v * w) / F.sum(w)).alias("mean"), (F.sum(v * v * w) / F.sum(w)).alias("square"))
+    s = s.crossJoin(F.broadcast(quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})))
+    s = s.withColumn("std", F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)))).drop("square")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     ends = df.select(v.alias("v")).crossJoin(F.broadcast(s)).agg(F.min(F.when(F.col("v") >= F.col("q1") - reach, F.col("v"))).alias("whisker_low"), F.max(F.when(F.col("v") <= F.col("q3") + reach, F.col("v"))).alias("whisker_high"))
     return s.crossJoin(F.broadcast(ends))
@@ -251,7 +295,7 @@ def speedup(df: DataFrame, by: Sequence[str], variant: str, base: str, value: st
 
 def mask_outliers(df: DataFrame, by: Sequence[str], value: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Nulls for values below ``low`` or above ``high`` times their series' median."""
-    median = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"))
+    median = quantiles(df, value, {"median": 0.5}, by)
     keep = F.lit(True)
     if low is not None:
         keep = keep & (F.col(value) >= low * F.col("median"))

@@ -44,13 +44,13 @@ def along(array: np.ndarray, a: str, start: int, stop: int | None, step: int = 1
     return array[tuple(cut)]
 
 
-def _stacks(table: pa.Table, starts: np.ndarray, values: Sequence[str], brick: int, halo: tuple[int, int], axes: Sequence[str], pad: str) -> Iterator[Stack]:
+def _stacks(table: pa.Table, starts: np.ndarray, values: Sequence[str], brick: dict[str, int], halo: tuple[int, int], axes: Sequence[str], pad: str) -> Iterator[Stack]:
     place = {a: table[a].to_numpy().astype(np.int64) for a in AXES}
-    corner = {a: table[f"b{a}"].to_numpy()[starts].astype(np.int64) * brick for a in AXES}
+    corner = {a: table[f"b{a}"].to_numpy()[starts].astype(np.int64) * brick[a] for a in AXES}
     low = {a: np.minimum.reduceat(place[a], starts) for a in AXES}
     high = {a: np.maximum.reduceat(place[a], starts) + 1 for a in AXES}
     first = {a: np.maximum(low[a], corner[a]) for a in AXES}
-    last = {a: np.minimum(high[a], corner[a] + brick) for a in AXES}
+    last = {a: np.minimum(high[a], corner[a] + brick[a]) for a in AXES}
     count = np.diff(np.append(starts, table.num_rows))
     if (count != np.prod([high[a] - low[a] for a in AXES], axis=0)).any():
         raise ValueError("a brick lacks cells, or has some twice: the grid isn't dense")
@@ -78,31 +78,33 @@ def _stacks(table: pa.Table, starts: np.ndarray, values: Sequence[str], brick: i
         yield Stack(arrays, starts[mine], {a: first[a][mine] for a in AXES}, own, missing)
 
 
-def on_bricks(grid: DataFrame, work: Callable[[Stack], dict[str, np.ndarray]], made: dict[str, str], halo: tuple[int, int] = (0, 0), axes: Sequence[str] = AXES, by: Sequence[str] = (), values: Sequence[str] = ("value",), pad: str = "edge", brick: int = BRICK, cells: bool = True) -> DataFrame:
+def on_bricks(grid: DataFrame, work: Callable[[Stack], dict[str, np.ndarray]], made: dict[str, str], halo: tuple[int, int] = (0, 0), axes: Sequence[str] = AXES, by: Sequence[str] = (), values: Sequence[str] = ("value",), pad: str = "edge", brick: int | dict[str, int] = BRICK, cells: bool = True, after: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, returns: str = "") -> DataFrame:
     """by, x, y, z and what ``work`` makes of each stack of bricks of a dense grid (by, x, y, z, values).
 
     ``made``: the types of the new columns. With ``cells``, ``work`` gives arrays of the own cells (brick, z, y, x), and may give
     "keep", which of them stay; without, an array of any number of rows, "rows", which says to which brick each belongs.
-    ``axes``: those along which there is a halo. ``pad``: how the halo continues beyond the grid ("edge" or "reflect").
+    ``brick``: own cells an axis, of all or of each axis. ``after`` works on all that a task has made, in the order of ``by``, and gives rows
+    of ``returns``. ``axes``: those along which there is a halo. ``pad``: how the halo continues beyond the grid ("edge" or "reflect").
     """
     kinds = {f.name: f.dataType for f in grid.schema}
+    size = brick if isinstance(brick, dict) else dict.fromkeys(AXES, brick)
     dealt = grid.select(*by, *AXES, *values)
     for a in AXES:
         if a in axes and any(halo):
-            low, high = F.floor((F.col(a) - halo[1]) / brick), F.floor((F.col(a) + halo[0]) / brick)
+            low, high = F.floor((F.col(a) - halo[1]) / size[a]), F.floor((F.col(a) + halo[0]) / size[a])
             dealt = dealt.withColumn(f"b{a}", F.explode(F.sequence(F.greatest(low, F.lit(0)).cast("int"), high.cast("int"))))
         else:
-            dealt = dealt.withColumn(f"b{a}", F.floor(F.col(a) / brick).cast("int"))
+            dealt = dealt.withColumn(f"b{a}", F.floor(F.col(a) / size[a]).cast("int"))
     key = [*by, "bx", "by", "bz"]
     if "by" in by:
         raise ValueError("a key may not be called by")
     sorted_ = dealt.repartition(*key).sortWithinPartitions(*key)
     place = [f"{a} int" for a in AXES] if cells else []
     ddl = ", ".join([*(f"`{c}` {kinds[c].simpleString()}" for c in by), *place, *(f"{c} {t}" for c, t in made.items())])
-    types = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
+    types = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary()}
 
     def rows(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for stack in _stacks(table, starts, values, brick, halo, axes, pad):
+        for stack in _stacks(table, starts, values, size, halo, axes, pad):
             out = work(stack)
             if cells:
                 own = [stack.own[a] for a in reversed(AXES)]
@@ -134,7 +136,7 @@ def on_bricks(grid: DataFrame, work: Callable[[Stack], dict[str, np.ndarray]], m
             table = pa.Table.from_batches(rest).combine_chunks()
             yield from rows(table, _starts(table, key))
 
-    return sorted_.mapInArrow(run, ddl)
+    return sorted_.mapInArrow((lambda batches: after(run(batches))) if after else run, returns or ddl)
 
 
 def _starts(table: pa.Table, key: Sequence[str]) -> np.ndarray:

@@ -6,6 +6,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import values as v
@@ -142,7 +143,20 @@ def a23(spark, d):
 
 @query("a23_tucker_core")
 def a23c(spark, d):
-    return result(cp.tucker(small_volumes(spark, d).drop("label"), "volume_id"))
+    return result(cp.tucker(small_volumes(spark, d).drop("label"), "volume_id", 4))
+
+
+@query("a23_tucker_norms", f"WITH {SMALL} SELECT volume_id, {R6('sum(value * value)')} AS square, true AS apart, true AS falling FROM v GROUP BY 1")
+def a23n(spark, d):
+    """What makes a core one: it keeps the squares' sum, its slices are at right angles, and their norms fall."""
+    core = cp.tucker(small_volumes(spark, d).drop("label"), "volume_id", 4)
+    gram = None
+    for a in "xyz":
+        own = cp.tucker_gram(core, a, ["volume_id"]).withColumn("axis", F.lit(a))
+        gram = own if gram is None else gram.unionByName(own)
+    line = Window.partitionBy("volume_id", "axis").orderBy("i")
+    norms = gram.where("i = j").withColumn("falls", F.coalesce(F.lag("value").over(line) >= F.col("value") - 1e-9, F.lit(True)))
+    return result(norms.groupBy("volume_id").agg((F.sum("value") / 3).alias("square"), F.every("falls").alias("falling")).join(gram.where("i <> j").groupBy("volume_id").agg((F.max(F.abs("value")) < 1e-9).alias("apart")), "volume_id"))
 
 
 @query("a24_bitplanes_of_values", f"WITH {SMALL}, t AS (SELECT volume_id, floor(log2(max(abs(value)))) AS top FROM v GROUP BY 1), q AS (SELECT v.volume_id, value, top, floor(abs(value) * power(2, 15 - top)) AS q, p.range AS plane FROM v JOIN t USING (volume_id), range(16) p), e AS (SELECT volume_id, plane, floor(q / power(2, 15 - plane)) AS seen, abs(value) - floor(q / power(2, 15 - plane)) * power(2, 15 - plane) / power(2, 15 - top) AS e FROM q) SELECT volume_id, plane::BIGINT AS plane, sum(CAST(seen AS BIGINT) % 2)::BIGINT AS ones, sum(CASE WHEN seen = 1 THEN 1 ELSE 0 END)::BIGINT AS new, {R6('sum(e * e)')} AS sse FROM e GROUP BY 1, 2")
@@ -152,7 +166,7 @@ def a24v(spark, d):
 
 @query("a24_bitplane_profile")
 def a24(spark, d):
-    return result(cp.bitplane_profile(cp.tucker(small_volumes(spark, d).drop("label"), "volume_id"), 16, ["volume_id"]))
+    return result(cp.bitplane_profile(cp.tucker(small_volumes(spark, d).drop("label"), "volume_id", 4), 16, ["volume_id"]))
 
 
 @query("a25_tucker_ranks", f"WITH {SMALL}, k AS (SELECT * FROM v WHERE abs(value) > 0.25) " + " UNION ALL ".join(f"SELECT volume_id, '{a}' AS axis, (max({a}) + 1)::BIGINT AS rank, {R6('sqrt(sum(value * value))')} AS norm FROM k GROUP BY 1" for a in "xyz"))
