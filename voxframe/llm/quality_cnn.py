@@ -1,7 +1,7 @@
 """Quality classifier: a convolutional network over bytes, in NumPy.
 
-A text is cut into overlapping chunks that cover all of it. Each byte has a learned vector; learned filters pass over the
-windows of a chunk and the largest answer of each filter is kept. Largest and mean answers over the chunks, and the text's
+A text is cut into overlapping chunks that cover all of it. Each byte has a learned vector; learned filters pass over all
+windows of a chunk, one at each byte, and the largest answer of each filter is kept. Largest and mean answers over the chunks, and the text's
 length, give one probability. Training takes a bounded sample of labelled rows (``train_rows``, whole texts) on the driver;
 scoring is one pass over the table without a shuffle, in which the weights (some 10 kB) travel with the tasks.
 
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from ._np import blocks, out_batch, text_column, within
 from ._shared import small_batches
 
-CHUNK, STEP, WIDTH, VECTOR, FILTERS = 512, 4, 8, 8, 24
+CHUNK, STEP, WIDTH, VECTOR, FILTERS = 512, 1, 8, 8, 24
 PAD = 256
 #: Chunks that are read at once.
-AT_ONCE = 128
+AT_ONCE = 64
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -166,7 +166,8 @@ def fit_network(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, roun
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(train_rows)
     )
-    got = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("quality", "text").toPandas()
+    got = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(F.broadcast(sample), "doc_id")
+    got = got.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").select("quality", "text").toPandas()  # a row for each id, however often it occurs
     return Network().fit([(t or "").encode() for t in got.text], got.quality.to_numpy(np.float32), rounds)
 
 
