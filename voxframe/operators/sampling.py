@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import clamp
+from ._tables import kept
 from .grids import AXES, array_bricks, brick_extent
 from .stencils import curvature, gradient  # noqa: F401
 
@@ -22,8 +23,6 @@ from .stencils import curvature, gradient  # noqa: F401
 BRICK = 16
 #: Cells in bricks (with halos) that are broadcast at most: 32 MB of values. Larger grids are joined by sorting both sides.
 MOST_CELLS = 4_000_000
-#: Channels of latent grids for which that is reckoned.
-MOST_CHANNELS = 64
 #: Cells before and behind a point's own that a mode reads.
 REACH = {"linear": (0, 1), "cubic": (2, 3)}
 Taps = list[tuple[Column, Column]]
@@ -117,24 +116,65 @@ def time_lerp(asked: DataFrame, frames: DataFrame, count: int, key: Sequence[str
     return at.join(first, [*by, "low"]).join(second, [*by, "high"]).select(*key, ((1 - F.col("f")) * F.col("a") + F.col("f") * F.col("b")).alias("value"))
 
 
-def latent_features(points: DataFrame, grids: DataFrame, res: Sequence[int], key: Sequence[str]) -> DataFrame:
-    """Channels at points in the unit cube, cell-centred and held at the border: key, channel, value.
-
-    ``grids``: dense, with the same channels in every cell. A brick has the channels of a cell as one array.
-    """
+def latent_bricks(grids: DataFrame, res: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """Bricks of latent grids (by, channel, x, y, z, value), which must be dense, with the same channels in every cell: a cell is the
+    array of its channels' values in their order."""
     channels = F.array_sort(F.collect_list(F.struct("channel", "value")))
-    bricks = array_bricks(grids.groupBy(*AXES).agg(channels.alias("value")), res, BRICK, 1, 1)
-    o = points.withColumns({f"o{a}": F.col(f"p{a}") * float(n) - 0.5 for a, n in zip(AXES, res)})
+    cells = grids.groupBy(*by, *AXES).agg(channels.alias("c")).select(*by, *AXES, F.col("c.value").alias("value"))
+    return array_bricks(cells, res, BRICK, 1, 1, by)
+
+
+def _latent_read(points: DataFrame, bricks: DataFrame, res: Sequence[int], name: str, by: Sequence[str], channels: int) -> DataFrame:
+    """``points`` with an array of the channels at ox, oy, oz."""
     taps = {}
     for a in AXES:
         low = F.floor(F.col(f"o{a}"))
         f = F.col(f"o{a}") - low
         taps[a] = [(low, 1 - f), (low + 1, f)]
-    met, seen = _weights(_met(o, bricks, res, BRICK, (1, 1), channels=MOST_CHANNELS), taps, res, BRICK, 1, 1)
+    met, seen = _weights(_met(points, bricks, res, BRICK, (1, 1), by, channels), taps, res, BRICK, 1, 1)
     corners = [(F.get("cells", i + j + k), wx * wy * wz) for (i, wx), (j, wy), (k, wz) in product(*(seen[a] for a in AXES))]
-    read = met.select(*key, *(c.alias(f"__c{n}") for n, (c, _) in enumerate(corners)), *(w.alias(f"__w{n}") for n, (_, w) in enumerate(corners)))
-    one = lambda first, k: F.struct(first["channel"].alias("channel"), reduce(Column.__add__, [F.col(f"__w{n}") * F.get(F.col(f"__c{n}.value"), k) for n in range(8)]).alias("value"))
-    return read.select(*key, F.inline(F.transform(F.col("__c0"), one)))
+    read = met.select(*points.columns, *(c.alias(f"__c{n}") for n, (c, _) in enumerate(corners)), *(w.alias(f"__w{n}") for n, (_, w) in enumerate(corners)))
+    mixed = F.transform("__c0", lambda first, k: reduce(Column.__add__, [F.col("__w0") * first, *(F.col(f"__w{n}") * F.get(F.col(f"__c{n}"), k) for n in range(1, 8))]))
+    return read.select(*points.columns, mixed.alias(name))
+
+
+def with_latent(points: DataFrame, grids: DataFrame, res: Sequence[int], name: str, index: str | None = None, count: int = 0, variant: str = "clamped") -> DataFrame:
+    """``points`` (px, py, pz in the unit cube) with an array of latent channels as ``name``: cell-centred, held at the border.
+
+    With ``index``, a fractional place among ``count`` frames (as times or ensemble members), ``grids`` have a column frame, and a
+    point's channels are mixed of the two frames around it. A point meets the brick of the lower frame, then that of the higher one; both
+    times it is one row. Beyond the ends the outer frames are held; ``variant="reference"`` takes the fraction before
+    clamping, so that they extrapolate.
+    """
+    own = points.columns
+    out = points.withColumns({f"o{a}": F.col(f"p{a}") * float(n) - 0.5 for a, n in zip(AXES, res)})
+    channels = grids.agg(F.count_distinct("channel")).first()[0]
+    if index is None:
+        return _latent_read(out, latent_bricks(grids, res), res, name, (), channels).select(*own, name)
+    bricks = kept(latent_bricks(grids, res, ["frame"]))
+    t = F.col(index) if variant == "reference" else clamp(F.col(index), 0.0, float(count - 1))
+    low = clamp(F.floor(t), 0, count - 1).cast("int")
+    out = out.withColumns({"__low": low, "__high": F.least(low + 1, F.lit(count - 1)), "__f": t - low})
+    for end in ("low", "high"):
+        out = _latent_read(out.withColumn("frame", F.col(f"__{end}")), bricks, res, f"__{end}_values", ["frame"], channels).drop("frame")
+    mixed = F.zip_with("__low_values", "__high_values", lambda a, b: (1 - F.col("__f")) * a + F.col("__f") * b)
+    return out.select(*own, mixed.alias(name))
+
+
+def latent_features(points: DataFrame, grids: DataFrame, res: Sequence[int], key: Sequence[str]) -> DataFrame:
+    """key, channel (its place in the order of channels), value of latent grids at points in the unit cube."""
+    own = with_latent(points.select(*key, *(f"p{a}" for a in AXES if f"p{a}" not in key)), grids, res, "__latent")
+    return own.select(*key, F.posexplode("__latent").alias("channel", "value"))
+
+
+def latent_series(points: DataFrame, key: Sequence[str], time_grids: DataFrame | None, time_res: Sequence[int], times: int, ensemble_grids: DataFrame | None, ensemble_res: Sequence[int], members: int, variant: str = "clamped") -> DataFrame:
+    """key, channel, value at points with fractional indices t and e: first the channels of the grids of times, then those of members."""
+    parts, out = [], points
+    for name, grids, res, index, count in (("__t", time_grids, time_res, "t", times), ("__e", ensemble_grids, ensemble_res, "e", members)):
+        if grids is not None:
+            out = with_latent(out, grids, res, name, index, count, variant)
+            parts.append(name)
+    return out.select(*key, F.posexplode(F.concat(*parts)).alias("channel", "value"))
 
 
 def interp_vectors(asked: DataFrame, vectors: DataFrame, count: int, key: Sequence[str], variant: str = "clamped") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.values import fourier_features
 from .grids import AXES
 from .metrics import array_stats, l1_l2, psnr
-from .sampling import interp_vectors, latent_features
+from .sampling import interp_vectors, with_latent
 
 ACTIVATIONS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "ReLU": lambda x: np.maximum(x, 0),
@@ -79,12 +79,13 @@ def score(points: DataFrame, model: Model, inputs: Sequence[str], key: Sequence[
     return points.select(*key, *(c for c in inputs if c not in key)).mapInPandas(run, ddl)
 
 
-def latent_inputs(points: DataFrame, key: Sequence[str], latent: DataFrame | None = None, res: Sequence[int] = (), vectors: DataFrame | None = None, count: int = 0, bands: int = 0, time_bands: int = 0, prefix: str = "f") -> tuple[DataFrame, list[str]]:
-    """``points`` (key, px, py, pz, and t, a fractional index, where it is used) with a network's inputs, and their names.
+def latent_inputs(points: DataFrame, key: Sequence[str], latent: DataFrame | None = None, res: Sequence[int] = (), vectors: DataFrame | None = None, count: int = 0, bands: int = 0, time_bands: int = 0, prefix: str = "f", time_grids: DataFrame | None = None, times: int = 0, ensemble_grids: DataFrame | None = None, members: int = 0) -> tuple[DataFrame, list[str]]:
+    """``points`` (key, px, py, pz, and t and e, fractional indices, where they are used) with a network's inputs, and their names.
 
     In order: the position; ``bands`` Fourier bands of it and ``time_bands`` of t; the channels of a ``latent`` grid of size
-    ``res`` at the position (channel, x, y, z, value); the entries of ``vectors`` (idx, channel, value), one for each of
-    ``count`` times or members, mixed at t. Channels are joined as arrays, one row a point.
+    ``res`` at the position (channel, x, y, z, value); those of ``time_grids`` mixed at t and of ``ensemble_grids`` mixed at e (with frame);
+    the entries of ``vectors`` (idx, channel, value), one for each of ``count`` times or members, mixed at t. Grids add an array to
+    a point's own row; only vectors are joined back by key.
     """
     place = [f"p{a}" for a in AXES]
     out, names = points, list(place)
@@ -93,14 +94,15 @@ def latent_inputs(points: DataFrame, key: Sequence[str], latent: DataFrame | Non
             before = set(out.columns)
             out = fourier_features(out, own, n, stem)
             names += [c for c in out.columns if c not in before]
-    for stem, got in (
-        ("l", latent_features(points, latent, res, key) if latent is not None else None),
-        ("v", interp_vectors(points, vectors, count, key) if vectors is not None else None),
-    ):
-        if got is not None:
-            listed = got.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("channel", "value"))).alias("c"))
-            out = out.join(listed.select(*key, F.col("c.value").alias(f"{prefix}_{stem}")), list(key))
+    for stem, grids, index, frames in (("l", latent, None, 0), ("lt", time_grids, "t", times), ("le", ensemble_grids, "e", members)):
+        if grids is not None:
+            out = with_latent(out, grids, res, f"{prefix}_{stem}", index, frames)
             names.append(f"{prefix}_{stem}")
+    if vectors is not None:
+        got = interp_vectors(points, vectors, count, key)
+        listed = got.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("channel", "value"))).alias("c"))
+        out = out.join(listed.select(*key, F.col("c.value").alias(f"{prefix}_v")), list(key))
+        names.append(f"{prefix}_v")
     return out, names
 
 

@@ -16,7 +16,7 @@ from ..operators import metrics as mt
 from ..operators import sampling as sa
 from ..operators.scoring import Model, evaluate_model, latent_inputs, score
 from .bindings import DENSE, GRID, IMAGES, PAIRS, POINTS, R6, RES, RUNS, SERIES, SMALL, dense, grid, images, pairs, points, result, runs, series, small_volumes, table
-from .queries_sampling import CELL, GRAD, J2SQL, LATENT, at_points, latent_grids
+from .queries_sampling import BLENDED, CELL, GRAD, J2SQL, LATENT, MEMBERS, TIMES, at_points, framed_grids, framed_points, latent_grids
 from .queries_values import KEY3, query
 
 E2 = "(predicted - truth)"
@@ -450,6 +450,27 @@ def m1l(spark, d):
     return result(score(rows, wide(), inputs, KEY3), KEY3)
 
 
+def framed_model() -> Model:
+    """One layer over the position, ten channels of times and ten of members."""
+    rng = np.random.default_rng(10)
+    return Model([(rng.standard_normal((23, 1)).round(2), rng.standard_normal(1).round(2))])
+
+
+def framed_sql() -> str:
+    w = [float(x) for x in framed_model().layers[0][0][:, 0]]
+    place = " + ".join(f"{p} * {w[k]!r}" for k, p in enumerate(KEY3))
+    mixed = ", ".join(f"s{n} AS (SELECT px, py, pz, sum(value * CASE channel {' '.join(f'WHEN {c} THEN {w[first + c]!r}' for c in range(10))} END) AS s{n} FROM b{n} GROUP BY 1, 2, 3)" for n, first in (("t", 3), ("e", 13)))
+    return f"WITH {SMALL}, {POINTS}, {CELL}{BLENDED}, {mixed} SELECT px, py, pz, {R6(f'1 / (1 + exp(-({place} + st + se + ({float(framed_model().layers[0][1][0])!r}))))')} AS value FROM st JOIN se USING (px, py, pz)"
+
+
+@query("m1_score_series", framed_sql())
+def m1s(spark, d):
+    """Points at fractional times and members, scored with latent grids of both."""
+    times, members = framed_grids(spark, d)
+    rows, inputs = latent_inputs(framed_points(spark, d), KEY3, res=(4, 4, 4), time_grids=times, times=TIMES, ensemble_grids=members, members=MEMBERS)
+    return result(score(rows, framed_model(), inputs, KEY3), KEY3)
+
+
 @query("m3_evaluate_model", f"WITH {J2SQL}, pr AS (SELECT value AS truth, {tiny_sql()} AS predicted FROM j2) SELECT {R6(f'avg(abs{E2})')} AS l1, {R6(f'avg({E2} * {E2})')} AS l2, count(*) AS n, {R6(f'sqrt(avg({E2} * {E2}))')} AS rmse, {R6('(sum(truth * predicted) - count(*) * avg(truth) * avg(predicted)) / (count(*) - 1) / sqrt((avg(truth * truth) - avg(truth) * avg(truth)) * (avg(predicted * predicted) - avg(predicted) * avg(predicted)))')} AS ncc, {R6(f'10 * log10(1 / avg({E2} * {E2}))')} AS psnr FROM pr")
 def m3(spark, d):
     truth = sa.sample(at_points(spark, d), dense(spark, d), RES, KEY3)

@@ -94,6 +94,34 @@ def j5(spark, d):
     return result(sa.latent_features(points(spark, d), latent_grids(spark, d), (4, 4, 4), KEY3), KEY3)
 
 
+TIMES, MEMBERS = 5, 3
+FRAMED = "".join(f", {n} AS (SELECT {f} AS frame, label AS channel, x, y, z, CAST(sum(round(value * 1e6)) AS DOUBLE) / count(*) / 1e6 AS value FROM v GROUP BY 1, 2, 3, 4, 5)" for n, f in (("lt", f"volume_id % {TIMES}"), ("le", f"volume_id // {TIMES} % {MEMBERS}")))
+_AT = {"t": ("px * 6e0 - 0.5e0", TIMES), "e": ("py * 3e0 - 0.25e0", MEMBERS)}
+BLENDED = FRAMED + "".join(
+    f", ix{n} AS (SELECT px, py, pz, least(greatest({at}, 0), {count - 1}) AS t FROM p), w{n} AS (SELECT px, py, pz, floor(t) AS frame, 1 - (t - floor(t)) AS fw FROM ix{n} UNION ALL SELECT px, py, pz, least(floor(t) + 1, {count - 1}) AS frame, t - floor(t) AS fw FROM ix{n}), "
+    f"b{n} AS (SELECT q.px, q.py, q.pz, channel, sum(w * fw * value) AS value FROM q JOIN w{n} USING (px, py, pz) JOIN l{n} ON l{n}.frame = w{n}.frame AND x = xx AND y = xy AND z = xz GROUP BY 1, 2, 3, 4)"
+    for n, (at, count) in _AT.items()
+)
+
+
+def framed_grids(spark, d):
+    """Latent grids of times and of members: the small volumes of each label, averaged by their number."""
+    mean = F.sum(F.round(F.col("value") * 1e6)) / F.count("*") / 1e6
+    small = small_volumes(spark, d)
+    frames = (F.col("volume_id") % TIMES, F.floor(F.col("volume_id") / TIMES) % MEMBERS)
+    return [small.groupBy(f.cast("int").alias("frame"), F.col("label").alias("channel"), "x", "y", "z").agg(mean.alias("value")) for f in frames]
+
+
+def framed_points(spark, d):
+    return points(spark, d).withColumns({"t": F.col("px") * 6 - 0.5, "e": F.col("py") * 3 - 0.25})
+
+
+@query("j5_latent_series", f"WITH {SMALL}, {POINTS}, {CELL}{BLENDED} SELECT px, py, pz, channel::BIGINT AS channel, {R6('value')} AS value FROM bt UNION ALL SELECT px, py, pz, (channel + 10)::BIGINT AS channel, {R6('value')} AS value FROM be")
+def j5s(spark, d):
+    times, members = framed_grids(spark, d)
+    return result(sa.latent_series(framed_points(spark, d), KEY3, times, (4, 4, 4), TIMES, members, (4, 4, 4), MEMBERS), KEY3)
+
+
 VECTORS = "ve AS (SELECT label AS idx, x + 4 * (y + 4 * z) AS channel, CAST(sum(round(value * 1e6)) AS DOUBLE) / count(*) / 1e6 AS value FROM v GROUP BY 1, 2)"
 
 
