@@ -351,3 +351,59 @@ def test_large_files_are_cut_into_slabs(spark, tmp_path, monkeypatch):
     assert len(got) == 7**3 * 4 and pad.shape == (7, 7, 7, 1)
     for r in got:
         assert abs(r.value - (min(pad[r.z, r.y, r.x, 0], 5) / 5 if r.channel == 0 else pad[r.z, r.y, r.x, 0])) < 1e-6
+
+
+def test_descriptors_of_ensembles(spark, tmp_path):
+    import json
+
+    own = {
+        "a/one.json": {"format": "files/ensemble%1$03d/time%2$03d.dat", "start_ensemble": 5, "start_timestep": 7},
+        "a/two.json": {"format": "files/time%2$03d.dat", "start_timestep": 7},
+        "b/three.json": {"format": "files/ensemble%1$03d.dat", "start_ensemble": 5},
+        "b/four.json": {"format": "/far/sim_{ensemble:06d}/volume_{time}.cvol", "num_ensembles": 2, "step_ensembles": 10, "start_timestep": 1, "step_timestep": 3, "num_timesteps": 2},
+        "b/none.json": {"format": "x{time}", "num_timesteps": 0},
+    }
+    for name, content in own.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(content, indent=1))
+    got = {}
+    for r in volumes.described_ensembles(spark, f"{tmp_path}/*").collect():
+        got.setdefault(r.descriptor.rpartition("/")[2], []).append((r.ensemble, r.time, r.path.rpartition(str(tmp_path))[2]))
+    assert got == {
+        "one.json": [(5, 7, "/a/files/ensemble005/time007.dat")],
+        "two.json": [(0, 7, "/a/files/time007.dat")],
+        "three.json": [(5, 0, "/b/files/ensemble005.dat")],
+        "four.json": [(e, t, f"/far/sim_{e:06d}/volume_{t}.cvol") for e in (0, 10) for t in (1, 4)],
+    }
+
+
+def test_declared_equations(spark):
+    known = {"Cube": "cube", "Marschner Lobb": "marschner_lobb", "Heart": "heart", "Cassini": "cassini"}
+    for one in queries_sources.DECLARED:
+        got = volumes.declared_volume(spark, one, 5)
+        assert got.count() == 125
+        if one["name"] in known:
+            want = volumes.synthetic_volume(spark, 5, known[one["name"]])
+            assert grids.compare_grids(got, want, 1e-12).isEmpty()
+    assert volumes.declared_expression("2*x + p.a*1e-3f - x2").replace(" ", "") == "2D*x+p.a*1e-3D-x2"
+    nested = volumes.declared_volume(spark, {"codeForward": "float a = sqr(x + sqr(y)); return cb(a) - 1;"}, 3)
+    r = nested.where("x = 0 and y = 2 and z = 1").first()
+    assert r.value == -1.0 and nested.where("x = 2 and y = 2 and z = 0").first().value == 63.0
+    with pytest.raises(ValueError, match="returns nothing"):
+        volumes.declared_volume(spark, {"name": "n", "codeForward": "auto a = x;"}, 3)
+
+
+def test_levels_are_read_without_the_others(spark, tmp_path):
+    cells = grids.cells(spark, (8, 8, 4)).selectExpr("'v' as volume_id", "x", "y", "z", "cast(x + 10 * y + 100 * z as double) as value").union(grids.cells(spark, (8, 8, 4)).selectExpr("'w'", "x", "y", "z", "cast(x * y - z as double)"))
+    path = str(tmp_path / "levels")
+    volumes.write_volumes(cells, path, (8, 8, 4), 3)
+    for level in range(4):
+        got = volumes.read_level(spark, path, level)
+        want = cells if level == 0 else grids.mipmap(cells, (8, 8, 4), level, ["volume_id"])
+        key = ["volume_id", "x", "y", "z"]
+        both = got.join(want.withColumnRenamed("value", "own"), key)
+        assert got.count() == want.count() == both.where(F.abs(F.col("value") - F.col("own")) < 1e-9).count()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert f"(level#" in plan and f"= {level})]" in plan.partition("PartitionFilters")[2] and len(got.columns) == 5
+        files = {r.f for r in got.select(F.input_file_name().alias("f")).distinct().collect()}
+        assert files and all(f"/level={level}/" in f for f in files)

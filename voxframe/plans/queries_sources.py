@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grids as g
 from ..sources import volumes as vo
-from .bindings import GRID, R6, RES, RUNS, SERIES, grid, result, runs, series, table
+from .bindings import DENSE, GRID, R6, RES, RUNS, SERIES, dense, grid, result, runs, series, table
 from .queries_values import query
 
 
@@ -28,6 +29,18 @@ def s1(spark, d):
     return result(vo.ensemble_manifest(spark, "files/ensemble%1$03d/time%2$03d.dat", (2, 3, r), (1, 1, n)))
 
 
+@query("s1_described_ensembles", f"WITH {SERIES}, de AS (SELECT ensemble, min(time) AS low, max(time) - min(time) + 1 AS n FROM s GROUP BY 1) SELECT ensemble::BIGINT AS ensemble, (low + t.range)::BIGINT AS time, concat('flag', lpad(ensemble::VARCHAR, 6, '0'), '/t', lpad((low + t.range)::VARCHAR, 4, '0'), '.cvol') AS path FROM de, range(100) t WHERE t.range < n")
+def s1d(spark, d):
+    """A descriptor for each return flag, written as JSON and read again; odd ones name members by name, even ones by place."""
+    folder = scratch(spark)
+    own = series(spark, d).groupBy("ensemble").agg(F.min("time").alias("start_timestep"), (F.max("time") - F.min("time") + 1).alias("num_timesteps"))
+    form = F.when(F.col("ensemble") % 2 == 0, "flag%1$06d/t%2$04d.cvol").otherwise("flag{ensemble:06d}/t{time:04d}.cvol")
+    own.select(form.alias("format"), F.col("ensemble").alias("start_ensemble"), "start_timestep", "num_timesteps").repartition("start_ensemble").write.option("maxRecordsPerFile", 1).json(folder)
+    got = vo.described_ensembles(spark, folder)
+    below = F.regexp_replace("path", "^.*/(?=flag)", "")
+    return result(got.select("ensemble", "time", below.alias("path")))
+
+
 @query("s2_missing_volumes", f"WITH {SERIES}, have AS (SELECT DISTINCT ensemble, time FROM s WHERE z = 0), m AS (SELECT a.range AS ensemble, b.range AS time FROM range(3) a, range(100) b) SELECT ensemble, time, concat('v', lpad(ensemble::VARCHAR, 3, '0'), '/', lpad(time::VARCHAR, 3, '0')) AS path FROM m ANTI JOIN have ON have.ensemble = m.ensemble AND have.time = m.time")
 def s2(spark, d):
     fmt = "v%1$03d/%2$03d"
@@ -60,6 +73,56 @@ def s8(spark, d):
     return result(out)
 
 
+#: Declared equations, as files of them have them.
+DECLARED = [
+    {"name": "PuffyCube", "boxsize": 2.6, "parameters": {}, "codeForward": "auto x2=x*x; auto y2=y*y; auto z2=z*z; return x2+y2+z2-(x2*x2)-(y2*y2)-(z2*z2);"},
+    {"name": "Cube", "boxsize": 2, "parameters": {"scale": 0.5}, "codeForward": "return 1 - sqrtf(sqr(fmaxf(0.0f, fabsf(x) - p.scale)) + sqr(fmaxf(0.0f, fabsf(y) - p.scale)) + sqr(fmaxf(0.0f, fabsf(z) - p.scale)));"},
+    {"name": "Marschner Lobb", "boxsize": 2, "parameters": {"fM": 6.0, "alpha": 0.25}, "codeForward": "auto r = sqrtf(x * x + y * y);\n auto pr = cosf(2 * M_PI * p.fM * cosf(M_PI * r / 2));\n auto num = (1 - sinf(M_PI * z / 2)) + p.alpha * (1 + pr);\n auto denom = 2 * (1 + p.alpha);\n return num / denom;"},
+    {"name": "Heart", "boxsize": 2, "parameters": {}, "codeForward": "auto x2 = x * x, y2 = y * y, z2 = z * 2;\n return implicit2Density(cb(2*x2+2*y2+z2-1) - 0.1f*x2*z2*z - y2*z2*z);"},
+    {"name": "Cassini", "boxsize": 2, "parameters": {"a": 0.25}, "codeForward": "return implicit2Density((sqr(x+p.a)+y*y)*(sqr(x-p.a)+y*y) - z*z);"},
+]
+DECLARED_SQL = {
+    "PuffyCube": (1.3, "px * px + py * py + pz * pz - px * px * px * px - py * py * py * py - pz * pz * pz * pz"),
+    "Cube": (1.0, "1 - sqrt(power(greatest(0, abs(px) - 0.5e0), 2) + power(greatest(0, abs(py) - 0.5e0), 2) + power(greatest(0, abs(pz) - 0.5e0), 2))"),
+    "Marschner Lobb": (1.0, "((1 - sin(3.141592653589793e0 * pz / 2)) + 0.25e0 * (1 + cos(2 * 3.141592653589793e0 * 6 * cos(3.141592653589793e0 * sqrt(px * px + py * py) / 2)))) / 2.5e0"),
+    "Heart": (1.0, EQ["heart"]),
+    "Cassini": (1.0, "greatest(0, least(1, 0.5e0 - (((px + 0.25e0) * (px + 0.25e0) + py * py) * ((px - 0.25e0) * (px - 0.25e0) + py * py) - pz * pz)))"),
+}
+
+
+def _declared_sql(name: str) -> str:
+    h, formula = DECLARED_SQL[name]
+    p = ", ".join(f"-{h!r}::DOUBLE + {r}.range * (2 * {h!r}::DOUBLE / (m - 1)) AS p{a}" for a, r in zip("xyz", "abc"))
+    return f"SELECT '{name}' AS equation, x, y, z, {R6(formula)} AS value FROM (SELECT a.range AS x, b.range AS y, c.range AS z, {p} FROM nn, range(25) a, range(25) b, range(25) c WHERE a.range < m AND b.range < m AND c.range < m)"
+
+
+@query("s8_declared_volume", "WITH nn AS (SELECT count(*) AS m FROM nation) " + " UNION ALL ".join(map(_declared_sql, DECLARED_SQL)))
+def s8d(spark, d):
+    """Declared equations, written as a JSON file and read again, on as many voxels an axis as there are nations."""
+    path = scratch(spark)
+    spark.createDataFrame([(json.dumps(DECLARED),)], "value string").coalesce(1).write.text(path)
+    m, out = table(spark, d, "nation").count(), None
+    for one in vo.declared_equations(spark, path):
+        own = vo.declared_volume(spark, one, m).select(F.lit(one["name"]).alias("equation"), "x", "y", "z", "value")
+        out = own if out is None else out.union(own)
+    return result(out)
+
+
+_POOL = "SELECT level, x, y, z, avg(value) AS value FROM (SELECT l.range AS level, a.range AS x, b.range AS y, c.range AS z, value FROM dg, range(1, 4) l, range(25) a, range(6) b, range(5) c WHERE " + " AND ".join(f"{r}.range < greatest(1, {n} // (l.range + 1)) AND {axis} >= floor({r}.range * {n}::DOUBLE / greatest(1, {n} // (l.range + 1))) AND {axis} < ceil(({r}.range + 1) * {n}::DOUBLE / greatest(1, {n} // (l.range + 1)))" for axis, r, n in zip("xyz", "abc", RES)) + ") GROUP BY 1, 2, 3, 4"
+
+
+@query("s9_write_levels", f"WITH {DENSE}, lv AS ({_POOL} UNION ALL SELECT 0 AS level, x, y, z, value FROM dg) SELECT level::BIGINT AS level, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, {R6('value')} AS value FROM lv WHERE level IN (0, 2, 3)")
+def s9l(spark, d):
+    """Three mip levels beside the data; the data and two of them are read again, each by itself."""
+    path = scratch(spark)
+    vo.write_volumes(dense(spark, d), path, RES, 3)
+    out = None
+    for level in (0, 2, 3):
+        own = vo.read_level(spark, path, level).withColumn("level", F.lit(level)).select("level", "x", "y", "z", "value")
+        out = own if out is None else out.union(own)
+    return result(out)
+
+
 @query("s9_write_volumes", f"WITH {SERIES} SELECT ensemble::BIGINT AS ensemble, time::BIGINT AS time, x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, {R6('value')} AS value FROM s")
 def s9(spark, d):
     path = scratch(spark)

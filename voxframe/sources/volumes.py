@@ -4,7 +4,9 @@ must be seen by all executors, as files are read by Python's calls; a path may b
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.grids import cells
+from ..operators.grids import cells, mip_size, mipmap, resample
 
 VOXELS = "volume_id string, ensemble int, time int, feature string, x int, y int, z int, channel int, value float"
 #: First bytes of a volume file, its version, the headers' lengths, and the type codes.
@@ -33,6 +35,30 @@ def ensemble_manifest(spark: SparkSession, fmt: str, ensembles: tuple[int, int,
     return e.crossJoin(t).withColumn("path", F.format_string(fmt, "ensemble", "time"))
 
 
+#: What an ensemble's descriptor says; all but the format may be left out.
+DESCRIPTOR = "format string, start_ensemble int, step_ensembles int, num_ensembles int, start_timestep int, step_timestep int, num_timesteps int"
+
+
+def described_ensembles(spark: SparkSession, path: str) -> DataFrame:
+    """descriptor, ensemble, time, path of the members of all ensembles that the JSON files at ``path`` describe.
+
+    Starts are 0, steps and numbers 1 where a file doesn't say. A format takes ensemble and time by place ("%1$03d") or by
+    name ("{ensemble:06d}", "{time}"). Paths are relative to the folder of their descriptor unless they begin with / or a scheme.
+    """
+    read = spark.read.schema(DESCRIPTOR).option("multiLine", "true").json(path).select(F.input_file_name().alias("descriptor"), "*")
+    default = {"start_ensemble": 0, "step_ensembles": 1, "num_ensembles": 1, "start_timestep": 0, "step_timestep": 1, "num_timesteps": 1}
+    read = read.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in default.items()}).where("format is not null and num_ensembles > 0 and num_timesteps > 0")
+    form = F.col("format")
+    for place, name in ((1, "ensemble"), (2, "time")):
+        form = F.regexp_replace(F.regexp_replace(form, rf"\{{{name}:([0-9]+)d?\}}", rf"%{place}\$$1d"), rf"\{{{name}(?::d)?\}}", rf"%{place}\$d")
+    each = read.withColumn("form", form).withColumn("e", F.explode(F.sequence(F.lit(0), F.col("num_ensembles") - 1))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("num_timesteps") - 1)))
+    each = each.withColumns({"ensemble": F.col("start_ensemble") + F.col("step_ensembles") * F.col("e"), "time": F.col("start_timestep") + F.col("step_timestep") * F.col("t")})
+    named = F.expr("format_string(form, ensemble, time)")
+    folder = F.regexp_replace("descriptor", "/[^/]*$", "/")
+    whole = F.when(named.rlike("^(?:/|[A-Za-z][A-Za-z0-9+.-]*:)"), named).otherwise(F.concat(folder, named))
+    return each.select("descriptor", "ensemble", "time", whole.alias("path"))
+
+
 def member(manifest: DataFrame, ensemble_index: int, time_index: int, ensembles: tuple[int, int, int], times: tuple[int, int, int]) -> DataFrame:
     """The row of an index pair; indices out of range are an error."""
     if not (0 <= ensemble_index < ensembles[2] and 0 <= time_index < times[2]):
@@ -226,9 +252,34 @@ def convert_npz_series(manifest: DataFrame) -> DataFrame:
     return _voxels(manifest.select("density", "velocity", "ensemble", "time"), load)
 
 
-def write_volumes(voxels: DataFrame, path: str) -> None:
-    """Parquet by volume, feature and time, so that a reader opens only what it asks for."""
-    voxels.write.partitionBy(*(c for c in ("volume_id", "feature", "time") if c in voxels.columns)).parquet(path)
+def write_volumes(voxels: DataFrame, path: str, res: Sequence[int] | None = None, levels: int = 0) -> None:
+    """Parquet by volume, feature, level and time, so that a reader opens only what it asks for.
+
+    With ``levels``, the mip levels 1 .. ``levels`` (reductions by 2, 3, ...) of grids of size ``res`` are written beside the data, each from what is
+    written already: from the largest level that divides it, as the means of whole windows are means of means, else from the data.
+    """
+    parts = [c for c in ("volume_id", "feature") if c in voxels.columns]
+    times = [c for c in ("time",) if c in voxels.columns]
+    if not levels:
+        voxels.write.partitionBy(*parts, *times).parquet(path)
+        return
+    if res is None:
+        raise ValueError("levels need the size of the grids")
+    by = [c for c in voxels.columns if c not in ("x", "y", "z", "value")]
+    data = voxels.withColumn("value", F.col("value").cast("double"))
+    data.withColumn("level", F.lit(0)).write.partitionBy(*parts, "level", *times).parquet(path)
+    schema = data.withColumn("level", F.lit(0)).schema
+    for level in range(1, levels + 1):
+        shrink, own = level + 1, [mip_size(n, level) for n in res]
+        below = max((k for k in range(level) if shrink % (k + 1) == 0 and all(n % shrink == 0 or n == 1 for n in res)), default=0)
+        source = voxels.sparkSession.read.schema(schema).parquet(path).where(F.col("level") == below).drop("level")
+        made = resample(source, [mip_size(n, below) for n in res], own, by) if below else mipmap(source, res, level, by)
+        made.withColumn("level", F.lit(level)).write.mode("append").partitionBy(*parts, "level", *times).parquet(path)
+
+
+def read_level(spark: SparkSession, path: str, level: int) -> DataFrame:
+    """The voxels of a level; files of other levels aren't opened."""
+    return spark.read.parquet(path).where(F.col("level") == level).drop("level")
 
 
 def read_eval_json(spark: SparkSession, path: str) -> DataFrame:
@@ -318,3 +369,64 @@ def synthetic_volume(spark: SparkSession, resolution: int, equation, params: dic
     x, y, z = (-half + F.col(a) * step for a in "xyz")
     value = _implicit(equation, x, y, z, params or {}) if isinstance(equation, str) else equation(x, y, z)
     return cells(spark, [resolution] * 3).withColumn("value", value)
+
+
+# --- declared equations
+
+#: Functions that declared equations may call, beside Spark's own.
+FUNCTIONS = {"sqr": "({0}) * ({0})", "cb": "({0}) * ({0}) * ({0})", "implicit2Density": "greatest(0D, least(1D, 0.5D - ({0})))"}
+_ALIASES = {"sqrtf": "sqrt", "cosf": "cos", "sinf": "sin", "expf": "exp", "powf": "power", "fabsf": "abs", "fmaxf": "greatest", "fminf": "least"}
+
+
+def _cut(text: str, at: str) -> list[str]:
+    """Parts of a text between signs that stand outside brackets."""
+    parts, deep = [""], 0
+    for c in text:
+        deep += (c == "(") - (c == ")")
+        if c == at and not deep:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return [p.strip() for p in parts if p.strip()]
+
+
+def declared_expression(text: str) -> str:
+    """A declared formula as an expression of Spark SQL, which is left to parse it: numbers are doubles, functions have Spark's names."""
+    out = re.sub(r"(?<![\w.])(\d+\.?\d*(?:e-?\d+)?)f?(?![\w.])", r"\1D", text).replace("M_PI", "pi()")
+    for name, own in _ALIASES.items():
+        out = re.sub(rf"\b{name}\(", f"{own}(", out)
+    for name, own in FUNCTIONS.items():
+        while m := re.search(rf"\b{name}\(", out):
+            deep, end = 1, m.end()
+            while deep:
+                deep += (out[end] == "(") - (out[end] == ")")
+                end += 1
+            out = out[: m.start()] + "(" + own.format(out[m.end() : end - 1]) + ")" + out[end:]
+    return out
+
+
+def declared_volume(spark: SparkSession, declaration: dict, resolution: int) -> DataFrame:
+    """x, y, z, value of an equation that a JSON object declares, on an equally spaced grid that includes both ends.
+
+    ``declaration``: name, boxsize, parameters (numbers, called p.name) and codeForward: names set by "auto a = ..;", and "return ..;" with
+    arithmetic and functions of x, y, z and of what was set before. Expressions are Spark's, so nothing runs outside its plans.
+    """
+    half = float(declaration.get("boxsize", 2)) / 2
+    step = 2 * half / (resolution - 1)
+    place = [(-half + F.col(a) * step).alias(a) for a in "xyz"]
+    given = declaration.get("parameters") or {}
+    p = F.struct(*(F.lit(float(v)).alias(k) for k, v in given.items())) if given else F.lit(None).cast("double")
+    out = cells(spark, [resolution] * 3).select(F.struct("x", "y", "z").alias("cell"), *place, p.alias("p"))
+    for statement in _cut(declaration["codeForward"], ";"):
+        if statement.startswith("return"):
+            out = out.select("cell.*", F.expr(declared_expression(statement.removeprefix("return"))).cast("double").alias("value"))
+            return out
+        for one in _cut(re.sub(r"^(?:auto|float|double|real_t)\s", "", statement), ","):
+            name, _, own = one.partition("=")
+            out = out.withColumn(name.strip(), F.expr(declared_expression(own)))
+    raise ValueError(f"the equation {declaration.get('name')} returns nothing")
+
+
+def declared_equations(spark: SparkSession, path: str) -> list[dict]:
+    """The objects of a JSON file of declared equations (a list, some kB long)."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
