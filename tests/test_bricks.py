@@ -257,3 +257,73 @@ def test_runs_of_bricks_hold_every_step_once(scene):
 def test_kept_tables_survive_their_source(spark):
     df = kept(spark.range(5))
     assert sorted(r.id for r in df.collect()) == list(range(5)) and "Scan" in df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("n", [1, 3, 16])
+def test_rays_meet_many_boxes(spark, monkeypatch, n):
+    rng = np.random.default_rng(12)
+    low = np.round(rng.random((80, 3)), 1)  # on planes between cells too
+    size = np.where(rng.random((80, 3)) < 0.2, 0.0, np.round(rng.random((80, 3)) * 0.3, 2))
+    box = [(k, *map(float, a), *map(float, a + b)) for k, (a, b) in enumerate(zip(low, size))]
+    boxes = spark.createDataFrame(box, "box int, low_x double, low_y double, low_z double, high_x double, high_y double, high_z double")
+    way = rng.normal(size=(120, 3))
+    way[::4, 0] = 0.0
+    way[::6, 2] = 0.0
+    at = np.where(rng.random((120, 3)) < 0.3, np.round(rng.random((120, 3)), 1), rng.random((120, 3)) * 1.4 - 0.2)
+    ray = [(k, *map(float, a), *map(float, b)) for k, (a, b) in enumerate(zip(at, way))]
+    lines = spark.createDataFrame(ray, "ray int, ex double, ey double, ez double, dx double, dy double, dz double")
+    key = lambda df: sorted((r.ray, r.box, round(r.tmin, 9), round(r.tmax, 9)) for r in df.collect())
+    want = key(sampling.ray_clip(lines, boxes))
+    assert len(want) > 50 and key(sampling.clip_by_cells(lines, boxes, n)) == want
+    for k, b, t, u in want[::7]:  # points between entry and exit are in the box
+        p = at[k] + (t + u) / 2 * way[k]
+        assert (p >= low[b] - 1e-6).all() and (p <= low[b] + size[b] + 1e-6).all()
+    monkeypatch.setattr(sampling, "MOST_BOXES", 10)
+    assert key(sampling.ray_clip(lines, boxes)) == want
+
+
+@pytest.mark.parametrize("blocks", [2, 7, 4096])
+def test_numbers_by_place(spark, blocks):
+    rng = np.random.default_rng(3)
+    own = np.sort(np.append(rng.integers(-50, 10**12, 300), [7] * 40))
+    df = spark.createDataFrame([(int(v),) for v in own], "v long").repartition(3)
+    for n in (1, 2, 30, 200, len(own)):
+        v, before = points.nth(df, "v", n, blocks)
+        assert v == own[n - 1] and before == (own < v).sum()
+
+
+def test_first_accepted_and_split(spark):
+    df = spark.createDataFrame([(int(i) ** 3, 0.5) for i in range(200)], "id long, value double")
+    assert sorted(r.id for r in points.first_accepted(df, 50, 8).collect()) == [i**3 for i in range(50)]
+    assert points.first_accepted(df, 500).count() == 200 and points.first_accepted(df, 0).isEmpty()
+    rows = points.chunk(spark.range(1000), 80)
+    got = points.split_train_val(rows, 0.3)
+    of = {}
+    for r in got.collect():
+        of.setdefault(r.chunk_id, set()).add(r.validation)
+    assert all(len(v) == 1 for v in of.values()) and sum(v == {True} for v in of.values()) == int(len(of) * 0.3)
+    assert points.split_train_val(rows, 0.0).where("validation").isEmpty()
+
+
+def test_target_planes(cube):
+    df, arrays = cube
+    targets = [("eps", 0.5), ("eps", 1e-9), ("rmse", 0.5), ("psnr", 20.0)]
+    got = {(r.key, r.kind, r.target): r for r in compress.target_planes(df, targets, 10, ["key"]).collect()}
+    for k, a in arrays.items():
+        v = np.abs(a).ravel()
+        top = np.floor(np.log2(v.max()))
+        q = np.floor(v * 2.0 ** (9 - top)).astype(int)
+        for kind, target in targets:
+            allowed = {"eps": (np.linalg.norm(v) * target) ** 2, "rmse": target**2 * v.size, "psnr": ((a.max() - a.min()) / 2 / 10 ** (target / 20)) ** 2 * v.size}[kind]
+            want, known, bits = None, 0, 0.0
+            for plane in range(10):
+                seen = q >> (9 - plane)
+                new, left = int((seen == 1).sum()), v.size - known
+                p = new / left if left else 0
+                bits += known + new + (-new * np.log2(p) - (left - new) * np.log2(1 - p) if 0 < p < 1 else 0)
+                known += new
+                if ((v - seen * 2.0 ** (top - plane)) ** 2).sum() <= allowed:
+                    want = plane
+                    break
+            r = got[k, kind, target]
+            assert r.plane == want and abs(r.allowed - allowed) < 1e-6 and (want is None or abs(r.bits - bits) < 1e-6)

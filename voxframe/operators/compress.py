@@ -244,17 +244,49 @@ def bitplane_profile(core: DataFrame, planes: int = 16, by: Sequence[str] = ())
     each = scaled.select(*by, "value", "q", "top", F.explode(F.sequence(F.lit(0), F.lit(planes - 1))).alias("plane"))
     shift = F.pow(F.lit(2.0), F.lit(planes - 1) - F.col("plane")).cast("long")
     seen = F.floor(F.col("q") / shift)
-    kept = seen * shift / F.pow(F.lit(2.0), F.lit(planes - 1) - F.col("top"))
-    e = F.abs("value") - kept
+    shown = seen * shift / F.pow(F.lit(2.0), F.lit(planes - 1) - F.col("top"))
+    e = F.abs("value") - shown
     return each.groupBy(*by, "plane").agg(F.sum((seen % 2).cast("long")).alias("ones"), F.sum(F.when(seen == 1, 1).otherwise(0)).alias("new"), F.sum(e * e).alias("sse"))
 
 
+def plane_bits(profile: DataFrame, counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Adds bits, what all planes down to each one cost: a bit for each coefficient that was significant before, the entropy of which
+    of the others become so, and a sign for those. ``counts``: by and n, the number of coefficients.
+
+    One window a group over its planes, 64 at most.
+    """
+    line = Window.partitionBy(*by).orderBy("plane")
+    met = profile.join(counts, list(by)) if by else profile.crossJoin(F.broadcast(counts))
+    known = F.coalesce(F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = met.withColumn("known", known).withColumn("left", F.col("n") - F.col("known"))
+    p = F.col("new") / F.col("left")
+    chosen = F.when((F.col("new") > 0) & (F.col("new") < F.col("left")), -F.col("new") * F.log2(p) - (F.col("left") - F.col("new")) * F.log2(1 - p)).otherwise(0.0)
+    cost = F.sum(F.col("known") + chosen + F.col("new")).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    return met.withColumn("bits", cost).drop("known", "left", "n")
+
+
+def target_planes(core: DataFrame, targets: Sequence[tuple[str, float]], planes: int = 16, by: Sequence[str] = ()) -> DataFrame:
+    """by, kind, target, allowed (squared error), plane, bits, sse: for each target ("eps", "rmse" or "psnr" and its value) the first
+    bit plane after which the error is no larger than allowed; null where no plane reaches it.
+
+    All targets share one pass for the profile and one for the norms.
+    """
+    profile = plane_bits(bitplane_profile(core, planes, by), core.groupBy(*by).agg(F.count("*").alias("n")), by)
+    asked = None
+    for kind, value in targets:
+        own = error_target(core, kind, value, by).select(*by, F.lit(kind).alias("kind"), F.lit(float(value)).alias("target"), F.col("sse").alias("allowed"))
+        asked = own if asked is None else asked.unionByName(own)
+    met = asked.join(profile, list(by)) if by else asked.crossJoin(profile)
+    first = F.min(F.when(F.col("sse") <= F.col("allowed"), F.struct("plane", "bits", "sse"))).alias("first")
+    return met.groupBy(*by, "kind", "target", "allowed").agg(first).select(*by, "kind", "target", "allowed", "first.plane", "first.bits", "first.sse")
+
+
 def tucker_ranks(core: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
     """axis, norm of the kept coefficients and rank (last slice with one, plus 1)."""
-    kept = core.where(F.abs("value") > threshold)
+    large = core.where(F.abs("value") > threshold)
     out = None
     for a in AXES:
-        part = kept.groupBy(*by).agg(F.lit(a).alias("axis"), (F.max(a) + 1).alias("rank"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+        part = large.groupBy(*by).agg(F.lit(a).alias("axis"), (F.max(a) + 1).alias("rank"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
         out = part if out is None else out.union(part)
     return out
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import clamp, masked
+from ._tables import kept
 from .grids import AXES, cells, densify, radical_inverse
 
 
@@ -65,27 +66,42 @@ def stratified_points(spark: SparkSession, res: Sequence[int], k: int, sampler:
     return each.withColumns({f"p{a}": (F.col(a) + j) / float(n) for a, n, j in zip(AXES, res, jitter)})
 
 
+def nth(df: DataFrame, column: str, n: int, blocks: int = 4096) -> tuple[int, int]:
+    """The n-th smallest whole number of a column (n from 1), and how many rows are below it.
+
+    The range that holds it is cut into so many blocks, which are counted, until a block is one number: two or three aggregates
+    of a few thousand rows, no sort and no task that holds more.
+    """
+    ends = df.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    low, high, before = ends.low, ends.high, 0
+    while low < high:
+        width = (high - low) // blocks + 1
+        at = F.floor((F.col(column) - low) / width)
+        counts = df.where(F.col(column).between(low, high)).groupBy(at.alias("block")).agg(F.count("*").alias("n")).orderBy("block").collect()
+        for row in counts:
+            if before + row.n >= n:
+                break
+            before += row.n
+        low, high = low + row.block * width, min(high, low + (row.block + 1) * width - 1)
+    return low, before
+
+
 def first_accepted(accepted: DataFrame, n: int, blocks: int = 4096) -> DataFrame:
-    """The n rows of the least id, without a sort of all: ids are counted in so many blocks, and the cut falls into one."""
-    last = accepted.agg(F.max("id")).first()[0]
-    if last is None:
+    """The n rows of the least id (ids are distinct), without a sort of all. ``accepted`` is read several times: pass a written table."""
+    if n <= 0:
+        return accepted.where("false")
+    if accepted.count() <= n:
         return accepted
-    width = last // blocks + 1
-    before = 0
-    for row in accepted.groupBy(F.floor(F.col("id") / width).alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect():
-        if before + row.n >= n:
-            within = (F.col("id") >= row.b * width) & (F.col("id") < (row.b + 1) * width)
-            return accepted.where(F.col("id") <= accepted.where(within).orderBy("id").limit(n - before).agg(F.max("id")).first()[0])
-        before += row.n
-    return accepted
+    return accepted.where(F.col("id") <= nth(accepted, "id", n, blocks)[0])
 
 
 def importance_points(candidates: DataFrame, value_at: Callable[[DataFrame], DataFrame], n: int, least: float, most: float) -> DataFrame:
     """Rejection sampling: candidates (id, px, py, pz, u) with max(value / most, least) > u, the first n.
 
-    ``value_at`` adds ``value`` to points, e.g. a sample of a grid. Fewer rows come back if the candidates don't suffice.
+    ``value_at`` adds ``value`` to points, e.g. a sample of a grid; candidates with their values are written once, and read to count
+    and to cut. Fewer rows come back if the candidates don't suffice.
     """
-    return first_accepted(value_at(candidates).where(F.greatest(F.col("value") / most, F.lit(least)) > F.col("u")), n)
+    return first_accepted(kept(value_at(candidates)).where(F.greatest(F.col("value") / most, F.lit(least)) > F.col("u")), n)
 
 
 def loss_grid(samples: DataFrame, res: Sequence[int]) -> DataFrame:
@@ -108,11 +124,18 @@ def chunk(df: DataFrame, batch: int, parts: int = 8, id_column: str = "id") -> D
 
 
 def split_train_val(df: DataFrame, share: float, seed: int = 0) -> DataFrame:
-    """Adds validation: the first int(chunks * share) chunks in hashed order; rows of a chunk stay together."""
-    chunks = df.select("chunk_id").distinct().withColumn("turn", hashed(F.lit(seed), F.col("chunk_id")))
+    """Adds validation: the first int(chunks * share) chunks in hashed order; rows of a chunk stay together.
+
+    The last of those chunks is found by counts, so whether a row belongs to them follows from its own chunk, without a join.
+    """
+    turn = (hashed(F.lit(seed), F.col("chunk_id")) * float(1 << 40)).cast("long")
+    chunks = kept(df.select("chunk_id").distinct().withColumn("turn", turn))
     most = int(chunks.count() * share)
-    chosen = chunks.orderBy("turn", "chunk_id").limit(most).select("chunk_id", F.lit(True).alias("validation"))
-    return df.join(chosen, "chunk_id", "left").withColumn("validation", F.coalesce("validation", F.lit(False)))
+    if not most:
+        return df.withColumn("validation", F.lit(False))
+    last, before = nth(chunks, "turn", most)
+    tied = nth(chunks.where(F.col("turn") == last), "chunk_id", most - before)[0]
+    return df.withColumn("validation", F.coalesce((turn < last) | ((turn == last) & (F.col("chunk_id") <= tied)), F.lit(False)))
 
 
 def dataset_size(members: DataFrame, samples: int, batch: int, row_bytes: int) -> DataFrame:
@@ -151,9 +174,8 @@ def resample_by_loss(errors: DataFrame, res: Sequence[int], candidates: DataFram
 
     ``value_at`` takes candidates and a dense grid and adds value, as ``sampling.sample`` does.
     """
-    losses = loss_grid(errors, res).persist()  # read for the largest loss and for each pass over the candidates
+    losses = kept(loss_grid(errors, res))  # read for the largest loss and for the candidates
     most = losses.agg(F.max("loss")).first()[0] or 1.0
     field = densify(losses.select(*AXES, F.col("loss").alias("value")), res)
-    valued = value_at(candidates, field).persist()  # counted, cut and split in separate jobs
-    picked = importance_points(valued, lambda c: c, n, least, most)
+    picked = importance_points(candidates, lambda c: value_at(c, field), n, least, most)
     return split_train_val(chunk(picked, batch), share)

@@ -203,23 +203,89 @@ def warp(image: DataFrame, flow: DataFrame, width: int, height: int, by: Sequenc
     return asked.join(seen, [*by, "vx", "vy"], "left").groupBy(*by, "x", "y").agg(F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
-#: Boxes that are sent to all rays at most.
-MOST_BOXES = 100_000
+#: Boxes that are sent to all rays at most; more are met by cells.
+MOST_BOXES = 10_000
+#: Cells an axis into which space is cut for that.
+CELLS = 16
 
 
-def ray_clip(rays: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Entry and exit of each ray in each box; only those that meet. Every ray asks every box, so boxes are counted and must be few."""
-    if boxes.limit(MOST_BOXES + 1).count() > MOST_BOXES:
-        raise ValueError(f"more than {MOST_BOXES} boxes: divide space into cells and clip rays against the boxes of their cells")
-    met = rays.crossJoin(F.broadcast(boxes))
+def _slabs(rays: DataFrame) -> DataFrame:
+    """Adds tmin and tmax of each ray (e, d) in its box (low, high); only those that meet. A ray along a face is in the box."""
     near, far = [], []
     for a in AXES:
-        one = (F.col(f"low_{a}") - F.col(f"e{a}")) / F.col(f"d{a}")
-        two = (F.col(f"high_{a}") - F.col(f"e{a}")) / F.col(f"d{a}")
-        near.append(F.least(one, two))
-        far.append(F.greatest(one, two))
+        e, d = F.col(f"e{a}"), F.col(f"d{a}")
+        low, high = F.col(f"low_{a}") - e, F.col(f"high_{a}") - e
+        still = F.when((low <= 0) & (high >= 0), float("inf")).otherwise(float("-inf"))  # no way along the axis: always or never inside
+        one, two = (F.when(d != 0, F.try_divide(x, d)) for x in (low, high))
+        near.append(F.coalesce(F.least(one, two), -still))
+        far.append(F.coalesce(F.greatest(one, two), still))
     end = F.least(*far, F.col("depth")) if "depth" in rays.columns else F.least(*far)
-    return met.withColumn("tmin", F.greatest(*near, F.lit(0.0))).withColumn("tmax", end).where("tmin <= tmax")
+    return rays.withColumn("tmin", F.greatest(*near, F.lit(0.0))).withColumn("tmax", end).where("tmin <= tmax")
+
+
+def ray_clip(rays: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Entry and exit of each ray in each box; only those that meet. Few boxes are sent to all rays; many are met by cells."""
+    if boxes.limit(MOST_BOXES + 1).count() > MOST_BOXES:
+        return clip_by_cells(rays, boxes)
+    return _slabs(rays.crossJoin(F.broadcast(boxes)))
+
+
+def _crossings(planes: Column, e: Column, d: Column) -> Column:
+    return F.transform(planes, lambda p: F.try_divide(p - e, d))
+
+
+def ray_cells(rays: DataFrame, low: Sequence[float], high: Sequence[float], n: int = CELLS) -> DataFrame:
+    """Adds cells: the numbers of the cells that a ray passes in the domain low .. high cut n times an axis, in order.
+
+    The ray is cut where it crosses the planes between cells; the middle of each part tells its cell.
+    """
+    domain = {f"low_{a}": F.lit(float(v)) for a, v in zip(AXES, low)} | {f"high_{a}": F.lit(float(v)) for a, v in zip(AXES, high)}
+    inside = _slabs(rays.withColumns(domain)).drop(*domain)
+    cuts = []
+    for a, v, w in zip(AXES, low, high):
+        planes = F.array(*(F.lit(v + (w - v) * k / n) for k in range(1, n)))
+        e, d = F.col(f"e{a}"), F.col(f"d{a}")
+        cuts.append(F.when(d != 0, _crossings(planes, e, d)).otherwise(F.array().cast("array<double>")))
+    within = F.filter(F.concat(*cuts), lambda t: (t > F.col("tmin")) & (t < F.col("tmax")))
+    ways = inside.withColumn("__cuts", F.array_sort(F.array_distinct(F.concat(F.array("tmin"), within, F.array("tmax")))))
+
+    def cell(t: Column) -> Column:
+        k = [F.least(F.greatest(F.floor((F.col(f"e{a}") + t * F.col(f"d{a}") - v) / (w - v) * n), F.lit(0)), F.lit(n - 1)) for a, v, w in zip(AXES, low, high)]
+        return (k[0] + n * (k[1] + n * k[2])).cast("int")
+
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("__cuts") - 2, F.lit(0))), lambda i: cell((F.get("__cuts", i) + F.coalesce(F.get("__cuts", i + 1), F.get("__cuts", i))) / 2))
+    return ways.withColumn("cells", F.array_distinct(parts)).drop("__cuts", "tmin", "tmax")
+
+
+def clip_by_cells(rays: DataFrame, boxes: DataFrame, n: int = CELLS) -> DataFrame:
+    """``ray_clip`` for any number of boxes: rays and boxes meet in the cells of space that both touch.
+
+    A ray and a box that share several cells are compared in the first of them alone, so nothing has to be made distinct. Boxes are
+    dealt to the cells that they come near to by a billionth of the domain, as planes are only hit up to rounding.
+    """
+    ends = boxes.agg(*(F.min(f"low_{a}").alias(f"l{a}") for a in AXES), *(F.max(f"high_{a}").alias(f"h{a}") for a in AXES)).first()
+    if ends["lx"] is None:
+        return _slabs(rays.crossJoin(boxes))
+    low, high = [ends[f"l{a}"] for a in AXES], [ends[f"h{a}"] for a in AXES]
+    wide = [max(w - v, 1e-300) * 1e-9 + abs(v) * 1e-15 for v, w in zip(low, high)]
+    low, high = [v - e for v, e in zip(low, wide)], [w + e for w, e in zip(high, wide)]
+    dealt, place = boxes, F.lit(0)
+    for k, (a, v, w, e) in enumerate(zip(AXES, low, high, wide)):
+        first, last = (F.least(F.greatest(F.floor((c - v) / (w - v) * n), F.lit(0)), F.lit(n - 1)).cast("int") for c in (F.col(f"low_{a}") - e, F.col(f"high_{a}") + e))
+        dealt = dealt.withColumns({f"__f{a}": first, f"__t{a}": last}).withColumn(f"__c{a}", F.explode(F.sequence(f"__f{a}", f"__t{a}")))
+        place = place + F.col(f"__c{a}") * n**k
+    dealt = dealt.withColumn("cell", place.cast("int")).drop(*(f"__c{a}" for a in AXES))
+    asked = ray_cells(rays, low, high, n).select("*", F.explode("cells").alias("cell"))
+
+    def held(c: Column) -> Column:
+        at = {"x": c % n, "y": F.floor(c / n) % n, "z": F.floor(c / (n * n))}
+        out = F.lit(True)
+        for a in AXES:
+            out = out & at[a].between(F.col(f"__f{a}"), F.col(f"__t{a}"))
+        return out
+
+    met = asked.join(dealt, "cell").where(F.get(F.filter("cells", held), F.lit(0)) == F.col("cell"))
+    return _slabs(met.drop("cell", "cells", *(f"__{k}{a}" for k in "ft" for a in AXES)))
 
 
 def pair_prediction(truth: DataFrame, predicted: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -164,6 +164,28 @@ def a24v(spark, d):
     return result(cp.bitplane_profile(small_volumes(spark, d).drop("label"), 16, ["volume_id"]))
 
 
+TARGETS = [("eps", 0.3), ("rmse", 0.02), ("psnr", 30.0)]
+ALLOWED = " UNION ALL ".join(
+    f"SELECT volume_id, '{kind}' AS kind, {value!r}::DOUBLE AS target, {allowed} AS allowed FROM v GROUP BY 1"
+    for kind, value, allowed in ((k, v, {"eps": f"power(sqrt(sum(value * value)) * {v!r}, 2)", "rmse": f"{v * v!r} * count(*)", "psnr": f"power((max(value) - min(value)) / 2 / {10 ** (v / 20)!r}, 2) * count(*)"}[k]) for k, v in TARGETS)
+)
+PLANES = f"""{SMALL}, t AS (SELECT volume_id, floor(log2(max(abs(value)))) AS top FROM v GROUP BY 1),
+q AS (SELECT v.volume_id, value, top, floor(abs(value) * power(2, 15 - top)) AS q, p.range AS plane FROM v JOIN t USING (volume_id), range(16) p),
+e AS (SELECT volume_id, plane, floor(q / power(2, 15 - plane)) AS seen, abs(value) - floor(q / power(2, 15 - plane)) * power(2, 15 - plane) / power(2, 15 - top) AS e FROM q),
+pf AS (SELECT volume_id, plane, CAST(sum(CASE WHEN seen = 1 THEN 1 ELSE 0 END) AS BIGINT) AS new, sum(e * e) AS sse FROM e GROUP BY 1, 2),
+kn AS (SELECT *, coalesce(sum(new) OVER (PARTITION BY volume_id ORDER BY plane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS known FROM pf),
+cs AS (SELECT volume_id, plane, sse, known + new + CASE WHEN new > 0 AND new < 64 - known THEN -new * log2(new / (64e0 - known)) - (64 - known - new) * log2(1 - new / (64e0 - known)) ELSE 0 END AS cost FROM kn),
+bt AS (SELECT volume_id, plane, sse, sum(cost) OVER (PARTITION BY volume_id ORDER BY plane ROWS UNBOUNDED PRECEDING) AS bits FROM cs),
+al AS ({ALLOWED}),
+mn AS (SELECT al.volume_id, al.kind, al.target, al.allowed, min(CASE WHEN bt.sse <= al.allowed THEN bt.plane END) AS plane FROM al JOIN bt USING (volume_id) GROUP BY ALL)"""
+
+
+@query("a24_target_planes", f"WITH {PLANES} SELECT mn.volume_id, kind, {R6('target')} AS target, {R6('allowed')} AS allowed, mn.plane::BIGINT AS plane, {R6('bt.bits')} AS bits, {R6('bt.sse')} AS sse FROM mn LEFT JOIN bt ON bt.volume_id = mn.volume_id AND bt.plane = mn.plane")
+def a24t(spark, d):
+    """The first plane, and the bits down to it, of a relative error, an rmse and a psnr."""
+    return result(cp.target_planes(small_volumes(spark, d).drop("label"), TARGETS, 16, ["volume_id"]))
+
+
 @query("a24_bitplane_profile")
 def a24(spark, d):
     return result(cp.bitplane_profile(cp.tucker(small_volumes(spark, d).drop("label"), "volume_id", 4), 16, ["volume_id"]))

@@ -162,6 +162,19 @@ def j8(spark, d):
     return result(sa.ray_clip(_rays(spark, d), boxes).select(*KEY3, "box", "tmin", "tmax"), KEY3)
 
 
+SIDES = {"x": "p_size / 51e0", "y": "p_retailprice / 97 - floor(p_retailprice / 97)", "z": "p_partkey * 0.618e0 - floor(p_partkey * 0.618e0)"}
+MANY = "bm AS (SELECT p_partkey AS box, " + ", ".join(f"{c} AS low_{a}, {c} + 0.02e0 AS high_{a}" for a, c in SIDES.items()) + " FROM part)"
+
+
+@query("j8_ray_clip_many", f"WITH {RAYS}, {MANY}, m AS (SELECT px, py, pz, box, " + ", ".join(f"least((low_{a} - e{a}) / d{a}, (high_{a} - e{a}) / d{a}) AS n{a}, greatest((low_{a} - e{a}) / d{a}, (high_{a} - e{a}) / d{a}) AS f{a}" for a in "xyz") + f" FROM (SELECT * FROM r WHERE dy <> 0 AND dz <> 0), bm), c AS (SELECT px, py, pz, box, greatest(nx, ny, nz, 0) AS tmin, least(fx, fy, fz) AS tmax FROM m) SELECT px, py, pz, box, {R6('tmin')} AS tmin, {R6('tmax')} AS tmax FROM c WHERE tmin <= tmax")
+def j8m(spark, d):
+    """A box for each part, met by cells."""
+    part = table(spark, d, "part")
+    low = {"x": F.col("p_size") / 51, "y": F.col("p_retailprice") / 97 - F.floor(F.col("p_retailprice") / 97), "z": F.col("p_partkey") * 0.618 - F.floor(F.col("p_partkey") * 0.618)}
+    boxes = part.select(F.col("p_partkey").alias("box"), *(c.alias(f"low_{a}") for a, c in low.items()), *((c + 0.02).alias(f"high_{a}") for a, c in low.items()))
+    return result(sa.clip_by_cells(_rays(spark, d).where("dy <> 0 and dz <> 0"), boxes).select(*KEY3, "box", "tmin", "tmax"), KEY3)
+
+
 @query("j10_pair_prediction", f"WITH {GRID}, b AS (SELECT x, y, z, round(value * 32) / 32 AS value FROM g WHERE z < 7) SELECT x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, {R6('g.value')} AS truth, {R6('b.value')} AS predicted FROM g JOIN b USING (x, y, z)")
 def j10(spark, d):
     a = grid(spark, d)
