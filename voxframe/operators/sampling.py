@@ -240,14 +240,16 @@ def ray_cells(rays: DataFrame, low: Sequence[float], high: Sequence[float], n: i
     The ray is cut where it crosses the planes between cells; the middle of each part tells its cell.
     """
     domain = {f"low_{a}": F.lit(float(v)) for a, v in zip(AXES, low)} | {f"high_{a}": F.lit(float(v)) for a, v in zip(AXES, high)}
-    inside = _slabs(rays.withColumns(domain)).drop(*domain)
+    # what is made by explode is computed once; a column of a projection may be computed again wherever a lambda names it
+    ends = F.explode(F.array(F.struct("tmin", "tmax"))).alias("__ends")
+    inside = _slabs(rays.withColumns(domain)).select(*rays.columns, ends).select(*rays.columns, "__ends.*")
     cuts = []
     for a, v, w in zip(AXES, low, high):
         planes = F.array(*(F.lit(v + (w - v) * k / n) for k in range(1, n)))
         e, d = F.col(f"e{a}"), F.col(f"d{a}")
         cuts.append(F.when(d != 0, _crossings(planes, e, d)).otherwise(F.array().cast("array<double>")))
     within = F.filter(F.concat(*cuts), lambda t: (t > F.col("tmin")) & (t < F.col("tmax")))
-    ways = inside.withColumn("__cuts", F.array_sort(F.array_distinct(F.concat(F.array("tmin"), within, F.array("tmax")))))
+    ways = inside.select("*", F.explode(F.array(F.array_sort(F.array_distinct(F.concat(F.array("tmin"), within, F.array("tmax")))))).alias("__cuts"))
 
     def cell(t: Column) -> Column:
         k = [F.least(F.greatest(F.floor((F.col(f"e{a}") + t * F.col(f"d{a}") - v) / (w - v) * n), F.lit(0)), F.lit(n - 1)) for a, v, w in zip(AXES, low, high)]
