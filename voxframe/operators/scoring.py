@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,18 +65,22 @@ class Model:
 def score(points: DataFrame, model: Model, inputs: Sequence[str], key: Sequence[str], outputs: Sequence[str] = ("value",)) -> DataFrame:
     """key and outputs of the model at each point; the model travels with the tasks. Inputs are numbers or arrays of numbers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            parts = [np.stack(batch[c].to_numpy()).astype(float) if c in wide else batch[c].to_numpy(float)[:, None] for c in inputs]
+            parts = []
+            for c in inputs:
+                column = batch.column(c)
+                numbers = (column.flatten() if c in wide else column).to_numpy(zero_copy_only=False).astype(float)
+                parts.append(numbers.reshape(batch.num_rows, -1))
             got = model(np.concatenate(parts, axis=1))
-            yield pd.concat([batch[list(key)].reset_index(drop=True), pd.DataFrame(got, columns=list(outputs))], axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), *(pa.array(v, pa.float64(), from_pandas=True) for v in got.T)], names=[*key, *outputs])
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
     wide = {c for c in inputs if kinds[c].startswith("array")}
     ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), *(f"`{o}` double" for o in outputs)])
-    return points.select(*key, *(c for c in inputs if c not in key)).mapInPandas(run, ddl)
+    return points.select(*key, *(c for c in inputs if c not in key)).mapInArrow(run, ddl)
 
 
 def latent_inputs(points: DataFrame, key: Sequence[str], latent: DataFrame | None = None, res: Sequence[int] = (), vectors: DataFrame | None = None, count: int = 0, bands: int = 0, time_bands: int = 0, prefix: str = "f", time_grids: DataFrame | None = None, times: int = 0, ensemble_grids: DataFrame | None = None, members: int = 0) -> tuple[DataFrame, list[str]]:
