@@ -58,7 +58,7 @@ def op9_phrase_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.classes(_table(spark, sf_dir, "documents"), size=5, similarity=0.8, weighting="count")
+    return near_dup.classes(_table(spark, sf_dir, "documents"), size=5, similarity=0.8, weighting="count", exhaustive=True)
 
 
 def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
