@@ -1,9 +1,10 @@
 """Quality rules: statistics of each text, fixed limits, and isolation forests on the statistics.
 
-One pass over the table gives every text's statistics. Forests, one for each group of statistics, are grown on the
-driver from a bounded sample of labelled rows (``sample_rows``): random splits isolate unusual statistics after few steps, so
-a short mean path means an anomaly. Trees are grown on one half of the good rows; the largest score of each forest that still
-counts as normal is calibrated on the other half, of which at most ``lost_share`` are above a limit. Forests and limits are some 500 kB and travel with the tasks;
+One pass over the table gives every text's statistics. Forests, one for each group of statistics, are grown on the driver: random splits
+isolate unusual statistics after few steps, so a short mean path means an anomaly. Ranges of statistics are those of all labelled rows.
+Trees are grown on one half of the good rows, each, as isolation forests are defined, on a random part of ``part`` of them; the largest
+score of each forest that still counts as normal is calibrated on all rows of the other half, of which at most ``lost_share`` are above a
+limit, and on all bad rows. Forests and limits are some 500 kB and travel with the tasks;
 scoring needs no shuffle.
 
 Edge cases: a null or empty text has no words, fails the base rules and is not kept; without labels of good rows there are no
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._np import SMALL_BLOCK, blocks, char_starts, mix, out_batch, span_hash, split_words, text_column, trim, window_hashes
-from ._shared import small_batches
+from ._shared import drop, small_batches, written
 
 #: The signs that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -201,18 +203,23 @@ def calibrate(members: list[IsolationForest], good: np.ndarray, bad: np.ndarray,
     All limits stand at one rank of the good rows' scores in their forest, the lowest at which the forests together reject no more than
     ``lost_share`` of the good rows. Each is then raised halfway to the next bad row's score above it.
     """
-    scores = [f.score(good) for f in members]
+    limits = joint_limits([f.score(good) for f in members], len(good), lost_share)
+    for forest, limit in zip(members, limits):
+        of_bad = forest.score(bad) if len(bad) else np.zeros(0)
+        above = of_bad[of_bad > limit]
+        forest.limit = (limit + float(above.min())) / 2 if len(above) else 1.0
+
+
+def joint_limits(scores: list[np.ndarray], rows: int, lost_share: float) -> list[float]:
+    """Each forest's limit of ``rows`` good rows. ``scores`` may be of only some of them, if those with the ``lost_share * rows + 1`` highest scores
+    of each forest are there: at any rank beyond, the limits that lose no more are the same."""
     falling = [np.sort(s)[::-1] for s in scores]
-    low, high = 0, len(good) - 1  # at rank 0 no good row is rejected, and the more the higher the rank
+    low, high = 0, min(int(lost_share * rows), len(falling[0]) - 1)  # at rank 0 no good row is rejected, and the more the higher the rank
     while low < high:
         rank = (low + high + 1) // 2
         lost = np.any([s > f[rank] for s, f in zip(scores, falling)], axis=0).sum()
-        low, high = (rank, high) if lost <= lost_share * len(good) else (low, rank - 1)
-    for forest, own in zip(members, falling):
-        limit = float(own[low])
-        of_bad = forest.score(bad) if len(bad) else np.zeros(0)
-        above = of_bad[of_bad > limit]
-        forest.limit = (limit + float(above.min())) / 2 if len(above) else 1.0
+        low, high = (rank, high) if lost <= lost_share * rows else (low, rank - 1)
+    return [float(own[low]) for own in falling]
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -229,28 +236,54 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, features array<double>, base_failed boolean")
 
 
-def fit_forests(docs: DataFrame, labels: DataFrame, sample_rows: int = 4096, lost_share: float = 0.002, trees: int = 50) -> Forests | None:
-    """Calibrated forests from at most ``sample_rows`` labelled rows, chosen by a hash of their id; None without good ones.
+def fit_forests(docs: DataFrame, labels: DataFrame, lost_share: float = 0.002, trees: int = 50) -> Forests | None:
+    """Forests calibrated by all labelled rows; None without good ones.
 
     Trees are grown on good rows that pass the base rules; bad ones only take part in ranges and limits. The forests together
-    reject at most ``lost_share`` of the half of the good rows on which the limits are set.
+    reject at most ``lost_share`` of the half of the good rows on which the limits are set. To the driver come ``part`` good rows for each
+    tree, the rows at the limits (``lost_share`` of that half for each forest), and sums.
     """
     small_batches(docs.sparkSession)
-    sample = (
-        labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_rows)
-    )
-    few = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    measured = _measured(few).where(~F.col("base_failed")).groupBy("doc_id").agg(F.min("features").alias("features"))  # a row for each id
-    got = measured.join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("quality", "features").toPandas()
-    good = np.array(got.features[got.quality == 1].tolist())
-    bad = np.array(got.features[got.quality == 0].tolist())
-    if not len(good):
+    told = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    own = docs.select("doc_id", "text").join(told.select("doc_id"), "doc_id", "left_semi")
+    measured = _measured(own).where(~F.col("base_failed")).groupBy("doc_id").agg(F.min("features").alias("features"))  # a row for each id
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    rows = written(measured.join(told, "doc_id").select("doc_id", "features", (F.col("quality") == 1).alias("good"), half.alias("half")))
+    counts = {(r.good, r.half): r.n for r in rows.groupBy("good", "half").agg(F.count("*").alias("n")).collect()}
+    if not counts.get((True, 0), 0) + counts.get((True, 1), 0):
+        drop(rows)
         return None
-    return grow(good, bad.reshape(-1, len(FEATURES)), lost_share, trees)
+    ends = rows.agg(*(f(F.get("features", F.lit(k))).alias(f"{n}{k}") for k in range(len(FEATURES)) for n, f in (("low", F.min), ("high", F.max)))).first()
+    low, high = (np.array([ends[f"{n}{k}"] for k in range(len(FEATURES))]) for n in ("low", "high"))
+    grown = 0 if counts.get((True, 0)) else 1
+    other = 1 if counts.get((True, 1)) else 0  # of a single good row there is only one half
+    few = rows.where(F.col("good") & (F.col("half") == grown)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(trees * IsolationForest.part).collect()
+    ordinary = np.array([r.features for r in few])
+    members = [IsolationForest([FEATURES.index(f) for f in group], trees).fit(ordinary, low, high) for group in GROUPS]
+    scored = written(_scored(rows.where(~F.col("good") | (F.col("half") == other)), members))
+    names = [f"s{k}" for k in range(len(members))]
+    n = counts[(True, other)]
+    top = [scored.where("good").orderBy(F.desc(c), "doc_id").limit(int(lost_share * n) + 1) for c in names]
+    highest = np.array([r[1:] for r in reduce(DataFrame.union, (t.select("doc_id", *names) for t in top)).distinct().collect()])
+    limits = joint_limits(list(highest.T), n, lost_share)
+    above = scored.where("not good").agg(*(F.min(F.when(F.col(c) > limit, F.col(c))).alias(c) for c, limit in zip(names, limits))).first()
+    for forest, c, limit in zip(members, names, limits):
+        forest.limit = 1.0 if above[c] is None else (limit + above[c]) / 2
+    drop(rows, scored)
+    return Forests(members)
+
+
+def _scored(rows: DataFrame, members: list[IsolationForest]) -> DataFrame:
+    """doc_id, good and the forests' scores, s0, s1, ..."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                features = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(f.score(features)) for f in members)], names=names)
+
+    names = ["doc_id", "good", *(f"s{k}" for k in range(len(members)))]
+    return rows.select("doc_id", "good", "features").mapInArrow(run, ", ".join(["doc_id long", "good boolean", *(f"{n} double" for n in names[2:])]))
 
 
 def grow(good: np.ndarray, bad: np.ndarray, lost_share: float, trees: int) -> Forests:
