@@ -1,5 +1,7 @@
 """Fits and links that leave no labelled row and no open bucket out."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -40,3 +42,25 @@ def test_the_query_and_the_pipeline_leave_no_bucket_open(spark, monkeypatch):
     queries.op10_near_dup(None, "")
     corpus_pipeline.near_duplicates(None, spark.range(1), "")
     assert len(asked) == 2 and all(how["exhaustive"] for how in asked)
+
+
+def test_an_open_bucket_makes_no_row_for_each_of_its_pairs(spark, monkeypatch):
+    """300 variants of one text, most pairs just below the similarity: the classes of all pairs, from few decided pairs."""
+    own, base, texts = random.Random(5), [f"word{k}" for k in range(150)], []
+    for _ in range(300):
+        w = list(base)
+        for k in own.sample(range(150), own.choice([1, 3, 3, 3, 4])):
+            w[k] = f"edit{own.randrange(10**6)}"
+        texts.append(w)
+    sets = [{tuple(w[k : k + 5]) for k in range(146)} for w in texts]
+    links = [(a, b) for a in range(300) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = list(range(300))
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    decided, verified = [], near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda docs, pairs, *how: decided.append(pairs.count()) or verified(docs, pairs, *how))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs, exhaustive=True).collect()}
+    assert len(set(want)) > 50 and [got[k] for k in range(300)] == want
+    assert sum(decided) < 300 * 299 / 2 / 5

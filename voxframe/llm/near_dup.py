@@ -7,17 +7,23 @@ two texts agree in a coordinate with the probability of their weighted Jaccard s
 coordinates are hit (it is doubled where one isn't), so that a text costs about elements + k log k darts.
 
 Texts with equal elements have equal keys and are collapsed by an aggregate first. The signatures' bands are buckets. In a
-bucket, not all pairs are compared, but all members with a centre, the one that shares buckets with the most texts. Where a
-bucket then spans several components, its members are dealt again by 200 longer bands (12 coordinates each, drawn from all),
-in which texts just below the similarity seldom meet, and in each of those two members of every component, drawn by a hash,
-are compared with two of one other; ``steps`` says how often that is done again with other bands while it finds links. So no
-step's rows grow with the square of a group. Candidates whose signatures can't belong to similar texts are left out by a look
-at one byte of each coordinate; the others are decided exactly on their shingles. Only such texts are read again. Classes are
-connected components of the links.
-
-With 32 bands of 5 rows, a pair at the similarity 0.8 meets in no bucket with a probability of 3e-6, and in no longer band
-with less than 0.01. A pair that meets, but never with one of the two as centre and never through others, is lost;
-``exhaustive=True`` compares on until no bucket is open, which can take as many comparisons as the largest bucket has pairs.
+bucket, not all pairs are compared, but all members with a centre, the one that shares buckets with the most texts. Candidates whose
+signatures can't belong to similar texts are left out by a look at one byte of each coordinate; the others are decided exactly on their
+shingles. Only such texts are read again. Classes are connected components of the links.
+
+Where a bucket then spans several components, there are two ways on:
+
+* The default deals its members again by 200 longer bands (12 coordinates each, drawn from all), in which texts just below the similarity
+  seldom meet, and in each of those compares two members of every component, drawn by a hash, with two of one other; ``steps`` says how
+  often that is done again with other bands while it finds links. A pair that never meets with one of the two as centre and never through
+  others is lost.
+* ``exhaustive=True`` leaves no bucket open. Those outside its largest component are held against all others of the bucket by sketches,
+  in blocks inside tasks, so that no step makes a row for each pair of a group; what sketches leave out is not similar. First each is decided
+  with its nearest one only, again while most of that are links; at last all that may be similar are. Then every two texts that share a
+  bucket have been compared or are connected. The comparisons of sketches, not the rows, grow with the bucket's size times the number
+  outside its largest component.
+
+With 32 bands of 5 rows, a pair at the similarity 0.8 meets in no bucket with a probability of 3e-6, and in no longer band with less than 0.01.
 
 Edge cases: texts of fewer words than a shingle are one shingle; null texts and texts without words are one class; rows with a
 null doc_id are classes of their own (null); repeated rows are in one class; rows of one doc_id with different texts are one
@@ -35,10 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._copies import sized
+from ._copies import among, sized
 from ._graph import components
 from ._np import SMALL_BLOCK, blocks, mix, out_batch, span_hash, split_words, text_column, trim, window_hashes, within
 from ._shared import drop, small_batches, written
+from ._sketches import BLOCK, dealt, near_sketches, sketches, spanning
 
 BANDS, ROWS = 32, 5
 #: Bands of the second step, each of coordinates drawn from all.
@@ -47,6 +54,8 @@ LONG_BANDS, LONG_ROWS = 200, 12
 SIGMAS = 4
 #: Members that meet a centre's set in one part.
 PART = 256
+#: The longest sketch has 1 << MOST_BITS bits.
+MOST_BITS = 16
 _CELL, _LEVEL, _DART, _PLACE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 #: Distribution of the number of darts in a unit of area (Poisson with mean 1).
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 16)]))
@@ -216,7 +225,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, weighting: str, simi
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     nodes = pairs.select(F.col("member").alias("doc_id")).union(pairs.select("centre")).distinct()
-    held = written(_sets(docs.join(nodes, "doc_id", "left_semi"), size, weighting).dropDuplicates())
+    held = written(_sets(among(docs, sized(nodes)), size, weighting).dropDuplicates())
     parts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / PART).alias("parts"))
     dealt = pairs.join(parts, "centre").select("centre", F.pmod(F.xxhash64("member"), "parts").alias("part"), "member")
     members = dealt.join(held.withColumnRenamed("doc_id", "member"), "member").select("centre", "part", "member", "elements", "several")
@@ -268,12 +277,30 @@ def _across(buckets: DataFrame) -> DataFrame:
     return pairs
 
 
+def _sketched(docs: DataFrame, size: int, weighting: str, percent: float) -> DataFrame:
+    """rep, n (elements, each as often as it counts) and sketch of each row of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_column(batch)
+            for a, b in blocks(at, SMALL_BLOCK):
+                row, h, count = shingles(data[at[a] : at[b]], at[a : b + 1] - at[a], size)
+                if weighting == "count":
+                    row, h = np.repeat(row, count), mix(np.repeat(h, count) + within(count).astype(np.uint64) * _LEVEL)
+                n = np.bincount(row, minlength=b - a)
+                yield out_batch(schema, {"rep": batch.column(0).slice(a, b - a), "n": n, "sketch": sketches(row, h, n, percent, MOST_BITS)})
+        trim()
+
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    return docs.select("doc_id", "text").mapInArrow(run, "rep long, n long, sketch binary")
+
+
 def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, weighting: str = "count", bands: int = BANDS, band_rows: int = ROWS, steps: int = 1, exhaustive: bool = False) -> DataFrame:
     """doc_id and class_id (the class's smallest doc_id) of every row of ``docs`` (doc_id, text).
 
     ``weighting``: "count", each distinct shingle counts as often as it occurs (weighted Jaccard similarity); "set", once.
     ``steps``: of longer bands at most; they end with the first one that finds no link.
-    ``exhaustive``: goes on until every two rows of a bucket have been compared or are connected, however many those are.
+    ``exhaustive``: instead, every two rows of a bucket are compared or connected, however many those are.
     """
     small_batches(docs.sparkSession)
     own = written(signatures(docs, size, weighting, bands, band_rows))
@@ -291,11 +318,12 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, weighting:
     centres = shared.groupBy("bucket").agg(first.alias("c")).select("bucket", F.col("c.rep").alias("centre"))
     look = looks.select("rep", "look")
 
+    verified = []
+
     def compared(pairs: DataFrame) -> DataFrame:
         near = written(_promising(pairs, look, similarity))
-        links = _verified(docs, near, size, weighting, similarity)
-        drop(near)
-        return links
+        verified.append(near.select(F.least("member", "centre").alias("member"), F.greatest("member", "centre").alias("centre")))
+        return _verified(docs, near, size, weighting, similarity)
 
     def opened(component: DataFrame) -> DataFrame:
         """The rows (bucket, rep, n, weight, component) of buckets that span several components."""
@@ -309,7 +337,7 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, weighting:
     pairs = written(shared.join(centres, "bucket").where("rep <> centre").select(F.col("rep").alias("member"), "centre").distinct())
     found = [same, compared(pairs)]
     component = components(found[0].union(found[1]))
-    for step in range(steps):
+    for step in range(0 if exhaustive else steps):
         asked = written(opened(component).where("n > 2").select("rep", "component").distinct())
         long_pairs = _across(_long_bands(asked.join(look, "rep").repartition("rep"), step))
         links = compared(long_pairs.join(pairs, ["member", "centre"], "left_anti"))
@@ -318,20 +346,26 @@ def classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, weighting:
             break
         found.append(links)
         component = components(reduce(DataFrame.union, found))
-    each = 1
+    sketch, nearest, percent = None, True, 100 * similarity - 1e-7  # so that no rounding leaves a pair out
     while exhaustive:
-        rest = written(opened(component).where(F.col("n") > each))
-        if rest.isEmpty():
-            drop(rest)
-            break
-        each *= 8
-        slot = F.when(F.col("n") <= each, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep", F.lit(each)), F.lit(each)))
-        chosen = rest.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct((-F.col("weight")).alias("turn"), "rep", "component")).alias("c"))
-        chosen = chosen.select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("other"))
-        further = rest.join(chosen, "bucket").where("component <> other").select(F.least("rep", "centre").alias("member"), F.greatest("rep", "centre").alias("centre")).distinct()
-        found.append(compared(written(further)))
+        rest = written(spanning(shared, component))
+        if sketch is None:  # buckets only close, so these are all texts that later turns need
+            nodes = sized(rest.select(F.col("rep").alias("doc_id")).distinct())
+            sketch = written(_sketched(among(docs, nodes), size, weighting, percent).distinct())
+        met = dealt(rest.where("component <> main"), rest, F.ceil((F.col("n") - F.col("most")) / BLOCK))
+        met = met.join(sketch, "rep").select("bucket", "a", "b", "side", "rep", "component", "n", "sketch")
+        asked = written(near_sketches(met, percent, nearest).join(reduce(DataFrame.union, verified), ["member", "centre"], "left_anti"), free=True)
+        links = _verified(docs, asked, size, weighting, similarity)
+        verified.append(asked)
+        n_links = links.count()
+        if n_links:
+            found.append(links)
+            component = components(reduce(DataFrame.union, found))
         drop(rest)
-        component = components(reduce(DataFrame.union, found))
+        if not nearest:
+            drop(sketch)
+            break
+        nearest = n_links > 0 and 2 * n_links >= asked.count()
     drop(shared, pairs)
     member = own.select("doc_id", "key1", "key2").join(keys, ["key1", "key2"], "left")
     labelled = member.join(component.withColumnRenamed("node", "rep"), "rep", "left")

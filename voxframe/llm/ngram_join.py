@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._np import SMALL_BLOCK, blocks, mix, out_batch, text_column, trim, within
 from ._shared import drop, small_batches, written
+from ._sketches import BLOCK, _folded, dealt, near_sketches, sketches, spanning  # noqa: F401
 from .near_dup import shingles
 
 #: N-grams that a fragment must have to count as a meeting place of its own.
@@ -49,10 +50,6 @@ PART = 256
 CENTRES = 8
 #: Times that this is done at most before all are taken.
 TURNS = 2
-#: Sketches on each side of a comparison.
-BLOCK = 512
-#: Bits of a sketch for each n-gram by which two similar sets may differ.
-SPREAD = 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _LEVEL, _PLACE, _CUT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -119,16 +116,6 @@ def _lower_shingles(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.nda
     return row, h
 
 
-def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -> list[bytes]:
-    """A bit string of each row's set, of which each n-gram flips one; its length is a power of two."""
-    least = SPREAD * 2 * size * (100 - percent) // (100 + percent)
-    bits = 1 << np.clip(np.ceil(np.log2(np.maximum(least, 1))).astype(np.int64), 6, 13)
-    base = np.append(0, np.cumsum(bits))
-    flips = np.bincount(base[row] + (h & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=base[-1]) & 1
-    raw = np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
-    return [raw[a // 8 : b // 8] for a, b in zip(base, base[1:])]
-
-
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n (n-grams), two keys of the set, sketch, places (where it meets others)."""
 
@@ -170,63 +157,6 @@ def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def _folded(bits: np.ndarray, width: int) -> np.ndarray:
-    while bits.shape[1] > width:
-        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
-    return bits
-
-
-def _by_width(rows: list[tuple]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of rows (rep, component, n, sketch), for each length of the sketch its words and the rows' reps, components and sizes."""
-    out = []
-    for width in {len(r[3]) for r in rows}:
-        own = [r for r in rows if len(r[3]) == width]
-        words = np.frombuffer(b"".join(r[3] for r in own), np.uint64).reshape(len(own), -1)
-        out.append((width // 8, words, *(np.array([r[k] for r in own], np.int64) for k in range(3))))
-    return out
-
-
-def near_sketches(met: DataFrame, percent: int) -> DataFrame:
-    """member, centre: of rows (bucket, a, b, side, rep, component, n, sketch) the pairs of sides 0 and 1 in a bucket's block (a, b) that
-    are of different components and may be similar by their sketches and sizes. Side 1 streams past."""
-
-    def compare(left: list, right: list) -> Iterator[tuple[int, int]]:
-        for w, x, rep, comp, n in left:
-            for v, y, rep2, comp2, n2 in right:
-                xs, ys = _folded(x, min(w, v)), _folded(y, min(w, v))
-                step = max(1, (1 << 20) // xs.size)
-                for k in range(0, len(ys), step):
-                    part = slice(k, k + step)
-                    differ = np.bitwise_count(xs[:, None, :] ^ ys[None, part, :]).sum(axis=2, dtype=np.int64)
-                    low, high = np.minimum(n[:, None], n2[None, part]), np.maximum(n[:, None], n2[None, part])
-                    ok = (differ * (100 + percent) <= (low + high) * (100 - percent)) & (100 * low >= percent * high) & (comp[:, None] != comp2[None, part])
-                    i, j = np.nonzero(ok)
-                    yield from zip(rep[i].tolist(), rep2[k + j].tolist())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, left = None, [], []
-        for batch in batches:
-            keys = np.stack([np.asarray(batch.column(c)) for c in range(4)])
-            starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if batch.num_rows else []
-            values = list(zip(*(batch.column(c).to_pylist() for c in range(4, 8))))
-            found = set()
-            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
-                key, side = tuple(keys[:3, a].tolist()), keys[3, a]
-                if key != now:
-                    now, rows, left = key, [], []
-                if side == 0:
-                    rows += values[a:b]
-                    left = []
-                else:
-                    left = left or _by_width(rows)
-                    found.update((min(p), max(p)) for p in compare(left, _by_width(values[a:b])))
-            yield out_batch(schema, {"member": [p[0] for p in found], "centre": [p[1] for p in found]})
-        trim()
-
-    schema = pa.schema([("member", pa.int64()), ("centre", pa.int64())])
-    return met.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "side").mapInArrow(run, "member long, centre long").distinct()
-
-
 def fragments(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, variant (first key of the set), n, frag, elements: each set in fragments of the global order."""
 
@@ -330,20 +260,14 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     def asked(component: DataFrame, turn: int | None) -> DataFrame:
         """The pairs of different components that meet and may be similar: of ``CENTRES`` texts a bucket outside its largest
         component (drawn anew each turn), or of all of those."""
-        label = shared.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        count = label.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        spans = count.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("several")).where("several > 1")
-        rest = written(label.join(spans.select("bucket", "n", F.col("main.n").alias("most"), F.col("main.component").alias("main")), "bucket"))
+        rest = written(spanning(shared, component))
         out = rest.where("component <> main")
         if turn is not None:
             slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(CENTRES))
             best = out.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn)).alias("h"), "rep", "component", "n", "most")).alias("c"))
             out = best.select("bucket", "c.rep", "c.component", "c.n", "c.most")
-        across = F.ceil(F.col("n") / BLOCK)
         down = F.lit(1).cast("long") if turn is not None else F.ceil((F.col("n") - F.col("most")) / BLOCK)
-        one = out.select("bucket", F.explode(F.sequence(F.lit(0), across - 1)).alias("a"), F.pmod(F.xxhash64("rep", F.lit(1)), down).alias("b"), F.lit(0).cast("long").alias("side"), "rep", "component")
-        other = rest.select("bucket", F.pmod(F.xxhash64("rep", F.lit(2)), across).alias("a"), F.explode(F.sequence(F.lit(0), down - 1)).alias("b"), F.lit(1).cast("long").alias("side"), "rep", "component")
-        met = one.union(other).join(sketch, "rep").select("bucket", "a", "b", "side", "rep", "component", "n", "sketch")
+        met = dealt(out, rest, down).join(sketch, "rep").select("bucket", "a", "b", "side", "rep", "component", "n", "sketch")
         near = written(near_sketches(met, percent), free=True)
         drop(rest)
         return near
