@@ -64,3 +64,38 @@ def test_an_open_bucket_makes_no_row_for_each_of_its_pairs(spark, monkeypatch):
     got = {r.doc_id: r.class_id for r in near_dup.classes(docs, exhaustive=True).collect()}
     assert len(set(want)) > 50 and [got[k] for k in range(300)] == want
     assert sum(decided) < 300 * 299 / 2 / 5
+
+
+def _plans_of(monkeypatch, module, names):
+    """The plans of the texts that these functions are given."""
+    seen = []
+    for name in names:
+        whole = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda docs, *how, whole=whole: seen.append(docs._jdf.queryExecution().executedPlan().toString()) or whole(docs, *how))
+    return seen
+
+
+def test_texts_are_not_shuffled_for_their_labels(spark, monkeypatch):
+    seen = _plans_of(monkeypatch, quality_rules, ["_measured"])
+    text = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to be broadcast unasked
+    try:
+        forests = quality_rules.fit_forests(docs, spark.range(10, 70).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")), trees=3)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert forests and len(seen) == 1 and "hashpartitioning" not in seen[0]
+
+
+def test_texts_are_not_shuffled_for_open_buckets(spark, monkeypatch):
+    seen = _plans_of(monkeypatch, near_dup, ["_sketched", "_sets"])
+    words = [f"word{k}" for k in range(100)]
+    docs = spark.createDataFrame([(k, " ".join([f"own{k}x{j}" if j < 6 else w for j, w in enumerate(words)])) for k in range(30)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near_dup.classes(docs, exhaustive=True).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert seen and not any("hashpartitioning(doc_id" in p.split("BroadcastExchange")[0] for p in seen)

@@ -241,14 +241,15 @@ def fit_forests(docs: DataFrame, labels: DataFrame, lost_share: float = 0.002, t
 
     Trees are grown on good rows that pass the base rules; bad ones only take part in ranges and limits. The forests together
     reject at most ``lost_share`` of the half of the good rows on which the limits are set. To the driver come ``part`` good rows for each
-    tree, the rows at the limits (``lost_share`` of that half for each forest), and sums.
+    tree, the rows at the limits (``lost_share`` of that half for each forest), and sums. Statistics of all rows are taken before
+    they meet the labels, so that texts are never shuffled, however many labels there are.
     """
     small_batches(docs.sparkSession)
     told = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    own = docs.select("doc_id", "text").join(told.select("doc_id"), "doc_id", "left_semi")
-    measured = _measured(own).where(~F.col("base_failed")).groupBy("doc_id").agg(F.min("features").alias("features"))  # a row for each id
+    measured = _measured(docs.where("doc_id is not null")).where(~F.col("base_failed")).select("doc_id", "features")
+    labelled = measured.join(told, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.min("quality").alias("quality"))  # a row for each id
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
-    rows = written(measured.join(told, "doc_id").select("doc_id", "features", (F.col("quality") == 1).alias("good"), half.alias("half")))
+    rows = written(labelled.select("doc_id", "features", (F.col("quality") == 1).alias("good"), half.alias("half")))
     counts = {(r.good, r.half): r.n for r in rows.groupBy("good", "half").agg(F.count("*").alias("n")).collect()}
     if not counts.get((True, 0), 0) + counts.get((True, 1), 0):
         drop(rows)
