@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxframe.llm import near_dup, quality_rules, queries
+from voxframe.llm import near_dup, quality_rules, queries, recompression
 
 
 def test_forests_take_ranges_and_limits_from_all_labelled_rows(spark, monkeypatch):
@@ -99,3 +99,11 @@ def test_texts_are_not_shuffled_for_open_buckets(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert seen and not any("hashpartitioning(doc_id" in p.split("BroadcastExchange")[0] for p in seen)
+
+
+def test_symbols_of_different_windows_seldom_agree():
+    """Two texts of few words that have no window in common: few symbols of the one stand for windows of the other."""
+    rng = np.random.default_rng(6)
+    vocabulary = rng.integers(1, 1 << 62, 60).astype(np.uint64)
+    one, two = (recompression.standing(vocabulary[rng.integers(0, 60, 3000)], np.array([0, 3000]), 13)[1] for _ in range(2))
+    assert np.isin(one, two).mean() < 0.005

@@ -97,16 +97,20 @@ def symbols(words: np.ndarray, at: np.ndarray, rounds: int = ROUNDS) -> list[tup
 def standing(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The first word of each window of ``size`` words of one row, and the symbol that stands for it.
 
-    The upper four bits of a symbol say how long it is (less for longer ones), the others are its hash.
+    The upper four bits of a symbol say how long it is (less for longer ones), the others are the hash of it and of the first and last word
+    of its span.
     """
     count = np.maximum(np.diff(at) - size + 1, 0)
     first = np.repeat(at[:-1], count) + within(count)
     best = np.full(len(words) + 1, NONE, np.uint64)
     parts = symbols(words, at)
     name, length, low, high = (np.concatenate(x) for x in zip(*parts))
-    rank = ((np.uint64(15) - np.minimum(length, 15).astype(np.uint64)) << np.uint64(60)) | (name >> np.uint64(4))
     fits = (high - low <= size) & (low >= 0)
-    rank, low, high = rank[fits], low[fits], high[fits]
+    name, length, low, high = name[fits], length[fits], low[fits], high[fits]
+    inside = high <= len(words)  # spans that end beyond the last word are in no window
+    name, length, low, high = name[inside], length[inside], low[inside], high[inside]
+    name = mix(mix(name + words[low] * _LEFT) + words[high - 1] * _TURN)  # the span's ends are in the window as well, and tell more texts apart
+    rank = ((np.uint64(15) - np.minimum(length, 15).astype(np.uint64)) << np.uint64(60)) | (name >> np.uint64(4))
     order = np.argsort(rank)[::-1]
     rank, low, high = rank[order], low[order], high[order]
     for back in range(size):
