@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 
 from voxframe.llm import html_extract, near_dup, packing, quality_cnn, quality_rules, recompression, token_counts
+from voxframe.llm._np import span_hash
 
 random.seed(11)
 ODD = "abcdefgh'sS tTrReEvVmMlLdD  \n\t éÉßİΣσς123½٣中文字 !?.,<|>endoftext'’́"
@@ -46,6 +47,54 @@ def test_ids_are_the_librarys(libraries):
             assert ids[at[k] : at[k + 1]].tolist() == x.ids, part[k]
 
 
+class Counted:
+    """A library that notes the texts it encodes."""
+
+    def __init__(self, library):
+        self.library, self.seen = library, Counter()
+
+    def encode_batch_fast(self, texts, **more):
+        self.seen.update(texts)
+        return self.library.encode_batch_fast(texts, **more)
+
+    def encode(self, text, **more):
+        self.seen[text] += 1
+        return self.library.encode(text, **more)
+
+
+def encodes_as(encoder, library, texts):
+    ids, at = encoder.encode(*packed(texts))
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_common_pieces_are_encoded_once(libraries, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_PIECES", 60)
+    library = libraries["byte_bpe_50k.json"]
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.library = Counted(library)
+    for k in range(40):
+        rare = "".join(f" r{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(9))
+        assert encodes_as(encoder, library, [" some common words" + rare, "", rare])
+    assert {encoder.library.seen[w] for w in (" some", " common", " words")} == {1}
+
+
+def test_known_pieces_are_bounded_and_shared_by_tasks(libraries, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_KEPT_IDS", 500)
+    library, path = libraries["byte_bpe_50k.json"], public_tokenizers.path("byte_bpe_50k.json")
+    encoder = packing.worker_encoder(path)
+    assert packing.worker_encoder(path) is encoder
+    for k in range(40):
+        assert encodes_as(encoder, library, ["中文"[k % 2] * (200 + k), " a common word", ""]) and len(encoder.ids) <= 500
+    assert encodes_as(encoder, library, ["中" * 700]) and encodes_as(encoder, library, ["", ""]) and len(encoder.ids) <= 500
+
+
+def test_pieces_of_one_name_are_told_apart(libraries, monkeypatch):
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(packing, "span_hash", lambda d, a, b, salt=0: span_hash(d, a, b, salt) if salt else np.full(len(a), 7, np.uint64))
+    for text in ("one", "two", "one", "three"):
+        assert encodes_as(encoder, libraries["byte_bpe_50k.json"], [text])
+
+
 def test_packer_loses_nothing():
     packer = packing.Packer(64, 3, 0)
     docs = {d: np.arange(random.choice([0, 1, 30, 64, 65, 300]), dtype=np.uint32) for d in range(200)}

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,12 +32,17 @@ from ._np import blocks, char_starts, out_batch, span_hash, text_column, trim, w
 from ._shared import small_batches
 
 PIECE = [("doc_id", "long"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")]
-#: Distinct pieces whose ids a worker keeps.
-MOST_PIECES = 200_000
+#: Distinct pieces whose ids a worker keeps, and the ids of all of them together.
+MOST_PIECES = 600_000
+MOST_KEPT_IDS = 4_000_000
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level tokenizer of ``tokenizers``: the library encodes each distinct piece once."""
+    """Ids of whole texts by a byte-level tokenizer of ``tokenizers``: the library encodes each distinct piece once.
+
+    Known pieces are found by two 64-bit hashes, in sorted arrays. Beyond ``MOST_PIECES`` or ``MOST_KEPT_IDS`` those that only
+    one block had are forgotten, or all.
+    """
 
     def __init__(self, path: str):
         import os
@@ -46,49 +52,77 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.name, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)  # pieces that a second block had
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, new: list[bytes]) -> None:
-        encoded = self.library.encode_batch_fast([piece.decode() for piece in new], add_special_tokens=False)
-        ids = [x.ids for x in encoded]
+    def _forget(self) -> None:
+        keep = self.again
+        if 2 * keep.sum() > MOST_PIECES or 2 * self.size[keep].sum() > MOST_KEPT_IDS:
+            keep = np.zeros(len(keep), bool)
+        size = self.size[keep]
+        self.ids = self.ids[np.repeat(self.begin[keep], size) + within(size)]
+        self.name, self.check, self.begin, self.size = self.name[keep], self.check[keep], np.cumsum(size) - size, size
+        self.again = np.zeros(len(size), bool)
+
+    def _learn(self, name: np.ndarray, check: np.ndarray, pieces: list[str]) -> None:
+        """Adds pieces with their names, which are sorted."""
+        ids = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        to = np.searchsorted(self.name, name)
+        self.begin = np.insert(self.begin, to, len(self.ids) + np.cumsum(size) - size)
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
-        for piece in new:
-            self.place[piece] = len(self.place)
+        self.name, self.check = np.insert(self.name, to, name), np.insert(self.check, to, check)
+        self.size, self.again = np.insert(self.size, to, size), np.insert(self.again, to, False)
+
+    def _places(self, raw: bytes, name: np.ndarray, check: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray | None:
+        """Where the pieces with these sorted names stand among the known ones; None if two pieces share a name."""
+        place = np.searchsorted(self.name, name)
+        known = place < len(self.name)
+        known[known] = self.name[place[known]] == name[known]
+        self.again[place[known]] = True
+        new = np.flatnonzero(~known)
+        if len(new):
+            pieces = [raw[a:b].decode() for a, b in zip(begin[new].tolist(), end[new].tolist())]
+            self._learn(name[new], check[new], pieces)
+            place = np.searchsorted(self.name, name)
+        return place if (self.check[place] == check).all() else None
+
+    def _by_library(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = [self.library.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets, offsets[1:])]
+        return np.array([i for r in rows for i in r], np.uint32), np.append(0, np.cumsum([len(r) for r in rows], dtype=np.int64))
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after another, and each row's offsets in them."""
-        if len(self.place) > MOST_PIECES:
-            self._clear()
         raw = data[at[0] : at[-1]].tobytes()
         offsets = at - at[0]
         if any(s in raw for s in self.special):
-            rows = [self.library.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets, offsets[1:])]
-            return np.array([i for r in rows for i in r], np.uint32), np.append(0, np.cumsum([len(r) for r in rows], dtype=np.int64))
+            return self._by_library(raw, offsets)
         data = np.frombuffer(raw, np.uint8)
         cp = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
         lead = np.flatnonzero(char_starts(data))
         start = byte_level_cuts(cp, np.searchsorted(lead, offsets))
         begin = lead[start]
         end = np.append(begin[1:], len(data))[: len(begin)]
-        _, one, which = np.unique(span_hash(data, begin, end), return_index=True, return_inverse=True)
-        pieces = [raw[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist())]
-        new = [p for p in pieces if p not in self.place]
-        if new:
-            self._learn(new)
-        place = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))[which]
+        name, one, which = np.unique(span_hash(data, begin, end), return_index=True, return_inverse=True)
+        place = self._places(raw, name, span_hash(data, begin[one], end[one], 1), begin[one], end[one])
+        if place is None:
+            return self._by_library(raw, offsets)
+        place = place[which]
         size = self.size[place]
         ids = self.ids[np.repeat(self.begin[place], size) + within(size)]
+        if len(self.name) > MOST_PIECES or len(self.ids) > MOST_KEPT_IDS:
+            self._forget()
         return ids, np.append(0, np.cumsum(size))[np.searchsorted(begin, offsets)]
 
 
+@lru_cache(1)
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker, which so share the pieces that it knows."""
+    return Encoder(path)
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -168,7 +202,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, open_windows:
         task = TaskContext.get().partitionId()
         encoder, packer = None, Packer(length, open_windows, task << 36)
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer_path)
+            encoder = encoder or worker_encoder(tokenizer_path)
             data, at = text_column(batch)
             doc_ids = batch.column(0).to_pylist()
             for a, b in blocks(at):
